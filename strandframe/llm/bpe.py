@@ -13,7 +13,6 @@ happens if it comes before both parents (ties go to the leftmost pair). A pair i
 from __future__ import annotations
 
 import hashlib
-import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,12 +25,12 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .base import tokenizer_path
+from .merges import NEVER, MergeTable, byte_alphabet
 
 #: Fixed values of the byte-level vocabulary format: the pre-tokenising pattern and the special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
 
-NEVER = np.int64(1) << 40
 #: Words kept in a worker's cache before it is emptied, and characters handled at once. Both only bound memory.
 CACHE_WORDS = 400_000
 CHUNK_CHARS = 4_000_000
@@ -39,63 +38,28 @@ CHUNK_CHARS = 4_000_000
 CACHED_WORD_CHARS = 256
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabulary files."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class SpeculativeBpe:
+class SpeculativeBpe(MergeTable):
     """Encoder and decoder over one byte-level vocabulary file (JSON with ``vocab`` and ``merges``)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        of, vocab = byte_alphabet(), spec["model"]["vocab"]
-        as_bytes = {token: bytes(of[c] for c in token) for token in vocab}
-        size = max(max(vocab.values()), *(t["id"] for t in spec["added_tokens"])) + 1
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token_bytes: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            self.token_bytes[i] = as_bytes[token]
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
-        self.decimal = [b"%d," % i for i in range(size)]
-        self.byte_id = np.zeros(256, np.int64)
-        for token, i in vocab.items():
-            if len(as_bytes[token]) == 1:
-                self.byte_id[as_bytes[token][0]] = i
-        merges: dict[tuple[int, int], tuple[int, int]] = {}
-        self.made_at = np.full(size, -1, np.int64)
-        left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = (vocab[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            made = vocab["".join(pair) if isinstance(pair, list) else pair.replace(" ", "", 1)]
-            merges.setdefault((a, b), (rank, made))
-            if self.made_at[made] < 0:
-                self.made_at[made], left[made], right[made] = rank, a, b
-        self.size = size
-        keys = np.fromiter((a * size + b for a, b in merges), np.int64, len(merges))
-        ranks = np.fromiter((r for r, _ in merges.values()), np.int64, len(merges))
-        self.merge_makes = np.zeros(len(spec["model"]["merges"]), np.int64)
-        self.merge_makes[ranks] = np.fromiter((m for _, m in merges.values()), np.int64, len(merges))
-        order = np.argsort(keys)
-        self.merge_keys, self.merge_ranks = keys[order], ranks[order]
-        # A table of one slot for each hash for fast look-ups; pairs that share a slot are searched for in merge_keys.
-        self.slot_key, self.slot_rank = np.full(1 << 20, -1, np.int64), np.full(1 << 20, NEVER)
-        slot = (((keys // size) * 0x9E3779B1 + (keys % size) * 0x85EBCA77) >> 7) & (len(self.slot_key) - 1)
-        self.slot_key[slot], self.slot_rank[slot] = keys, ranks
-        self.slot_full = np.bincount(slot, minlength=len(self.slot_key)) > 1
-        self.right_edge, self.left_edge = self._edges(right), self._edges(left)
-        alone = self.exact_many(self.token_bytes)
-        self.stable = np.fromiter((alone[i] == np.array([i], "<u4").tobytes() for i in range(size)), bool, size)
+        super().__init__(path)
+        of = byte_alphabet()
+        self.token_bytes: list[bytes] = [b""] * self.size
+        for token, i in self.vocab.items():
+            self.token_bytes[i] = bytes(of[c] for c in token)
         self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            self.automaton.add_word(as_bytes[token].decode("latin-1"), (i, len(as_bytes[token])))
+        for i in self.vocab.values():
+            self.automaton.add_word(self.token_bytes[i].decode("latin-1"), (i, len(self.token_bytes[i])))
         self.automaton.make_automaton()
+        alone = self.exact_many(self.token_bytes)
+        self.stable = np.fromiter((alone[i] == np.array([i], "<u4").tobytes() for i in range(self.size)), bool, self.size)
+        for token, i in self.special.items():
+            self.token_bytes[i] = token.encode()
+        self.decimal = [b"%d," % i for i in range(self.size)]
+        self.right_edge, self.left_edge = self._edges(self.right), self._edges(self.left)
         self.pairs_known, self.pairs_good = np.empty(0, np.int64), np.empty(0, bool)
         self.cache: dict[str, bytes] = {}
+        self.failed = self.proposed = 0
         self.find = regex.compile(PATTERN).findall
         # Characters that are newer than the tokenizer's Unicode tables, by this Python's own; see split().
         newer = [c for c in range(0x500, 0x110000) if unicodedata.category(chr(c)) in ("Cn", "Cs")]
@@ -103,7 +67,6 @@ class SpeculativeBpe:
         stops = [c for c, after in zip(newer, [*newer[1:], -1]) if c != after - 1]
         self.unsure = regex.compile("[%s]" % "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops))).search
         self.library = Tokenizer.from_file(path)
-        self.failed = self.proposed = 0
 
     @staticmethod
     def _edges(child: np.ndarray) -> list[np.ndarray]:
@@ -113,71 +76,6 @@ class SpeculativeBpe:
             rows.append(np.where(rows[-1] >= 0, child[rows[-1]], -1))
         return rows[:-1]
 
-    def exact(self, word: bytes) -> list[int]:
-        """Plain BPE of one word of any length: every place of the lowest-ranked pair merges, left to right, again and again."""
-        parts = self.byte_id[np.frombuffer(word, np.uint8)]
-        while len(parts) > 1:
-            ranks = self._ranks(parts[:-1], parts[1:])
-            low = ranks.min()
-            if low == NEVER:
-                break
-            at = np.flatnonzero(ranks == low)
-            if (parts[at[0]] == parts[at[0] + 1]) and len(at) > 1:  # in a run of one symbol only every other place merges
-                run = np.cumsum(np.diff(at, prepend=-9) != 1)
-                at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
-            parts[at] = self.merge_makes[low]
-            parts = np.delete(parts, at + 1)
-        return parts.tolist()
-
-    def exact_many(self, words: list[bytes]) -> list[bytes]:
-        """Plain BPE of many words at once: each round merges the lowest-ranked leftmost pair of every word."""
-        out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((1, 8), (9, 12), (13, 16), (17, 32)):
-            mine = np.flatnonzero((lengths >= low) & (lengths <= high))
-            if not len(mine):
-                continue
-            flat = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in mine.tolist()), np.uint8)
-            inside = np.arange(high) < lengths[mine, None]
-            parts = np.where(inside, self.byte_id[flat.reshape(-1, high)], -1)
-            ranks = np.full(parts.shape, NEVER)
-            ranks[:, :-1] = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(mine), high - 1)
-            rows = np.arange(len(mine))
-            while len(rows):
-                at = ranks[rows].argmin(1)
-                best = ranks[rows, at]
-                rows, at, best = (x[best < NEVER] for x in (rows, at, best))
-                p, r = parts[rows], ranks[rows]
-                gone = np.arange(high)[None, :] > at[:, None]
-                p[:, :-1] = np.where(gone[:, :-1], p[:, 1:], p[:, :-1])
-                r[:, :-1] = np.where(gone[:, :-1], r[:, 1:], r[:, :-1])
-                p[:, -1], r[:, -1] = -1, NEVER
-                k = np.arange(len(rows))
-                p[k, at] = self.merge_makes[best]
-                r[k, at] = self._ranks(p[k, at], np.where(at + 1 < high, p[k, np.minimum(at + 1, high - 1)], -1))
-                left = np.flatnonzero(at > 0)
-                r[left, at[left] - 1] = self._ranks(p[left, at[left] - 1], p[left, at[left]])
-                parts[rows], ranks[rows] = p, r
-            sizes = (parts >= 0).sum(1)
-            packed, cut = parts[parts >= 0].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 4
-            for i, a, b in zip(mine.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
-                out[i] = packed[a:b]
-        for i in np.flatnonzero(lengths > 32).tolist():
-            out[i] = np.array(self.exact(words[i]), "<u4").tobytes()
-        return out
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Merge rank of each pair, NEVER where the pair does not merge or a side is missing (-1)."""
-        slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & (len(self.slot_key) - 1)
-        key = a * self.size + b
-        ranks = np.where(self.slot_key[slot] == key, self.slot_rank[slot], NEVER)
-        again = np.flatnonzero(self.slot_full[slot] & (ranks == NEVER))
-        if len(again):
-            at = np.minimum(np.searchsorted(self.merge_keys, key[again]), len(self.merge_keys) - 1)
-            ranks[again] = np.where(self.merge_keys[at] == key[again], self.merge_ranks[at], NEVER)
-        ranks[(a < 0) | (b < 0)] = NEVER
-        return ranks
-
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether BPE of their joined bytes leaves the border between them alone."""
         good = self.stable[a] & self.stable[b]

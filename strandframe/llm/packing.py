@@ -18,34 +18,40 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .base import materialise, tokenizer_path
+from .merges import MergeTable
 
 SEQUENCE = 4096
 #: Length classes are multiples of this; smaller leaves less padding and gives the linear program more rows.
 GRAIN = 16
 END_ID = 2
+#: Fixed value of the vocabulary's format: its pre-tokenising pattern.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_WORDS = 400_000
 CHUNK_CHARS = 4_000_000
 CACHED_WORD_CHARS = 256
 
 
-class WordEncoder:
-    """Ids of whole texts through the library, each distinct blank-separated word once.
+class WordEncoder(MergeTable):
+    """Ids of whole texts, each distinct blank-separated word once.
 
     For a tokenizer that drops white space and never joins across it, the ids of a text are those of its words in turn.
-    Texts that hold a special token's string go to the library whole.
+    Distinct words in Latin-1 are split, lower-cased and merged many at once; all others, and whole texts that hold a
+    special token's string, go through the tokenizers library.
     """
 
     def __init__(self, path: str):
+        super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
+        self.pieces = regex.compile(r"\n|" + PIECES).findall
 
     def encode_batch(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; memory is bounded by CHUNK_CHARS and the longest text."""
@@ -60,16 +66,36 @@ class WordEncoder:
                 held, chars = [], 0
         yield from self._flush(held)
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold neither blanks nor line breaks."""
+        plain, out = [], [b""] * len(words)
+        for i, word in enumerate(words):
+            try:
+                word.encode("latin-1")
+                plain.append(i)
+            except UnicodeEncodeError:
+                out[i] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.pieces("\n".join([words[i] for i in plain]).lower())
+        distinct = list(set(found).difference("\n"))
+        ids = dict(zip(distinct, self.exact_many([x.encode() for x in distinct])))
+        at, part = 0, []
+        for piece in found:
+            if piece == "\n":
+                out[plain[at]] = b"".join(part)
+                at, part = at + 1, []
+            else:
+                part.append(ids[piece])
+        if plain:
+            out[plain[at]] = b"".join(part)
+        return out
+
     def _flush(self, held: list) -> Iterator[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
         missing = list(set().union(*(x for x in held if isinstance(x, list))).difference(self.cache))
         long_words = {}
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
-            for word, made in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(made.ids, "<u4").tobytes()
-                (self.cache if len(word) <= CACHED_WORD_CHARS else long_words)[word] = ids
+        for word, ids in zip(missing, self.encode_words(missing)):
+            (self.cache if len(word) <= CACHED_WORD_CHARS else long_words)[word] = ids
         for x in held:
             if isinstance(x, str):
                 yield np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
