@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .base import tokenizer_path
-from .merges import NEVER, MergeTable, byte_alphabet
+from .merges import NEVER, MergeTable, byte_alphabet, spread
 
 #: Fixed values of the byte-level vocabulary format: the pre-tokenising pattern and the special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -184,16 +184,18 @@ class SpeculativeBpe(MergeTable):
             self.cache.clear()
         for token, i in self.special.items():
             self.cache[token] = np.array([i], "<u4").tobytes()
-        missing = list(set().union(*held).difference(self.cache)) if held else []
-        long_words = {}
-        if missing:
-            for word, ids in zip(missing, self.encode_words(missing)):
-                (self.cache if len(word) <= CACHED_WORD_CHARS else long_words)[word] = ids
-        for words in held:
-            if long_words:
-                yield np.frombuffer(b"".join(self.cache[w] if w in self.cache else long_words[w] for w in words), "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+        coded = pa.array([w for words in held for w in words], pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.cache.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self.encode_words([distinct[i] for i in missing])):
+            found[i] = ids
+            if len(distinct[i]) <= CACHED_WORD_CHARS:
+                self.cache[distinct[i]] = ids
+        ids, ends = spread(found, coded.indices.to_numpy())
+        ends = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))]
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield ids[a:b]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -119,3 +119,14 @@ class MergeTable:
             ranks[again] = np.where(self.merge_keys[at] == key[again], self.merge_ranks[at], NEVER)
         ranks[(a < 0) | (b < 0)] = NEVER
         return ranks
+
+
+def spread(packed: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words in turn, given the ids of each distinct word and which word stands where; and the end of each word."""
+    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    pool, first = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(lengths) - lengths
+    each = lengths[index]
+    ends = np.cumsum(each)
+    if not len(ends):
+        return pool[:0], ends
+    return pool[np.repeat(first[index] - ends + each, each) + np.arange(ends[-1])], ends

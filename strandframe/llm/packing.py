@@ -18,13 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .base import materialise, tokenizer_path
-from .merges import MergeTable
+from .merges import MergeTable, spread
 
 SEQUENCE = 4096
 #: Length classes are multiples of this; smaller leaves less padding and gives the linear program more rows.
@@ -53,18 +54,14 @@ class WordEncoder(MergeTable):
         self.cache: dict[str, bytes] = {"": b""}
         self.pieces = regex.compile(r"\n|" + PIECES).findall
 
-    def encode_batch(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; memory is bounded by CHUNK_CHARS and the longest text."""
-        held: list = []
-        chars = 0
-        for text in texts:
-            whole = any(s in text for s in self.special)
-            held.append(text if whole else text.replace("\n", " ").split(" "))
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                yield from self._flush(held)
-                held, chars = [], 0
-        yield from self._flush(held)
+    def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text; memory is bounded by CHUNK_CHARS and the longest text."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_CHARS)))
+            yield from self._encode(pc.fill_null(texts.slice(at, stop - at), ""))
+            at = stop
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that hold neither blanks nor line breaks."""
@@ -89,20 +86,28 @@ class WordEncoder(MergeTable):
             out[plain[at]] = b"".join(part)
         return out
 
-    def _flush(self, held: list) -> Iterator[bytes]:
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        marked = np.zeros(len(texts), bool)
+        for token in self.special:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
-        missing = list(set().union(*(x for x in held if isinstance(x, list))).difference(self.cache))
-        long_words = {}
-        for word, ids in zip(missing, self.encode_words(missing)):
-            (self.cache if len(word) <= CACHED_WORD_CHARS else long_words)[word] = ids
-        for x in held:
-            if isinstance(x, str):
-                yield np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-            elif long_words:
-                yield b"".join(self.cache[w] if w in self.cache else long_words[w] for w in x)
+        found = list(map(self.cache.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self.encode_words([distinct[i] for i in missing])):
+            found[i] = ids
+            if len(distinct[i]) <= CACHED_WORD_CHARS:
+                self.cache[distinct[i]] = ids
+        ids, ends = spread(found, coded.indices.to_numpy())
+        ends = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(words).to_numpy())]
+        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if marked[i]:
+                yield np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
             else:
-                yield b"".join(map(self.cache.__getitem__, x))
+                yield ids[a:b]
 
 
 @lru_cache(2)
@@ -117,9 +122,8 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, sequence:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             of, start, length, crc, total = [], [], [], [], []
-            made = word_encoder(path).encode_batch(t or "" for t in batch.column(1).to_pylist())
-            for i, ids in enumerate(made):
-                ids += end
+            for i, ids in enumerate(word_encoder(path).encode_batch(batch.column(1))):
+                ids = ids.tobytes() + end
                 n = len(ids) // 4
                 for at in range(0, n, sequence):
                     piece = ids[4 * at : 4 * (at + sequence)]
