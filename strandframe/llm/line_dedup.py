@@ -7,10 +7,10 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
 2. Tokens are ordered by rarity: by the corpus-wide count of their hash bucket (a table of fixed size), then by hash.
    Two similar lines must share a token among the first few of each (prefix filter), have similar sizes (length
    filter), and leave enough tokens behind the shared one (positional filter).
-3. First every line meets only the earliest line of each of its prefix tokens. That costs one row per prefix token and
+3. First every line meets only the earliest line of each of its rarest tokens. That costs a few rows for each line and
    settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
-4. Only lines that are still unsettled meet all other lines with a shared prefix token. Candidates are verified on the
-   tokens themselves.
+4. Then lines with a shared prefix token meet if one of them is still unsettled. Candidates are verified on the tokens
+   themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus.
 RARITY_BUCKETS = 1 << 17
+#: Tokens of each line by which it first meets one earlier line.
+FIRST_TOKENS = 2
 
 
 def tokens_of(line: str | Column) -> Column:
@@ -52,18 +54,21 @@ def least_overlap(sizes: Column, threshold: float) -> Column:
     return F.ceil(F.round(sizes * (threshold / (1 + threshold)), 6))
 
 
-def prefixes(lines: DataFrame, rarity: bytes, threshold: float) -> DataFrame:
-    """One row per prefix token: tok, lid, ord, n (tokens of the line), p (place of the token in rarity order)."""
-    # A code sorts by rarity class, then by 55 bits of the hash.
-    def code(token: Column) -> Column:
+def prefixes(lines: DataFrame, rarity: bytes, threshold: float, most: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per prefix token: tok, lid, n (tokens of the line), p (place of the token in rarity order), further columns.
+
+    ``tok`` is a 32-bit hash: it only proposes candidates. ``most`` takes no more than so many tokens of a line.
+    """
+
+    def code(token: Column) -> Column:  # sorts by rarity class, then by the hash
         rank = F.ascii(F.substring(F.lit(rarity), bucket_of(token) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
 
-    coded = lines.select("lid", F.col("at.ord").alias("ord"), F.sort_array(F.transform(tokens_of("line"), code)).alias("codes"))
-    coded = coded.withColumn("n", F.size("codes"))
+    coded = lines.select("lid", *also, F.sort_array(F.transform(tokens_of("line"), code)).alias("codes")).withColumn("n", F.size("codes"))
     length = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)).cast("int") + 1
-    first = coded.select("lid", "ord", "n", F.posexplode(F.slice("codes", F.lit(1), length)).alias("p", "tok"))
-    return first.select("tok", "lid", "ord", "n", "p")
+    length = length if most is None else F.least(length, F.lit(most))
+    first = coded.select("lid", *also, "n", F.posexplode(F.slice("codes", F.lit(1), length)).alias("p", "code"))
+    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", *also, "n", "p")
 
 
 def possible(nx: str, px: str, ny: str, py: str, threshold: float) -> Column:
@@ -104,19 +109,22 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The first place and one spelling for each distinct line (64-bit identity).
     lines = split.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct(*KEY, "no")).alias("at"), F.min("line").alias("line"))
 
-    rows = prefixes(lines, rarity, threshold)
-    earliest = F.first(F.struct("lid", "n", "p")).over(Window.partitionBy("tok").orderBy("ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = rows.select("lid", "n", "p", earliest.alias("e")).select("lid", "n", "p", F.col("e.lid").alias("y"), F.col("e.n").alias("m"), F.col("e.p").alias("q"))
+    rows = prefixes(lines.select("lid", "at", "line", F.col("at.none").alias("none"), F.col("at.ord").alias("ord")), rarity, threshold, FIRST_TOKENS, ("none", "ord"))
+    order = Window.partitionBy("tok").orderBy("none", "ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.select("lid", "n", "p", F.first(F.struct("lid", "n", "p")).over(order).alias("e"))
+    met = met.select("lid", "n", "p", F.col("e.lid").alias("y"), F.col("e.n").alias("m"), F.col("e.p").alias("q"))
     met = met.where((F.col("lid") != F.col("y")) & possible("n", "p", "m", "q", threshold)).select(F.col("lid").alias("x"), "y").distinct()
-    settled = later_of(met, lines, threshold)
-
-    open_lines = lines.join(settled, "lid", "left_anti")
-    y = prefixes(open_lines, rarity, threshold).select("tok", F.col("lid").alias("y"), F.col("ord").alias("ord_y"), F.col("n").alias("m"), F.col("p").alias("q"))
-    x = rows.select("tok", F.col("lid").alias("x"), F.col("ord").alias("ord_x"), "n", "p")
-    pairs = x.join(y, "tok").where((F.col("ord_x") <= F.col("ord_y")) & (F.col("x") != F.col("y")) & possible("n", "p", "m", "q", threshold))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("n").alias("n"), F.min("m").alias("m"))
-    reach = F.col("k") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
-    pairs = pairs.where(reach >= least_overlap(F.col("n") + F.col("m"), threshold)).select("x", "y")
+    settled = later_of(met, lines, threshold).withColumn("old", F.lit(True))
+
+    marked = lines.join(settled, "lid", "left").select("lid", "line", F.col("old").isNull().alias("open"))
+    rows = prefixes(marked, rarity, threshold, also=("open",))
+    x, y = (rows.select("tok", *(F.col(c).alias(c + side) for c in ("lid", "n", "p", "open"))) for side in "xy")
+    pairs = x.join(y, "tok").where((F.col("lidx") < F.col("lidy")) & (F.col("openx") | F.col("openy")) & possible("nx", "px", "ny", "py", threshold))
+    pairs = pairs.groupBy(F.col("lidx").alias("x"), F.col("lidy").alias("y")).agg(F.count("*").alias("k"), F.max(F.struct("px", "py", "nx", "ny")).alias("last"))
+    last = {c: F.col(f"last.{c}") for c in ("px", "py", "nx", "ny")}
+    reach = F.col("k") + F.least(last["nx"] - last["px"], last["ny"] - last["py"]) - 1
+    pairs = pairs.where(reach >= least_overlap(last["nx"] + last["ny"], threshold)).select("x", "y")
+    settled = settled.select("lid")
     gone = settled.union(later_of(pairs, lines, threshold))
     kept = lines.join(gone, "lid", "left_anti")
     return kept.select("at.*").groupBy(*KEY).agg(F.sort_array(F.collect_list("no")).alias("kept"))
