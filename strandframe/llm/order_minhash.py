@@ -114,9 +114,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ranges = min(MOST_RANGES, max(1, -(-n // ROWS_PER_RANGE)))
     cuts = sorted(set(d.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     d = d.withColumn("id_", F.col("doc_id").cast("double"))
-    deal = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="id_", outputCol="part_", handleInvalid="keep")
+    deal = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="id_", outputCol="part_", handleInvalid="keep")
     last = len(cuts) + 1  # rows without an id come after all others
-    d = deal.transform(d).withColumn("part", F.when(F.col("id_").isNull(), F.lit(last)).otherwise(len(cuts) - F.col("part_").cast("int")))
+    d = (deal.transform(d) if cuts else d.withColumn("part_", F.lit(0.0))).withColumn("part", F.when(F.col("id_").isNull(), F.lit(last)).otherwise(len(cuts) - F.col("part_").cast("int")))
     d = d.withColumn("h", F.xxhash64("text")).select("part", "doc_id", "h", "text")
     heads = d.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("head")).orderBy("part").collect()
     rows = [(r["part"], r["head"]["doc_id"], r["head"]["h"], heads[i - 1]["part"]) for i, r in enumerate(heads)]

@@ -25,10 +25,15 @@ LEXICON = (
 ).split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi te vous ton ta votre tú ti usted ustedes vosotros".split()
 PROXIMITY = 6
-PER_CLASS = 10_000
+PER_CLASS = 4000
+LONGEST = 32_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-FEATURES = ["log_words", "lexicon_rate", "lexicon_hits", "lexicon_kinds", "near_second_person", "second_person_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "symbol_rate", "obfuscated_rate", "stretched_rate"]
+#: Beginnings of words that the training rows mark: their lengths, how many at most, in which share of toxic rows at least.
+MARK_LENGTHS = range(3, 11)
+MARKS = 64
+MARK_SHARE = 0.02
+FEATURES = ["mark_rate", "mark_hits", "mark_kinds", "log_words", "lexicon_rate", "lexicon_hits", "lexicon_kinds", "near_second_person", "second_person_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "symbol_rate", "obfuscated_rate", "stretched_rate"]
 
 _HIT = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(LEXICON, key=len, reverse=True)))
 _SECOND = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(SECOND_PERSON, key=len, reverse=True)))
@@ -39,8 +44,16 @@ _NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
 _PLAIN = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'\"-!?")
 
 
-def features(text: str) -> tuple[float, ...]:
-    """Dense features of one whole text; all are zero for the empty text but the first."""
+def mark_pattern(marks: list[str]) -> re.Pattern:
+    """Finds words that begin with a mark; without marks it finds nothing."""
+    if not marks:
+        return re.compile(r"(?!)")
+    first = "".join(sorted({re.escape(m[0]) for m in marks}))
+    return re.compile(r"(?<!\w)(?=[%s])(?:%s)" % (first, "|".join(map(re.escape, sorted(marks, key=len)))))
+
+
+def features(text: str, marked: re.Pattern) -> tuple[float, ...]:
+    """Dense features of one whole text; the empty text has zeros only."""
     raw, low = text.encode("utf-8", "replace"), text.lower()
     words = len(text.split()) or 1
     hits = [(m.start(), m[0]) for m in _HIT.finditer(low)]
@@ -50,19 +63,53 @@ def features(text: str) -> tuple[float, ...]:
         after = " ".join(low[at + len(word) : at + len(word) + 120].split()[:PROXIMITY])
         near += bool(_SECOND.search(before) or _SECOND.search(after))
     chars = max(1, len(raw))
+    marks = marked.findall(low)
     return (
+        len(marks) / words, float(len(marks)), float(len(set(marks))),
         math.log(words), len(hits) / words, float(len(hits)), float(len({w for _, w in hits})), float(near), sum(1 for _ in _SECOND.finditer(low)) / words,
         len(raw.translate(None, _NOT_CAPITAL)) / chars, len(_SHOUT.findall(text)) / words, text.count("!") / chars, text.count("?") / chars,
         len(raw.translate(None, _PLAIN)) / chars, len(_OBFUSCATED.findall(text)) / words, len(_STRETCHED.findall(low)) / words,
     )
 
 
-def with_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def learn_marks(rows: DataFrame, least_share: float = MARK_SHARE, most: int = MARKS) -> list[str]:
+    """A lexicon from labelled rows (label, text): beginnings of words that toxic rows have and other rows hardly have.
+
+    Counted by documents; equal texts count once. The rows are a bounded sample, the driver gets the counts of
+    beginnings that enough toxic rows share.
+    """
+    rows = rows.dropDuplicates(["text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[tuple[str, int], int] = {}
+            for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
+                words = set(re.findall(r"\w+", (text or "").lower()))
+                for mark in {w[:n] for w in words for n in MARK_LENGTHS if n <= len(w)}:
+                    counts[mark, label] = counts.get((mark, label), 0) + 1
+            marks, labels = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(labels, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["mark", "label", "n"])
+
+    of = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = rows.select("label", "text").mapInArrow(run, "mark string, label int, n long")
+    per = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    least = max(4, int(least_share * of.get(1, 0)))
+    found = counts.groupBy("mark").agg(per(1).alias("bad"), per(0).alias("fine")).where((F.col("bad") >= least) & (F.col("fine") * of.get(1, 0) * 20 <= F.col("bad") * of.get(0, 0)))
+    ranked = sorted(found.collect(), key=lambda r: (-r["bad"], len(r["mark"]), r["mark"]))
+    kept: list[str] = []
+    for r in ranked:
+        if len(kept) < most and not any(r["mark"].startswith(m) for m in kept):
+            kept.append(r["mark"])
+    return sorted(kept)
+
+
+def with_features(docs: DataFrame, keep: list[str], marks: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and one double column for each feature. Narrow; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = mark_pattern(marks)
         for b in batches:
-            rows = [features(t) for t in b.column("_text").to_pylist()]
+            rows = [features(t, marked) for t in b.column("_text").to_pylist()]
             made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *FEATURES])
 
@@ -74,8 +121,8 @@ def with_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
 class ToxicityModel:
     """Trees and the isotonic curve on their probability; or one constant where there was too little to learn from."""
 
-    def __init__(self, trees=None, curve=None, constant: float = 0.5):
-        self.trees, self.curve, self.constant = trees, curve, constant
+    def __init__(self, trees=None, curve=None, constant: float = 0.5, marks: list[str] | None = None):
+        self.trees, self.curve, self.constant, self.marks = trees, curve, constant, marks or []
 
     def score(self, featured: DataFrame, keep: list[str]) -> DataFrame:
         if self.trees is None:
@@ -91,18 +138,23 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fits on at most ``per_class`` labelled rows of each class outside the held-out fold.
 
-    Three quarters of them (by hash) grow the trees, the rest fit the isotonic curve.
+    Two fifths of them (by hash) give the marks, two fifths grow the trees, the rest fit the isotonic curve. Texts over
+    LONGEST characters are not used to learn; every text is scored whole.
     """
     ids = sample_ids(labels, "toxic", per_class, FOLDS, HELD_OUT)
-    rows = materialise(with_features(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text"), ["doc_id", "label"]))
+    rows = materialise(docs.where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 20:
         return ToxicityModel(constant=counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.0)
+    # Marks come from one part of the rows, the trees from another, so that marks look no better than they are.
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5))
+    marks = learn_marks(rows.where(part < 2))
+    rows = materialise(with_features(rows.where(part >= 2), ["doc_id", "label"], marks))
     rows = rows.withColumn("label", F.col("label").cast("double"))
-    grow = F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(4)) != 0
+    grow = part < 4
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.where(grow)).coalesce(4)
     trees = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.3, seed=7, maxBins=32, cacheNodeIds=False).fit(assembled)
-    model = ToxicityModel(trees)
+    model = ToxicityModel(trees, marks=marks)
     held = model.raw(rows.where(~grow)).select("raw", "label")
     model.curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(held)
     return model
@@ -110,7 +162,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) for every row. Null ids are in no held-out fold."""
-    scored = fit_toxicity(docs, labels).score(with_features(docs, ["doc_id"]), ["doc_id"])
+    model = fit_toxicity(docs, labels)
+    scored = model.score(with_features(docs, ["doc_id"], model.marks), ["doc_id"])
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -119,4 +172,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """Documents that score below the threshold, with all their columns, in one pass over the texts."""
     names = docs.columns
     model = fit_toxicity(docs, labels)
-    return model.score(with_features(docs, names), names).where(F.col("score") < threshold).select(*names)
+    return model.score(with_features(docs, names, model.marks), names).where(F.col("score") < threshold).select(*names)
