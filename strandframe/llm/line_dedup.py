@@ -6,11 +6,12 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
 1. Equal lines become one row that knows its first place; counts of equal lines are combined before the shuffle.
 2. Tokens are ordered by rarity: by the corpus-wide count of their hash bucket (a table of fixed size), then by hash.
    Two similar lines must share a token among the first few of each (prefix filter), have similar sizes (length
-   filter), and leave enough tokens behind the shared one (positional filter).
+   filter), and leave enough tokens behind the shared one (positional filter). A 64-bit parity bitmap of each line
+   bounds from below by how many tokens two lines differ, which spares most candidates the verification.
 3. First every line meets only the earliest line of each of its rarest tokens. That costs a few rows for each line and
    settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
 4. Then lines with a shared prefix token meet if one of them is still unsettled. Candidates are verified on the tokens
-   themselves.
+   themselves, for which only the texts of candidate lines are shuffled.
 """
 
 from __future__ import annotations
@@ -20,11 +21,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import materialise
+
 THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus.
 RARITY_BUCKETS = 1 << 17
 #: Tokens of each line by which it first meets one earlier line.
 FIRST_TOKENS = 2
+#: Lines equal to more than this share of all lines are thinned out before the shuffle; they are at most its inverse.
+HOT_SHARE = 1e-4
+#: Sets of line ids up to this size are broadcast to pick lines; beyond it the same join shuffles.
+BROADCAST_IDS = 4_000_000
 
 
 def tokens_of(line: str | Column) -> Column:
@@ -54,33 +61,50 @@ def least_overlap(sizes: Column, threshold: float) -> Column:
     return F.ceil(F.round(sizes * (threshold / (1 + threshold)), 6))
 
 
-def prefixes(lines: DataFrame, rarity: bytes, threshold: float, most: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per prefix token: tok, lid, n (tokens of the line), p (place of the token in rarity order), further columns.
-
-    ``tok`` is a 32-bit hash: it only proposes candidates. ``most`` takes no more than so many tokens of a line.
-    """
+def coded(lines: DataFrame, rarity: bytes) -> DataFrame:
+    """Adds ``codes``, the distinct tokens' codes from rare to common, their number ``n``, and the parity bitmap ``bits``."""
 
     def code(token: Column) -> Column:  # sorts by rarity class, then by the hash
         rank = F.ascii(F.substring(F.lit(rarity), bucket_of(token) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
 
-    coded = lines.select("lid", *also, F.sort_array(F.transform(tokens_of("line"), code)).alias("codes")).withColumn("n", F.size("codes"))
-    length = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)).cast("int") + 1
-    length = length if most is None else F.least(length, F.lit(most))
-    first = coded.select("lid", *also, "n", F.posexplode(F.slice("codes", F.lit(1), length)).alias("p", "code"))
-    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", *also, "n", "p")
+    d = lines.withColumn("codes", F.sort_array(F.transform(tokens_of("line"), code)))
+    powers = F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
+    flip = lambda a, c: a.bitwiseXOR(F.get(powers, c.bitwiseAND(63).cast("int")))
+    return d.withColumn("n", F.size("codes")).withColumn("bits", F.aggregate("codes", F.lit(0).cast("long"), flip))
+
+
+def prefix_length(threshold: float) -> Column:
+    return F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)).cast("int") + 1
+
 
+def exploded(lines: DataFrame, length: Column, *also: str) -> DataFrame:
+    """One row per prefix token: tok (a 32-bit hash that only proposes candidates), p (its place), lid, n, bits."""
+    first = lines.select("lid", *also, "n", "bits", F.posexplode(F.slice("codes", F.lit(1), length)).alias("p", "code"))
+    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", *also, "n", "bits", "p")
 
-def possible(nx: str, px: str, ny: str, py: str, threshold: float) -> Column:
-    """Length filter, and positional filter for one shared token at places px and py."""
-    n, m, p, q = (F.col(c) for c in (nx, ny, px, py))
-    reach = F.least(p, q) + 1 + F.least(n - p, m - q) - 1
-    return (n >= F.round(m * threshold, 6)) & (m >= F.round(n * threshold, 6)) & (reach >= least_overlap(n + m, threshold))
 
+def possible(x: str, y: str, threshold: float) -> Column:
+    """Length filter, positional filter for a shared token, and bitmap filter, for columns n, p, bits with suffixes x and y."""
+    n, m, p, q = (F.col(c) for c in (f"n{x}", f"n{y}", f"p{x}", f"p{y}"))
+    reach = F.least(p, q) + F.least(n - p, m - q)
+    apart = F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}")))
+    need = least_overlap(n + m, threshold)
+    return (n >= F.round(m * threshold, 6)) & (m >= F.round(n * threshold, 6)) & (reach >= need) & (apart <= n + m - 2 * need)
 
-def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+
+def picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """Lines whose id is among the ids (distinct). The ids are broadcast only if a count shows that they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi")
+
+
+def later_of(pairs: DataFrame, lines: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """Of each pair (x, y) of line ids that truly is similar, the later line: column ``lid``, distinct."""
-    side = lines.select("lid", "at", "line")
+    ids = pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
+    text = picked(lines.select("lid", "line"), ids).dropDuplicates(["lid"])
+    place = first.join(ids, "lid", "left_semi")
+    side = text.join(place, "lid")
     x = side.select(F.col("lid").alias("x"), F.col("at").alias("at_x"), F.col("line").alias("line_x"))
     y = side.select(F.col("lid").alias("y"), F.col("at").alias("at_y"), F.col("line").alias("line_y"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "at_x", "at_y", tokens_of("line_x").alias("tx"), tokens_of("line_y").alias("ty"))
@@ -89,71 +113,76 @@ def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     return true.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lid")).distinct()
 
 
-def document_key(id_col: str, text_col: str) -> list[Column]:
-    """Names a document for ordering: null ids last, then id, then text. Rows equal in both are one document here."""
-    return [
-        F.col(id_col).isNull().alias("none"),
-        F.coalesce(F.col(id_col), F.lit(0)).alias("ord"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"),
-    ]
-
-
-KEY = ["none", "ord", "row"]
+def order_key(id_col: str) -> Column:
+    """A document's place in the order: its id, nulls last."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """For each document with kept lines: none, ord, row (its key) and ``kept``, the sorted numbers (from 0) of kept lines."""
-    split = docs.select(*document_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
-    split = split.where(F.col("line").rlike(r"\S"))
+    """For each document with kept lines: ord (its place in the order) and ``kept``, sorted (no, lid) of kept lines."""
+    split = docs.select(order_key(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
+    split = split.where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
     rarity = rarity_table(split)
-    # The first place and one spelling for each distinct line (64-bit identity).
-    lines = split.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct(*KEY, "no")).alias("at"), F.min("line").alias("line"))
-
-    rows = prefixes(lines.select("lid", "at", "line", F.col("at.none").alias("none"), F.col("at.ord").alias("ord")), rarity, threshold, FIRST_TOKENS, ("none", "ord"))
-    order = Window.partitionBy("tok").orderBy("none", "ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rows.select("lid", "n", "p", F.first(F.struct("lid", "n", "p")).over(order).alias("e"))
-    met = met.select("lid", "n", "p", F.col("e.lid").alias("y"), F.col("e.n").alias("m"), F.col("e.p").alias("q"))
-    met = met.where((F.col("lid") != F.col("y")) & possible("n", "p", "m", "q", threshold)).select(F.col("lid").alias("x"), "y").distinct()
-    settled = later_of(met, lines, threshold).withColumn("old", F.lit(True))
-
-    marked = lines.join(settled, "lid", "left").select("lid", "line", F.col("old").isNull().alias("open"))
-    rows = prefixes(marked, rarity, threshold, also=("open",))
-    x, y = (rows.select("tok", *(F.col(c).alias(c + side) for c in ("lid", "n", "p", "open"))) for side in "xy")
-    pairs = x.join(y, "tok").where((F.col("lidx") < F.col("lidy")) & (F.col("openx") | F.col("openy")) & possible("nx", "px", "ny", "py", threshold))
-    pairs = pairs.groupBy(F.col("lidx").alias("x"), F.col("lidy").alias("y")).agg(F.count("*").alias("k"), F.max(F.struct("px", "py", "nx", "ny")).alias("last"))
-    last = {c: F.col(f"last.{c}") for c in ("px", "py", "nx", "ny")}
-    reach = F.col("k") + F.least(last["nx"] - last["px"], last["ny"] - last["py"]) - 1
-    pairs = pairs.where(reach >= least_overlap(last["nx"] + last["ny"], threshold)).select("x", "y")
-    settled = settled.select("lid")
-    gone = settled.union(later_of(pairs, lines, threshold))
-    kept = lines.join(gone, "lid", "left_anti")
-    return kept.select("at.*").groupBy(*KEY).agg(F.sort_array(F.collect_list("no")).alias("kept"))
+    # The first place of each distinct line (64-bit identity): a number that sorts by document, then by line.
+    place = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("no")
+    first = split.groupBy("lid").agg(F.min(place.cast("decimal(38,0)")).alias("at"), F.count("*").alias("copies"))
+    first = materialise(first)
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    hot = first.where(F.col("copies") > max(100, total * HOT_SHARE)).select("lid", "at")  # at most 1 / HOT_SHARE rows
+    first = first.select("lid", "at")
+    own = place.cast("decimal(38,0)")
+    lines = split.join(F.broadcast(hot), "lid", "left").where(F.col("at").isNull() | (F.col("at") == own)).select("lid", "ord", "line")
+    ready = coded(lines, rarity)
+
+    rows = exploded(ready, F.least(prefix_length(threshold), F.lit(FIRST_TOKENS)), "ord")
+    order = Window.partitionBy("tok").orderBy("ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.select(*(F.col(c).alias(c + "_x") for c in ("lid", "n", "p", "bits")), F.first(F.struct("lid", "n", "p", "bits")).over(order).alias("e"))
+    met = met.select("*", *(F.col(f"e.{c}").alias(c + "_y") for c in ("lid", "n", "p", "bits"))).where((F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold))
+    met = materialise(met.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
+    settled = materialise(later_of(met, split, first, threshold))
+
+    # Settled lines are marked on the way to the join, by a set that is broadcast only if it is small.
+    few = settled.count() <= BROADCAST_IDS
+    mark = settled.withColumn("old", F.lit(True))
+    marked = ready.join(F.broadcast(mark) if few else mark, "lid", "left").withColumn("open", F.col("old").isNull())
+    rows = exploded(marked, prefix_length(threshold), "open").repartition("tok").dropDuplicates(["tok", "lid", "p"])
+    x, y = (rows.select("tok", *(F.col(c).alias(c + side) for c in ("lid", "n", "p", "bits", "open"))) for side in ("_x", "_y"))
+    pairs = x.join(y, "tok").where((F.col("lid_x") < F.col("lid_y")) & (F.col("open_x") | F.col("open_y")) & possible("_x", "_y", threshold))
+    pairs = materialise(pairs.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
+    gone = settled.union(later_of(pairs, split, first, threshold))
+    kept = first.join(gone, "lid", "left_anti")
+    base = F.lit(1 << 31).cast("decimal(38,0)")
+    ord_ = F.floor(F.col("at") / base).cast("long")
+    kept = kept.withColumn("ord", ord_).withColumn("no", (F.col("at") - F.col("ord").cast("decimal(38,0)") * base).cast("int"))
+    return kept.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("no", "lid"))).alias("kept"))
+
+
+def line_flags(text: Column) -> Column:
+    """Array of (no, line, keep) of a text's lines, given the column ``kept``; blank lines are kept."""
+    found = lambda i, x: F.coalesce(F.array_contains("kept", F.struct(i.alias("no"), F.xxhash64(x).alias("lid"))), F.lit(False))
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line"), x.rlike(r"\S").alias("full"), found(i, x).alias("keep")))
 
 
 def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers from 0, comma-joined, blank lines left out).
 
-    Blank lines (nothing but white space) are neither compared nor removed. Null and empty texts have one blank line. Rows equal in id and text count as
-    one document and get the same result. Null ids come last in the order. Further columns are not read.
+    Blank lines (nothing but white space) are neither compared nor removed. Null and empty texts have one blank line.
+    Rows of equal id count as one document: a line that they share at one place stays in all of them. Null ids come
+    last in the order. Further columns are not read.
     """
-    none, ord_, row = document_key(id_col, text_col)
-    size = F.col("lines_")
-    counted = docs.select(F.col(id_col).alias("doc_id"), none, ord_, row, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines_"))
-    counted = counted.select("doc_id", *KEY, F.size(size).cast("long").alias("n_lines"), F.size(F.filter(size, lambda x: x.rlike(r"\S"))).cast("long").alias("full"))
-    found = counted.join(kept_lines(docs, id_col, text_col, threshold), KEY, "left")
-    n = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
-    return found.select(
-        "doc_id", "n_lines", (F.col("full") - F.when(F.col("kept").isNull(), 0).otherwise(n)).alias("n_removed"),
-        F.coalesce(F.array_join(F.col("kept").cast("array<string>"), ","), F.lit("")).alias("kept_lines"),
-    )
+    lids = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.when(x.rlike(r"\S"), F.struct(i.alias("no"), F.xxhash64(x).alias("lid"))))
+    counted = docs.select(F.col(id_col).alias("doc_id"), order_key(id_col), lids.alias("all_"))
+    counted = counted.select("doc_id", "ord", F.size("all_").cast("long").alias("n_lines"), F.filter("all_", lambda s: s.isNotNull()).alias("all_"))
+    found = counted.join(kept_lines(docs, id_col, text_col, threshold), "ord", "left")
+    stay = F.array_intersect("all_", F.coalesce("kept", F.array().cast("array<struct<no:int,lid:bigint>>")))
+    return found.select("doc_id", "n_lines", (F.size("all_") - F.size(stay)).cast("long").alias("n_removed"), F.array_join(F.transform(stay, lambda s: s["no"].cast("string")), ",").alias("kept_lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All documents with all their columns; removed lines are gone from the text, blank lines stay. Null texts stay null."""
     names = docs.columns
-    none, ord_, row = document_key(id_col, text_col)
-    keyed = docs.select(F.struct(*names).alias("doc"), none, ord_, row).join(kept_lines(docs, id_col, text_col, threshold), KEY, "left")
-    line = F.split(F.col("doc").getField(text_col), "\n")
-    stays = F.filter(line, lambda x, i: ~x.rlike(r"\S") | F.coalesce(F.array_contains("kept", i), F.lit(False)))
+    keyed = docs.select(F.struct(*names).alias("doc"), order_key(id_col)).join(kept_lines(docs, id_col, text_col, threshold), "ord", "left")
+    flags = line_flags(F.col("doc").getField(text_col))
+    stays = F.transform(F.filter(flags, lambda s: ~s["full"] | s["keep"]), lambda s: s["line"])
     text = F.when(F.col("doc").getField(text_col).isNotNull(), F.array_join(stays, "\n"))
     return keyed.withColumn("text_", text).select(*(F.col("text_").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names))
