@@ -10,14 +10,14 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
    bounds from below by how many tokens two lines differ, which spares most candidates the verification.
 3. First every line meets only the earliest line of each of its rarest tokens. That costs a few rows for each line and
    settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
-4. Then lines with a shared prefix token meet if one of them is still unsettled. Candidates are verified on the tokens
-   themselves, for which only the texts of candidate lines are shuffled.
+4. Then unsettled lines meet all lines before them with which they share a prefix token. Candidates are verified on
+   the tokens themselves, for which only the texts of candidate lines are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +25,13 @@ from .base import materialise
 
 THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus.
-RARITY_BUCKETS = 1 << 17
+RARITY_BUCKETS = 1 << 20
 #: Tokens of each line by which it first meets one earlier line.
 FIRST_TOKENS = 2
+#: 64-bit words of the bitmap by which candidates are sifted before their texts are shuffled; a power of two.
+WORDS = 4
 #: Lines equal to more than this share of all lines are thinned out before the shuffle; they are at most its inverse.
-HOT_SHARE = 1e-4
+HOT_SHARE = 1e-5
 #: Sets of line ids up to this size are broadcast to pick lines; beyond it the same join shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -44,16 +46,22 @@ def bucket_of(token: Column) -> Column:
 
 
 def rarity_table(lines: DataFrame) -> bytes:
-    """For each bucket of token hashes a class from 0 (rare) to 120: four steps for each doubling of the count.
+    """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count.
 
-    Counted over all lines; the driver receives one row per bucket, a fixed number.
+    Counted over all lines. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
     """
     token = lines.select(F.explode(F.split("line", r"\s+")).alias("t"))
-    counts = token.select(bucket_of(F.col("t")).alias("b")).groupBy("b").count().collect()
-    classes = bytearray(RARITY_BUCKETS)
-    for b, n in counts:
-        classes[b] = min(120, 1 + int(4 * math.log2(n)))
-    return bytes(classes)
+    counts = token.select(bucket_of(F.col("t")).alias("b")).groupBy("b").count()
+    step = F.least(F.lit(90), 1 + F.floor(2 * F.log2("count")).cast("int"))
+    mark = lambda v: F.char(v + 32)
+    place = F.col("b").bitwiseAND(4095)
+    coded = F.concat(mark(F.shiftright(place, 6)), mark(place.bitwiseAND(63)), mark(step))
+    packed = counts.groupBy(F.shiftright("b", 12).alias("row")).agg(F.array_join(F.collect_list(coded), "").alias("text")).collect()
+    classes = np.zeros(RARITY_BUCKETS, np.uint8)
+    for row, text in packed:
+        high, low, step = np.frombuffer(text.encode("ascii"), np.uint8).reshape(-1, 3).T.astype(np.int64) - 32
+        classes[row * 4096 + high * 64 + low] = step
+    return classes.tobytes()
 
 
 def least_overlap(sizes: Column, threshold: float) -> Column:
@@ -75,22 +83,34 @@ def coded(lines: DataFrame, rarity: bytes) -> DataFrame:
 
 
 def prefix_length(threshold: float) -> Column:
+    """Tokens by which a line may meet one that is no larger."""
     return F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)).cast("int") + 1
 
 
-def exploded(lines: DataFrame, length: Column, *also: str) -> DataFrame:
-    """One row per prefix token: tok (a 32-bit hash that only proposes candidates), p (its place), lid, n, bits."""
-    first = lines.select("lid", *also, "n", "bits", F.posexplode(F.slice("codes", F.lit(1), length)).alias("p", "code"))
-    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", *also, "n", "bits", "p")
+def index_length(threshold: float) -> Column:
+    """Tokens by which a line may meet one that is no smaller: the two must share more, so that fewer suffice."""
+    return F.col("n") - least_overlap(F.col("n") * 2, threshold).cast("int") + 1
+
+
+def exploded(lines: DataFrame, threshold: float) -> DataFrame:
+    """One row per prefix token: tok (a 32-bit hash that only proposes candidates), p (its place), index (in the shorter
+    prefix too), ord, lid, n, bits. Tokens of a bucket that one token in the corpus uses meet nothing and are left out."""
+    first = lines.select("lid", "ord", "n", "bits", index_length(threshold).alias("i"), F.posexplode(F.slice("codes", F.lit(1), prefix_length(threshold))).alias("p", "code"))
+    first = first.where(F.shiftright("code", 56) > 1)
+    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", "ord", "n", "bits", "p", (F.col("p") < F.col("i")).alias("index"))
 
 
 def possible(x: str, y: str, threshold: float) -> Column:
-    """Length filter, positional filter for a shared token, and bitmap filter, for columns n, p, bits with suffixes x and y."""
+    """Length filter, positional filter for a shared token, and bitmap filter, for columns n, p, bits with suffixes x and y.
+
+    In whole numbers, with the threshold in thousandths rounded down; the verification uses the threshold itself.
+    """
+    t = int(threshold * 1000 + 1e-9)
     n, m, p, q = (F.col(c) for c in (f"n{x}", f"n{y}", f"p{x}", f"p{y}"))
     reach = F.least(p, q) + F.least(n - p, m - q)
     apart = F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}")))
-    need = least_overlap(n + m, threshold)
-    return (n >= F.round(m * threshold, 6)) & (m >= F.round(n * threshold, 6)) & (reach >= need) & (apart <= n + m - 2 * need)
+    need = (n + m) * t  # the least overlap, times 1000 + t
+    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (reach * (1000 + t) >= need) & (need * 2 <= (n + m - apart) * (1000 + t))
 
 
 def picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -99,9 +119,32 @@ def picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi")
 
 
+def bitmap_words(hashes: str) -> list[Column]:
+    """Parity bitmap of 64 * WORDS bits of a column of token hashes, as longs b0, b1, ..."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    of_word = lambda w: F.filter(hashes, lambda c: F.shiftright(c, 6).bitwiseAND(WORDS - 1) == w)
+    return [F.aggregate(of_word(w), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c))).alias(f"b{w}") for w in range(WORDS)]
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
+
+
+def likely(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that a wide bitmap doesn't rule out: it costs a few words for each line where the text costs many."""
+    words = [f"b{w}" for w in range(WORDS)]
+    hashed = picked(lines.select("lid", "line"), ends_of(pairs)).select("lid", F.transform(tokens_of("line"), lambda t: F.xxhash64(t)).alias("h"))
+    side = hashed.select("lid", F.size("h").alias("n"), *bitmap_words("h")).distinct()
+    x, y = (side.select(*(F.col(c).alias(c + s) for c in ("lid", "n", *words))) for s in ("_x", "_y"))
+    both = pairs.join(x, F.col("x") == F.col("lid_x")).join(y, F.col("y") == F.col("lid_y"))
+    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
+    t, total = int(threshold * 1000 + 1e-9), F.col("n_x") + F.col("n_y")
+    return both.where(total * t * 2 <= (total - apart) * (1000 + t)).select("x", "y")
+
+
 def later_of(pairs: DataFrame, lines: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """Of each pair (x, y) of line ids that truly is similar, the later line: column ``lid``, distinct."""
-    ids = pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
+    ids = ends_of(pairs)
     text = picked(lines.select("lid", "line"), ids).dropDuplicates(["lid"])
     place = first.join(ids, "lid", "left_semi")
     side = text.join(place, "lid")
@@ -128,27 +171,33 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = split.groupBy("lid").agg(F.min(place.cast("decimal(38,0)")).alias("at"), F.count("*").alias("copies"))
     first = materialise(first)
     total = first.agg(F.sum("copies")).first()[0] or 0
-    hot = first.where(F.col("copies") > max(100, total * HOT_SHARE)).select("lid", "at")  # at most 1 / HOT_SHARE rows
+    hot = first.where(F.col("copies") > max(8, total * HOT_SHARE)).select("lid", "at")  # at most 1 / HOT_SHARE rows
     first = first.select("lid", "at")
     own = place.cast("decimal(38,0)")
     lines = split.join(F.broadcast(hot), "lid", "left").where(F.col("at").isNull() | (F.col("at") == own)).select("lid", "ord", "line")
     ready = coded(lines, rarity)
 
-    rows = exploded(ready, F.least(prefix_length(threshold), F.lit(FIRST_TOKENS)), "ord")
+    # One shuffle by token serves the first meeting and both joins below; rows are recomputed where a copy is lost.
+    rows = exploded(ready, threshold).repartition("tok").groupBy("tok", "lid", "n", "bits", "p", "index").agg(F.min("ord").alias("ord"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    about = ("lid", "n", "p", "bits")
     order = Window.partitionBy("tok").orderBy("ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rows.select(*(F.col(c).alias(c + "_x") for c in ("lid", "n", "p", "bits")), F.first(F.struct("lid", "n", "p", "bits")).over(order).alias("e"))
-    met = met.select("*", *(F.col(f"e.{c}").alias(c + "_y") for c in ("lid", "n", "p", "bits"))).where((F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold))
+    met = rows.where(F.col("p") < FIRST_TOKENS).select(*(F.col(c).alias(c + "_x") for c in about), F.first(F.struct(*about)).over(order).alias("e"))
+    met = met.select("*", *(F.col(f"e.{c}").alias(c + "_y") for c in about)).where((F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold))
     met = materialise(met.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
     settled = materialise(later_of(met, split, first, threshold))
 
-    # Settled lines are marked on the way to the join, by a set that is broadcast only if it is small.
+    # Settled lines are marked by a set that is broadcast only if it is small. They need not meet any earlier line
+    # again, so only open lines are joined with the lines that may stand before them.
     few = settled.count() <= BROADCAST_IDS
-    mark = settled.withColumn("old", F.lit(True))
-    marked = ready.join(F.broadcast(mark) if few else mark, "lid", "left").withColumn("open", F.col("old").isNull())
-    rows = exploded(marked, prefix_length(threshold), "open").repartition("tok").dropDuplicates(["tok", "lid", "p"])
-    x, y = (rows.select("tok", *(F.col(c).alias(c + side) for c in ("lid", "n", "p", "bits", "open"))) for side in ("_x", "_y"))
-    pairs = x.join(y, "tok").where((F.col("lid_x") < F.col("lid_y")) & (F.col("open_x") | F.col("open_y")) & possible("_x", "_y", threshold))
-    pairs = materialise(pairs.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
+    later, other = (rows.select("tok", *(F.col(c).alias(c + side) for c in (*about, "ord", "index"))) for side in ("_x", "_y"))
+    mark = settled.withColumnRenamed("lid", "lid_x")
+    later = later.join(F.broadcast(mark) if few else mark, "lid_x", "left_anti")
+    shorter = F.when(F.col("n_x") < F.col("n_y"), F.col("index_x")).when(F.col("n_x") > F.col("n_y"), F.col("index_y")).otherwise(F.col("index_x") & F.col("index_y"))
+    meet = (F.col("ord_x") >= F.col("ord_y")) & shorter & (F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold)
+    pairs = materialise(later.join(other, "tok").where(meet).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
+    pairs = materialise(likely(pairs, split, threshold))
+    rows.unpersist()
     gone = settled.union(later_of(pairs, split, first, threshold))
     kept = first.join(gone, "lid", "left_anti")
     base = F.lit(1 << 31).cast("decimal(38,0)")
