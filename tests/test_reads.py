@@ -25,9 +25,9 @@ def fastq(spark, tmp_path, text, name="a.fastq"):
         ("@r\n.\n+\n\x7f\n", ("S002", 0, 2, 3)),
         ("@r\n.\n+\n", ("S004", 0, 4, 7)),
         ("@r\n.\n+\n!!\n", ("S005", 0, 4, 7)),
-        ("@a\nACGT\n+\nIIII\n@b\nAC.X\n+\nIIII\n", ("S002", 1, 2, 21)),
+        ("@a\nACGT\n+\nIIII\n@b\nAC.X\n+\nIIII\n", ("S002", 1, 2, 20)),
         ("@a\nACGT\n+\n!! !\n", ("S006", 0, 4, 12)),
-        ("@a\r\nAC\r\n+\r\nII\r\n@b\r\nA\r\n+\r\nI\r", ("S005", 1, 4, 27)),
+        ("@a\r\nAC\r\n+\r\nII\r\n@b\r\nA\r\n+\r\nI\r", ("S005", 1, 4, 25)),
     ],
 )
 def test_first_failure(spark, tmp_path, text, want):
