@@ -58,7 +58,7 @@ def test_splits_do_not_change_positions(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert [r["off_header"] for r in whole[:2]] == [0, 7]
+    assert [r["off_header"] for r in whole[:2]] == [0, 8]
 
 
 def test_stats(spark):
