@@ -10,7 +10,7 @@ from strandframe.llm.base import table, tokenizer_path
 from strandframe.llm.line_dedup import dedup_lines
 from strandframe.llm.packing import pack
 from strandframe.llm.secret_scan import redact
-from strandframe.llm.simhash import near_dedup
+from strandframe.llm.simhash import dedup_similar
 from strandframe.llm.toxicity import drop_toxic
 
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near_dedup(docs)
+    """One document of each near-duplicate group (five-word shingles, Jaccard 0.8 or more) stays."""
+    return dedup_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Fingerprints that differ in at most three bits agree in whole blocks of bits, so
 one bucket for every choice of such blocks. Within a bucket the 64 bit planes are stored vertically (one 64-bit word
 holds one bit of 64 candidates); a fingerprint is compared with 64 candidates at once by adding planes, three at a
 time, into bitwise carry-save counters. Words whose candidates have all passed the radius are abandoned.
+
+The pipeline's stage links documents by the Jaccard similarity of their shingle sets, of which close fingerprints are
+only a sign. Documents with close fingerprints are verified first. Then all others meet by the rarest shingles of each
+(prefix, length and positional filters, none of which loses a pair), and these candidates are verified too.
 """
 
 from __future__ import annotations
@@ -29,6 +33,24 @@ BUCKET_ROWS = 4096
 CHUNK_ROWS = 1 << 16
 CHUNK_ITEMS = 1 << 15
 CHUNK_HASHES = 1 << 18
+#: The pipeline's stage: least similarity of shingle sets, and buckets of the table that orders shingles by rarity.
+THRESHOLD = 0.8
+RARITY_BUCKETS = 1 << 16
+#: Bits of the parity bitmap by which candidates are sifted before their shingles are compared.
+BITMAP = 1024
+#: Ids up to which a set of documents is broadcast.
+BROADCAST_ROWS = 1 << 17
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each word shingle with repeats; a text of fewer words is one shingle, a text without words has none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if len(words) > shingle:
+        joined = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+        n = len(words) - shingle + 1
+    else:
+        joined, n = iter([b" ".join(words)] if words else []), int(bool(words))
+    return np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64, n)
 
 
 def fingerprint_many(texts: Iterator[str | None], shingle: int = SHINGLE) -> Iterator[int]:
@@ -49,14 +71,8 @@ def fingerprint_many(texts: Iterator[str | None], shingle: int = SHINGLE) -> Ite
         return iter(out.tolist())
 
     for text in texts:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if len(words) > shingle:
-            joined = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-            n = len(words) - shingle + 1
-        else:
-            joined, n = iter([b" ".join(words)] if words else []), int(bool(words))
-        hashes.append(np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64, n))
-        held += n
+        hashes.append(shingle_hashes(text, shingle))
+        held += len(hashes[-1])
         if held >= CHUNK_HASHES:
             yield from flush()
             hashes, held = [], 0
@@ -154,6 +170,18 @@ def near_pairs(fp: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> Iterato
         yield i[j < i], j[j < i]
 
 
+def dealt_cells(keyed: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows of the buckets (equal keys) with two rows or more, partitioned by bucket and cell (i, j).
+
+    Large buckets are cut into groups by the hash of the value; each pair of groups is one cell.
+    """
+    groups = keyed.groupBy(*keys).count().where(F.col("count") > 1).select(*keys, F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("g"))
+    mine = F.pmod(F.xxhash64(value), F.col("g")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, F.col("s")).alias("i"), F.greatest(j, F.col("s")).alias("j")))
+    dealt = keyed.join(groups, keys).withColumn("s", mine).select(*keyed.columns, F.explode(cells).alias("c"))
+    return dealt.select(*keyed.columns, "c.i", "c.j").repartition(*keys, "i", "j")
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints ``fp`` within the radius of each other, directly or in steps.
 
@@ -165,17 +193,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = block_masks(blocks, radius)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)))).alias("x")).select("x.t", "x.k", "fp")
-    groups = keyed.groupBy("t", "k").count().where(F.col("count") > 1).select("t", "k", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("g"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, F.col("s")).alias("i"), F.greatest(j, F.col("s")).alias("j")))
-    dealt = (
-        keyed.join(groups, ["t", "k"])
-        .withColumn("s", mine)
-        .select("t", "k", "fp", F.explode(cells).alias("c"))
-        .select("t", "k", "c.i", "c.j", "fp")
-        .repartition("t", "k", "i", "j")
-        .sortWithinPartitions("t", "k", "i", "j", "fp")
-    )
+    dealt = dealt_cells(keyed, ["t", "k"], "fp").select("t", "k", "i", "j", "fp").sortWithinPartitions("t", "k", "i", "j", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -222,7 +240,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id, with all its columns unchanged.
+    """One document of each group of close fingerprints, the one with the smallest id, with all its columns unchanged.
 
     Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
     """
@@ -235,3 +253,182 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = least.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bitmap of a set of hashes: sets whose bitmaps differ in d bits differ in d elements at least."""
+    at = ((h >> np.uint64(32)) % np.uint64(BITMAP)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITMAP) & 1).astype(np.uint8)).view(np.int64)
+
+
+def with_sets(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
+    """One row per document: its id, __row, fp, sk (identity of its shingle set; 0 where it is empty), n (the set's size)
+    and bits (the set's parity bitmap).
+
+    Rows with null ``sk`` hold in n how many documents of a task have a shingle of bucket __row of the rarity table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY_BUCKETS, np.int64)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(id_col).type
+            texts = batch.column("_text").to_pylist()
+            fp = np.fromiter(fingerprint_many(iter(texts), shingle), np.uint64, len(texts))
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            sk = np.array([xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], np.uint64)
+            if sets:
+                counts += np.bincount((np.concatenate(sets) % np.uint64(RARITY_BUCKETS)).astype(np.int64), minlength=RARITY_BUCKETS)
+            n = pa.array([len(h) for h in sets], pa.int64())
+            bits = pa.array([parity(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("__row"), pa.array(fp.view(np.int64)), pa.array(sk.view(np.int64)), n, bits], names)
+        full = np.flatnonzero(counts)
+        if len(full):
+            none = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), pa.array(full), none, none, pa.array(counts[full]), pa.nulls(len(full), pa.list_(pa.int64()))], names)
+
+    names = [id_col, "__row", "fp", "sk", "n", "bits"]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __row long, fp long, sk long, n long, bits array<long>"
+    return docs.select(id_col, "__row", F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def with_prefix(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarray) -> DataFrame:
+    """One row per prefix shingle of (sk, comp, _text): tok, p (its place in the order), sk, comp, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks, sizes = [], []
+            for text in batch.column("_text").to_pylist():
+                h = np.unique(shingle_hashes(text, shingle))
+                h = h[np.lexsort((h, rarity[(h % np.uint64(RARITY_BUCKETS)).astype(np.int64)]))]
+                toks.append(h[: len(h) - -(-len(h) * per_mille // 1000) + 1])
+                sizes.append(len(h))
+            if not toks:
+                continue
+            held = np.array([len(t) for t in toks])
+            p = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            own = [np.repeat(batch.column(c).to_numpy(), held) for c in ("sk", "comp")]
+            tok = np.concatenate(toks).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok, p, *own, np.repeat(np.array(sizes, np.int64), held))], ["tok", "p", "sk", "comp", "n"])
+
+    return sets.mapInArrow(run, "tok long, p long, sk long, comp long, n long")
+
+
+def met_pairs(run: np.ndarray, n: np.ndarray, p: np.ndarray, comp: np.ndarray, per_mille: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the same run (sorted by n within it) that pass the length and the positional filter and are not yet linked."""
+    i, step = np.arange(len(run)), 0
+    while True:
+        step += 1
+        i = i[i + step < len(run)]
+        j = i + step
+        i = i[(run[j] == run[i]) & (n[j] * per_mille <= n[i] * 1000)]
+        if not len(i):
+            return
+        j = i + step
+        reach = np.minimum(p[i], p[j]) + np.minimum(n[i] - p[i], n[j] - p[j])
+        ok = (comp[i] != comp[j]) & (reach * (1000 + per_mille) >= (n[i] + n[j]) * per_mille)
+        yield i[ok], j[ok]
+
+
+def prefix_pairs(prefixes: DataFrame, per_mille: int) -> DataFrame:
+    """Pairs (x, y) of sets that share a prefix shingle and are in different components so far: all that can be similar."""
+    names = ["tok", "i", "j", "n", "sk", "p", "comp"]
+    dealt = dealt_cells(prefixes, ["tok"], "sk").select(*names).sortWithinPartitions(*names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cell, n, sk, p, comp = rows[:, :3], *rows[:, 3:].T
+            run = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]))
+            x, y, size = [], [], 0
+            for i, j in met_pairs(run, n, p, comp, per_mille):
+                x.append(np.minimum(sk[i], sk[j]))
+                y.append(np.maximum(sk[i], sk[j]))
+                size += len(i)
+                if size >= CHUNK_HASHES:
+                    both = np.unique(np.stack([np.concatenate(x), np.concatenate(y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+                    x, y, size = [], [], 0
+            if size:
+                both = np.unique(np.stack([np.concatenate(x), np.concatenate(y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64))
+            if sum(map(len, held)) >= CHUNK_ROWS:
+                rows = np.concatenate(held)
+                last = int(np.flatnonzero((rows[:, :3] == rows[-1, :3]).all(1))[0])  # the last cell may go on
+                held = [rows[last:]]
+                if last:
+                    yield from flush(rows[:last])
+        if held:
+            yield from flush(np.concatenate(held))
+
+    return dealt.mapInArrow(meet, "x long, y long").distinct()
+
+
+def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sk, comp, _text) of the documents of ``rows`` (__row, sk, comp), one for each set. Few rows, by a count, are broadcast."""
+    few = rows.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(rows) if few else rows, "__row").select("sk", "comp", "_text")
+
+
+def similar(pairs: DataFrame, least: DataFrame, keyed: DataFrame, shingle: int, per_mille: int) -> DataFrame:
+    """Of the pairs (x, y) of set identities those whose shingle sets truly reach the similarity, as links (a, b).
+
+    Bitmaps rule out most pairs, and never one that is similar, before any text is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sk"), pa.array(found, pa.list_(pa.int64()))], ["sk", "h"])
+
+    x, y = (least.select(F.col("sk").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
+    apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, v: a + v)
+    total = F.col("nx") + F.col("ny")
+    pairs = materialise(pairs.join(x, "x").join(y, "y").where((total - apart) * (1000 + per_mille) >= total * 2 * per_mille).select("x", "y"))
+    ends = pairs.select(F.col("x").alias("sk")).union(pairs.select("y")).distinct()
+    rows = materialise(least.join(ends, "sk", "left_semi").select(F.col("least.row").alias("__row"), "sk", F.col("sk").alias("comp")))
+    hashed = texts_of(keyed, rows).select("sk", "_text").dropDuplicates(["sk"]).mapInArrow(run, "sk long, h array<long>")
+    both = pairs.join(hashed.select(F.col("sk").alias("x"), F.col("h").alias("hx")), "x").join(hashed.select(F.col("sk").alias("y"), F.col("h").alias("hy")), "y")
+    shared = F.size(F.array_intersect("hx", "hy")).cast("long")
+    return both.where(shared * (1000 + per_mille) >= (F.size("hx") + F.size("hy")).cast("long") * per_mille).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id, with all its columns unchanged.
+
+    Two documents are linked if the Jaccard similarity of their shingle sets is at least the threshold (in thousandths);
+    a group is all that links join in steps. No such pair is missed. Texts without words are alike.
+    Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
+    """
+    per_mille = round(threshold * 1000)
+    names, row = docs.columns, F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.withColumn("__row", row)
+    marked = materialise(with_sets(keyed, text_col, id_col, shingle))
+    # At most one row per bucket of the rarity table reaches the driver.
+    rarity = np.zeros(RARITY_BUCKETS, np.int64)
+    for r in marked.where("sk is null").groupBy("__row").agg(F.sum("n").alias("n")).collect():
+        rarity[r["__row"]] = r["n"]
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    least = materialise(marked.where("sk is not null").groupBy("sk").agg(first.alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    texts = keyed.select("__row", F.col(text_col).alias("_text"))
+
+    # Documents with close fingerprints meet the first one of their group.
+    roots = connected_components(near_links(least.select("fp").distinct(), radius))
+    rooted = least.select("sk", "fp").join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("sk", F.coalesce("root", "fp").alias("root"))
+    centre = rooted.groupBy("root").agg(F.min("sk").alias("x"))
+    close = rooted.join(centre, "root").where("sk <> x").select("x", F.col("sk").alias("y"))
+    settled = materialise(similar(close, least, texts, shingle, per_mille))
+    # The others meet by their rarest shingles; what is linked already need not meet again.
+    comps = connected_components(settled).select(F.col("v").alias("sk"), "root")
+    open_ = materialise(least.join(comps, "sk", "left").select(F.col("least.row").alias("__row"), "sk", F.coalesce("root", "sk").alias("comp")))
+    prefixes = materialise(with_prefix(texts_of(texts, open_), shingle, per_mille, rarity))
+    links = settled.union(similar(prefix_pairs(prefixes, per_mille), least, texts, shingle, per_mille))
+
+    groups = least.join(connected_components(links).withColumnRenamed("v", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    kept = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)

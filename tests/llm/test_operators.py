@@ -102,6 +102,54 @@ def test_simhash(spark, texts):
     assert simhash.simhash_components(empty(spark)).count() == 0
 
 
+def brute_near(rows, k=5, threshold=0.8):
+    """Ids that stay, and the pairs' similarities, by comparing all shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
+    root, found = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            s = len(a & b) / len(a | b) if a | b else 1.0
+            if s >= threshold:
+                found.append((s, j, i))
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}, found
+
+
+def edited_texts(seed, originals=14, copies=5, lengths=(8, 400)):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(originals):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(*lengths))]
+        for c in range(copies):
+            w = list(words)
+            for _ in range(rng.randrange(0, 2 + len(w) // 40)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w + ["and a passage that very many of these texts have at their end"] * (c % 2)))
+    rng.shuffle(texts)
+    return list(enumerate(texts + ["", None, "short text", "Short  TEXT", "short texts"]))
+
+
+def test_similar_documents_are_all_found(spark):
+    rows = edited_texts(11)
+    want, found = brute_near(rows)
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    assert sum(s < 0.95 and (fps[a] ^ fps[b]).bit_count() > 3 for s, a, b in found) > 20  # three bits lose these
+    d = documents(spark, rows)
+    got = simhash.dedup_similar(d)
+    assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
+def test_similar_documents_deal_out_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 3)
+    rows = edited_texts(12, originals=2, copies=14)
+    assert sorted(r["doc_id"] for r in simhash.dedup_similar(documents(spark, rows)).collect()) == sorted(brute_near(rows)[0])
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 500)]
