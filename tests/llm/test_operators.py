@@ -214,6 +214,20 @@ def test_secrets(spark):
     assert secret_scan.secret_report(empty(spark)).count() == 0
 
 
+def test_secrets_after_an_equals_sign_and_in_lower_case(spark):
+    base64, base32, base36 = "Zk9QmP2vT7xL4wRc8Ns1Yb6H", "q7mzk3xw5vhb2ntc6ygp4rdj", "x8k1vq0zt5m9hw3rb7yd2nfc"
+    secrets = [base64, base32, base36, base36.upper(), base64 + "=="]
+    forms = ["AUTH={}", "a 😀 https://h.example/p?sig={}&x=1", "A_VERY_LONG_VARIABLE_NAME={}", "x={} ", "{}", "k=v={}"]
+    rows = [(len(forms) * i + j, f.format(s)) for i, s in enumerate(secrets) for j, f in enumerate(forms)]
+    text = dict(rows)
+    for r in secret_scan.secret_report(documents(spark, rows)).collect():
+        i, t = r["doc_id"] // len(forms), text[r["doc_id"]]
+        at = t.index(secrets[i])
+        assert r["spans"] == f"random:{at}:{at + len(secrets[i])}", t
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, rows)).collect()}
+    assert all(clean[k] == t.replace(secrets[k // len(forms)], "[SECRET]") for k, t in rows)
+
+
 def test_randomness_battery(spark):
     rng = random.Random(1)
     secret = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(20)]
