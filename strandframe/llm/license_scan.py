@@ -1,9 +1,11 @@
 """License scans in DataFrame operations only: fixed phrases, and an exact set-similarity join with license notices.
 
-A block is a line of a text. A notice is found in a block if the block holds at least the threshold's share of the
-notice's distinct words (containment). The join orders words by their corpus-wide count, rarest first: a block that
-contains enough of a notice must hold one of the notice's first few words (prefix filter), enough words of notices at
-all (length filter), and enough of them from the shared one on (positional filter). What is left is verified.
+A block is a window of a text's words, whatever its lines; windows overlap so far that every run of words with the length
+of the longest notice and a quarter more is inside one of them. A notice is found in a block if the block holds at least
+the threshold's share of the notice's distinct words (containment). The join orders words by their corpus-wide count,
+rarest first: a block that contains enough of a notice must hold one of the notice's first few words (prefix filter),
+enough words of notices at all (length filter), and enough of them from the shared one on, by its places in the ordered
+notice and in the ordered block (positional filter). What is left is verified.
 """
 
 from __future__ import annotations
@@ -61,41 +63,52 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notice_lines.
 
     ``score`` is 1 where a phrase stands, else the greatest containment of a notice that reaches the threshold, else 0.
-    ``notice_lines`` lists line:label of each notice found. Null and empty texts have no words. Repeated rows are
-    scanned as often as they occur; null ids are kept; further columns are not read. A text without line breaks is one
-    block of any length.
+    ``notice_lines`` lists line:label of each notice found; the line is that of the window's first word of a notice. Null
+    and empty texts have no words. Repeated rows are scanned as often as they occur; null ids are kept; further columns
+    are not read.
     """
     sets = [(sorted(set(text.split(" "))), label) for text, label in notices.items()]
     vocabulary = sorted({w for words, _ in sets for w in words})
     need = [-(-int(round(len(words) * threshold * 1000)) // 1000) for words, _ in sets]
-    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_"), whole_text(text_col).alias("text_"))
-    d = d.withColumn("low_", lowered(F.col("text_")))
-    d = d.withColumn("lines_", F.transform(F.split("low_", "\n"), lambda line: F.array_distinct(F.filter(F.split(line, SEPARATORS), lambda w: w.isin(vocabulary)))))
-    # Gate: only texts in which some phrase can stand have their words laid out.
-    gate = F.col("low_").rlike("|".join(p.replace(" ", SEPARATORS) for p in PHRASES))
-    d = d.withColumn("words_", F.when(gate, words_of(F.col("low_"))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("places", F.concat(*(places_of(F.col("words_"), p, label) for p, label in PHRASES.items())))
-    seen = F.transform("lines_", lambda w, i: F.struct(i.alias("line"), w.alias("words")))
-    d = d.select("doc_id", "row_", F.size(F.regexp_extract_all("text_", F.lit(WORD), 0)).cast("long").alias("n_words"), "places", F.filter(seen, lambda b: F.size(b["words"]) >= min(need)).alias("blocks"))
-    d = materialise(d)
     # Counts of the notices' words over all texts order them; the driver gets one row for each of these words.
     every = docs.select(F.explode(F.split(lowered(whole_text(text_col)), SEPARATORS)).alias("w")).where(F.col("w").isin(vocabulary))
     counts = dict(every.groupBy("w").count().collect())
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     rows = []
     for i, (words, label) in enumerate(sets):
-        ranked = sorted(words, key=order.get)
+        ranked = sorted(order[w] for w in words)
         for p, w in enumerate(ranked[: len(words) - need[i] + 1]):
             rows.append((w, i, label, p, len(words), need[i], ranked))
-    index = docs.sparkSession.createDataFrame(rows, "word string, notice int, label string, p int, size int, need int, ranked array<string>")
-    blocks = d.select("row_", F.explode("blocks").alias("b")).select("row_", "b.line", "b.words")
-    blocks = blocks.withColumn("word", F.explode("words"))
+    step = max((-(-len(text.split(" ")) * 5 // 4) for text in notices), default=1)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_"), whole_text(text_col).alias("text_"))
+    d = d.withColumn("low_", lowered(F.col("text_")))
+    d = d.withColumn("all_", words_of(F.col("low_")))
+    # Only texts with one of the notices' first words have windows, only texts in which some phrase can stand have places.
+    first = sorted({w for w in order if order[w] in {r[0] for r in rows}})
+    begins = F.arrays_overlap("all_", F.array(*map(F.lit, first)).cast("array<string>"))
+    gate = F.col("low_").rlike("|".join(p.replace(" ", SEPARATORS) for p in PHRASES))
+    d = d.withColumn("words_", F.when(gate, F.col("all_")).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("places", F.concat(*(places_of(F.col("words_"), p, label) for p, label in PHRASES.items())))
+    d = materialise(d.select("doc_id", "row_", F.size(F.regexp_extract_all("text_", F.lit(WORD), 0)).cast("long").alias("n_words"), "places", F.when(begins, F.col("low_")).alias("low_")))
+    index = docs.sparkSession.createDataFrame(rows, "rank int, notice int, label string, p int, size int, need int, ranked array<int>")
+    # One row per word of a notice: its place, its line and its rank; windows k of two steps begin at every step.
+    ranks = docs.sparkSession.createDataFrame(list(order.items()), "w string, rank int")
+    lines = d.where(F.col("low_").isNotNull()).select("row_", F.split("low_", "\n").alias("lines_"))
+    sizes = F.transform("lines_", words_of)
+    flat = F.flatten(F.transform(sizes, lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("line"), w.alias("w")))))
+    held = lines.select("row_", F.posexplode(flat).alias("at", "x")).select("row_", "at", "x.line", F.col("x.w").alias("w")).join(F.broadcast(ranks), "w")
+    own = F.floor(F.col("at") / step)
+    held = held.withColumn("k", F.explode(F.array(own - 1, own)))
+    # Where a window's words begin tells its line.
+    blocks = held.groupBy("row_", "k").agg(F.min("line").alias("line"), F.array_sort(F.collect_set("rank")).alias("words"))
+    blocks = blocks.where(F.size("words") >= min(need)).select("row_", "line", "words", F.posexplode("words").alias("q", "rank"))
     # At most one row per word of the notices' prefixes is broadcast.
-    met = blocks.join(F.broadcast(index), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))
+    reach = F.least("p", "q") + F.least(F.col("size") - F.col("p"), F.size("words") - F.col("q"))
+    met = blocks.join(F.broadcast(index), "rank").where(reach >= F.col("need"))
     share = F.size(F.array_intersect("words", "ranked"))
     found = met.withColumn("share", share).where(F.col("share") >= F.col("need"))
     found = found.groupBy("row_").agg(F.collect_set(F.struct("line", "label")).alias("found"), F.max(F.col("share") / F.col("size")).alias("most"))
-    d = d.drop("blocks").join(found, "row_", "left")
+    d = d.drop("low_").join(found, "row_", "left")
     base = F.transform("places", lambda x: x["label"])
     more = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
     text = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

@@ -335,6 +335,21 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    want, rows = [], []
+    for i, (notice, label) in enumerate(license_scan.NOTICES.items()):
+        words, filler = notice.split(" "), ["word"] * (7 * i)
+        for mark in ("", "# ", " * ", "// "):
+            wrapped = f"\n{mark}".join(" ".join(words[k : k + 6]) for k in range(0, len(words), 6))
+            rows.append((len(rows), " ".join(filler) + f"\n{mark}\n{mark}" + wrapped + "\n\ntail of the text"))
+            want.append(label)
+    scattered = " ".join(f"{w} " + "filler " * 40 for w in list(license_scan.NOTICES)[5].split(" "))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows + [(-1, scattered)])).collect()}
+    for i, label in enumerate(want):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1, rows[i]
+    assert got[-1]["labels"] == "" and got[-1]["score"] == 0
+
+
 def held_out_accuracy(frame, labels, column):
     rows = frame.join(labels, "doc_id").where("held_out").select("score", "predicted", column).toPandas()
     y = rows[column].to_numpy()
