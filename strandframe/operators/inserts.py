@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the histogram and the hashes.
@@ -14,23 +14,23 @@ BASE_VALUES = {"A": 7, "C": 74, "G": 31, "T": 222}
 OTHER_VALUE = 13
 
 
-def insert_sizes(trimmed: DataFrame) -> DataFrame:
-    """Pairs by insert size; -1 stands for unknown. Needs s1, s2, ov_offset, ov_length of untrimmed reads."""
-    size = F.when(F.col("ov_offset") > 0, F.length("s1") + F.length("s2") - F.col("ov_length")).otherwise(F.col("ov_length"))
+def insert_sizes(trimmed: DataFrame, length1: Column | None = None, length2: Column | None = None) -> DataFrame:
+    """Pairs by insert size; -1 stands for unknown. Needs ov_offset, ov_length and the lengths of the compared mates (of s1 and s2)."""
+    length1, length2 = (F.length("s1"), F.length("s2")) if length1 is None else (length1, length2)
+    size = F.when(F.col("ov_offset") > 0, length1 + length2 - F.col("ov_length")).otherwise(F.col("ov_length"))
     size = F.when(size < LARGEST, size).otherwise(-1)
     return trimmed.groupBy(F.coalesce(size, F.lit(-1)).alias("insert_size")).agg(F.count("*").alias("n_pairs"))
 
 
 def insert_summary(sizes: DataFrame) -> DataFrame:
-    """Known and unknown pairs, the smallest most frequent size, and the median."""
-    known = sizes.where("insert_size >= 0")
-    total = known.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("known"))
-    upto = Window.orderBy("insert_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 512 rows
-    ranked = known.withColumn("upto", F.sum("n_pairs").over(upto)).crossJoin(F.broadcast(total))
-    half = F.col("upto") >= F.col("known") - F.floor(F.col("known") / 2)
-    found = ranked.agg(F.min(F.when(half, F.col("insert_size"))).alias("median"), F.max(F.struct("n_pairs", (-F.col("insert_size")).alias("m"))).alias("peak"))
-    unknown = sizes.agg(F.coalesce(F.sum(F.when(F.col("insert_size") < 0, F.col("n_pairs"))), F.lit(0)).alias("unknown"))
-    return total.crossJoin(unknown).crossJoin(found.select((-F.col("peak.m")).alias("peak"), "median"))
+    """Known and unknown pairs, the smallest most frequent size, and the median: one pass over at most 513 rows of counts."""
+    row = F.struct(F.col("insert_size").cast("long").alias("size"), F.col("n_pairs").alias("n"))
+    all_ = sizes.agg(F.array_sort(F.collect_list(F.when(F.col("insert_size") >= 0, row))).alias("k"), F.coalesce(F.sum(F.when(F.col("insert_size") < 0, F.col("n_pairs"))), F.lit(0)).alias("unknown"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    d = all_.withColumn("known", total(F.col("k"))).withColumn("half", F.col("known") - F.floor(F.col("known") / 2))
+    reached = F.filter(F.transform("k", lambda x, i: F.struct(x["size"].alias("size"), total(F.slice("k", F.lit(1), i + 1)).alias("upto"))), lambda x: x["upto"] >= F.col("half"))
+    peak = F.array_max(F.transform("k", lambda x: F.struct(x["n"].alias("n"), (-x["size"]).alias("m"))))["m"]
+    return d.select("known", "unknown", (-peak).alias("peak"), F.get(reached, F.lit(0))["size"].alias("median"))
 
 
 @cache

@@ -1,16 +1,19 @@
 """Trimming of read pairs: UMI, quality tail, poly-G, mate overlap and adapters. Every trim keeps a prefix.
 
-The first three are expressions. Overlap and adapter searches compare a read with many shifts at once and run as Arrow
-functions over batches of pairs; they need no shuffle.
+The UMI move is an expression. All trims of a pair run as one Arrow stage over batches, in which reads of similar length
+form byte matrices: every rule is worked out for many reads at once, and the optimiser sees the kept lengths as plain
+columns that it can filter without copying the rules. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,9 @@ from ..functions.reads import tag_header
 #: Fixed values of the overlap and adapter rules.
 OVERLAP_LEAST, OVERLAP_COMPARED, OVERLAP_MISMATCHES, OVERLAP_SHARE = 31, 50, 5, 5
 ADAPTER_LEAST, ADAPTER_SHARE = 4, 8
+POLY_G_MISMATCHES = 5
+#: Bytes of a matrix of reads, and comparisons done at once; these only bound memory.
+MATRIX_BYTES, CELLS = 1 << 20, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -44,144 +50,257 @@ def move_umi(pairs: DataFrame, length: int, skip: int = 0, mates: str = "both")
     return pairs.withColumns(new).withColumns(cut)
 
 
-def tail_kept(seq: Column, qual: Column, window: int, quality: int) -> Column:
-    """Bases kept by a sliding window from the 3' end; needs arrays only for reads longer than the window."""
-    n, least = F.length(seq), window * (33 + quality)
-    marks = F.transform(F.split(qual, ""), lambda c: F.ascii(c))
-
-    def passes(e: Column) -> Column:
-        return F.aggregate(F.slice(marks, e - window + 2, F.lit(window)), F.lit(0), lambda a, x: a + x) >= least
-
-    end = F.array_max(F.filter(F.sequence(F.lit(window), n - 1), passes))
-    kept = F.when(n <= window, 0).when(end.isNull(), 1).when(end == n - 1, n).otherwise(end - window + 2)
-    return F.length(F.regexp_replace(F.substring(seq, F.lit(1), kept), "N+$", ""))
+_COMPLEMENT = np.full(256, ord("N"), np.uint8)
+for _a, _b in zip(b"ACGTacgt", b"TGCATGCA"):
+    _COMPLEMENT[_a] = _b
 
 
-def poly_g_kept(seq: Column, least: int) -> Column:
-    """Bases kept when a 3' run of G with few other bases goes."""
-    n, back = F.length(seq), F.reverse(seq)
+class Reads:
+    """Reads as rows of a byte matrix, filled up with zeros, and their lengths."""
 
-    def stops(k: Column) -> Column:
-        other = F.length(F.replace(F.substring(back, F.lit(1), k + 1), F.lit("G"), F.lit("")))
-        return (other > 5) | ((other > F.floor((k + 1) / 8)) & (k + 1 >= least))
+    def __init__(self, at: np.ndarray, n: np.ndarray):
+        self.at, self.n = at, n
 
-    stop = F.when(n > 0, F.array_min(F.filter(F.sequence(F.lit(0), n - 1), stops)))
-    scanned = F.coalesce(stop, n)
-    seen = F.substring(back, F.lit(1), F.coalesce(stop + 1, n))
-    last_g = F.length(seen) - F.instr(F.reverse(seen), "G")
-    return F.when((scanned >= least) & (F.instr(seen, "G") > 0), n - 1 - last_g).otherwise(n)
+    @staticmethod
+    def of(texts: list[str | None]) -> Reads:
+        raw = [(t or "").encode("latin-1", "replace") for t in texts]
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        width = int(n.max(initial=0))
+        joined = b"".join(r.ljust(width, b"\0") for r in raw)
+        return Reads(np.frombuffer(joined, np.uint8).reshape(len(raw), width), n)
 
+    def rows(self, chosen: np.ndarray) -> Reads:
+        return Reads(self.at[chosen], self.n[chosen])
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    def kept(self, n: np.ndarray) -> Reads:
+        """Prefixes of the reads."""
+        width = int(n.max(initial=0))
+        at = self.at[:, :width]
+        return Reads(np.where(np.arange(width) < n[:, None], at, 0).astype(np.uint8), n)
 
+    def reversed(self) -> np.ndarray:
+        """The matrix with every read turned round, still filled up at the end."""
+        from_end = self.n[:, None] - 1 - np.arange(self.at.shape[1])
+        return np.where(from_end >= 0, np.take_along_axis(self.at, np.maximum(from_end, 0), 1), 0).astype(np.uint8)
 
-_COMPLEMENT = np.full(256, ord("N"), np.uint8)
-for _a, _b in zip(b"ACGTacgt", b"TGCATGCA"):
-    _COMPLEMENT[_a] = _b
+    def complement(self) -> Reads:
+        back = self.reversed()
+        return Reads(np.where(back > 0, _COMPLEMENT[back], 0).astype(np.uint8), self.n)
 
 
-def _shifts(text: np.ndarray, other: np.ndarray) -> int:
-    """First shift of ``other`` along ``text`` whose common part agrees well enough, or -1."""
-    count = len(text) - OVERLAP_LEAST + 1
-    width = min(OVERLAP_COMPARED, len(other))
-    if count <= 0 or width == 0:
-        return -1
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(width, np.uint8)]), width)[:count]
-    common = np.minimum(len(text) - np.arange(count), len(other))
-    compared = np.minimum(common, OVERLAP_COMPARED)
-    differ = ((windows != other[:width]) & (np.arange(width) < compared[:, None])).sum(1)
-    good = np.flatnonzero(differ <= np.minimum(OVERLAP_MISMATCHES, common // OVERLAP_SHARE))
-    return int(good[0]) if len(good) else -1
+def groups_of(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers in groups of similar length, so that a group's matrix stays small."""
+    order = np.argsort(n, kind="stable")
+    end = len(order)
+    while end > 0:  # from the longest on: a group's width is its last row's
+        start = max(0, end - max(1, MATRIX_BYTES // max(1, int(n[order[end - 1]]))))
+        yield order[start:end]
+        end = start
 
 
-def find_overlap(first: str, second: str) -> tuple[int, int] | None:
-    """(offset, length) of the overlap of the first mate with the second's reverse complement; a negative offset reaches past its start."""
-    a, b = _codes(first), _COMPLEMENT[_codes(second)][::-1]
-    if (o := _shifts(a, b)) >= 0:
-        return o, min(len(a) - o, len(b))
-    if (o := _shifts(b, a)) >= 0:
-        return -o, min(len(b) - o, len(a))
-    return None
+def tail_kept(reads: Reads, quals: Reads, window: int, quality: int) -> np.ndarray:
+    """Bases kept by a sliding window from the 3' end, without Ns at their end. The window over the first bases is not tried."""
+    n, width = reads.n, reads.at.shape[1]
+    ahead = np.cumsum(quals.at.astype(np.int64), axis=1)
+    ahead = np.concatenate([np.zeros((len(n), 1), np.int64), ahead], axis=1)
+    end = np.arange(window, max(width, window))  # last base of a window
+    good = (ahead[:, end + 1] - ahead[:, end + 1 - window] >= window * (33 + quality)) & (end < n[:, None])
+    last = np.where(good.any(1), window + good.shape[1] - 1 - good[:, ::-1].argmax(1), window - 1) if len(end) else np.full(len(n), window - 1)
+    kept = np.where(n <= window, 0, np.where(last == n - 1, n, last - window + 2))
+    solid = (reads.at != ord("N")) & (np.arange(width) < kept[:, None])
+    return np.where(solid.any(1), width - solid[:, ::-1].argmax(1), 0) if width else kept
 
 
-def _gapped(longer: np.ndarray, other: np.ndarray, longest: int) -> int:
+def poly_g_kept(reads: Reads, least: int) -> np.ndarray:
+    """Bases kept when a 3' run of G with few other bases goes."""
+    n, back = reads.n, reads.reversed()
+    seen = np.arange(1, back.shape[1] + 1)
+    other = np.cumsum(back != ord("G"), axis=1)
+    stops = ((other > POLY_G_MISMATCHES) | ((other > seen // 8) & (seen >= least))) & (seen <= n[:, None])
+    if not stops.shape[1]:
+        return n.copy()
+    scanned = np.where(stops.any(1), stops.argmax(1), n)
+    looked = np.minimum(scanned + 1, n)
+    g = (back == ord("G")) & (seen <= looked[:, None])
+    first = np.where(g.any(1), n - (back.shape[1] - g[:, ::-1].argmax(1)), n)
+    return np.where(scanned >= least, first, n)
+
+
+def _first_good(text: Reads, pattern: np.ndarray, first: int, ends: np.ndarray, least) -> np.ndarray:
+    """For each row the first place from ``first`` to before ``ends`` at which enough of the pattern agrees, or ``first`` - 1.
+
+    ``pattern`` is one row or one for each read; ``least(places, rows)`` says how many bases must agree.
+    """
+    width, rows = pattern.shape[-1], np.arange(len(ends))
+    found = np.full(len(ends), first - 1)
+    start, stop = first, int(ends.max(initial=first))
+    wide = np.zeros((len(ends), text.at.shape[1] - min(first, 0) + width), np.uint8)
+    wide[:, -min(first, 0) : -min(first, 0) + text.at.shape[1]] = text.at
+    while start < stop and len(rows):
+        places = np.arange(start, min(stop, start + max(1, CELLS // max(1, width * len(rows)))))
+        agree = np.zeros((len(rows), len(places)), np.int16)
+        for k in range(width):
+            column = pattern[rows, k][:, None] if pattern.ndim == 2 else pattern[k]
+            at = places[0] + k - min(first, 0)
+            agree += (wide[rows, at : at + len(places)] == column) & (column != 0)
+        good = (agree >= least(places, rows)) & (places < ends[rows, None])
+        hit = good.any(1)
+        found[rows[hit]] = places[good[hit].argmax(1)]
+        rows = rows[~hit]
+        start += len(places)
+        rows = rows[ends[rows] > start]
+    return found
+
+
+def _shifts(text: Reads, other: Reads) -> np.ndarray:
+    """First shift of each other read along its text whose common part agrees well enough, or -1."""
+
+    def least(places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        common = np.minimum(text.n[rows, None] - places, other.n[rows, None])
+        return np.minimum(common, OVERLAP_COMPARED) - np.minimum(OVERLAP_MISMATCHES, common // OVERLAP_SHARE)
+
+    return _first_good(text, other.at[:, :OVERLAP_COMPARED], 0, text.n - OVERLAP_LEAST + 1, least)
+
+
+def find_overlaps(first: Reads, second: Reads) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, length) of each first mate's overlap with the second's reverse complement; a negative offset reaches past
+    its start, a negative length stands for no overlap."""
+    back = second.complement()
+    ahead = _shifts(first, back)
+    offset, length = ahead, np.minimum(first.n - ahead, back.n)
+    rest = np.flatnonzero(ahead < 0)
+    behind = _shifts(back.rows(rest), first.rows(rest))
+    offset[rest] = -behind
+    length[rest] = np.where(behind >= 0, np.minimum(back.n[rest] - behind, first.n[rest]), -1)
+    return offset, length
+
+
+def _gapped(longer: np.ndarray, other: np.ndarray, longest: np.ndarray) -> np.ndarray:
     """Longest prefix of ``other`` that matches ``longer`` with one base of ``longer`` left out; 0 if none is good enough."""
-    if longest < 2:
-        return 0
-    straight = np.cumsum(longer[:longest] != other[:longest])
-    shifted = np.cumsum(longer[1 : longest + 1] != other[:longest])
-    best = np.minimum.accumulate(straight - shifted)[:-1] + shifted[1:]  # the gap lies before the last base
-    length = np.arange(2, longest + 1)
-    good = np.flatnonzero((length >= ADAPTER_SHARE) & (best <= length // ADAPTER_SHARE - 1))
-    return int(length[good[-1]]) if len(good) else 0
-
-
-def adapter_start(read: str, adapter: str) -> int | None:
-    """Where the adapter begins in the read (negative: before it), or null."""
-    r, a = _codes(read), _codes(adapter)
-    n, m = len(r), len(a)
+    width = min(other.shape[1], longer.shape[1] - 1)
+    if width < 2:
+        return np.zeros(len(longest), np.int64)
+    straight = np.cumsum(longer[:, :width] != other[:, :width], axis=1)
+    shifted = np.cumsum(longer[:, 1 : width + 1] != other[:, :width], axis=1)
+    best = np.minimum.accumulate(straight - shifted, axis=1)[:, :-1] + shifted[:, 1:]  # the gap lies before the last base
+    size = np.arange(2, width + 1)
+    good = (size >= ADAPTER_SHARE) & (best <= size // ADAPTER_SHARE - 1) & (size <= longest[:, None])
+    return np.where(good.any(1), width - good[:, ::-1].argmax(1), 0)
+
+
+def adapter_starts(reads: Reads, adapter: str) -> np.ndarray:
+    """Where the adapter begins in each read (negative: before it); NONE where it is not found."""
+    a = np.frombuffer(adapter.encode("ascii"), np.uint8)
+    n, m = reads.n, len(a)
     first = -4 if m >= 16 else -3 if m >= 12 else -2 if m >= 8 else 0
-    at = np.arange(first, n - ADAPTER_LEAST)
-    if len(at):
-        padded = np.concatenate([np.zeros(-first, np.uint8), r, np.zeros(m, np.uint8)])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, m)[: len(at)]
-        compared = np.minimum(n - at, m)
-        good = np.flatnonzero((windows == a).sum(1) >= compared - np.maximum(-at, 0) - compared // ADAPTER_SHARE)
-        if len(good):
-            return int(at[good[0]])
-    if n > ADAPTER_LEAST + 1:
-        longest = min(n - 1, m)
-        if length := _gapped(r, a, longest):
-            return 0 if length == longest else n - 1 - length
-    if n > ADAPTER_LEAST:
-        longest = min(n, m - 1)
-        if length := _gapped(a, r, longest):
-            return 0 if length == longest else n - length
-    return None
+
+    def least(places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        compared = np.minimum(n[rows, None] - places, m)
+        return compared - np.maximum(-places, 0) - compared // ADAPTER_SHARE
+
+    start = _first_good(reads, a, first, n - ADAPTER_LEAST, least)
+    found = np.where(start >= first, start, NONE)
+    head = np.zeros((len(n), m + 2), np.uint8)  # a gap is searched from the read's start
+    head[:, : reads.at.shape[1]] = reads.at[:, : m + 2]
+    pattern = np.broadcast_to(a, (len(n), m))
+    for longer, other, longest, enough in ((head, pattern, np.minimum(n - 1, m), n > ADAPTER_LEAST + 1), (pattern, head, np.minimum(n, m - 1), n > ADAPTER_LEAST)):
+        size = _gapped(longer, other, longest)
+        place = np.where(size == longest, 0, (n - 1 if other is pattern else n) - size)
+        found = np.where((found == NONE) & enough & (size > 0), place, found)
+    return found
+
+
+#: Stands for an adapter that is not found; no place is as small.
+NONE = -1000
+
+
+def trim_reads(seqs: tuple[Reads, Reads], quals: tuple[Reads, Reads], o: Trim) -> dict[str, np.ndarray]:
+    """The columns of ``trim_pairs`` for one group of pairs; a negative ov_length stands for no overlap."""
+    n = [s.n for s in seqs]
+    out: dict[str, np.ndarray] = {}
+    tail = [tail_kept(s, q, o.tail_window, o.tail_quality) if o.tail_window else s.n for s, q in zip(seqs, quals)]
+    go = (tail[0] > 0) & (tail[1] > 0) if o.tail_window else np.ones(len(n[0]), bool)
+    poly = [np.where(go, poly_g_kept(s.kept(t), o.poly_g), t) if o.poly_g else t for s, t in zip(seqs, tail)]
+    offset, length = np.zeros(len(go), np.int64), np.full(len(go), -1)
+    adapters = (o.adapter1, o.adapter2)
+    reads = [s.kept(p) for s, p in zip(seqs, poly)]
+    if o.adapter1:
+        rows = np.flatnonzero(go)
+        offset[rows], length[rows] = find_overlaps(reads[0].rows(rows), reads[1].rows(rows))
+    inside = (length >= 0) & (offset < 0)
+    for k in (0, 1):
+        start = np.full(len(go), NONE)
+        if adapters[k]:
+            rows = np.flatnonzero(go & ~inside)
+            start[rows] = adapter_starts(reads[k].rows(rows), adapters[k])
+        at = start != NONE
+        kept = np.where(inside, np.minimum(poly[k], length), np.where(at, np.maximum(start, 0), poly[k]))
+        gone = poly[k] - kept
+        matched = np.where(at & (start < 0), len(adapters[k] or "") + start, gone)
+        values = {"kept": kept, "tail": n[k] - tail[k], "polyg": tail[k] - poly[k], "cut": inside | at, "overlap": np.where(inside, gone, 0), "adapter": np.where(inside, 0, gone), "cutbases": np.where(inside, gone, np.where(at, matched, 0))}
+        out |= {f"{c}{k + 1}": v for c, v in values.items()}
+    return out | {"ov_offset": offset, "ov_length": length}
+
+
+def by_groups(columns: list[list[str | None]], work) -> dict[str, np.ndarray]:
+    """Runs ``work`` on groups of rows of similar length, given as Reads, and puts the results in the rows' order."""
+    sizes = np.array([max((len(t or "") for t in row), default=0) for row in zip(*columns)], np.int64)
+    out: dict[str, np.ndarray] = {}
+    for rows in groups_of(sizes):
+        for name, values in work(*(Reads.of([c[i] for i in rows.tolist()]) for c in columns)).items():
+            out.setdefault(name, np.zeros(len(sizes), values.dtype))[rows] = values
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField("ov_offset", T.IntegerType()), T.StructField("ov_length", T.IntegerType())]))
 def mate_overlap(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    found = [find_overlap(a, b) or (None, None) for a, b in zip(first, second)]
-    return pd.DataFrame(found, columns=["ov_offset", "ov_length"], dtype="Int64")
+    found = by_groups([list(first), list(second)], lambda a, b: dict(zip(("ov_offset", "ov_length"), find_overlaps(a, b))))
+    frame = pd.DataFrame(found, columns=["ov_offset", "ov_length"], dtype="Int64")
+    return frame.mask(frame["ov_length"] < 0)
+
+
+def adapter_places(adapter: str):
+    """A function of a read's column: where the adapter begins, or null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def places(read: pd.Series) -> pd.Series:
+        found = pd.Series(by_groups([list(read)], lambda r: {"at": adapter_starts(r, adapter)}).get("at", []), dtype="Int64")
+        return found.mask(found == NONE)
+
+    return places
 
 
-@F.pandas_udf(T.IntegerType())
-def adapter_places(read: pd.Series, adapter: pd.Series) -> pd.Series:
-    return pd.Series([adapter_start(r, a) for r, a in zip(read, adapter)], dtype="Int64")
+COUNTED = ["kept", "tail", "polyg", "cut", "overlap", "adapter", "cutbases"]
 
 
 def trim_pairs(pairs: DataFrame, o: Trim) -> DataFrame:
     """Adds kept1, kept2 (prefix lengths), removed bases of each step and mate, the overlap, cut flags and adapter bases.
 
-    If the quality tail leaves either mate empty, the later steps do nothing.
+    If the quality tail leaves either mate empty, the later steps do nothing. Mates are compared, and cut where they
+    overlap, only if adapters are given. Null mates count as empty. Columns of the results' names are replaced.
     """
-    d = pairs
-    for k in (1, 2):
-        n = F.length(f"s{k}")
-        tail = tail_kept(F.col(f"s{k}"), F.col(f"q{k}"), o.tail_window, o.tail_quality) if o.tail_window else n
-        d = d.withColumn(f"t{k}", tail).withColumn(f"tail{k}", n - F.col(f"t{k}"))
-    go = (F.col("t1") > 0) & (F.col("t2") > 0)
-    for k in (1, 2):
-        seq = F.substring(F.col(f"s{k}"), F.lit(1), F.col(f"t{k}"))
-        kept = F.when(go, poly_g_kept(seq, o.poly_g)).otherwise(F.col(f"t{k}")) if o.poly_g else F.col(f"t{k}")
-        d = d.withColumn(f"g{k}", kept).withColumn(f"polyg{k}", F.col(f"t{k}") - F.col(f"g{k}"))
-        d = d.withColumn(f"r{k}", F.substring(F.col(f"s{k}"), F.lit(1), F.col(f"g{k}")))
-    d = d.withColumn("ov", mate_overlap("r1", "r2")).withColumn("ov_offset", F.when(go, F.col("ov.ov_offset"))).withColumn("ov_length", F.when(go, F.col("ov.ov_length")))
-    inside = F.coalesce(F.col("ov_offset") < 0, F.lit(False))
-    for k, adapter in ((1, o.adapter1), (2, o.adapter2)):
-        place = adapter_places(F.col(f"r{k}"), F.lit(adapter)) if adapter else F.lit(None).cast("int")
-        d = d.withColumn(f"a{k}", place)
-        d = d.withColumn(f"a{k}", F.when(go & ~inside, F.col(f"a{k}")))
-        by_overlap = F.least(F.col(f"g{k}"), F.col("ov_length"))
-        kept = F.when(inside, by_overlap).when(F.col(f"a{k}").isNotNull(), F.greatest(F.col(f"a{k}"), F.lit(0))).otherwise(F.col(f"g{k}"))
-        d = d.withColumn(f"kept{k}", kept).withColumn(f"cut{k}", inside | F.col(f"a{k}").isNotNull())
-        gone = F.col(f"g{k}") - F.col(f"kept{k}")
-        d = d.withColumn(f"overlap{k}", F.when(inside, gone).otherwise(0)).withColumn(f"adapter{k}", F.when(inside, 0).otherwise(gone))
-        matched = F.when(F.col(f"a{k}") < 0, F.lit(len(adapter or "")) + F.col(f"a{k}")).otherwise(gone)
-        d = d.withColumn(f"cutbases{k}", F.when(F.col(f"cut{k}"), F.when(inside, gone).otherwise(matched)).otherwise(0))
-    return d.drop("t1", "t2", "g1", "g2", "r1", "r2", "ov", "a1", "a2")
+    made = [f"{c}{k}" for k in (1, 2) for c in COUNTED] + ["ov_offset", "ov_length"]
+    pairs = pairs.drop(*made)
+    if not (o.tail_window or o.poly_g or o.adapter1):
+        size = {f"kept{k}": F.coalesce(F.length(f"s{k}"), F.lit(0)) for k in (1, 2)}
+        none = {c: F.lit(False) if c[:3] == "cut" and len(c) == 4 else F.lit(None).cast("int") if c[:2] == "ov" else F.lit(0) for c in made if c not in size}
+        return pairs.withColumns(size | none)
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(c).to_pylist() for c in ("s1", "s2", "q1", "q2")]
+            found = by_groups(texts, lambda a, b, p, q: trim_reads((a, b), (p, q), o))
+            lost = found["ov_length"] < 0 if found else np.zeros(0, bool)
+            columns = []
+            for c in made:
+                values = found.get(c, np.zeros(0, np.int64))
+                kind = pa.bool_() if c[:3] == "cut" and len(c) == 4 else pa.int32()
+                columns.append(pa.array(values, kind, mask=lost if c[:2] == "ov" else None))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *made])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in pairs.schema] + [T.StructField(c, T.BooleanType() if c[:3] == "cut" and len(c) == 4 else T.IntegerType()) for c in made])
+    return pairs.mapInArrow(run, schema)
 
 
 def cut(pairs: DataFrame) -> DataFrame:

@@ -42,7 +42,10 @@ class Options:
 
 
 class Run:
-    """Results of a run as DataFrames: ``pairs`` (raw), ``decided`` (trimmed, with reasons), ``retained``."""
+    """Results of a run as DataFrames: ``pairs`` (raw), ``decided`` (trimmed, with reasons), ``retained``.
+
+    ``decided`` is kept until ``close``; a run is a context manager that closes itself.
+    """
 
     def __init__(self, pairs: DataFrame, options: Options):
         options.check()
@@ -55,9 +58,26 @@ class Run:
         self.decided = filters.decide(transform.cut(transform.trim_pairs(moved, options.trim)), options.filter).persist(StorageLevel.MEMORY_AND_DISK)
         self.retained = self.decided.where(F.col("reason_pair").isNull())
 
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.decided.unpersist()
+
     def insert_sizes(self) -> DataFrame:
-        sized = self.decided.select((F.col("kept1") + sum(F.col(f"{c}1") for c in ("polyg", "overlap", "adapter", "tail"))).alias("n1"), (F.col("kept2") + sum(F.col(f"{c}2") for c in ("polyg", "overlap", "adapter", "tail"))).alias("n2"), "ov_offset", "ov_length")
-        return inserts.insert_sizes(sized.select(F.expr("repeat('N', n1)").alias("s1"), F.expr("repeat('N', n2)").alias("s2"), "ov_offset", "ov_length"))
+        """Pairs by insert size, from the mates' lengths after the quality tail and poly-G; without adapters there are none."""
+        if not self.options.trim.adapter1:
+            return self.decided.limit(0).select(F.lit(-1).alias("insert_size"), F.lit(0).cast("long").alias("n_pairs"))
+        if self.options.trim.tail_window:  # a pair with an emptied mate isn't compared
+            compared = (F.col("n1") > F.col("tail1")) & (F.col("n2") > F.col("tail2"))
+        else:
+            compared = F.lit(True)
+        steps = ("overlap", "adapter")
+        sized = self.decided.select(*((F.col(f"kept{k}") + sum(F.col(f"{c}{k}") for c in steps)).alias(f"length{k}") for k in (1, 2)), *((F.col(f"kept{k}") + sum(F.col(f"{c}{k}") for c in (*steps, "polyg", "tail"))).alias(f"n{k}") for k in (1, 2)), "tail1", "tail2", "ov_offset", "ov_length")
+        return inserts.insert_sizes(sized.where(compared), F.col("length1"), F.col("length2"))
 
     def report(self) -> dict:
         """Options, totals before and after, steps, reasons, inserts and duplication; only small frames reach the driver."""

@@ -320,14 +320,18 @@ def poly_g_sql(seq: str, least: int) -> str:
     return f"(case when coalesce({stop}, {n}) >= {least} and instr({seen}, 'G') > 0 then {n} - 1 - {last} else {n} end)"
 
 
+def kept_by(spark: SparkSession, d: str, o: transform.Trim) -> DataFrame:
+    return transform.trim_pairs(derive.pairs(spark, d), o).select("idx", *(F.col(c).cast("long").alias(c) for c in ("kept1", "kept2")))
+
+
 @query(f"select idx, {tail_sql('s1', 'q1', 4, 20)} kept1, {tail_sql('s2', 'q2', 4, 20)} kept2 from {PAIRS}")
 def trim_quality_tail(spark, d):
-    return derive.pairs(spark, d).select("idx", *(transform.tail_kept(F.col(f"s{k}"), F.col(f"q{k}"), 4, 20).cast("long").alias(f"kept{k}") for k in (1, 2)))
+    return kept_by(spark, d, transform.Trim(tail_window=4, tail_quality=20))
 
 
 @query(f"select idx, {poly_g_sql('s1', 10)} kept1, {poly_g_sql('s2', 10)} kept2 from {PAIRS}")
 def trim_poly_g(spark, d):
-    return derive.pairs(spark, d).select("idx", *(transform.poly_g_kept(F.col(f"s{k}"), 10).cast("long").alias(f"kept{k}") for k in (1, 2)))
+    return kept_by(spark, d, transform.Trim(poly_g=10))
 
 
 def shift_sql(a: str, b: str) -> str:
@@ -369,11 +373,13 @@ def insert_summary(spark, d):
     return inserts.insert_summary(insert_sizes(spark, d))
 
 
-@query(f"""select idx, ov_offset < 0 trims, case when ov_offset < 0 then least(length(s1), ov_length) else length(s1) end kept1,
-    case when ov_offset < 0 then least(length(s2), ov_length) else length(s2) end kept2 from {overlap_sql(PAIRS)} where ov_offset is not null""")
+@query(f"""select idx, ov_offset < 0 trims, case when ov_offset < 0 then least(length(s1), ov_length) end kept1,
+    case when ov_offset < 0 then least(length(s2), ov_length) end kept2 from {overlap_sql(PAIRS)} where ov_offset is not null""")
 def trim_overlap(spark, d):
-    t = transform.trim_pairs(derive.pairs(spark, d), transform.Trim())
-    return t.where("ov_offset is not null").select("idx", (F.col("ov_offset") < 0).alias("trims"), F.col("kept1").cast("long").alias("kept1"), F.col("kept2").cast("long").alias("kept2"))
+    """What the overlap alone keeps of each mate; it is looked for only where adapters are given."""
+    t = transform.trim_pairs(derive.pairs(spark, d), transform.Trim(adapter1=derive.ADAPTER_1, adapter2=derive.ADAPTER_2)).where("ov_offset is not null")
+    trims = F.col("ov_offset") < 0
+    return t.select("idx", trims.alias("trims"), *(F.when(trims, F.col(c)).cast("long").alias(c) for c in ("kept1", "kept2")))
 
 
 def place_sql(read: str, adapter: str) -> str:
@@ -406,7 +412,7 @@ def adapter_sql(read: str, adapter: str) -> str:
 
 @query(f"select idx, {adapter_sql('s1', derive.ADAPTER_1)} place1, {adapter_sql('s2', derive.ADAPTER_2)} place2 from {PAIRS}")
 def trim_adapter(spark, d):
-    place = lambda k, a: transform.adapter_places(F.col(f"s{k}"), F.lit(a)).cast("long").alias(f"place{k}")
+    place = lambda k, a: transform.adapter_places(a)(F.col(f"s{k}")).cast("long").alias(f"place{k}")
     return derive.pairs(spark, d).select("idx", place(1, derive.ADAPTER_1), place(2, derive.ADAPTER_2))
 
 
