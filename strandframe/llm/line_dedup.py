@@ -1,57 +1,61 @@
 """Corpus-wide line deduplication as an exact set-similarity join, in DataFrame operations only.
 
-A line is a set of white-space separated tokens. It goes if an earlier line (by document id, then place) has a Jaccard
+A line is a set of white-space separated tokens. It goes if an earlier line (by document, then place) has a Jaccard
 similarity of at least the threshold; equal lines are the simplest case. Steps:
 
-1. Equal lines become one row that knows its first place; counts of equal lines are combined before the shuffle.
-2. Tokens are ordered by rarity: by the corpus-wide count of their hash bucket (a table of fixed size), then by hash.
-   Two similar lines must share a token among the first few of each (prefix filter), have similar sizes (length
-   filter), and leave enough tokens behind the shared one (positional filter). A 64-bit parity bitmap of each line
-   bounds from below by how many tokens two lines differ, which spares most candidates the verification.
-3. First every line meets only the earliest line of each of its rarest tokens. That costs a few rows for each line and
-   settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
-4. Then unsettled lines meet all lines before them with which they share a prefix token. Candidates are verified on
-   the tokens themselves, for which only the texts of candidate lines are shuffled.
+1. Tokens are counted over the whole corpus in a table of fixed size, by the bucket of their hash: the order of rarity.
+2. Equal lines become one row that knows its first place (grouped by the line itself). The row gets the line's rarest
+   tokens in that order: two similar lines share a token among the first few of each (prefix filter). It also gets the
+   size of the token set and a parity bitmap, which bounds from below by how many tokens two lines differ. This table
+   is written once; the later steps read the columns they need.
+3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token. That settles almost
+   all lines of large groups of near copies, whose pairs therefore are never enumerated.
+4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens: the longer of the
+   two by its whole prefix, the shorter by the part that suffices then. Length, positional and bitmap filters sift the
+   pairs, and those left are verified on the tokens themselves.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise
+from .base import among, materialise, order_of, stored
 
 THRESHOLD = 0.8
-#: Buckets of the rarity table, whatever the size of the corpus.
-RARITY_BUCKETS = 1 << 20
-#: Tokens of each line by which it first meets one earlier line.
-FIRST_TOKENS = 2
-#: 64-bit words of the bitmap by which candidates are sifted before their texts are shuffled; a power of two.
-WORDS = 4
-#: Lines equal to more than this share of all lines are thinned out before the shuffle; they are at most its inverse.
-HOT_SHARE = 1e-5
-#: Sets of line ids up to this size are broadcast to pick lines; beyond it the same join shuffles.
-BROADCAST_IDS = 4_000_000
+#: Buckets of the rarity table, whatever the size of the corpus; a power of two.
+RARITY_BUCKETS = 1 << 18
+#: By how many of its tokens each line first meets others, and how many lines it meets by each.
+FIRST_TOKENS, FIRST_LINES = 3, 4
+#: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
+LONG_LINE = 64
+OTHER_SPACE = r"[\t\x0b\f\r]"
+
+
+def split_tokens(text: Column) -> Column:
+    """The white-space separated parts of a text, empty ones among them. White space other than blanks is rare in lines."""
+    return F.split(F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, r"\s", " ")).otherwise(text), " ")
 
 
 def tokens_of(line: str | Column) -> Column:
     """The distinct tokens of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, r"\s+")), "")
+    return F.array_remove(F.array_distinct(split_tokens(F.col(line) if isinstance(line, str) else line)), "")
 
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(RARITY_BUCKETS)).cast("int")
+def bucket_of(token_hash: Column) -> Column:
+    return token_hash.bitwiseAND(RARITY_BUCKETS - 1).cast("int")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count.
+def rarity_table(docs: DataFrame, text_col: str) -> str:
+    """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count; comma-joined.
 
-    Counted over all lines. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
+    Counted over all texts. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
     """
-    token = lines.select(F.explode(F.split("line", r"\s+")).alias("t"))
-    counts = token.select(bucket_of(F.col("t")).alias("b")).groupBy("b").count()
+    token = docs.select(F.explode(split_tokens(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("t"))
+    counts = token.select(bucket_of(F.xxhash64("t")).alias("b")).groupBy("b").count()
     step = F.least(F.lit(90), 1 + F.floor(2 * F.log2("count")).cast("int"))
     mark = lambda v: F.char(v + 32)
     place = F.col("b").bitwiseAND(4095)
@@ -61,7 +65,7 @@ def rarity_table(lines: DataFrame) -> bytes:
     for row, text in packed:
         high, low, step = np.frombuffer(text.encode("ascii"), np.uint8).reshape(-1, 3).T.astype(np.int64) - 32
         classes[row * 4096 + high * 64 + low] = step
-    return classes.tobytes()
+    return ",".join(map(str, classes.tolist()))
 
 
 def least_overlap(sizes: Column, threshold: float) -> Column:
@@ -69,169 +73,173 @@ def least_overlap(sizes: Column, threshold: float) -> Column:
     return F.ceil(F.round(sizes * (threshold / (1 + threshold)), 6))
 
 
-def coded(lines: DataFrame, rarity: bytes) -> DataFrame:
-    """Adds ``codes``, the distinct tokens' codes from rare to common, their number ``n``, and the parity bitmap ``bits``."""
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per distinct line that isn't blank: ``line`` and ``at``, its first place as one number that sorts by
+    document, then by a hash of its text (which tells rows of one id apart), then by line."""
+    keyed = docs.select(*doc_key(docs, id_col, text_col), F.col(text_col).alias("text_")).select(place_of(F.col("ord"), F.col("tie")).alias("base_"), F.posexplode(F.split("text_", "\n")).alias("no", "line"))
+    return keyed.where(F.col("line").rlike(r"\S")).groupBy("line").agg(F.min((F.col("base_") + F.col("no")).cast("decimal(38,0)")).alias("at"))
+
+
+def doc_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """ord and tie of each row. A null id is replaced by a hash of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(order_of(docs, id_col), F.xxhash64(text)).alias("ord"), F.hash(text).alias("tie")]
+
+
+#: Line numbers of a document, and keys of one id: the parts of a line's place below the id.
+_LINES, _BELOW = 1 << 31, Decimal(1 << 63)
+
+
+def place_of(ord_: Column, tie: Column) -> Column:
+    """A number of 126 bits that sorts by ord, then by tie, with room for a line number."""
+    below = (tie.cast("long") + (1 << 31)) * _LINES
+    return (ord_.cast("decimal(19,0)") * F.lit(_BELOW) + below.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """ord, tie and no out of ``at``."""
+    ord_ = F.floor(F.col("at") / F.lit(_BELOW)).cast("long")
+    d = lines.withColumn("ord", ord_).withColumn("rest_", (F.col("at") - F.col("ord").cast("decimal(19,0)") * F.lit(_BELOW)).cast("long"))
+    return d.withColumn("tie", (F.shiftrightunsigned("rest_", 31) - (1 << 31)).cast("int")).withColumn("no", F.col("rest_").bitwiseAND(_LINES - 1).cast("int")).drop("rest_", "at")
+
+
+def coded(lines: DataFrame, rarity: str, threshold: float) -> DataFrame:
+    """Adds n (distinct tokens), w0 and w1 (the parity bitmap), and prefix (codes of the rarest tokens, rare ones first)."""
 
-    def code(token: Column) -> Column:  # sorts by rarity class, then by the hash
-        rank = F.ascii(F.substring(F.lit(rarity), bucket_of(token) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(token), 8))
+    def code(h: Column) -> Column:  # sorts by rarity class, then by the hash
+        rank = F.get(F.split(F.lit(rarity), ",").cast("array<int>"), bucket_of(h))  # the array is folded into one constant
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    d = lines.withColumn("codes", F.sort_array(F.transform(tokens_of("line"), code)))
-    powers = F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
-    flip = lambda a, c: a.bitwiseXOR(F.get(powers, c.bitwiseAND(63).cast("int")))
-    return d.withColumn("n", F.size("codes")).withColumn("bits", F.aggregate("codes", F.lit(0).cast("long"), flip))
+    def flip(acc: Column, h: Column) -> Column:
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))
 
+    zero = F.lit(0).cast("long")
+    hashes = F.array_distinct(F.array_remove(F.transform(split_tokens(F.col("line")), lambda t: F.xxhash64(t)), F.xxhash64(F.lit(""))))
+    d = lines.withColumn("h_", hashes).withColumn("n", F.size("h_"))
+    d = d.withColumn("all_", F.aggregate("h_", zero, flip))
+    second = F.when(F.col("n") > LONG_LINE, F.aggregate(F.filter("h_", lambda h: h.bitwiseAND(64) != 0), zero, flip)).otherwise(zero)
+    d = d.withColumn("w1", second).withColumn("w0", F.col("all_").bitwiseXOR(F.col("w1")))
+    d = d.withColumn("codes_", F.sort_array(F.transform("h_", code)))
+    return d.withColumn("prefix", F.slice("codes_", F.lit(1), prefix_length(F.col("n"), threshold))).drop("h_", "all_", "codes_")
 
-def prefix_length(threshold: float) -> Column:
+
+def prefix_length(n: Column, threshold: float) -> Column:
     """Tokens by which a line may meet one that is no larger."""
-    return F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)).cast("int") + 1
+    return n - F.ceil(F.round(n * threshold, 6)).cast("int") + 1
 
 
-def index_length(threshold: float) -> Column:
+def index_length(n: Column, threshold: float) -> Column:
     """Tokens by which a line may meet one that is no smaller: the two must share more, so that fewer suffice."""
-    return F.col("n") - least_overlap(F.col("n") * 2, threshold).cast("int") + 1
+    return n - least_overlap(n * 2, threshold).cast("int") + 1
+
 
+ABOUT = ["lid", "ord", "n", "p", "w0", "w1"]
 
-def exploded(lines: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix token: tok (a 32-bit hash that only proposes candidates), p (its place), index (in the shorter
-    prefix too), ord, lid, n, bits. Tokens of a bucket that one token in the corpus uses meet nothing and are left out."""
-    first = lines.select("lid", "ord", "n", "bits", index_length(threshold).alias("i"), F.posexplode(F.slice("codes", F.lit(1), prefix_length(threshold))).alias("p", "code"))
-    first = first.where(F.shiftright("code", 56) > 1)
-    return first.select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("tok"), "lid", "ord", "n", "bits", "p", (F.col("p") < F.col("i")).alias("index"))
+
+def prefix_rows(lines: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """One row per prefix token (the rarest ``most`` only): tok, p (its place), index (in the shorter prefix too), and what the filters need of the
+    line. Tokens of a bucket that one token in the corpus uses meet nothing and are left out."""
+    own = ["lid", "ord", "n", "w0", "w1"]
+    rows = lines.select(*own, index_length(F.col("n"), threshold).alias("i_"), F.posexplode("prefix" if most is None else F.slice("prefix", 1, most)).alias("p", "tok"))
+    return rows.where(F.shiftright("tok", 56) > 1).select("tok", *ABOUT, (F.col("p") < F.col("i_")).alias("index"))
 
 
 def possible(x: str, y: str, threshold: float) -> Column:
-    """Length filter, positional filter for a shared token, and bitmap filter, for columns n, p, bits with suffixes x and y.
+    """Length filter, positional filter for a shared token, and bitmap filter, for columns with suffixes x and y.
 
     In whole numbers, with the threshold in thousandths rounded down; the verification uses the threshold itself.
     """
     t = int(threshold * 1000 + 1e-9)
     n, m, p, q = (F.col(c) for c in (f"n{x}", f"n{y}", f"p{x}", f"p{y}"))
     reach = F.least(p, q) + F.least(n - p, m - q)
-    apart = F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}")))
+    x0, x1, y0, y1 = (F.col(c) for c in (f"w0{x}", f"w1{x}", f"w0{y}", f"w1{y}"))
+    wide = F.bit_count(x0.bitwiseXOR(y0)) + F.bit_count(x1.bitwiseXOR(y1))
+    narrow = F.bit_count(x0.bitwiseXOR(x1).bitwiseXOR(y0).bitwiseXOR(y1))
+    apart = F.when((n > LONG_LINE) & (m > LONG_LINE), wide).otherwise(narrow)
     need = (n + m) * t  # the least overlap, times 1000 + t
     return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (reach * (1000 + t) >= need) & (need * 2 <= (n + m - apart) * (1000 + t))
 
 
-def picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Lines whose id is among the ids (distinct). The ids are broadcast only if a count shows that they are few."""
-    few = ids.count() <= BROADCAST_IDS
-    return lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi")
-
-
-def bitmap_words(hashes: str) -> list[Column]:
-    """Parity bitmap of 64 * WORDS bits of a column of token hashes, as longs b0, b1, ..."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
-    of_word = lambda w: F.filter(hashes, lambda c: F.shiftright(c, 6).bitwiseAND(WORDS - 1) == w)
-    return [F.aggregate(of_word(w), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c))).alias(f"b{w}") for w in range(WORDS)]
-
-
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
+def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Of each pair (x, y) of line ids that truly is similar, the later line: column ``lid``, distinct.
 
-
-def likely(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that a wide bitmap doesn't rule out: it costs a few words for each line where the text costs many."""
-    words = [f"b{w}" for w in range(WORDS)]
-    hashed = picked(lines.select("lid", "line"), ends_of(pairs)).select("lid", F.transform(tokens_of("line"), lambda t: F.xxhash64(t)).alias("h"))
-    side = hashed.select("lid", F.size("h").alias("n"), *bitmap_words("h")).distinct()
-    x, y = (side.select(*(F.col(c).alias(c + s) for c in ("lid", "n", *words))) for s in ("_x", "_y"))
+    Only the texts of lines in pairs are shuffled.
+    """
+    ids = materialise(pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct())
+    text = among(lines.select("lid", F.struct("ord", "tie", "no").alias("at"), "line"), ids, "lid")
+    x, y = (text.select(*(F.col(c).alias(f"{c}_{side}") for c in text.columns)) for side in "xy")
     both = pairs.join(x, F.col("x") == F.col("lid_x")).join(y, F.col("y") == F.col("lid_y"))
-    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
-    t, total = int(threshold * 1000 + 1e-9), F.col("n_x") + F.col("n_y")
-    return both.where(total * t * 2 <= (total - apart) * (1000 + t)).select("x", "y")
+    both = both.select("x", "y", (F.col("at_x") < F.col("at_y")).alias("first"), tokens_of("line_x").alias("tx"), tokens_of("line_y").alias("ty"))
+    true = both.where(F.size(F.array_intersect("tx", "ty")) >= least_overlap(F.size("tx") + F.size("ty"), threshold))
+    return true.select(F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("lid")).distinct()
+
 
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("tok", *(F.col(c).alias(c + side) for c in rows.columns if c != "tok"))
 
-def later_of(pairs: DataFrame, lines: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """Of each pair (x, y) of line ids that truly is similar, the later line: column ``lid``, distinct."""
-    ids = ends_of(pairs)
-    text = picked(lines.select("lid", "line"), ids).dropDuplicates(["lid"])
-    place = first.join(ids, "lid", "left_semi")
-    side = text.join(place, "lid")
-    x = side.select(F.col("lid").alias("x"), F.col("at").alias("at_x"), F.col("line").alias("line_x"))
-    y = side.select(F.col("lid").alias("y"), F.col("at").alias("at_y"), F.col("line").alias("line_y"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", "at_x", "at_y", tokens_of("line_x").alias("tx"), tokens_of("line_y").alias("ty"))
-    shared = F.size(F.array_intersect("tx", "ty"))
-    true = both.where(shared >= least_overlap(F.size("tx") + F.size("ty"), threshold))
-    return true.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lid")).distinct()
 
+def first_pairs(lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of lines with a few of the earliest lines that share one of their rarest tokens.
 
-def order_key(id_col: str) -> Column:
-    """A document's place in the order: its id, nulls last."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord")
+    The earliest lines are aggregates, combined before they are shuffled: a token that very many lines hold is nowhere
+    gathered, and the join that follows has a few rows for each token on one side.
+    """
+    rare = prefix_rows(lines, threshold, FIRST_TOKENS).drop("index")
+    of_least = lambda c: F.min_by(c, "ord").alias(c) if c != "ord" else F.min("ord").alias("ord")
+    first = rare.groupBy("tok", F.col("lid").bitwiseAND(FIRST_LINES - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
+    met = sided(rare, "_x").join(sided(first, "_y"), "tok")
+    return met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & possible("_x", "_y", threshold)).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct()
+
+
+def open_pairs(rows: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that can be similar and of which the later line may be open."""
+    marked = among(rows, settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("settled", F.col("settled").isNotNull())
+    longer = sided(marked.where(~F.col("settled")).drop("settled"), "_x")
+    other = sided(marked.where(F.col("settled") | F.col("index")), "_y")
+    n, m = F.col("n_x"), F.col("n_y")
+    # Of two open lines the one with more tokens is x. A settled line is y, whatever its size, and the earlier one.
+    among_open = (n > m) | ((n == m) & (F.col("lid_x") > F.col("lid_y")) & F.col("index_x"))
+    before = (F.col("ord_x") >= F.col("ord_y")) & ((n >= m) | F.col("index_x")) & ((n <= m) | F.col("index_y"))
+    meet = (F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold) & F.when(F.col("settled_y"), before).otherwise(among_open)
+    return longer.join(other, "tok").where(meet).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct()
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """For each document with kept lines: ord (its place in the order) and ``kept``, sorted (no, lid) of kept lines."""
-    split = docs.select(order_key(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
-    split = split.where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
-    rarity = rarity_table(split)
-    # The first place of each distinct line (64-bit identity): a number that sorts by document, then by line.
-    place = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("no")
-    first = split.groupBy("lid").agg(F.min(place.cast("decimal(38,0)")).alias("at"), F.count("*").alias("copies"))
-    first = materialise(first)
-    total = first.agg(F.sum("copies")).first()[0] or 0
-    hot = first.where(F.col("copies") > max(8, total * HOT_SHARE)).select("lid", "at")  # at most 1 / HOT_SHARE rows
-    first = first.select("lid", "at")
-    own = place.cast("decimal(38,0)")
-    lines = split.join(F.broadcast(hot), "lid", "left").where(F.col("at").isNull() | (F.col("at") == own)).select("lid", "ord", "line")
-    ready = coded(lines, rarity)
-
-    # One shuffle by token serves the first meeting and both joins below; rows are recomputed where a copy is lost.
-    rows = exploded(ready, threshold).repartition("tok").groupBy("tok", "lid", "n", "bits", "p", "index").agg(F.min("ord").alias("ord"))
-    rows = rows.persist(StorageLevel.DISK_ONLY)
-    about = ("lid", "n", "p", "bits")
-    order = Window.partitionBy("tok").orderBy("ord", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rows.where(F.col("p") < FIRST_TOKENS).select(*(F.col(c).alias(c + "_x") for c in about), F.first(F.struct(*about)).over(order).alias("e"))
-    met = met.select("*", *(F.col(f"e.{c}").alias(c + "_y") for c in about)).where((F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold))
-    met = materialise(met.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
-    settled = materialise(later_of(met, split, first, threshold))
-
-    # Settled lines are marked by a set that is broadcast only if it is small. They need not meet any earlier line
-    # again, so only open lines are joined with the lines that may stand before them.
-    few = settled.count() <= BROADCAST_IDS
-    later, other = (rows.select("tok", *(F.col(c).alias(c + side) for c in (*about, "ord", "index"))) for side in ("_x", "_y"))
-    mark = settled.withColumnRenamed("lid", "lid_x")
-    later = later.join(F.broadcast(mark) if few else mark, "lid_x", "left_anti")
-    shorter = F.when(F.col("n_x") < F.col("n_y"), F.col("index_x")).when(F.col("n_x") > F.col("n_y"), F.col("index_y")).otherwise(F.col("index_x") & F.col("index_y"))
-    meet = (F.col("ord_x") >= F.col("ord_y")) & shorter & (F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold)
-    pairs = materialise(later.join(other, "tok").where(meet).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct())
-    pairs = materialise(likely(pairs, split, threshold))
-    rows.unpersist()
-    gone = settled.union(later_of(pairs, split, first, threshold))
-    kept = first.join(gone, "lid", "left_anti")
-    base = F.lit(1 << 31).cast("decimal(38,0)")
-    ord_ = F.floor(F.col("at") / base).cast("long")
-    kept = kept.withColumn("ord", ord_).withColumn("no", (F.col("at") - F.col("ord").cast("decimal(38,0)") * base).cast("int"))
-    return kept.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("no", "lid"))).alias("kept"))
-
-
-def line_flags(text: Column) -> Column:
-    """Array of (no, line, keep) of a text's lines, given the column ``kept``; blank lines are kept."""
-    found = lambda i, x: F.coalesce(F.array_contains("kept", F.struct(i.alias("no"), F.xxhash64(x).alias("lid"))), F.lit(False))
-    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line"), x.rlike(r"\S").alias("full"), found(i, x).alias("keep")))
+    """For each document with kept lines: ord and tie (its key) and ``kept``, the numbers of its kept lines."""
+    rarity = rarity_table(docs, text_col)
+    lines = coded(placed(distinct_lines(docs, id_col, text_col)), rarity, threshold).withColumn("lid", F.monotonically_increasing_id())
+    lines = stored(lines)
+    settled = materialise(later_of(materialise(first_pairs(lines, threshold)), lines, threshold))
+    more = later_of(materialise(open_pairs(prefix_rows(lines, threshold), settled, threshold)), lines, threshold)
+    gone = materialise(settled.union(more).distinct())
+    kept = among(lines.select("lid", "ord", "tie", "no"), gone, "lid", "left_anti")
+    return kept.groupBy("ord", "tie").agg(F.collect_list("no").alias("kept"))
 
 
 def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers from 0, comma-joined, blank lines left out).
 
     Blank lines (nothing but white space) are neither compared nor removed. Null and empty texts have one blank line.
-    Rows of equal id count as one document: a line that they share at one place stays in all of them. Null ids come
-    last in the order. Further columns are not read.
+    Rows of equal id come in the order of a hash of their texts; rows equal in id and text count as one document. A row
+    without an id has a hash of its text for an id. Further columns are not read. An empty table gives no rows.
     """
-    lids = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.when(x.rlike(r"\S"), F.struct(i.alias("no"), F.xxhash64(x).alias("lid"))))
-    counted = docs.select(F.col(id_col).alias("doc_id"), order_key(id_col), lids.alias("all_"))
-    counted = counted.select("doc_id", "ord", F.size("all_").cast("long").alias("n_lines"), F.filter("all_", lambda s: s.isNotNull()).alias("all_"))
-    found = counted.join(kept_lines(docs, id_col, text_col, threshold), "ord", "left")
-    stay = F.array_intersect("all_", F.coalesce("kept", F.array().cast("array<struct<no:int,lid:bigint>>")))
-    return found.select("doc_id", "n_lines", (F.size("all_") - F.size(stay)).cast("long").alias("n_removed"), F.array_join(F.transform(stay, lambda s: s["no"].cast("string")), ",").alias("kept_lines"))
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    counted = docs.select(F.col(id_col).alias("doc_id"), *doc_key(docs, id_col, text_col), F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).alias("full_"))
+    found = counted.join(kept_lines(docs, id_col, text_col, threshold), ["ord", "tie"], "left")
+    stay = F.coalesce("kept", F.array().cast("array<int>"))
+    return found.select("doc_id", "n_lines", (F.col("full_") - F.size(stay)).cast("long").alias("n_removed"), F.array_join(F.sort_array(stay).cast("array<string>"), ",").alias("kept_lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All documents with all their columns; removed lines are gone from the text, blank lines stay. Null texts stay null."""
+    """All documents with all their columns; removed lines are gone from the text, blank lines stay. Null texts stay null.
+
+    Ties, repeated rows and rows without an id are treated as in ``line_dedup_report``; columns may have any names.
+    """
     names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("doc"), order_key(id_col)).join(kept_lines(docs, id_col, text_col, threshold), "ord", "left")
-    flags = line_flags(F.col("doc").getField(text_col))
-    stays = F.transform(F.filter(flags, lambda s: ~s["full"] | s["keep"]), lambda s: s["line"])
-    text = F.when(F.col("doc").getField(text_col).isNotNull(), F.array_join(stays, "\n"))
-    return keyed.withColumn("text_", text).select(*(F.col("text_").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names))
+    keyed = docs.select(F.struct(*names).alias("doc"), *doc_key(docs, id_col, text_col)).join(kept_lines(docs, id_col, text_col, threshold), ["ord", "tie"], "left")
+    text = F.col("doc").getField(text_col)
+    keyed = keyed.withColumn("lines_", F.split(text, "\n"))
+    blank = F.filter(F.transform("lines_", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    keyed = keyed.withColumn("stay_", F.sort_array(F.array_distinct(F.concat(blank, F.coalesce("kept", F.array().cast("array<int>"))))))
+    joined = F.when(text.isNotNull(), F.array_join(F.transform("stay_", lambda i: F.get("lines_", i)), "\n"))
+    return keyed.withColumn("text_", joined).select(*(F.col("text_").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names))
