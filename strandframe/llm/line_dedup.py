@@ -8,8 +8,9 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
    tokens in that order: two similar lines share a token among the first few of each (prefix filter). It also gets the
    size of the token set and a parity bitmap, which bounds from below by how many tokens two lines differ. This table
    is written once; the later steps read the columns they need.
-3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token. That settles almost
-   all lines of large groups of near copies, whose pairs therefore are never enumerated.
+3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token, and is compared with
+   the most alike of them. Open lines then do so by all those prefix tokens that are rare tokens of many lines. That
+   settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
 4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens: the longer of the
    two by its whole prefix, the shorter by the part that suffices then. Length, positional and bitmap filters sift the
    pairs, and those left are verified on the tokens themselves.
@@ -29,7 +30,9 @@ THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus; a power of two.
 RARITY_BUCKETS = 1 << 18
 #: By how many of its tokens each line first meets others, and how many lines it meets by each.
-FIRST_TOKENS, FIRST_LINES = 3, 4
+FIRST_TOKENS, FIRST_LINES = 2, 4
+#: A token that so many lines have among their first ones is busy; by each busy token open lines meet so many lines.
+BUSY, BUSY_LINES = 16, 16
 #: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
 LONG_LINE = 64
 OTHER_SPACE = r"[\t\x0b\f\r]"
@@ -52,9 +55,11 @@ def bucket_of(token_hash: Column) -> Column:
 def rarity_table(docs: DataFrame, text_col: str) -> str:
     """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count; comma-joined.
 
-    Counted over all texts. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
+    Counted over all texts; parts at line ends and tabs are told apart, other white space is not, which only blurs the
+    order. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
     """
-    token = docs.select(F.explode(split_tokens(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("t"))
+    blanks = F.replace(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    token = docs.select(F.explode(F.split(blanks, " ")).alias("t"))
     counts = token.select(bucket_of(F.xxhash64("t")).alias("b")).groupBy("b").count()
     step = F.least(F.lit(90), 1 + F.floor(2 * F.log2("count")).cast("int"))
     mark = lambda v: F.char(v + 32)
@@ -133,31 +138,49 @@ def index_length(n: Column, threshold: float) -> Column:
     return n - least_overlap(n * 2, threshold).cast("int") + 1
 
 
-ABOUT = ["lid", "ord", "n", "p", "w0", "w1"]
+#: What a prefix row knows of its line, and of the token's place in it: ``np`` holds the size, the place and whether the
+#: place is in the shorter prefix, so that a row stays short.
+ABOUT = ["lid", "ord", "np", "w0", "w1"]
 
 
 def prefix_rows(lines: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
-    """One row per prefix token (the rarest ``most`` only): tok, p (its place), index (in the shorter prefix too), and what the filters need of the
-    line. Tokens of a bucket that one token in the corpus uses meet nothing and are left out."""
+    """One row per prefix token (the rarest ``most`` only): tok and ABOUT. Tokens of a bucket that one token in the corpus
+    uses meet nothing and are left out."""
     own = ["lid", "ord", "n", "w0", "w1"]
     rows = lines.select(*own, index_length(F.col("n"), threshold).alias("i_"), F.posexplode("prefix" if most is None else F.slice("prefix", 1, most)).alias("p", "tok"))
-    return rows.where(F.shiftright("tok", 56) > 1).select("tok", *ABOUT, (F.col("p") < F.col("i_")).alias("index"))
+    packed = F.col("n").cast("long") * (1 << 32) + F.col("p").cast("long") * 2 + (F.col("p") < F.col("i_")).cast("long")
+    return rows.where(F.shiftright("tok", 56) > 1).select("tok", "lid", "ord", packed.alias("np"), "w0", "w1")
+
+
+def size_of(np: str) -> Column:
+    return F.shiftright(np, 32)
+
+
+def in_index(np: str) -> Column:
+    return F.col(np).bitwiseAND(1) == 1
+
+
+def apart(x: str, y: str) -> Column:
+    """By how many tokens two lines differ at least, for columns with suffixes x and y."""
+    x0, x1, y0, y1 = (F.col(c) for c in (f"w0{x}", f"w1{x}", f"w0{y}", f"w1{y}"))
+    wide = F.bit_count(x0.bitwiseXOR(y0)) + F.bit_count(x1.bitwiseXOR(y1))
+    narrow = F.bit_count(x0.bitwiseXOR(x1).bitwiseXOR(y0).bitwiseXOR(y1))
+    return F.when((size_of(f"np{x}") > LONG_LINE) & (size_of(f"np{y}") > LONG_LINE), wide).otherwise(narrow)
 
 
 def possible(x: str, y: str, threshold: float) -> Column:
-    """Length filter, positional filter for a shared token, and bitmap filter, for columns with suffixes x and y.
+    """Length filter, positional filter and bitmap filter for a shared token, for columns with suffixes x and y.
 
+    The positional filter takes the token for the first that the lines share, so that only the tokens from it on count:
+    a pair passes at its first shared token, if it can be similar at all, and may fail at its other ones.
     In whole numbers, with the threshold in thousandths rounded down; the verification uses the threshold itself.
     """
     t = int(threshold * 1000 + 1e-9)
-    n, m, p, q = (F.col(c) for c in (f"n{x}", f"n{y}", f"p{x}", f"p{y}"))
-    reach = F.least(p, q) + F.least(n - p, m - q)
-    x0, x1, y0, y1 = (F.col(c) for c in (f"w0{x}", f"w1{x}", f"w0{y}", f"w1{y}"))
-    wide = F.bit_count(x0.bitwiseXOR(y0)) + F.bit_count(x1.bitwiseXOR(y1))
-    narrow = F.bit_count(x0.bitwiseXOR(x1).bitwiseXOR(y0).bitwiseXOR(y1))
-    apart = F.when((n > LONG_LINE) & (m > LONG_LINE), wide).otherwise(narrow)
+    n, m = size_of(f"np{x}"), size_of(f"np{y}")
+    p, q = (F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 1) for c in (f"np{x}", f"np{y}"))
+    reach = F.least(n - p, m - q)
     need = (n + m) * t  # the least overlap, times 1000 + t
-    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (reach * (1000 + t) >= need) & (need * 2 <= (n + m - apart) * (1000 + t))
+    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (reach * (1000 + t) >= need) & (need * 2 <= (n + m - apart(x, y)) * (1000 + t))
 
 
 def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -178,28 +201,39 @@ def sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("tok", *(F.col(c).alias(c + side) for c in rows.columns if c != "tok"))
 
 
-def first_pairs(lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of lines with a few of the earliest lines that share one of their rarest tokens.
+def first_pairs(rows: DataFrame, later: DataFrame, lines: int, threshold: float) -> DataFrame:
+    """For each line x of ``later`` the most alike of a few of the earliest lines that share one of its tokens, as pairs (x, y).
 
     The earliest lines are aggregates, combined before they are shuffled: a token that very many lines hold is nowhere
-    gathered, and the join that follows has a few rows for each token on one side.
+    gathered, and the join that follows has a few rows for each token on one side. There is one pair for a line at most.
     """
-    rare = prefix_rows(lines, threshold, FIRST_TOKENS).drop("index")
     of_least = lambda c: F.min_by(c, "ord").alias(c) if c != "ord" else F.min("ord").alias("ord")
-    first = rare.groupBy("tok", F.col("lid").bitwiseAND(FIRST_LINES - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
-    met = sided(rare, "_x").join(sided(first, "_y"), "tok")
-    return met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & possible("_x", "_y", threshold)).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct()
+    first = rows.groupBy("tok", F.col("lid").bitwiseAND(lines - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
+    met = sided(later, "_x").join(sided(first, "_y"), "tok")
+    met = met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & possible("_x", "_y", threshold))
+    return met.groupBy(F.col("lid_x").alias("x")).agg(F.min_by("lid_y", apart("_x", "_y")).alias("y"))
+
+
+def settled_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """Lines that are similar to an earlier one which they meet in two rounds: by each line's rarest tokens, then by all
+    prefix tokens that are among the rarest tokens of many lines. What the rounds miss stays open."""
+    rare = prefix_rows(lines, threshold, FIRST_TOKENS)
+    settled = materialise(later_of(materialise(first_pairs(rare, rare, FIRST_LINES, threshold)), lines, threshold))
+    busy = materialise(rare.groupBy("tok").count().where(F.col("count") >= BUSY).select("tok"))
+    rows = materialise(among(prefix_rows(lines, threshold), busy, "tok"))
+    more = materialise(first_pairs(rows, among(rows, settled, "lid", "left_anti"), BUSY_LINES, threshold))
+    return materialise(settled.union(later_of(more, lines, threshold)).distinct())
 
 
 def open_pairs(rows: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
     """All pairs that can be similar and of which the later line may be open."""
     marked = among(rows, settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("settled", F.col("settled").isNotNull())
     longer = sided(marked.where(~F.col("settled")).drop("settled"), "_x")
-    other = sided(marked.where(F.col("settled") | F.col("index")), "_y")
-    n, m = F.col("n_x"), F.col("n_y")
+    other = sided(marked.where(F.col("settled") | in_index("np")), "_y")
+    n, m = size_of("np_x"), size_of("np_y")
     # Of two open lines the one with more tokens is x. A settled line is y, whatever its size, and the earlier one.
-    among_open = (n > m) | ((n == m) & (F.col("lid_x") > F.col("lid_y")) & F.col("index_x"))
-    before = (F.col("ord_x") >= F.col("ord_y")) & ((n >= m) | F.col("index_x")) & ((n <= m) | F.col("index_y"))
+    among_open = (n > m) | ((n == m) & (F.col("lid_x") > F.col("lid_y")) & in_index("np_x"))
+    before = (F.col("ord_x") >= F.col("ord_y")) & ((n >= m) | in_index("np_x")) & ((n <= m) | in_index("np_y"))
     meet = (F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold) & F.when(F.col("settled_y"), before).otherwise(among_open)
     return longer.join(other, "tok").where(meet).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct()
 
@@ -209,7 +243,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rarity = rarity_table(docs, text_col)
     lines = coded(placed(distinct_lines(docs, id_col, text_col)), rarity, threshold).withColumn("lid", F.monotonically_increasing_id())
     lines = stored(lines)
-    settled = materialise(later_of(materialise(first_pairs(lines, threshold)), lines, threshold))
+    settled = settled_lines(lines, threshold)
     more = later_of(materialise(open_pairs(prefix_rows(lines, threshold), settled, threshold)), lines, threshold)
     gone = materialise(settled.union(more).distinct())
     kept = among(lines.select("lid", "ord", "tie", "no"), gone, "lid", "left_anti")
