@@ -9,7 +9,7 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
    size of the token set and a parity bitmap, which bounds from below by how many tokens two lines differ. This table
    is written once; the later steps read the columns they need.
 3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token, and is compared with
-   the most alike of them. Open lines then do so by all those prefix tokens that are rare tokens of many lines. That
+   the few most alike of them. Open lines then do so by all those prefix tokens that are rare tokens of many lines. That
    settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
 4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens: the longer of the
    two by its whole prefix, the shorter by the part that suffices then. Length, positional and bitmap filters sift the
@@ -19,6 +19,7 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,11 @@ RARITY_BUCKETS = 1 << 18
 #: By how many of its tokens each line first meets others, and how many lines it meets by each.
 FIRST_TOKENS, FIRST_LINES = 2, 4
 #: A token that so many lines have among their first ones is busy; by each busy token open lines meet so many lines.
-BUSY, BUSY_LINES = 16, 16
+BUSY, BUSY_LINES = 8, 16
+#: With how many of the lines that it meets so, the most alike ones by their bitmaps, a line is compared.
+ALIKE = 3
+#: In how many turns, by token, open lines meet: each turn's shuffle files go before the next begins.
+TURNS = 2
 #: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
 LONG_LINE = 64
 OTHER_SPACE = r"[\t\x0b\f\r]"
@@ -168,19 +173,23 @@ def apart(x: str, y: str) -> Column:
     return F.when((size_of(f"np{x}") > LONG_LINE) & (size_of(f"np{y}") > LONG_LINE), wide).otherwise(narrow)
 
 
-def possible(x: str, y: str, threshold: float) -> Column:
-    """Length filter, positional filter and bitmap filter for a shared token, for columns with suffixes x and y.
+def alike(x: str, y: str, threshold: float) -> Column:
+    """Length filter and bitmap filter, for columns with suffixes x and y.
 
-    The positional filter takes the token for the first that the lines share, so that only the tokens from it on count:
-    a pair passes at its first shared token, if it can be similar at all, and may fail at its other ones.
     In whole numbers, with the threshold in thousandths rounded down; the verification uses the threshold itself.
     """
     t = int(threshold * 1000 + 1e-9)
     n, m = size_of(f"np{x}"), size_of(f"np{y}")
+    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & ((n + m) * (2 * t) <= (n + m - apart(x, y)) * (1000 + t))
+
+
+def in_reach(x: str, y: str, threshold: float) -> Column:
+    """Positional filter for a shared token. It takes the token for the first that the lines share, so that only the
+    tokens from it on count: a pair passes at its first shared token, if it can be similar at all, and may fail at others."""
+    t = int(threshold * 1000 + 1e-9)
+    n, m = size_of(f"np{x}"), size_of(f"np{y}")
     p, q = (F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 1) for c in (f"np{x}", f"np{y}"))
-    reach = F.least(n - p, m - q)
-    need = (n + m) * t  # the least overlap, times 1000 + t
-    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (reach * (1000 + t) >= need) & (need * 2 <= (n + m - apart(x, y)) * (1000 + t))
+    return F.least(n - p, m - q) * (1000 + t) >= (n + m) * t
 
 
 def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -202,16 +211,17 @@ def sided(rows: DataFrame, side: str) -> DataFrame:
 
 
 def first_pairs(rows: DataFrame, later: DataFrame, lines: int, threshold: float) -> DataFrame:
-    """For each line x of ``later`` the most alike of a few of the earliest lines that share one of its tokens, as pairs (x, y).
+    """For each line x of ``later`` the most alike of some of the earliest lines that share one of its tokens, as pairs (x, y).
 
     The earliest lines are aggregates, combined before they are shuffled: a token that very many lines hold is nowhere
-    gathered, and the join that follows has a few rows for each token on one side. There is one pair for a line at most.
+    gathered, and the join that follows has a few rows for each token on one side. A line has at most ALIKE pairs.
     """
     of_least = lambda c: F.min_by(c, "ord").alias(c) if c != "ord" else F.min("ord").alias("ord")
     first = rows.groupBy("tok", F.col("lid").bitwiseAND(lines - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
     met = sided(later, "_x").join(sided(first, "_y"), "tok")
-    met = met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & possible("_x", "_y", threshold))
-    return met.groupBy(F.col("lid_x").alias("x")).agg(F.min_by("lid_y", apart("_x", "_y")).alias("y"))
+    met = met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & alike("_x", "_y", threshold))
+    found = met.groupBy(F.col("lid_x").alias("x")).agg(F.array_sort(F.collect_set(F.struct(apart("_x", "_y").alias("apart"), F.col("lid_y").alias("y")))).alias("y"))
+    return found.select("x", F.explode(F.slice("y", 1, ALIKE)["y"]).alias("y"))
 
 
 def settled_lines(lines: DataFrame, threshold: float) -> DataFrame:
@@ -234,7 +244,7 @@ def open_pairs(rows: DataFrame, settled: DataFrame, threshold: float) -> DataFra
     # Of two open lines the one with more tokens is x. A settled line is y, whatever its size, and the earlier one.
     among_open = (n > m) | ((n == m) & (F.col("lid_x") > F.col("lid_y")) & in_index("np_x"))
     before = (F.col("ord_x") >= F.col("ord_y")) & ((n >= m) | in_index("np_x")) & ((n <= m) | in_index("np_y"))
-    meet = (F.col("lid_x") != F.col("lid_y")) & possible("_x", "_y", threshold) & F.when(F.col("settled_y"), before).otherwise(among_open)
+    meet = (F.col("lid_x") != F.col("lid_y")) & in_reach("_x", "_y", threshold) & alike("_x", "_y", threshold) & F.when(F.col("settled_y"), before).otherwise(among_open)
     return longer.join(other, "tok").where(meet).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y")).distinct()
 
 
@@ -244,7 +254,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = coded(placed(distinct_lines(docs, id_col, text_col)), rarity, threshold).withColumn("lid", F.monotonically_increasing_id())
     lines = stored(lines)
     settled = settled_lines(lines, threshold)
-    more = later_of(materialise(open_pairs(prefix_rows(lines, threshold), settled, threshold)), lines, threshold)
+    turn = F.pmod("tok", F.lit(TURNS))
+    turns = [materialise(open_pairs(prefix_rows(lines, threshold).where(turn == i), settled, threshold)) for i in range(TURNS)]
+    more = later_of(reduce(DataFrame.union, turns).distinct(), lines, threshold)
     gone = materialise(settled.union(more).distinct())
     kept = among(lines.select("lid", "ord", "tie", "no"), gone, "lid", "left_anti")
     return kept.groupBy("ord", "tie").agg(F.collect_list("no").alias("kept"))
