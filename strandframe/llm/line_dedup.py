@@ -9,8 +9,8 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
    size of the token set and a parity bitmap, which bounds from below by how many tokens two lines differ. This table
    is written once; the later steps read the columns they need.
 3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token, and is compared with
-   the few most alike of them. Open lines then do so by all those prefix tokens that are rare tokens of many lines. That
-   settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
+   the few most alike of them. Open lines then meet those lines to which several others were alike, by all tokens of
+   their prefixes. That settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
 4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens: the longer of the
    two by its whole prefix, the shorter by the part that suffices then. Length, positional and bitmap filters sift the
    pairs, and those left are verified on the tokens themselves.
@@ -29,11 +29,11 @@ from .base import among, materialise, order_of, stored
 
 THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus; a power of two.
-RARITY_BUCKETS = 1 << 18
+RARITY_BUCKETS = 1 << 16
 #: By how many of its tokens each line first meets others, and how many lines it meets by each.
 FIRST_TOKENS, FIRST_LINES = 2, 4
-#: A token that so many lines have among their first ones is busy; by each busy token open lines meet so many lines.
-BUSY, BUSY_LINES = 8, 16
+#: How many others must be alike to a line, so that open lines meet it by all its prefix tokens.
+CENTRE = 4
 #: With how many of the lines that it meets so, the most alike ones by their bitmaps, a line is compared.
 ALIKE = 3
 #: In how many turns, by token, open lines meet: each turn's shuffle files go before the next begins.
@@ -210,15 +210,17 @@ def sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("tok", *(F.col(c).alias(c + side) for c in rows.columns if c != "tok"))
 
 
-def first_pairs(rows: DataFrame, later: DataFrame, lines: int, threshold: float) -> DataFrame:
-    """For each line x of ``later`` the most alike of some of the earliest lines that share one of its tokens, as pairs (x, y).
-
-    The earliest lines are aggregates, combined before they are shuffled: a token that very many lines hold is nowhere
-    gathered, and the join that follows has a few rows for each token on one side. A line has at most ALIKE pairs.
-    """
+def earliest(rows: DataFrame, lines: int) -> DataFrame:
+    """For each token a few of the earliest lines that hold it. These are aggregates, combined before they are shuffled: a
+    token that very many lines hold is nowhere gathered."""
     of_least = lambda c: F.min_by(c, "ord").alias(c) if c != "ord" else F.min("ord").alias("ord")
-    first = rows.groupBy("tok", F.col("lid").bitwiseAND(lines - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
-    met = sided(later, "_x").join(sided(first, "_y"), "tok")
+    return rows.groupBy("tok", F.col("lid").bitwiseAND(lines - 1).alias("c_")).agg(*map(of_least, ABOUT)).drop("c_")
+
+
+def alike_pairs(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """For each line x of ``later`` the most alike of the lines of ``earlier`` that share a token, as pairs (x, y), ALIKE at
+    most. ``earlier`` has a few rows for each token, which bounds what is gathered for a line."""
+    met = sided(later, "_x").join(sided(earlier, "_y"), "tok")
     met = met.where((F.col("lid_x") != F.col("lid_y")) & (F.col("ord_x") >= F.col("ord_y")) & alike("_x", "_y", threshold))
     found = met.groupBy(F.col("lid_x").alias("x")).agg(F.array_sort(F.collect_set(F.struct(apart("_x", "_y").alias("apart"), F.col("lid_y").alias("y")))).alias("y"))
     return found.select("x", F.explode(F.slice("y", 1, ALIKE)["y"]).alias("y"))
@@ -226,12 +228,15 @@ def first_pairs(rows: DataFrame, later: DataFrame, lines: int, threshold: float)
 
 def settled_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """Lines that are similar to an earlier one which they meet in two rounds: by each line's rarest tokens, then by all
-    prefix tokens that are among the rarest tokens of many lines. What the rounds miss stays open."""
+    prefix tokens of the lines to which several others were alike in the first round. What the rounds miss stays open."""
     rare = prefix_rows(lines, threshold, FIRST_TOKENS)
-    settled = materialise(later_of(materialise(first_pairs(rare, rare, FIRST_LINES, threshold)), lines, threshold))
-    busy = materialise(rare.groupBy("tok").count().where(F.col("count") >= BUSY).select("tok"))
-    rows = materialise(among(prefix_rows(lines, threshold), busy, "tok"))
-    more = materialise(first_pairs(rows, among(rows, settled, "lid", "left_anti"), BUSY_LINES, threshold))
+    pairs = materialise(alike_pairs(rare, earliest(rare, FIRST_LINES), threshold))
+    settled = materialise(later_of(pairs, lines, threshold))
+    centres = materialise(pairs.groupBy(F.col("y").alias("lid")).count().where(F.col("count") >= CENTRE).select("lid"))
+    of_centres = materialise(prefix_rows(among(lines, centres, "lid"), threshold))
+    toks = materialise(of_centres.select("tok").distinct())
+    rest = among(among(prefix_rows(lines, threshold), toks, "tok"), settled, "lid", "left_anti")
+    more = materialise(alike_pairs(rest, of_centres, threshold))
     return materialise(settled.union(later_of(more, lines, threshold)).distinct())
 
 

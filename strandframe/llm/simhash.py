@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import materialise
+from .base import materialise, stored
 from .components import connected_components
 
 SHINGLE = 3
@@ -426,7 +426,7 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The others meet by their rarest shingles; what is linked already need not meet again.
     comps = connected_components(settled).select(F.col("v").alias("sk"), "root")
     open_ = materialise(least.join(comps, "sk", "left").select(F.col("least.row").alias("__row"), "sk", F.coalesce("root", "sk").alias("comp")))
-    prefixes = materialise(with_prefix(texts_of(texts, open_), shingle, per_mille, rarity))
+    prefixes = stored(with_prefix(texts_of(texts, open_), shingle, per_mille, rarity))
     links = settled.union(similar(prefix_pairs(prefixes, per_mille), least, texts, shingle, per_mille))
 
     groups = least.join(connected_components(links).withColumnRenamed("v", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
