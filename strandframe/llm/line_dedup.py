@@ -228,15 +228,15 @@ def alike_pairs(later: DataFrame, earlier: DataFrame, threshold: float) -> DataF
 
 def settled_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """Lines that are similar to an earlier one which they meet in two rounds: by each line's rarest tokens, then by all
-    prefix tokens of the lines to which several others were alike in the first round. What the rounds miss stays open."""
+    prefix tokens of the earliest lines to which several others were alike in the first round. What the rounds miss stays open."""
     rare = prefix_rows(lines, threshold, FIRST_TOKENS)
     pairs = materialise(alike_pairs(rare, earliest(rare, FIRST_LINES), threshold))
     settled = materialise(later_of(pairs, lines, threshold))
     centres = materialise(pairs.groupBy(F.col("y").alias("lid")).count().where(F.col("count") >= CENTRE).select("lid"))
     of_centres = materialise(prefix_rows(among(lines, centres, "lid"), threshold))
     toks = materialise(of_centres.select("tok").distinct())
-    rest = among(among(prefix_rows(lines, threshold), toks, "tok"), settled, "lid", "left_anti")
-    more = materialise(alike_pairs(rest, of_centres, threshold))
+    rest = among(among(prefix_rows(lines, threshold).where(in_index("np")), toks, "tok"), settled, "lid", "left_anti")
+    more = materialise(alike_pairs(rest, earliest(of_centres, FIRST_LINES), threshold))
     return materialise(settled.union(later_of(more, lines, threshold)).distinct())
 
 
