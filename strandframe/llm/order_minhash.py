@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import whole_text
@@ -102,6 +102,13 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
+def number_of(col: str, kind: str) -> Column:
+    """A number that never falls as ids grow; of text the first six bytes."""
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(col).cast("double")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt to ranges of ids so that each row's follower in descending order of ids comes right behind it.
 
@@ -109,14 +116,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     extra, to the range before it; so whole texts are shuffled once and no task sees all rows. Only one row per range
     (at most MOST_RANGES) reaches the driver.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    n = d.count()
-    ranges = min(MOST_RANGES, max(1, -(-n // ROWS_PER_RANGE)))
-    cuts = sorted(set(d.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    d = d.withColumn("id_", F.col("doc_id").cast("double"))
+    d = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("id_", number_of("doc_id", docs.schema[id_col].dataType.simpleString()))
+    n, numbered = d.agg(F.count("*"), F.count("id_")).first()
+    ranges = min(MOST_RANGES, max(1, -(-numbered // ROWS_PER_RANGE)))
+    cuts = sorted(set(d.where("id_ is not null").approxQuantile("id_", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     deal = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="id_", outputCol="part_", handleInvalid="keep")
-    last = len(cuts) + 1  # rows without an id come after all others
-    d = (deal.transform(d) if cuts else d.withColumn("part_", F.lit(0.0))).withColumn("part", F.when(F.col("id_").isNull(), F.lit(last)).otherwise(len(cuts) - F.col("part_").cast("int")))
+    # Rows without an id come after all others, in ranges of the hash of their text.
+    rest = min(MOST_RANGES, max(1, -(-(n - numbered) // ROWS_PER_RANGE)))
+    last = len(cuts) + 1 + F.floor((0.5 - F.xxhash64("text") / 2.0**64) * (rest * 0.999999)).cast("int")
+    d = (deal.transform(d) if cuts else d.withColumn("part_", F.lit(0.0))).withColumn("part", F.when(F.col("id_").isNull(), last).otherwise(len(cuts) - F.col("part_").cast("int")))
     d = d.withColumn("h", F.xxhash64("text")).select("part", "doc_id", "h", "text")
     heads = d.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("head")).orderBy("part").collect()
     rows = [(r["part"], r["head"]["doc_id"], r["head"]["h"], heads[i - 1]["part"]) for i, r in enumerate(heads)]
@@ -133,7 +141,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Fingerprints of every text and of its edited text, whose last third is replaced by the start of the next document.
 
     The next document is the one with the next smaller id; after the last comes the first. Rows of equal id follow by a
-    hash of their text; rows without an id come last. Null texts count as empty. A single row follows itself.
+    hash of their text; rows without an id come last. Null texts count as empty. A single row follows itself. Repeated rows
+    are reported as often as they occur. Further columns are not read. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

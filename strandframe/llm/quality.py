@@ -20,8 +20,8 @@ from .base import whole_text
 from .training import fold, sample_ids
 
 #: Bounds of the training sample: labelled rows of each class, and the longest text that is used to train.
-PER_CLASS = 2000
-LONGEST = 32_000
+PER_CLASS = 1500
+LONGEST = 16_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 THRESHOLD = 0.7
@@ -75,7 +75,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     """
     ids = sample_ids(labels, "quality", per_class, FOLDS, HELD_OUT)
     d = docs.select("doc_id", F.col("text")).where(F.length("text").between(1, LONGEST))
-    rows = d.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0).alias("first")).limit(4 * per_class).collect()
+    rows = d.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0).alias("first"))
+    # A sample has a row for each id; of rows of equal id the one with the smallest text hash is learned from.
+    rows = rows.groupBy("doc_id", "label", "first").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     part = {k: [r["text"].encode("utf-8", "replace") for r in rows if r["first"] and r["label"] == k] for k in (0, 1)}
     rest = [r for r in rows if not r["first"]]
@@ -101,7 +103,12 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.7) for every row. Null ids are in no held-out fold."""
+    """doc_id, held_out, score, predicted (score >= 0.7) for every row, repeated rows as often as they occur.
+
+    Null ids are in no held-out fold and are not learned from; null texts count as empty: an empty text has the score of
+    no difference. Very long texts are compressed whole. Equal texts have equal scores. Further columns are not read. An
+    empty table gives no rows.
+    """
     scored = score_quality(docs, fit_quality(docs, labels))
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

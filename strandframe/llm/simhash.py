@@ -244,15 +244,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
     """
-    names, row = docs.columns, F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("__row", row)
-    marked = materialise(with_fingerprint(keyed, text_col, [id_col, "__row"], shingle))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    keyed = carried(docs, id_col, text_col)
+    marked = materialise(with_fingerprint(keyed, "text_", ["id_", "__row"], shingle))
+    first = F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("__row").alias("row")))
     least = materialise(marked.groupBy("fp").agg(first.alias("least")))
     roots = connected_components(near_links(least.select("fp"), radius))
     rooted = least.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)
+    return unpacked(keyed.join(kept, "__row", "left_semi"), docs.columns)
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row as one struct ``doc`` beside id_, text_ and __row (a hash of both), so that columns may have any names."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    return docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), row.alias("__row"))
+
+
+def unpacked(kept: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of the rows that stay, one for each __row."""
+    return kept.dropDuplicates(["__row"]).select(*(F.col("doc").getField(c).alias(c) for c in names))
 
 
 def parity(h: np.ndarray) -> np.ndarray:
@@ -406,16 +416,15 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
     """
     per_mille = round(threshold * 1000)
-    names, row = docs.columns, F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("__row", row)
-    marked = materialise(with_sets(keyed, text_col, id_col, shingle))
+    keyed = carried(docs, id_col, text_col)
+    marked = materialise(with_sets(keyed, "text_", "id_", shingle))
     # At most one row per bucket of the rarity table reaches the driver.
     rarity = np.zeros(RARITY_BUCKETS, np.int64)
     for r in marked.where("sk is null").groupBy("__row").agg(F.sum("n").alias("n")).collect():
         rarity[r["__row"]] = r["n"]
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    first = F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("__row").alias("row")))
     least = materialise(marked.where("sk is not null").groupBy("sk").agg(first.alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    texts = keyed.select("__row", F.col(text_col).alias("_text"))
+    texts = keyed.select("__row", F.col("text_").alias("_text"))
 
     # Documents with close fingerprints meet the first one of their group.
     roots = connected_components(near_links(least.select("fp").distinct(), radius))
@@ -431,4 +440,4 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     groups = least.join(connected_components(links).withColumnRenamed("v", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     kept = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)
+    return unpacked(keyed.join(kept, "__row", "left_semi"), docs.columns)

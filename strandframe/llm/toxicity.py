@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import materialise, whole_text
 from .training import fold, sample_ids
@@ -113,8 +114,7 @@ def with_features(docs: DataFrame, keep: list[str], marks: list[str], text_col:
             made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *FEATURES])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} double" for c in FEATURES)])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
     return docs.select(*keep, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -161,7 +161,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5) for every row. Null ids are in no held-out fold."""
+    """doc_id, held_out, score, predicted (score >= 0.5) for every row, repeated rows as often as they occur.
+
+    Null ids are in no held-out fold and are not learned from; null texts count as empty and are scored like any other
+    text, as are very long ones. Equal texts have equal scores. Further columns are not read. An empty table gives no rows.
+    """
     model = fit_toxicity(docs, labels)
     scored = model.score(with_features(docs, ["doc_id"], model.marks), ["doc_id"])
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
@@ -169,7 +173,12 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score below the threshold, with all their columns, in one pass over the texts."""
-    names = docs.columns
+    """Documents that score below the threshold, with all their columns, in one pass over the texts.
+
+    A row is carried as one struct, so that columns may have any names. Repeated rows, null ids and null or empty texts
+    are scored like all others and stay if they score below. An empty table stays empty.
+    """
     model = fit_toxicity(docs, labels)
-    return model.score(with_features(docs, names, model.marks), names).where(F.col("score") < threshold).select(*names)
+    rows = with_features(docs.select(F.struct(*docs.columns).alias("doc"), "text"), ["doc"], model.marks)
+    kept = model.score(rows, ["doc"]).where(F.col("score") < threshold)
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

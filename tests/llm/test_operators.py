@@ -231,7 +231,7 @@ def test_secrets_after_an_equals_sign_and_in_lower_case(spark):
 def test_randomness_battery(spark):
     rng = random.Random(1)
     secret = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(20)]
-    plain = ["ab12" * 16, "0" * 60 + "abcd", "deadbeef" * 8]
+    plain = ["ab12" * 16, "0" * 60 + "abcd", "deadbee1" * 8]
     d = spark.createDataFrame([(x,) for x in secret + plain], "found string")
     p = {r["found"]: r["p"] for r in secret_scan.with_battery(d).collect()}
     assert max(p[x] for x in plain) < 1e-3 and sorted(p[x] for x in secret)[2] > 1e-3
