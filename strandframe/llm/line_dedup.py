@@ -11,7 +11,8 @@ similarity of at least the threshold; equal lines are the simplest case. Steps:
 3. Every line meets, by its rarest few tokens, a few of the earliest lines that hold such a token, and is compared with
    the few most alike of them. Open lines then meet those lines to which several others were alike, by all tokens of
    their prefixes. That settles almost all lines of large groups of near copies, whose pairs therefore are never enumerated.
-4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens: the longer of the
+4. Open lines meet each other and the settled ones that come before them, by all their prefix tokens and in turns by
+   size: the longer of the
    two by its whole prefix, the shorter by the part that suffices then. Length, positional and bitmap filters sift the
    pairs, and those left are verified on the tokens themselves.
 """
@@ -33,11 +34,11 @@ RARITY_BUCKETS = 1 << 16
 #: By how many of its tokens each line first meets others, and how many lines it meets by each.
 FIRST_TOKENS, FIRST_LINES = 2, 4
 #: How many others must be alike to a line, so that open lines meet it by all its prefix tokens.
-CENTRE = 4
+CENTRE = 8
 #: With how many of the lines that it meets so, the most alike ones by their bitmaps, a line is compared.
 ALIKE = 3
-#: In how many turns, by token, open lines meet: each turn's shuffle files go before the next begins.
-TURNS = 2
+#: Sizes of token sets at which the turns begin in which open lines meet: each turn's shuffle files go before the next.
+TURNS = (0, 32, 56, 88)
 #: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
 LONG_LINE = 64
 OTHER_SPACE = r"[\t\x0b\f\r]"
@@ -148,13 +149,13 @@ def index_length(n: Column, threshold: float) -> Column:
 ABOUT = ["lid", "ord", "np", "w0", "w1"]
 
 
-def prefix_rows(lines: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
-    """One row per prefix token (the rarest ``most`` only): tok and ABOUT. Tokens of a bucket that one token in the corpus
-    uses meet nothing and are left out."""
-    own = ["lid", "ord", "n", "w0", "w1"]
+def prefix_rows(lines: DataFrame, threshold: float, most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per prefix token (the rarest ``most`` only): tok, ABOUT and what is to be kept. Tokens of a bucket that one
+    token in the corpus uses meet nothing and are left out."""
+    own = ["lid", "ord", "n", "w0", "w1", *keep]
     rows = lines.select(*own, index_length(F.col("n"), threshold).alias("i_"), F.posexplode("prefix" if most is None else F.slice("prefix", 1, most)).alias("p", "tok"))
     packed = F.col("n").cast("long") * (1 << 32) + F.col("p").cast("long") * 2 + (F.col("p") < F.col("i_")).cast("long")
-    return rows.where(F.shiftright("tok", 56) > 1).select("tok", "lid", "ord", packed.alias("np"), "w0", "w1")
+    return rows.where(F.shiftright("tok", 56) > 1).select("tok", "lid", "ord", packed.alias("np"), "w0", "w1", *keep)
 
 
 def size_of(np: str) -> Column:
@@ -233,18 +234,23 @@ def settled_lines(lines: DataFrame, threshold: float) -> DataFrame:
     pairs = materialise(alike_pairs(rare, earliest(rare, FIRST_LINES), threshold))
     settled = materialise(later_of(pairs, lines, threshold))
     centres = materialise(pairs.groupBy(F.col("y").alias("lid")).count().where(F.col("count") >= CENTRE).select("lid"))
-    of_centres = materialise(prefix_rows(among(lines, centres, "lid"), threshold))
+    of_centres = materialise(prefix_rows(among(lines, centres, "lid"), threshold).where(in_index("np")))
     toks = materialise(of_centres.select("tok").distinct())
-    rest = among(among(prefix_rows(lines, threshold).where(in_index("np")), toks, "tok"), settled, "lid", "left_anti")
+    rest = among(prefix_rows(among(lines, settled, "lid", "left_anti"), threshold).where(in_index("np")), toks, "tok")
     more = materialise(alike_pairs(rest, earliest(of_centres, FIRST_LINES), threshold))
     return materialise(settled.union(later_of(more, lines, threshold)).distinct())
 
 
-def open_pairs(rows: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """All pairs that can be similar and of which the later line may be open."""
-    marked = among(rows, settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("settled", F.col("settled").isNotNull())
-    longer = sided(marked.where(~F.col("settled")).drop("settled"), "_x")
-    other = sided(marked.where(F.col("settled") | in_index("np")), "_y")
+def open_pairs(lines: DataFrame, low: int, high: float, threshold: float) -> DataFrame:
+    """All pairs that can be similar and of which the later line may be open, for lines x of ``low`` to below ``high`` tokens.
+
+    ``lines`` has the flag ``settled``. The other line's size is in a range about that of x, by the length filter.
+    """
+    t = int(threshold * 1000 + 1e-9)
+    n = F.col("n")
+    longer = sided(prefix_rows(lines.where(~F.col("settled") & (n >= low) & (n < high)), threshold), "_x")
+    other = prefix_rows(lines.where((n * 1000 >= low * t) & (n * t < high * 1000)), threshold, keep=("settled",))
+    other = sided(other.where(F.col("settled") | in_index("np")), "_y")
     n, m = size_of("np_x"), size_of("np_y")
     # Of two open lines the one with more tokens is x. A settled line is y, whatever its size, and the earlier one.
     among_open = (n > m) | ((n == m) & (F.col("lid_x") > F.col("lid_y")) & in_index("np_x"))
@@ -259,8 +265,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = coded(placed(distinct_lines(docs, id_col, text_col)), rarity, threshold).withColumn("lid", F.monotonically_increasing_id())
     lines = stored(lines)
     settled = settled_lines(lines, threshold)
-    turn = F.pmod("tok", F.lit(TURNS))
-    turns = [materialise(open_pairs(prefix_rows(lines, threshold).where(turn == i), settled, threshold)) for i in range(TURNS)]
+    narrow = lines.drop("tie", "no", "line")
+    marked = among(narrow, settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("settled", F.col("settled").isNotNull())
+    turns = [materialise(open_pairs(marked, low, high, threshold)) for low, high in zip(TURNS, (*TURNS[1:], float("inf")))]
     more = later_of(reduce(DataFrame.union, turns).distinct(), lines, threshold)
     gone = materialise(settled.union(more).distinct())
     kept = among(lines.select("lid", "ord", "tie", "no"), gone, "lid", "left_anti")
