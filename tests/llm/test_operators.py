@@ -385,3 +385,39 @@ def test_pipeline(spark, sf):
         assert after.columns == docs.columns, name
         docs = spark.createDataFrame(after.collect(), docs.schema)
     assert 0 < docs.count() <= 200 and corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_line_dedup_of_rows_without_an_id_or_with_one_id(spark):
+    rows = [(None, "a b c d e\none line of its own"), (None, "a b c d e\nanother line here"), (5, "x y z w v u\nkept five"), (5, "x y z w v u\nkept too"), (5, "x y z w v u\nkept five"), (None, None)]
+    got = line_dedup.line_dedup_report(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0, 0, 1]
+    # Rows equal in id and text are one document: what one of them keeps both keep.
+    of_five = sorted((r["n_removed"], r["kept_lines"]) for r in got if r["doc_id"] == 5)
+    assert of_five in ([(0, "0,1"), (0, "0,1"), (1, "1")], [(0, "0,1"), (1, "1"), (1, "1")])
+    kept = "\n".join(r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect() if r["text"] and r["doc_id"] is None).split("\n")
+    assert kept.count("a b c d e") == 1
+
+
+def test_quality_scores_are_those_of_the_dictionaries(spark):
+    import zstandard
+
+    rng = random.Random(6)
+    good = ["river", "stone", "measured", "quietly", "because", "window", "letter", "garden"]
+    bad = ["click", "buy", "now", "free", "!!!", "offer", "$$$", "win"]
+    text = lambda words: " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(60))
+    rows = [(i, text(good if i % 2 else bad)) for i in range(400)] + [(400, ""), (401, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    model = quality.fit_quality(docs, labels)
+    assert model.good and model.bad
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, model).collect()}
+    size = lambda d, raw: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw))
+    for i, t in rows:
+        raw = (t or "").encode()
+        x = (size(model.bad, raw) - size(model.good, raw)) / len(raw) if raw else 0.0
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))), abs=1e-3)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(got[i]["score"] >= 0.7) == bool(i % 2) for i in held]) > 0.9
+    report = {r["doc_id"]: r["held_out"] for r in quality.quality_report(docs, labels).collect()}
+    assert {i for i, h in report.items() if h and i < 400} == set(held)
