@@ -142,7 +142,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     LONGEST characters are not used to learn; every text is scored whole.
     """
     ids = sample_ids(labels, "toxic", per_class, FOLDS, HELD_OUT)
-    rows = materialise(docs.where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text"))
+    rows = materialise(docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 20:
         return ToxicityModel(constant=counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.0)

@@ -421,3 +421,25 @@ def test_quality_scores_are_those_of_the_dictionaries(spark):
     assert np.mean([(got[i]["score"] >= 0.7) == bool(i % 2) for i in held]) > 0.9
     report = {r["doc_id"]: r["held_out"] for r in quality.quality_report(docs, labels).collect()}
     assert {i for i, h in report.items() if h and i < 400} == set(held)
+
+
+def test_toxicity_features_and_clashing_columns(spark):
+    marked = toxicity.mark_pattern(["zork"])
+    text = "You IDIOT!! zorkish words, are you a m0ron? sooo BAD"
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, marked)))
+    words = len(text.split())
+    assert got["mark_rate"] == 1 / words and got["lexicon_hits"] == 1 and got["near_second_person"] == 1
+    assert got["second_person_rate"] == 2 / words and got["shout_rate"] == 2 / words and got["obfuscated_rate"] == 1 / words
+    assert got["stretched_rate"] == 1 / words and got["exclaim_rate"] == 2 / len(text) and got["question_rate"] == 1 / len(text)
+    assert set(toxicity.features("", marked)) == {0.0}
+    rng = random.Random(9)
+    calm = ["river", "stone", "letter", "garden", "window"]
+    rows = [(i, " ".join(rng.choice(calm) for _ in range(30)) + (" you idiot, you stupid moron!" if i % 2 else ".")) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    for name in ("score", "raw", "features", "prediction", "log_words", "label"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert {r["doc_id"] for r in found} == {i for i in range(300) if i % 2 == 0} and {r["raw"] for r in found} == {"own raw"}
