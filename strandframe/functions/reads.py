@@ -98,3 +98,15 @@ def tag_header(header: Column, tag: Column) -> Column:
     mark = F.regexp_extract(name, "/[12]$", 0)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(mark))
     return F.concat(stem, tag, mark, F.substring(header, F.length(name) + 1, F.length(header)))
+
+
+def tag_plus(plus: Column, header: Column, tag: Column) -> Column:
+    """A plus line that repeats the header (without its @) gets the tag too; others stay."""
+    bare = F.regexp_replace(header, "^@", "")
+    return F.when(F.length(plus) > 1, F.when(F.substring(plus, F.lit(2), F.length(plus)) == bare, F.concat(F.lit("+"), tag_header(bare, tag))).otherwise(plus)).otherwise(plus)
+
+
+def escaped_bytes(text: Column) -> Column:
+    """Printable ASCII as it is, a backslash twice, and any other byte as \\xHH."""
+    shown = lambda h: F.when(h == "5C", "\\\\").when((h >= "20") & (h <= "7E"), F.decode(F.unhex(h), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), h))
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), shown), "")

@@ -222,35 +222,154 @@ def overrepresented(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     return sequence_keys(reads, cap).crossJoin(total).withColumn("percent", F.round(F.col("n") * 100 / F.col("total"), 9)).where(F.col("n") * 100 / F.col("total") > OVERREPRESENTED_PERCENT).drop("total")
 
 
-def tile_quality(reads: DataFrame, field: int = 4) -> DataFrame:
+def tile_field(header: Column) -> Column:
+    """Which part of a header between colons (from 0) names the tile, by how many there are; null where none does.
+
+    Empty parts at the end don't count.
+    """
+    parts = F.size(F.split(F.regexp_replace(header, "(?<=.):+$", ""), ":"))
+    return F.when(parts >= 7, 4).when(parts >= 5, 2)
+
+
+def tile_quality(reads: DataFrame) -> DataFrame:
     """Mean score of each tile and group of cycles, less the mean over tiles.
 
     Of reads with a quality the first 10,000 count, then every tenth. Their order comes from the record index: ranks are
-    taken within ranges of it and added to the counts of the ranges before, so no task ranks all reads.
+    taken within ranges of it and added to the counts of the ranges before, so no task ranks all reads. The first read's
+    header tells which of its parts is the tile. A tile without scores in a group has the mean 0 there. If any counted
+    read has no whole number as its tile, there are no rows.
     """
     full = reads.where(F.length("qual") > 0).withColumn("range", F.floor(F.col("idx") / 100_000))
     counts = full.groupBy("range").agg(F.count("*").alias("n"))
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = full.join(F.broadcast(ahead), "range").withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("idx")))
     used = ranked.where((F.col("rank") <= 10_000) | ((F.col("rank") - 10_000) % 10 == 0))
-    tile = F.expr(f"try_cast(split(header, ':')[{field}] as int)")
-    cells = used.select(tile.alias("tile"), F.posexplode(R.scores(F.col("qual"))).alias("pos", "q")).groupBy("tile", (F.col("pos") + 1).alias("cycle")).agg(F.sum("q").alias("q"), F.count("*").alias("n"))
+    first = F.broadcast(full.agg(tile_field(F.min_by("header", "idx")).alias("field")))  # one row
+    number = F.expr("if(get(split(header, ':'), field) rlike '^[+-]?[0-9]+$', try_cast(get(split(header, ':'), field) as int), null)")
+    cells = used.crossJoin(first).select(number.alias("tile"), F.posexplode(R.scores(F.col("qual"))).alias("pos", "q")).groupBy("tile", (F.col("pos") + 1).alias("cycle")).agg(F.sum("q").alias("q"), F.count("*").alias("n"))
     groups = F.broadcast(cycle_groups(reads.sparkSession, longest(cells)))
     each = cells.join(groups, "cycle").groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
-    return each.withColumn("deviation", F.round(F.col("mean") - F.avg("mean").over(Window.partitionBy("first")), 6)).select("tile", "first", "last", F.round("mean", 6).alias("mean"), "deviation")
+    tiles = each.select("tile").distinct()
+    grid = tiles.crossJoin(groups.select("first", "last").distinct())  # tiles of one flow cell by at most 75 groups
+    grid = grid.join(each, ["tile", "first", "last"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    bad = F.broadcast(tiles.agg(F.count(F.when(F.col("tile").isNull(), 1)).alias("bad")))
+    rows = grid.crossJoin(bad).where("bad = 0").withColumn("deviation", F.round(F.col("mean") - F.avg("mean").over(Window.partitionBy("first")), 6))
+    return rows.select("tile", "first", "last", F.round("mean", 6).alias("mean"), "deviation")
 
 
-def contaminant_hits(keys: DataFrame, contaminants: list[tuple[str, str]]) -> DataFrame:
-    """Keys that hold, or are held by, a contaminant or its reverse complement exactly: the longest one for each key.
+#: Lengths of keys that may lie whole in a contaminant, and of the shortest run that counts otherwise.
+WHOLE_KEY, LEAST_RUN = (8, 19), 21
 
-    The list is a parameter and is broadcast; its length bounds the rows for each key.
+
+def contaminant_hits(keys: DataFrame, contaminants: DataFrame) -> DataFrame:
+    """For each key that a contaminant explains: name, whole percent of identity, and bases matched of the best one.
+
+    ``contaminants`` as sources.contaminants gives them: place, name, bases. A key of 8 to 19 bases matches if it lies in
+    the contaminant or its reverse complement. Otherwise both are laid over each other at every offset that leaves 20
+    bases; the agreeing places, written as ones, are cut into runs with one disagreement each, and a run of 21 or more
+    bases is a match. Of one contaminant the longest match counts (forward first, then the smallest offset), of all the
+    longest, then the most identical, then the earliest in the list. The list is a parameter of at most 1 MiB.
+    """
+    rows = F.broadcast(contaminants.select("place", "name", F.upper("bases").alias("bases")))
+    strands = F.array(F.struct(F.lit(0).alias("strand"), F.col("bases").alias("s")), F.struct(F.lit(1).alias("strand"), R.reverse_complement(F.col("bases")).alias("s")))
+    both = keys.select("key").distinct().crossJoin(rows)
+    inside = F.length("key").between(*WHOLE_KEY) & (F.expr("instr(bases, key) > 0") | (F.instr(R.reverse_complement(F.col("bases")), F.col("key")) > 0))
+    exact = both.where(inside).select("key", "place", "name", F.length("key").alias("size"), F.lit(100).alias("identity"))
+    apart = both.where(~inside).select("key", "place", "name", F.inline(strands)).where(F.length("s") + F.length("key") > 40)
+    laid = apart.select("*", F.explode(F.expr("sequence(20 - length(s), length(key) - 21)")).alias("shift"))
+    agree = "concat_ws('', transform(sequence(greatest(1, 1 + shift), least(length(key), length(s) + shift)), i -> if(substr(key, i, 1) = substr(s, i - shift, 1), '1', '0')))"
+    runs = laid.select("key", "place", "name", "strand", "shift", F.explode(F.expr(f"regexp_extract_all({agree}, '(1*0?1*)(0|$)', 1)")).alias("run"))
+    size = F.length(F.rtrim(F.col("run"), F.lit("0")))
+    identity = F.floor((size - F.col("run").contains("0").cast("int")) * 100 / size).cast("int")
+    found = runs.select("key", "place", "name", "strand", "shift", size.alias("size"), F.when(size > 0, identity).alias("identity")).where(F.col("size") >= LEAST_RUN)
+    best = found.groupBy("key", "place", "name").agg(F.max(F.struct("size", (-F.col("strand")).alias("forward"), (-F.col("shift")).alias("early"), "identity")).alias("b"))
+    # Of the runs at one offset and strand the longest, then the most identical one counts: the struct's last part.
+    every = exact.unionByName(best.select("key", "place", "name", "b.size", "b.identity"))
+    top = every.groupBy("key").agg(F.max(F.struct("size", "identity", (-F.col("place")).alias("early"), "name")).alias("b"))
+    return keys.join(top, "key").select(*keys.columns, F.col("b.name").alias("name"), "b.identity", F.col("b.size").alias("bases_matched"))
+
+
+def gc_deviation(bins: DataFrame) -> DataFrame:
+    """One row: percent of all reads by which the 101 bins of read_gc differ from a normal curve.
+
+    The curve's centre is the middle of the bins around the first highest one that hold over nine tenths of it, or the
+    highest one itself if these reach an end of the scale; null for fewer than two reads or if all are in one bin.
     """
-    rows = F.broadcast(keys.sparkSession.createDataFrame([(i, n, s) for i, (n, s) in enumerate(contaminants)], "place int, name string, bases string"))
-    both = keys.crossJoin(rows).withColumn("back", R.reverse_complement(F.col("bases")))
-    hit = (F.length("key").between(8, 19) & (F.expr("instr(bases, key) > 0") | F.expr("instr(back, key) > 0"))) | F.expr("instr(key, bases) > 0") | F.expr("instr(key, back) > 0")
-    size = F.least(F.length("key"), F.length("bases"))
-    best = both.where(hit).groupBy("key", "n").agg(F.max(F.struct(size.alias("size"), (-F.col("place")).alias("order"), F.col("name").alias("name"))).alias("b"))
-    return best.select("key", "n", F.col("b.name").alias("name"), F.col("b.size").alias("bases_matched"))
+    peak = bins.agg(F.max_by("bin", F.struct("reads", -F.col("bin"))).alias("peak"), (F.max("reads") * 0.9).alias("least"), F.sum("reads").alias("total"))
+    rows = bins.crossJoin(F.broadcast(peak))
+    low = F.col("reads") <= F.col("least")
+    edges = rows.groupBy("peak", "total").agg(F.max(F.when(low & (F.col("bin") < F.col("peak")), F.col("bin"))).alias("a"), F.min(F.when(low & (F.col("bin") > F.col("peak")), F.col("bin"))).alias("b"))
+    centre = bins.crossJoin(F.broadcast(edges.select("total", F.coalesce((F.col("a") + F.col("b")) / 2, F.col("peak").cast("double")).alias("centre"))))
+    off = F.col("bin") - F.col("centre")
+    spread = centre.groupBy("total", "centre").agg(F.when(F.col("total") > 1, F.sum(off * off * F.col("reads")) / F.greatest(F.col("total") - 1, F.lit(1e-9))).alias("variance"))
+    curve = bins.crossJoin(F.broadcast(spread)).where("variance > 0")
+    density = F.exp(-off * off / (2 * F.col("variance"))) / F.sqrt(2 * F.pi() * F.col("variance"))
+    return curve.agg(F.round(F.sum(F.abs(density * F.col("total") - F.col("reads"))) * 100 / F.max("total"), 6).alias("deviation"))
+
+
+#: What modules are graded by, the limits past which they warn and fail, and whether lower is worse.
+LIMITS = {"base_quality_p25": (10, 5), "base_quality_p50": (25, 20), "tile_quality": (5, 10), "read_quality": (27, 20), "base_content": (10, 20), "gc_content": (15, 30), "n_content": (5, 20), "duplication": (70, 50), "adapter_content": (5, 10)}
+
+
+def above(value: Column, name: str) -> Column:
+    """0, 1 or 2 (pass, warn, fail) for values that shouldn't be over their limits."""
+    warn, fail = LIMITS[name]
+    return F.when(value > fail, 2).when(value > warn, 1).otherwise(0)
+
+
+def below(value: Column, name: str) -> Column:
+    warn, fail = LIMITS[name]
+    return F.when(value < fail, 2).when(value < warn, 1).otherwise(0)
+
+
+def grade_base_quality(module: DataFrame) -> DataFrame:
+    """By the worst group's lower quartile and median; groups without percentiles don't count."""
+    return module.agg(F.coalesce(F.max(F.greatest(below(F.col("p25"), "base_quality_p25"), below(F.col("p50"), "base_quality_p50"))), F.lit(0)).alias("g"))
+
+
+def grade_read_quality(module: DataFrame) -> DataFrame:
+    """By the most frequent mean score, the lowest of equals: at most 20 fails, at most 27 warns."""
+    warn, fail = LIMITS["read_quality"]
+    mode = F.max_by("q", F.struct("n", -F.col("q")))
+    return module.agg(F.when(mode <= fail, 2).when(mode <= warn, 1).otherwise(0).alias("g"))
+
+
+def grade_base_content(module: DataFrame) -> DataFrame:
+    """By the largest difference between A and T or G and C in a group."""
+    gap = F.greatest(F.abs(F.col("a") - F.col("t")), F.abs(F.col("g") - F.col("c")))
+    return module.agg(F.coalesce(F.max(above(gap, "base_content")), F.lit(0)).alias("g"))
+
+
+def grade_lengths(module: DataFrame) -> DataFrame:
+    """``module`` has a row for each length (len): an empty read fails, several lengths warn."""
+    return module.agg(F.when(F.min("len") == 0, 2).when(F.count_distinct("len") > 1, 1).otherwise(0).alias("g"))
+
+
+def grade_overrepresented(module: DataFrame) -> DataFrame:
+    """Any key warns, one over one percent fails."""
+    return module.agg(F.when(F.max("percent") > 1, 2).when(F.count("*") > 0, 1).otherwise(0).alias("g"))
+
+
+def module_grades(modules: dict[str, DataFrame]) -> DataFrame:
+    """module, grade for the modules given by name; adapter_content without rows (reads too short for one) warns."""
+    worst = lambda c, name, how: lambda m: m.agg(F.coalesce(F.max(how(F.col(c), name)), F.lit(0)).alias("g"))
+    rules = {
+        "base_quality": grade_base_quality,
+        "tile_quality": lambda m: m.agg(F.coalesce(F.max(above(F.abs("deviation"), "tile_quality")), F.lit(0)).alias("g")),
+        "read_quality": grade_read_quality,
+        "base_content": grade_base_content,
+        "gc_content": lambda m: gc_deviation(m).select(above(F.col("deviation"), "gc_content").alias("g")),
+        "n_content": worst("n_percent", "n_content", above),
+        "lengths": grade_lengths,
+        "duplication": worst("left_percent", "duplication", below),
+        "overrepresented": grade_overrepresented,
+        "adapter_content": lambda m: m.agg(F.coalesce(F.max(above(F.col("percent"), "adapter_content")), F.lit(1)).alias("g")),
+    }
+    out = None
+    for name, module in modules.items():
+        row = rules[name](module).select(F.lit(name).alias("module"), F.element_at(F.array(*map(F.lit, ("pass", "warn", "fail"))), F.col("g") + 1).alias("grade"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def summary_totals(pairs: DataFrame) -> DataFrame:

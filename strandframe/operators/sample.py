@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .validate import first_violation, violations
+
 #: Fixed values of the 64-bit Mersenne Twister.
 WORDS, MIDDLE = 312, 156
 MATRIX = np.uint64(0xB5026F5AA96619E9)
@@ -100,3 +102,14 @@ def exact_indexes(like: DataFrame, n: int, k: int, seed: int = DEFAULT_SEED) ->
 def keep(units: DataFrame, indexes: DataFrame) -> DataFrame:
     """The chosen units (reads or pairs)."""
     return units.join(indexes, "idx", "left_semi")
+
+
+def checked(records: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """The records, once all of them are valid: exact sampling chooses from whole sources only.
+
+    A ValueError names the first failure of a source; one row for each failing source reaches the driver.
+    """
+    bad = sorted(first_violation(violations(records, alphabet)).collect(), key=lambda r: r["src"])
+    if bad:
+        raise ValueError("; ".join(f"{r['src']}: {r['code']} in record {r['idx']}, line {r['line']}, byte {r['offset']}" for r in bad))
+    return records

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
@@ -45,12 +45,17 @@ def base_violations(reads: DataFrame, alphabet: str = "iupac") -> DataFrame:
 
 
 def pair_violations(left: DataFrame, right: DataFrame, policy: str = "illumina") -> DataFrame:
-    """idx and code of every position where a mate is missing (P002) or names do not match (P001)."""
+    """idx and code of every position where a mate is missing (P002) or names do not match (P001).
+
+    For a missing mate also the side that is left (1 or 2) and the last record index of each side (null without records).
+    """
     a = left.select("idx", F.col("header").alias("h1"))
     b = right.select("idx", F.col("header").alias("h2"))
     both = a.join(b, "idx", "full_outer")
     code = F.when(F.col("h1").isNull() | F.col("h2").isNull(), "P002").when(~R.names_match(F.col("h1"), F.col("h2"), policy), "P001")
-    return both.select("idx", code.alias("code")).where(F.col("code").isNotNull())
+    side = F.when(F.col("h1").isNull(), 2).when(F.col("h2").isNull(), 1)
+    last = lambda k: F.when(side == k, F.col("idx")).when(side.isNotNull() & (F.col("idx") > 0), F.col("idx") - 1).alias(f"last{k}")
+    return both.select("idx", code.alias("code"), side.alias("side"), last(1), last(2)).where(F.col("code").isNotNull())
 
 
 def zip_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,7 +82,19 @@ def deinterleave(records: DataFrame, mate: int) -> DataFrame:
     return records.where(F.col("idx") % 2 == mate - 1).select(F.floor(F.col("idx") / 2).alias("idx"), "header", "seq", "qual")
 
 
-def first_appearance(reads: DataFrame) -> DataFrame:
-    """Reads that are the first with their name."""
-    w = Window.partitionBy(R.record_id(F.col("header"))).orderBy("idx")
-    return reads.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+def field_fault(header: Column, seq: Column, qual: Column, plus: Column) -> Column:
+    """Why a record can't be written so that it reads back the same, or null."""
+    fields = (header, seq, plus, qual)
+    some = lambda f: F.coalesce(f(fields[0]) | f(fields[1]) | f(fields[2]) | f(fields[3]), F.lit(False))
+    return (
+        F.when(header.isNull() | seq.isNull() | qual.isNull(), "missing field").when(header.rlike(r"^@?($|[ \t])"), "empty name").when(F.octet_length(seq) != F.octet_length(qual), "length mismatch")
+        .when(some(lambda c: F.instr(c, "\n") > 0), "line feed in a field").when(some(lambda c: c.endswith("\r")), "carriage return at an end")
+    )
+
+
+def unwritable(records: DataFrame) -> DataFrame:
+    """idx and reason of the records that the writer refuses; check only those that would be written."""
+    plus = F.col("plus") if "plus" in records.columns else F.lit("+")
+    fault = field_fault(F.col("header"), F.col("seq"), F.col("qual"), plus)
+    return records.select("idx", fault.alias("reason")).where(F.col("reason").isNotNull())

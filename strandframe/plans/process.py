@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import reads as R
 from ..operators import filters, inserts, qc, transform, validate
 from ..sources.fastq import write_fastq
 
@@ -104,18 +105,44 @@ class Run:
             spark.createDataFrame([(json.dumps(self.report(), indent=1),)], "value string").coalesce(1).write.mode("errorifexists").text(report)
 
 
-def check_pairs(left: DataFrame, right: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:
-    """The first failure of two sources: idx, code and mate, by index and then by the order of checks.
+def pair_failures(left: DataFrame, right: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:
+    """The failure that counts of every failing pair of records: idx, code, mate, and what belongs to the code.
 
     Order at one index: structure of mate 1, of mate 2, missing mate, alphabet or quality of mate 1, of mate 2, names.
+    S codes have line and offset; P002 has the side that is left as its mate and the last record index of each side;
+    P001 has names and mate marks.
     """
-    both = []
+    extra = {"line": "int", "offset": "long", "last1": "long", "last2": "long", "name1": "string", "name2": "string", "marks1": "int", "marks2": "int"}
+    fill = lambda df: df.select("idx", "step", "code", "mate", *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in extra.items()))
+    cut = lambda df: df.select("idx", F.regexp_replace("header", "^@", "").alias("header"))
+    rows = []
     for mate, records in ((1, left), (2, right)):
         found = validate.violations(records, alphabet)
-        inner = F.col("code").isin("S002", "S006")
-        both.append(found.select("idx", F.when(inner, 3 + mate).otherwise(mate).alias("step"), "code", F.lit(mate).alias("mate"), "line", "offset"))
-    cut = lambda df: df.withColumn("header", F.regexp_replace("header", "^@", ""))
+        rows.append(fill(found.select("idx", F.when(F.col("code").isin("S002", "S006"), 3 + mate).otherwise(mate).alias("step"), "code", F.lit(mate).alias("mate"), "line", "offset")))
     pairs = validate.pair_violations(cut(left), cut(right), policy)
-    both.append(pairs.select("idx", F.when(F.col("code") == "P002", 3).otherwise(6).alias("step"), "code", F.lit(None).cast("int").alias("mate"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("offset")))
-    rows = both[0].unionByName(both[1]).unionByName(both[2])
-    return rows.groupBy().agg(F.min(F.struct("idx", "step", "code", "mate", "line", "offset")).alias("x")).select("x.*").where(F.col("idx").isNotNull()).drop("step")
+    lone = pairs.where("code = 'P002'").select("idx", F.lit(3).alias("step"), "code", F.col("side").alias("mate"), "last1", "last2")
+    a, b = (cut(df).select("idx", R.record_id(F.col("header")).alias(f"name{k}"), R.mate_marks(F.col("header")).alias(f"marks{k}")) for k, df in ((1, left), (2, right)))
+    named = pairs.where("code = 'P001'").select("idx", F.lit(6).alias("step"), "code", F.lit(None).cast("int").alias("mate")).join(a, "idx").join(b, "idx")
+    every = rows[0].unionByName(rows[1]).unionByName(fill(lone)).unionByName(fill(named))
+    return every.groupBy("idx").agg(F.min(F.struct("step", "code", "mate", *extra)).alias("x")).select("idx", "x.*").drop("step")
+
+
+def interleaved_failures(records: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:
+    """pair_failures of one source whose records 2i and 2i + 1 are pairs; idx counts pairs, last1 and last2 records."""
+    side = lambda k: records.where(F.col("idx") % 2 == k - 1).withColumn("idx", F.floor(F.col("idx") / 2))
+    return pair_failures(side(1), side(2), policy, alphabet).withColumns({"last1": F.col("last1") * 2, "last2": F.col("last2") * 2 + 1})
+
+
+def first_pair_failure(found: DataFrame) -> DataFrame:
+    """The row with the smallest index, if any."""
+    return found.agg(F.min_by(F.struct(*found.columns), "idx").alias("x")).where(F.col("x").isNotNull()).select("x.*")
+
+
+def check_pairs(left: DataFrame, right: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:
+    """The first failure of two sources."""
+    return first_pair_failure(pair_failures(left, right, policy, alphabet))
+
+
+def check_interleaved(records: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:
+    """The first failure of an interleaved source."""
+    return first_pair_failure(interleaved_failures(records, policy, alphabet))

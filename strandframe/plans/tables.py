@@ -1,14 +1,33 @@
-"""Text reports from small result frames."""
+"""Text reports from small result frames; every module has a bounded number of rows."""
 
 from __future__ import annotations
 
+import math
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Thresholds at which modules warn and fail.
-GRADES = {"per_base_quality": ("p25", 10, 5), "n_content": ("n_percent", 5, 20), "adapter_content": ("percent", 5, 10), "overrepresented": ("percent", 0.1, 1)}
+from ..functions import reads as R
+from ..operators import qc
+
+#: Titles, columns and order of the modules of a quality-control text.
+MODULES = {
+    "base_quality": ("Per base sequence quality", "Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile", ["mean", "p50", "p25", "p75", "p10", "p90"]),
+    "tile_quality": ("Per tile sequence quality", "Tile\tBase\tMean", ["deviation"]),
+    "read_quality": ("Per sequence quality scores", "Quality\tCount", ["n"]),
+    "base_content": ("Per base sequence content", "Base\tG\tA\tT\tC", ["g", "a", "t", "c"]),
+    "gc_content": ("Per sequence GC content", "GC Content\tCount", ["reads"]),
+    "n_content": ("Per base N content", "Base\tN-Count", ["n_percent"]),
+    "lengths": ("Sequence Length Distribution", "Length\tCount", ["n"]),
+    "duplication": ("Sequence Duplication Levels", "Duplication Level\tPercentage of total", ["percent"]),
+    "overrepresented": ("Overrepresented sequences", "Sequence\tCount\tPercentage\tPossible Source", []),
+    "adapter_content": ("Adapter Content", "\t".join(["Position", *R.CONTENT_ADAPTERS]), list(R.CONTENT_ADAPTERS)),
+}
+#: Endings that a file's name loses, in this order, for the folder of its text.
+NAME_ENDINGS = [".gz", ".bz2", ".txt", ".fastq", ".fq", ".csfastq", ".sam", ".bam", ".ubam"]
+UNITS = ((10**9, "Gbp"), (10**6, "Mbp"), (10**3, "kbp"))
 
 
 def ratio_text(numerator: int, denominator: int) -> str:
@@ -18,6 +37,24 @@ def ratio_text(numerator: int, denominator: int) -> str:
     return str((Decimal(numerator) / Decimal(denominator)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
 
 
+def number_text(x: float | None) -> str:
+    """A double as Java writes it: shortest digits, at least one decimal, an E below 0.001 and from ten million on."""
+    if x is None or math.isnan(x):
+        return "NaN"
+    if math.isinf(x):
+        return "Infinity" if x > 0 else "-Infinity"
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        return np.format_float_positional(x, unique=True, trim="0")
+    return np.format_float_scientific(x, unique=True, trim="0", exp_digits=1).replace("e+", "E").replace("e", "E")
+
+
+def length_text(bases: int) -> str:
+    """Bases in the largest unit that fits, with the first decimal, cut off and left out if it is zero."""
+    size, unit = next(((s, u) for s, u in UNITS if bases >= s), (1, "bp"))
+    whole, decimals = number_text(bases / size).split(".")
+    return f"{whole}{'' if decimals[0] == '0' else '.' + decimals[0]} {unit}"
+
+
 def stats_text(stats: DataFrame) -> str:
     """``name: value`` lines of a one-row statistics frame."""
     r = stats.first().asDict()
@@ -26,17 +63,88 @@ def stats_text(stats: DataFrame) -> str:
     return "\n".join(f"{k}: {ratio_text(*ratios[k]) if k in ratios else '-' if v is None else v}" for k, v in r.items())
 
 
-def grade(module: DataFrame, name: str) -> DataFrame:
-    """One row: pass, warn or fail by the worst value of a module's column."""
-    column, warn, fail = GRADES[name]
-    low = warn > fail
-    worst = F.min(column) if low else F.max(column)
-    over = (lambda t: F.col("worst") < t) if low else (lambda t: F.col("worst") > t)
-    return module.agg(worst.alias("worst")).select(F.lit(name).alias("module"), "worst", F.when(over(fail), "fail").when(over(warn), "warn").otherwise("pass").alias("grade"))
+def qc_modules(reads: DataFrame) -> dict[str, DataFrame]:
+    """Every module over one set of reads, by name; lengths by bins."""
+    cycles = qc.per_cycle(reads)
+    return {
+        "base_quality": qc.base_quality(cycles), "tile_quality": qc.tile_quality(reads), "read_quality": qc.read_quality(reads), "base_content": qc.base_content(cycles), "gc_content": qc.read_gc(reads),
+        "n_content": qc.base_n(cycles), "lengths": qc.length_distribution(reads), "duplication": qc.duplication_levels(reads), "overrepresented": qc.overrepresented(reads), "adapter_content": qc.adapter_content(reads),
+    }
+
+
+def grades(reads: DataFrame, modules: dict[str, DataFrame]) -> DataFrame:
+    """module and grade; lengths are graded by the lengths themselves, not by bins."""
+    return qc.module_grades(modules | {"lengths": reads.select(F.length("seq").alias("len")).distinct()})
+
+
+def label(first: int, last: int) -> str:
+    return str(first) if first == last else f"{first}-{last}"
+
+
+def basic_lines(reads: DataFrame, filename: str) -> list[str]:
+    r = qc.basic_statistics(reads).first().asDict()
+    low, high = r["min_length"] or 0, r["max_length"] or 0
+    values = {
+        "Filename": filename, "File type": "Conventional base calls" if r["reads"] else "null", "Encoding": "Sanger / Illumina 1.9", "Total Sequences": r["reads"], "Total Bases": length_text(r["bases"]),
+        "Sequence length": label(low, high), "Mean Length": r["bases"] // r["reads"] if r["reads"] else 0, "Median Length": r["median_length"] or 0, "%GC": r["gc_percent"] or 0,
+    }
+    return [">>Basic Statistics\tpass", "#Measure\tValue", *(f"{k}\t{v}" for k, v in values.items()), ">>END_MODULE"]
+
+
+def module_lines(name: str, rows: list[dict], grade: str, sources: dict[str, str]) -> list[str]:
+    title, header, columns = MODULES[name]
+    lines = [f">>{title}\t{grade}"]
+    if name == "duplication":
+        lines.append(f"#Total Deduplicated Percentage\t{number_text(rows[0]['left_percent'])}")
+    if rows or name not in ("overrepresented", "adapter_content"):
+        lines.append("#" + header)
+    if name == "adapter_content":
+        by_place: dict[tuple, dict] = {}
+        for r in rows:
+            by_place.setdefault((r["first"], r["last"]), {})[r["adapter"]] = r["percent"]
+        rows = [{"first": a, "last": b} | v for (a, b), v in by_place.items()]
+    if name == "overrepresented":
+        cells = [[r["key"], str(r["n"]), number_text(math.floor(r["percent"] * 100 + 0.5) / 100), sources.get(r["key"], "No Hit")] for r in sorted(rows, key=lambda r: (-r["n"], r["first_idx"]))]
+    elif name == "duplication":
+        at = {r["level"]: r["percent"] for r in rows}
+        cells = [[level, number_text(at[level])] for level in qc.LEVELS]
+    else:
+        head = {"read_quality": "q", "gc_content": "bin"}.get(name)
+        order = (lambda r: r[head]) if head else lambda r: (r.get("tile") or 0, r["first"])
+        start = lambda r: [str(r[head])] if head else ([str(r["tile"])] if name == "tile_quality" else []) + [label(r["first"], r["last"])]
+        cells = [start(r) + [number_text(None if r[c] is None else float(r[c])) for c in columns] for r in sorted(rows, key=order)]
+    return [*lines, *map("\t".join, cells), ">>END_MODULE"]
+
+
+def qc_text(reads: DataFrame, filename: str, title: str, contaminants: DataFrame | None = None) -> str:
+    """All modules of one set of reads in their fixed order, graded; values have at most nine decimals.
+
+    Quality and tile modules are left out where there is nothing to show. ``title`` is the first line.
+    """
+    modules = qc_modules(reads)
+    grade = dict(map(tuple, grades(reads, modules).collect()))
+    sources = {}
+    if contaminants is not None:
+        hits = qc.contaminant_hits(modules["overrepresented"].select("key"), contaminants)
+        sources = {r["key"]: f"{r['name']} ({r['identity']}% over {r['bases_matched']}bp)" for r in hits.collect()}
+    lines = [title, *basic_lines(reads, filename)]
+    for name, module in modules.items():
+        rows = [r.asDict() for r in module.collect()]
+        if rows or name not in ("base_quality", "tile_quality", "read_quality"):
+            lines += module_lines(name, rows, grade[name], sources)
+    return "\n".join(lines) + "\n"
 
 
-def module_table(title: str, module: DataFrame, order: list[str], grade_text: str = "pass") -> str:
-    """A titled, tab-separated table between markers; modules have a bounded number of rows."""
-    rows = module.orderBy(*order).collect()
-    lines = [f">>{title}\t{grade_text}", "#" + "\t".join(module.columns), *("\t".join("" if v is None else str(v) for v in r) for r in rows), ">>END_MODULE"]
-    return "\n".join(lines)
+def text_folders(names: list[str]) -> list[str]:
+    """The folder of each file's text; a ValueError for names with a tab or line end, and for two files with one folder."""
+    folders = []
+    for name in names:
+        base = name.rsplit("/", 1)[-1]
+        if set(base) & set("\t\r\n"):
+            raise ValueError(f"a quality-control text can't name {base!r}")
+        for ending in NAME_ENDINGS:
+            base = base.removesuffix(ending)
+        folders.append(base + "_fastqc")
+    if len(set(folders)) < len(folders):
+        raise ValueError("two of the files would share a folder")
+    return folders

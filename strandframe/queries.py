@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import reads as R
 from .operators import filters, inserts, qc, sample, stats, transform, validate
-from .sources import derive
+from .plans import process, tables
+from .sources import contaminants, derive
 
 TRIM = transform.Trim(tail_window=4, tail_quality=20, poly_g=10, adapter1=derive.ADAPTER_1, adapter2=derive.ADAPTER_2)
 FILTER = filters.Filter(min_length=15, max_n=3, low_quality=15, max_low_percent=40)
@@ -102,36 +103,37 @@ def validate_quality_range(spark, d):
     return docs.select(F.col("doc_id").alias("idx"), R.bad_quality_index(F.col("text")).cast("long").alias("bad_at")).where("bad_at is not null")
 
 
-#: Records with planted faults: what each derived read has in place of a good field, by its index.
-def faulty_sql(kind: str, table: str) -> str:
-    return f"""(select src, idx, case when idx % 17 = 3 then substr(header, 2) else concat('@', header) end header,
-    case when idx % 19 = 4 then concat(substr(seq, 1, 5), 'X', substr(seq, 7)) else seq end seq,
-    case when idx % 23 = 5 then '-' else '+' end plus,
-    case when idx % 29 = 6 then substr(qual, 2) when idx % 31 = 7 then concat(substr(qual, 1, 3), ' ', substr(qual, 5)) else qual end qual from {table})"""
+def faults(at: str = "idx", k: str = "") -> dict[str, str]:
+    """Records with planted faults, by their index, in expressions that both dialects evaluate alike; k is the mate."""
+    header, seq, qual = (f"h{k}", f"s{k}", f"q{k}") if k else ("header", "seq", "qual")
+    return {
+        "header": f"case when {at} % 17 = 3 then {header} else concat('@', {header}) end", "seq": f"case when {at} % 19 = 4 then concat(substr({seq}, 1, 5), 'X', substr({seq}, 7)) else {seq} end",
+        "plus": f"case when {at} % 23 = 5 then '-' else '+' end", "qual": f"case when {at} % 29 = 6 then substr({qual}, 2) when {at} % 31 = 7 then concat(substr({qual}, 1, 3), ' ', substr({qual}, 5)) else {qual} end",
+    }
 
 
-def faulty_records(spark: SparkSession, d: str) -> DataFrame:
-    reads = derive.reads(spark, d)
-    pick = lambda m, r, bad, good: F.when(F.col("idx") % m == r, bad).otherwise(good)
-    qual = F.when(F.col("idx") % 29 == 6, F.expr("substr(qual, 2)")).when(F.col("idx") % 31 == 7, F.expr("concat(substr(qual, 1, 3), ' ', substr(qual, 5))")).otherwise(F.col("qual"))
-    zero = {f"off_{c}": F.lit(0) for c in ("header", "seq", "plus", "qual")}
-    return reads.withColumns(
-        {"header": pick(17, 3, F.expr("substr(header, 2)"), F.concat(F.lit("@"), "header")), "seq": pick(19, 4, F.expr("concat(substr(seq, 1, 5), 'X', substr(seq, 7))"), F.col("seq")), "plus": pick(23, 5, F.lit("-"), F.lit("+")), "qual": qual, "end_offset": F.lit(0)} | zero
-    )
+def with_faults(rows: DataFrame, *keep: str, at: str = "idx", k: str = "") -> DataFrame:
+    zero = [f"0 as {c}" for c in ("off_header", "off_seq", "off_plus", "off_qual", "end_offset")]
+    return rows.selectExpr(*keep, *(f"{e} as {c}" for c, e in faults(at, k).items()), *zero)
+
 
+def faults_sql(table: str, *keep: str, at: str = "idx", k: str = "") -> str:
+    return "(select " + ", ".join([*keep, *(f"{e} as {c}" for c, e in faults(at, k).items())]) + f" from {table})"
 
-VIOLATIONS = f"""(select src, idx, case when not regexp_matches(header, '^@[^ \t]') then 'S003' when plus[1] <> '+' then 'S001' when length(seq) <> length(qual) then 'S005'
-    when not regexp_full_match(seq, '[ACGTURYSWKMBDHVNacgturyswkmbdhvn]*') then 'S002' when not regexp_full_match(qual, '[!-~]*') then 'S006' end code from {faulty_sql("varchar", READS)})"""
+
+STRUCTURE = "case when not regexp_matches(header, '^@[^ \t]') then 'S003' when plus[1] <> '+' then 'S001' when length(seq) <> length(qual) then 'S005' end"
+CONTENT = "case when not regexp_full_match(seq, '[ACGTURYSWKMBDHVNacgturyswkmbdhvn]*') then 'S002' when not regexp_full_match(qual, '[!-~]*') then 'S006' end"
+VIOLATIONS = f"(select src, idx, coalesce({STRUCTURE}, {CONTENT}) code from {faults_sql(READS, 'src', 'idx')})"
 
 
 @query(f"select code, count(*) n from {VIOLATIONS} where code is not null group by code")
 def violation_counts_by_code(spark, d):
-    return validate.violations(faulty_records(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
+    return validate.violations(with_faults(derive.reads(spark, d), "src", "idx")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query(f"select src, min(idx) idx, arg_min(code, idx) code from {VIOLATIONS} where code is not null group by src")
 def first_violation(spark, d):
-    return validate.first_violation(validate.violations(faulty_records(spark, d))).select("src", "idx", "code")
+    return validate.first_violation(validate.violations(with_faults(derive.reads(spark, d), "src", "idx"))).select("src", "idx", "code")
 
 
 # --- names and pairs --------------------------------------------------------------------------------------------------
@@ -188,7 +190,45 @@ def two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""select idx, case when idx % 101 = 7 or idx % 103 = 8 then 'P002' else 'P001' end code from {PAIRS}
     where (idx % 101 = 7 or idx % 103 = 8 or idx % 13 = 0) and not (idx % 101 = 7 and idx % 103 = 8)""")
 def pair_missing_mate(spark, d):
-    return validate.pair_violations(*two_sides(spark, d))
+    return validate.pair_violations(*two_sides(spark, d)).select("idx", "code")
+
+
+def side_sql(k: int, gap: str) -> str:
+    return f"(select idx, header, {STRUCTURE} s, {CONTENT} c from {faults_sql(PAIRS, 'idx', at=f'(idx + {k})', k=str(k))} where {gap})"
+
+
+@query(f"""with a as {side_sql(1, "idx % 101 <> 7")}, b as {side_sql(2, "idx % 103 <> 8")}, j as (select coalesce(a.idx, b.idx) idx, a.s s1, b.s s2, a.c c1, b.c c2, a.idx i1, b.idx i2, idx % 13 = 0 odd from a full join b using (idx))
+    select idx, coalesce(s1, s2, case when i1 is null or i2 is null then 'P002' end, c1, c2, 'P001') code,
+    case when s1 is not null then 1 when s2 is not null then 2 when i2 is null then 1 when i1 is null then 2 when c1 is not null then 1 when c2 is not null then 2 end mate,
+    case when s1 is null and s2 is null and i2 is null then i1 when s1 is null and s2 is null and i1 is null and i2 > 0 then i2 - 1 end last1,
+    case when s1 is null and s2 is null and i1 is null then i2 when s1 is null and s2 is null and i2 is null and i1 > 0 then i1 - 1 end last2
+    from j where s1 is not null or s2 is not null or i1 is null or i2 is null or c1 is not null or c2 is not null or odd""")
+def pair_failures(spark, d):
+    pairs = derive.pairs(spark, d)
+    sides = [with_faults(pairs.where(gap), "'a' as src", "idx", at=f"(idx + {k})", k=str(k)) for k, gap in ((1, "idx % 101 <> 7"), (2, "idx % 103 <> 8"))]
+    return process.pair_failures(*sides).select("idx", "code", "mate", "last1", "last2")
+
+
+@query(f"""with r as (select idx // 2 idx, idx % 2 k, {STRUCTURE} s, {CONTENT} c from {faults_sql(READS, "idx")}),
+    j as (select idx, max(s) filter (where k = 0) s1, max(s) filter (where k = 1) s2, max(c) filter (where k = 0) c1, max(c) filter (where k = 1) c2, count(*) n from r group by 1)
+    select idx, coalesce(s1, s2, case when n = 1 then 'P002' end, c1, c2, 'P001') code, case when s1 is not null then 1 when s2 is not null then 2 when n = 1 or c1 is not null then 1 when c2 is not null then 2 end mate from j""")
+def interleaved_failures(spark, d):
+    return process.interleaved_failures(with_faults(derive.reads(spark, d), "'a' as src", "idx")).select("idx", "code", "mate")
+
+
+@query(f"""select idx, mate, case when h in ('') then 'empty name' when length(s) <> length(q) then 'length mismatch' when right(q, 1) = chr(13) then 'carriage return at an end' end reason from (
+    select idx, 1 mate, case when idx % 37 = 1 then '' else h1 end h, s1 s, case when idx % 41 = 2 then substr(q1, 2) when idx % 43 = 3 then concat(substr(q1, 2), chr(13)) else q1 end q from {PAIRS})
+    where h = '' or length(s) <> length(q) or right(q, 1) = chr(13)""")
+def unwritable_records(spark, d):
+    made = derive.pairs(spark, d).selectExpr("idx", "case when idx % 37 = 1 then '' else h1 end header", "s1 seq", "case when idx % 41 = 2 then substr(q1, 2) when idx % 43 = 3 then concat(substr(q1, 2), chr(13)) else q1 end qual")
+    return validate.unwritable(made).select("idx", F.lit(1).alias("mate"), "reason")
+
+
+@query(r"""select doc_id, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+    lambda h: case when h = '5C' then '\\' when h between '20' and '7E' then decode(unhex(h)) else concat('\x', h) end), '')) escaped_md5 from documents""")
+def escaped_bytes(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.md5(R.escaped_bytes(F.col("text"))).alias("escaped_md5"))
 
 
 @query(f"select a.idx, a.h1, a.s1, a.q1, a.h2, a.s2, a.q2 from {PAIRS} a where idx % 101 <> 7 and idx % 103 <> 8")
@@ -598,23 +638,71 @@ def overrepresented(spark, d):
     return qc.overrepresented(derive.reads(spark, d))
 
 
-_LIST = " union all ".join(f"select {i} place, '{n}' as name, '{b}' bases" for i, (n, b) in enumerate(CONTAMINANTS))
+_LIST = " union all ".join(f"select {i} place, '{n}' as name, '{b}' bases" for i, (n, b) in enumerate(CONTAMINANTS, 1))
+#: Ends of reads, so that adapters stand in the keys; every third one has an error in it.
+ENDS = "case when idx % 3 = 0 then concat(substr(s1, 12, 32), 'T', substr(s1, 45)) else substr(s1, 12 + cast(idx % 40 as int)) end"
+KEYS_OF_ENDS = f"(select substr(seq, 1, 50) key, count(*) n from (select {ENDS} seq from {PAIRS}) group by 1)"
 
 
-@query(f"""with k as (select substr(s1, 1, 50) key, count(*) n from {PAIRS} group by 1), c as (select *, reverse(translate(bases, 'ACGT', 'TGCA')) back from ({_LIST})),
-    h as (select key, n, name, least(length(key), length(bases)) bases_matched, row_number() over (partition by key order by least(length(key), length(bases)) desc, place) r from k, c
-    where (length(key) between 8 and 19 and (instr(bases, key) > 0 or instr(back, key) > 0)) or instr(key, bases) > 0 or instr(key, back) > 0) select key, n, name, bases_matched from h where r = 1""")
+@query(f"""with k as {KEYS_OF_ENDS}, c as (select *, reverse(translate(bases, 'ACGT', 'TGCA')) back from ({_LIST})), w as (select *, length(key) between 8 and 19 and (instr(bases, key) > 0 or instr(back, key) > 0) inside from k, c),
+    l as (select key, n, place, name, strand, case strand when 0 then bases else back end s from w, (values (0), (1)) t(strand) where not inside),
+    o as (select *, unnest(range(20 - length(s), length(key) - 20)) shift from l),
+    m as (select *, array_to_string(list_transform(range(greatest(1, 1 + shift), least(length(key), length(s) + shift) + 1), lambda i: case when key[i] = s[i - shift] then '1' else '0' end), '') a from o),
+    r as (select key, n, place, name, strand, shift, unnest(regexp_extract_all(a, '(1*0?1*)(0|$)', 1)) run from m),
+    f as (select key, n, place, name, strand, shift, length(rtrim(run, '0')) size, (length(rtrim(run, '0')) - cast(instr(run, '0') > 0 as int)) * 100 // length(rtrim(run, '0')) identity from r where length(rtrim(run, '0')) >= 21),
+    e as (select key, n, place, name, size, identity from (select *, row_number() over (partition by key, place order by size desc, strand, shift, identity desc) x from f) where x = 1
+        union all select key, n, place, name, length(key), 100 from w where inside)
+    select key, n, name, cast(identity as int) identity, size bases_matched from (select *, row_number() over (partition by key order by size desc, identity desc, place) y from e) where y = 1""")
 def contaminant_hits(spark, d):
-    keys = qc.sequence_keys(derive.pairs(spark, d).select("idx", F.col("s1").alias("seq")))
-    return qc.contaminant_hits(keys.select("key", "n"), CONTAMINANTS)
+    keys = qc.sequence_keys(derive.pairs(spark, d).selectExpr("idx", f"{ENDS} as seq"))
+    return qc.contaminant_hits(keys.select("key", "n"), contaminants.contaminants(spark, CONTAMINANTS))
 
 
-@query(f"""with c as (select try_cast(split_part(header, ':', 5) as int) tile, cast(cycle as int) "first", sum(q) / count(*) mean from {BASES} group by 1, 2)
-    select tile, "first", "first" "last", round(mean, 6) mean, round(mean - avg(mean) over (partition by "first"), 6) deviation from c""")
+@query(f"""with c as (select try_cast(split_part(header, ':', 5) as int) tile, cast(cycle as int) "first", sum(q) / count(*) mean from {BASES} group by 1, 2),
+    g as (select tile, "first", coalesce(mean, 0) mean from (select distinct tile from c) cross join (select distinct "first" from c) left join c using (tile, "first"))
+    select tile, "first", "first" "last", round(mean, 6) mean, round(mean - avg(mean) over (partition by "first"), 6) deviation from g""")
 def tile_quality(spark, d):
     return qc.tile_quality(derive.reads(spark, d))
 
 
+@query(f"""with k as (select substr(seq, 1, 4) key, count(*) n, min(idx) first_idx from {READS} group by 1) select key, n, first_idx, round(n * 100.0 / (select count(*) from documents), 9) percent from k where n * 100.0 / (select count(*) from documents) > 0.1""")
+def overrepresented_starts(spark, d):
+    return qc.overrepresented(derive.reads(spark, d).withColumn("seq", F.substring("seq", 1, 4)))
+
+
+def deviation_sql(bins: str) -> str:
+    return f"""(with g as ({bins}), p as (select arg_min(bin, (-reads, bin)) peak, max(reads) * 0.9 least, sum(reads) total from g),
+    e as (select max(bin) filter (where reads <= least and bin < peak) a, min(bin) filter (where reads <= least and bin > peak) b, any_value(peak) peak, any_value(total) total from g, p),
+    c as (select total, coalesce((a + b) / 2.0, peak) centre from e), v as (select any_value(total) total, any_value(centre) centre, sum((bin - centre) ** 2 * reads) / (any_value(total) - 1) variance from g, c)
+    select round(sum(abs(exp(-((bin - centre) ** 2) / (2 * variance)) / sqrt(2 * pi() * variance) * total - reads)) * 100 / any_value(total), 6) deviation from g, v where variance > 0)"""
+
+
+@query(f"select deviation from {deviation_sql(ORACLE_SQL['per_sequence_gc'])}")
+def gc_deviation(spark, d):
+    return qc.gc_deviation(qc.read_gc(derive.reads(spark, d)))
+
+
+def graded_sql(module: str, fail: str, warn: str, table: str) -> str:
+    return f"select '{module}' as module, case when {fail} then 'fail' when {warn} then 'warn' else 'pass' end grade from {table}"
+
+
+@query(" union all ".join([
+    graded_sql("base_quality", "min(p25) < 5 or min(p50) < 20", "min(p25) < 10 or min(p50) < 25", f"({ORACLE_SQL['per_base_quality']})"),
+    graded_sql("tile_quality", "max(abs(deviation)) > 10", "max(abs(deviation)) > 5", f"({ORACLE_SQL['tile_quality']})"),
+    graded_sql("read_quality", "arg_min(q, (-n, q)) <= 20", "arg_min(q, (-n, q)) <= 27", f"({ORACLE_SQL['per_sequence_quality']})"),
+    graded_sql("base_content", "max(greatest(abs(a - t), abs(g - c))) > 20", "max(greatest(abs(a - t), abs(g - c))) > 10", f"({ORACLE_SQL['per_base_content']})"),
+    graded_sql("gc_content", "max(deviation) > 30", "max(deviation) > 15", deviation_sql(ORACLE_SQL["per_sequence_gc"])),
+    graded_sql("n_content", "max(n_percent) > 20", "max(n_percent) > 5", f"({ORACLE_SQL['per_base_n']})"),
+    graded_sql("lengths", "min(length(seq)) = 0", "count(distinct length(seq)) > 1", READS),
+    graded_sql("duplication", "min(left_percent) < 50", "min(left_percent) < 70", f"({ORACLE_SQL['duplication_levels']})"),
+    graded_sql("overrepresented", "max(percent) > 1", "count(*) > 0", f"({ORACLE_SQL['overrepresented']})"),
+]))
+def module_grades(spark, d):
+    reads = derive.reads(spark, d)
+    modules = tables.qc_modules(reads)
+    return tables.grades(reads, {m: f for m, f in modules.items() if m != "adapter_content"})
+
+
 @query(f"""with m as (select 1 mate, s1 seq, q1 qual from {PAIRS} union all select 2, s2, q2 from {PAIRS}) select count(*) total_reads, cast(sum(length(seq)) as bigint) total_bases,
     cast(sum({high(20)}) as bigint) q20_bases, cast(sum({high(30)}) as bigint) q30_bases, round(sum({count_of("GC")}) / sum(length(seq)), 9) gc_content,
     cast(floor(avg(length(seq)) filter (where mate = 1)) as bigint) read1_mean_length, cast(floor(avg(length(seq)) filter (where mate = 2)) as bigint) read2_mean_length from m""")

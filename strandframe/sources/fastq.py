@@ -7,9 +7,14 @@ are numbered within their split. No task sees a whole file, unless it is compres
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.validate import field_fault
+
 FIELDS = ["header", "seq", "plus", "qual"]
 
 
@@ -51,10 +56,12 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fastq_text(records: DataFrame) -> DataFrame:
-    """One string column ``value`` for each record in canonical form."""
+    """One string column ``value`` for each record in canonical form; a record that wouldn't read back fails the job."""
     plus = F.col("plus") if "plus" in records.columns else F.lit("+")
     header = F.when(F.col("header").startswith("@"), F.col("header")).otherwise(F.concat(F.lit("@"), F.col("header")))
-    return records.select(F.concat_ws("\n", header, "seq", plus, "qual").alias("value"))
+    fault = field_fault(F.col("header"), F.col("seq"), F.col("qual"), plus)
+    value = F.concat_ws("\n", header, "seq", F.coalesce(plus, F.lit("+")), "qual")
+    return records.select(F.when(fault.isNull(), value).otherwise(F.raise_error(F.concat(F.lit("unwritable record "), F.col("idx").cast("string"), F.lit(": "), fault)).cast("string")).alias("value"))
 
 
 def write_fastq(records: DataFrame, path: str, order: list[str], compression: str | None = None) -> None:
@@ -62,3 +69,18 @@ def write_fastq(records: DataFrame, path: str, order: list[str], compression: st
     ordered = records.orderBy(*order)
     writer = fastq_text(ordered).write.mode("errorifexists").option("lineSep", "\n")
     (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def input_state(spark: SparkSession, path: str | list[str]) -> set[tuple]:
+    """Name, size and time of change of every input file; a row for each file reaches the driver."""
+    meta = [F.col(f"_metadata.file_{c}") for c in ("path", "size", "modification_time")]
+    return {tuple(r) for r in spark.read.format("binaryFile").load(path).select(*meta).distinct().collect()}
+
+
+@contextmanager
+def unchanged(spark: SparkSession, path: str | list[str]) -> Iterator[None]:
+    """Fails if an input changes while several passes go over it."""
+    before = input_state(spark, path)
+    yield
+    if input_state(spark, path) != before:
+        raise RuntimeError("input changed during the passes over it")
