@@ -33,8 +33,8 @@ GRAIN = 16
 END_ID = 2
 #: Fixed value of the vocabulary's format: its pre-tokenising pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS = 400_000
-CHUNK_CHARS = 4_000_000
+CACHE_WORDS = 150_000
+CHUNK_CHARS = 1_000_000
 CACHED_WORD_CHARS = 256
 
 
@@ -135,6 +135,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, sequence:
             longs = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
             doc_id = batch.column(0).take(pa.array(of, pa.int64()))
             yield pa.RecordBatch.from_arrays([doc_id, *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        word_encoder(path).cache = {"": b""}  # the worker goes on to other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -15,17 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import materialise, whole_text
+from .base import materialise
+from .toxic_features import FEATURES, features, mark_pattern
 from .training import fold, sample_ids
 
-#: Words of abuse in four languages, and pronouns of the second person; parameters of the features.
-LEXICON = (
-    "idiot idiots moron morons stupid loser losers trash scum worthless pathetic disgusting clown clowns dumb dumbass imbecile fool jerk filth vermin "
-    "bastard bitch asshole retard freak ugly garbage crap shit fuck fucking kill die hate dummkopf trottel arschloch abschaum dreck hurensohn versager "
-    "connard salaud salope crétin abruti ordure minable idiota imbécil estúpido estúpida basura escoria payaso inútil cabrón gilipollas mierda"
-).split()
-SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi te vous ton ta votre tú ti usted ustedes vosotros".split()
-PROXIMITY = 6
 PER_CLASS = 4000
 LONGEST = 32_000
 FOLDS, HELD_OUT = 5, 0
@@ -34,43 +26,8 @@ THRESHOLD = 0.5
 MARK_LENGTHS = range(3, 11)
 MARKS = 64
 MARK_SHARE = 0.02
-FEATURES = ["mark_rate", "mark_hits", "mark_kinds", "log_words", "lexicon_rate", "lexicon_hits", "lexicon_kinds", "near_second_person", "second_person_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "symbol_rate", "obfuscated_rate", "stretched_rate"]
-
-_HIT = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(LEXICON, key=len, reverse=True)))
-_SECOND = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(SECOND_PERSON, key=len, reverse=True)))
-_SHOUT = re.compile(r"(?<!\w)[A-Z]{3,}(?!\w)")
-_OBFUSCATED = re.compile(r"[A-Za-z]+(?:[@$*#]+|[0-9]+)[A-Za-z]+")
-_STRETCHED = re.compile(r"([a-z])\1\1")
-_NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
-_PLAIN = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'\"-!?")
-
-
-def mark_pattern(marks: list[str]) -> re.Pattern:
-    """Finds words that begin with a mark; without marks it finds nothing."""
-    if not marks:
-        return re.compile(r"(?!)")
-    first = "".join(sorted({re.escape(m[0]) for m in marks}))
-    return re.compile(r"(?<!\w)(?=[%s])(?:%s)" % (first, "|".join(map(re.escape, sorted(marks, key=len)))))
-
-
-def features(text: str, marked: re.Pattern) -> tuple[float, ...]:
-    """Dense features of one whole text; the empty text has zeros only."""
-    raw, low = text.encode("utf-8", "replace"), text.lower()
-    words = len(text.split()) or 1
-    hits = [(m.start(), m[0]) for m in _HIT.finditer(low)]
-    near = 0
-    for at, word in hits:  # the lexicon's words with a second person within a few words on either side
-        before = " ".join(low[max(0, at - 120) : at].split()[-PROXIMITY:])
-        after = " ".join(low[at + len(word) : at + len(word) + 120].split()[:PROXIMITY])
-        near += bool(_SECOND.search(before) or _SECOND.search(after))
-    chars = max(1, len(raw))
-    marks = marked.findall(low)
-    return (
-        len(marks) / words, float(len(marks)), float(len(set(marks))),
-        math.log(words), len(hits) / words, float(len(hits)), float(len({w for _, w in hits})), float(near), sum(1 for _ in _SECOND.finditer(low)) / words,
-        len(raw.translate(None, _NOT_CAPITAL)) / chars, len(_SHOUT.findall(text)) / words, text.count("!") / chars, text.count("?") / chars,
-        len(raw.translate(None, _PLAIN)) / chars, len(_OBFUSCATED.findall(text)) / words, len(_STRETCHED.findall(low)) / words,
-    )
+#: Texts whose features are worked out at once.
+SLICE = 500
 
 
 def learn_marks(rows: DataFrame, least_share: float = MARK_SHARE, most: int = MARKS) -> list[str]:
@@ -105,17 +62,26 @@ def learn_marks(rows: DataFrame, least_share: float = MARK_SHARE, most: int = MA
 
 
 def with_features(docs: DataFrame, keep: list[str], marks: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and one double column for each feature. Narrow; null texts count as empty."""
+    """The kept columns and one double column for each feature. Narrow; null texts count as empty.
+
+    If a kept column is a struct that holds the text, the text is read from there (``doc.text``) and sent once.
+    """
+    whole, _, part = text_col.partition(".")
+
+    def texts(b: pa.RecordBatch) -> pa.Array:
+        return b.column(whole).field(part) if part else b.column(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = mark_pattern(marks)
-        for b in batches:
-            rows = [features(t, marked) for t in b.column("_text").to_pylist()]
-            made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *FEATURES])
+        for big in batches:
+            for at in range(0, len(big), SLICE):
+                b = big.slice(at, SLICE)
+                rows = [features(t or "", marked) for t in texts(b).to_pylist()]
+                made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *FEATURES])
 
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
-    return docs.select(*keep, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, whole])).mapInArrow(run, schema)
 
 
 class ToxicityModel:
@@ -179,6 +145,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     are scored like all others and stay if they score below. An empty table stays empty.
     """
     model = fit_toxicity(docs, labels)
-    rows = with_features(docs.select(F.struct(*docs.columns).alias("doc"), "text"), ["doc"], model.marks)
+    rows = with_features(docs.select(F.struct(*docs.columns).alias("doc")), ["doc"], model.marks, "doc.text")
     kept = model.score(rows, ["doc"]).where(F.col("score") < threshold)
     return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
