@@ -443,3 +443,13 @@ def test_toxicity_features_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     found = kept.collect()
     assert {r["doc_id"] for r in found} == {i for i in range(300) if i % 2 == 0} and {r["raw"] for r in found} == {"own raw"}
+
+
+def test_features_of_a_text_inside_a_struct(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 2)
+    texts = ["You idiot!", None, "", "calm words", "SHOUT at you"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain = toxicity.with_features(docs, ["doc_id"], ["calm"]).orderBy("doc_id").collect()
+    inner = toxicity.with_features(docs.selectExpr("struct(doc_id, text) doc"), ["doc"], ["calm"], "doc.text").orderBy("doc.doc_id").collect()
+    assert [tuple(r)[1:] for r in plain] == [tuple(r)[1:] for r in inner] == [toxicity.features(t or "", toxicity.mark_pattern(["calm"])) for t in texts]
+    assert [r["doc"]["text"] for r in inner] == texts
