@@ -57,13 +57,23 @@ def materialise(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> str:
+    """The path of something written in the shared folder, which Hadoop removes when the driver ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a compressed table in the shared folder, for wide rows of which later steps read some columns only."""
+    """The rows as a compressed table in the shared folder, for wide rows of which later steps read some columns only.
+
+    Results are read from it when the caller gets to them, so it stays until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(removed_at_end(spark, path))
 
 
 def among(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, license_scan, line_dedup, order_minhash, packing, quality, secret_scan, simhash, toxicity
+from . import ann, bpe, license_scan, line_dedup, order_minhash, packing, quality, runs, secret_scan, simhash, toxicity, warc, whitening
 from .base import table, tokenizer_path
 
 
@@ -65,6 +65,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("notice_lines")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every vector, and how exact they are."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of which get a periodic tail first."""
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the secret scan that fixed patterns give."""
     return op4_secret_scan(spark, sf_dir).drop("spans")
@@ -96,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_periodic_runs": op13_periodic_runs,
     "secret_patterns": secret_patterns,
     "edited_texts": edited_texts,
     "decoded_texts": decoded_texts,
@@ -151,7 +169,13 @@ LICENSE_PHRASES = f"""with w as (select doc_id, list_filter(regexp_split_to_arra
 p as ({_PLACES}), a as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word, string_agg(distinct label, ',' order by label) base_labels from p group by doc_id)
 select doc_id, len(ws)::bigint n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels from w left join a using (doc_id)"""
 
+#: What the archives must give back.
+WARC = """with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+f as (select payload_digest, min(page_id) f from p where payload_bytes >= 100 group by all)
+select page_id, payload_bytes::bigint payload_bytes, payload_digest, case when f is null or f = page_id then 'response' else 'revisit' end record_type, nullif(f, page_id) refers_to from p left join f using (payload_digest)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_warc": WARC,
     "op1_line_dedup": LINE_DEDUP,
     "secret_patterns": SECRET_PATTERNS,
     "edited_texts": EDITED_TEXTS,
