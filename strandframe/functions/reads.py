@@ -48,10 +48,6 @@ def scores(qual: Column) -> Column:
     return F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 33)
 
 
-def score_sum(qual: Column) -> Column:
-    return F.when(F.length(qual) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(scores(qual), F.lit(0).cast("long"), lambda a, x: a + x))
-
-
 def at_least(qual: Column, score: int) -> Column:
     """Bases with a score of at least ``score``."""
     return F.length(qual) - F.length(F.regexp_replace(qual, f"[\\x{33 + score:02x}-\\x7e]", ""))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import flat, places, sums
+
 #: Fixed values of the histogram and the hashes.
 LARGEST = 512
 HASH_ROW, HASH_START, HASH_GAP = 512, 10_000, 10_000
@@ -48,22 +54,39 @@ def hash_primes() -> tuple[list[int], list[int]]:
     return rows
 
 
-def pair_hash(both: Column, row: int) -> Column:
-    """Sum over the joined mates of prime x (value of the base + place), modulo 2^32."""
-    primes = F.array(*(F.lit(p).cast("long") for p in hash_primes()[row]))
-    value = lambda c: F.coalesce(*(F.when(c == b, F.lit(v)) for b, v in BASE_VALUES.items()), F.lit(OTHER_VALUE)).cast("long")
-    terms = F.transform(F.split(both, ""), lambda c, i: F.element_at(primes, i % HASH_ROW + 1) * (value(c) + i))
-    return F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: (a + x) % F.lit(1 << 32))
+def hashed_pairs(pairs: DataFrame) -> DataFrame:
+    """idx, hash1, hash2: over the joined mates the sum of prime x (value of the base + place), modulo 2^32, for either row.
+
+    One narrow stage over the bytes of many pairs; an empty pair's hashes are 0.
+    """
+    names = ["idx", "hash1", "hash2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        primes = np.array(hash_primes(), np.uint64)
+        values = np.full(256, OTHER_VALUE, np.uint64)
+        values[[ord(b) for b in BASE_VALUES]] = list(BASE_VALUES.values())
+        for batch in batches:
+            joined, at = flat(batch.column(1))
+            place = places(at)
+            term = values[joined] + place.astype(np.uint64)
+            found = [(sums(row[place % HASH_ROW] * term, at) & np.uint64(0xFFFFFFFF)).astype(np.int64) for row in primes]  # 2^64 is a multiple of 2^32
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names)
+
+    kind = pairs.schema["idx"].dataType.simpleString()
+    return pairs.select("idx", F.concat(*(F.coalesce(c, F.lit("")) for c in ("s1", "s2"))).alias("both")).mapInArrow(run, f"idx {kind}, hash1 long, hash2 long")
 
 
 def pair_duplicates(pairs: DataFrame) -> DataFrame:
     """Adds ``duplicate``: an earlier pair has the first hash and an earlier pair has the second one.
 
-    The least index of each hash value is one aggregation with partial sums, so a value that many pairs share is not
-    gathered anywhere; the small results are joined back.
+    The least index of each hash value that several pairs have is an aggregation with partial sums, so a value that many
+    pairs share is not gathered anywhere; hashes that occur once take no part in what is joined back. The hashes are
+    kept (24 bytes a pair, on disk where memory is short) until the session ends or its cache is cleared.
     """
-    hashed = pairs.select("idx", *(pair_hash(F.concat("s1", "s2"), r).alias(f"hash{r + 1}") for r in (0, 1)))
+    hashed = hashed_pairs(pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    out = hashed
     for r in (1, 2):
-        first = hashed.groupBy(f"hash{r}").agg(F.min("idx").alias(f"first{r}"))
-        hashed = hashed.join(first, f"hash{r}")
-    return hashed.select("idx", "hash1", "hash2", ((F.col("idx") > F.col("first1")) & (F.col("idx") > F.col("first2"))).alias("duplicate"))
+        first = hashed.groupBy(f"hash{r}").agg(F.min("idx").alias(f"first{r}"), F.count("*").alias("n")).where("n > 1").drop("n")
+        out = out.join(first, f"hash{r}", "left")
+    later = lambda r: F.coalesce(F.col("idx") > F.col(f"first{r}"), F.lit(False))
+    return out.select("idx", "hash1", "hash2", (later(1) & later(2)).alias("duplicate"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
+from ..functions.arrays import LETTERS, base_counts, tile_sums, with_numbers
 
 #: Cap of stored keys, key length, module limits and level labels.
 KEY_BASES, KEY_CAP = 50, 100_000
@@ -16,40 +24,45 @@ PERCENTILES = {"p10": 10, "p25": 25, "p50": 50, "p75": 75, "p90": 90}
 PERCENTILE_READS = 100
 
 
-def group_width(cycles: int) -> int:
-    """Width of cycle groups: 1 up to 75 cycles, else the first of 2, 5, 10, 20, ... that makes fewer than 75 groups."""
-    if cycles <= 75:
-        return 1
-    width, steps = 2, (2.5, 2, 2)
-    i = 0
-    while 9 - (-(cycles - 9) // width) >= 75:
-        width, i = int(width * steps[i % 3]), i + 1
-    return width
+#: Widths of cycle groups in the order in which they are tried: 1, then 2, 5, 10, 20, ...
+WIDTHS = [1, *(d * 10**e for e in range(9) for d in (2, 5, 10))]
+
+
+def group_width(cycles: Column) -> Column:
+    """Width of cycle groups: 1 up to 75 cycles, else the first that makes fewer than 75 groups."""
+    width = F.when(cycles <= 75, WIDTHS[0])
+    for w in WIDTHS[1:]:
+        width = width.when(9 + F.ceil((cycles - 9) / w) < 75, w)
+    return width.cast("int")
+
+
+def group_bounds(cycle: Column, cycles: Column) -> tuple[Column, Column]:
+    """First and last cycle of a cycle's group: nine single ones, then groups that end before multiples of the width."""
+    width = group_width(cycles)
+    start = F.floor(cycle / width) * width
+    alone = (width == 1) | (cycle <= 9)
+    first = F.when(alone, cycle).otherwise(F.greatest(start, F.lit(10)))
+    return first.cast("int").alias("first"), F.when(alone, cycle).otherwise(F.least(start + width - 1, cycles)).cast("int").alias("last")
 
 
 def cycle_groups(spark, cycles: int) -> DataFrame:
-    """cycle (from 1), first and last cycle of its group: nine single ones, then groups that end before multiples of the width."""
-    width, rows, at = group_width(cycles), [], 1
-    while at <= cycles:
-        if width == 1 or at <= 9:
-            size = 1
-        else:
-            size = width - 10 if at == 10 and width > 10 else width
-        last = min(cycles, at + size - 1)
-        rows += [(c, at, last) for c in range(at, last + 1)]
-        at = last + 1
-    return spark.createDataFrame(rows or [(0, 0, 0)], "cycle int, first int, last int").where("cycle > 0")
+    """cycle (from 1), first and last cycle of its group."""
+    cycle = F.col("id").cast("int")
+    return spark.range(1, cycles + 1).select(cycle.alias("cycle"), *group_bounds(cycle, F.lit(cycles)))
 
 
-def per_cycle(reads: DataFrame) -> DataFrame:
-    """cycle, base, q, n: the one explosion that all per-cycle modules share, combined before it is shuffled."""
-    base = F.explode(F.arrays_zip(F.split(F.upper("seq"), "").alias("b"), R.scores(F.col("qual")).alias("q"), F.sequence(F.lit(1), F.length("seq")).alias("c")))
-    rows = reads.where(F.length("seq") > 0).select(base.alias("x"))
-    return rows.groupBy(F.col("x.c").alias("cycle"), F.col("x.b").alias("base"), F.col("x.q").alias("q")).agg(F.count("*").alias("n"))
+def grouped(each: DataFrame) -> DataFrame:
+    """Rows by cycle (one each, so no more than the longest read has bases), with their group's first and last cycle."""
+    cycles = F.max("cycle").over(Window.partitionBy())
+    return each.withColumn("cycles", cycles).select("*", *group_bounds(F.col("cycle"), F.col("cycles")))
 
 
-def longest(cycles: DataFrame) -> int:
-    return cycles.agg(F.coalesce(F.max("cycle"), F.lit(0))).first()[0]
+def per_cycle(reads: DataFrame) -> DataFrame:
+    """cycle, base, q, n: the counts that all per-cycle modules share. Tasks count in arrays; only counts are shuffled.
+
+    Letters are in upper case; all beside A, C, G, T and N are counted as ``?``.
+    """
+    return base_counts(reads).groupBy("cycle", "base", "q").agg(F.sum("n").alias("n"))
 
 
 def cycle_quality(cycles: DataFrame) -> DataFrame:
@@ -57,70 +70,70 @@ def cycle_quality(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("cycle", "q").agg(F.sum("n").alias("n"))
 
 
-def base_quality(cycles: DataFrame) -> DataFrame:
+def rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def base_quality(cycles: DataFrame, digits: int | None = 9) -> DataFrame:
     """For each group of cycles the mean of the cycles' means, and of their percentiles over cycles with over 100 reads."""
     hist = cycle_quality(cycles)
     by = Window.partitionBy("cycle")
     seen = hist.withColumn("seen", F.sum("n").over(by.orderBy("q"))).withColumn("total", F.sum("n").over(by))
     pick = [F.min(F.when(F.col("seen") >= F.floor(F.col("total") * p / 100), F.col("q"))).alias(c) for c, p in PERCENTILES.items()]
     each = seen.groupBy("cycle").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("mean"), F.max("total").alias("total"), *pick)
-    groups = F.broadcast(cycle_groups(cycles.sparkSession, longest(cycles)))  # a row per cycle
     enough = F.col("total") > PERCENTILE_READS
-    return each.join(groups, "cycle").groupBy("first", "last").agg(F.round(F.avg("mean"), 9).alias("mean"), *(F.round(F.avg(F.when(enough, F.col(c))), 9).alias(c) for c in PERCENTILES))
+    return grouped(each).groupBy("first", "last").agg(rounded(F.avg("mean"), digits).alias("mean"), *(rounded(F.avg(F.when(enough, F.col(c))), digits).alias(c) for c in PERCENTILES))
+
+
+def letter_counts(cycles: DataFrame) -> DataFrame:
+    """cycle, total, and the count of each letter."""
+    n = lambda b: F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b)
+    return cycles.groupBy("cycle").agg(F.sum("n").alias("total"), *map(n, LETTERS))
 
 
-def base_content(cycles: DataFrame) -> DataFrame:
+def base_content(cycles: DataFrame, digits: int | None = 9) -> DataFrame:
     """Percent of each letter among A, C, G, T, pooled over the group; null without any."""
-    groups = F.broadcast(cycle_groups(cycles.sparkSession, longest(cycles)))
-    n = {b: F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)) for b in "GATC"}
-    known = sum(n.values())
-    return cycles.join(groups, "cycle").groupBy("first", "last").agg(*(F.when(known > 0, F.round(x * 100 / known, 9)).alias(b.lower()) for b, x in n.items()))
+    known = sum(F.sum(b) for b in "ACGT")
+    return grouped(letter_counts(cycles)).groupBy("first", "last").agg(*(F.when(known > 0, rounded(F.sum(b) * 100 / known, digits)).alias(b.lower()) for b in "GATC"))
 
 
-def base_n(cycles: DataFrame) -> DataFrame:
-    groups = F.broadcast(cycle_groups(cycles.sparkSession, longest(cycles)))
-    n = F.sum(F.when(F.col("base") == "N", F.col("n")).otherwise(0))
-    return cycles.join(groups, "cycle").groupBy("first", "last").agg(F.round(n * 100 / F.sum("n"), 9).alias("n_percent"))
+def base_n(cycles: DataFrame, digits: int | None = 9) -> DataFrame:
+    return grouped(letter_counts(cycles)).groupBy("first", "last").agg(rounded(F.sum("N") * 100 / F.sum("total"), digits).alias("n_percent"))
 
 
-def cycle_curves(cycles: DataFrame) -> DataFrame:
+def cycle_curves(cycles: DataFrame, digits: int | None = 9) -> DataFrame:
     """For each cycle the mean score and the share of each letter and of G and C among all bases."""
-    share = lambda *b: F.round(F.sum(F.when(F.col("base").isin(*b), F.col("n")).otherwise(0)) / F.sum("n"), 9)
-    return cycles.groupBy("cycle").agg(F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 9).alias("mean_quality"), *(share(b).alias(f"{b.lower()}_share") for b in "ATCGN"), share("G", "C").alias("gc_share"))
+    share = lambda *b: rounded(F.sum(F.when(F.col("base").isin(*b), F.col("n")).otherwise(0)) / F.sum("n"), digits)
+    return cycles.groupBy("cycle").agg(rounded(F.sum(F.col("q") * F.col("n")) / F.sum("n"), digits).alias("mean_quality"), *(share(b).alias(f"{b.lower()}_share") for b in "ATCGN"), share("G", "C").alias("gc_share"))
 
 
-def length_bin(span: int) -> int:
+def length_bin(span: Column) -> Column:
     """The smallest of 1, 2, 5, 10, ... that needs at most 50 bins for the span."""
-    size, i = 1, 0
-    while span / size > 50:
-        size, i = int(size * (2, 2.5, 2)[i % 3]), i + 1
+    size = F.when(span <= 50, 1)
+    for w in WIDTHS[1:]:
+        size = size.when(span / w <= 50, w)
     return size
 
 
 def length_distribution(reads: DataFrame) -> DataFrame:
     """Reads by length bin; empty bins at the edges are left out, inner ones kept."""
     counts = reads.groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n"))
-    low, high = counts.agg(F.min("len"), F.max("len")).first()
-    if low is None:
-        return counts.select(F.col("len").alias("first"), F.col("len").alias("last"), "n")
-    start = max(low - 1, 0)
-    size = length_bin(high + 1 - start)
-    start -= start % size
-    binned = counts.groupBy((F.floor((F.col("len") - start) / size) * size + start).cast("int").alias("first")).agg(F.sum("n").alias("n"))
-    every = reads.sparkSession.range(low // size * size, high + 1, size).select(F.col("id").cast("int").alias("first"))
-    every = every.where(F.col("first") + size > low)
-    return every.join(binned, "first", "left").select("first", (F.col("first") + size - 1).alias("last"), F.coalesce("n", F.lit(0)).alias("n"))
+    low, high, span = F.col("low"), F.col("high"), F.col("high") + 1 - F.greatest(F.col("low") - 1, F.lit(0))
+    ends = counts.agg(F.min("len").alias("low"), F.max("len").alias("high")).where("low is not null").withColumn("size", length_bin(span))
+    bin_of = lambda x: (F.floor(x / F.col("size")) * F.col("size")).cast("int")
+    binned = counts.crossJoin(F.broadcast(ends)).groupBy(bin_of(F.col("len")).alias("first")).agg(F.sum("n").alias("n"))
+    every = ends.select("size", F.explode(F.sequence(bin_of(low), high, F.col("size"))).alias("first"))
+    return every.join(binned, "first", "left").select("first", (F.col("first") + F.col("size") - 1).alias("last"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def read_quality(reads: DataFrame) -> DataFrame:
     """Reads by floored mean score, from the lowest to the highest without a gap; empty reads are left out."""
-    q = (F.floor(R.score_sum(F.col("qual")) / F.length("qual"))).cast("int")
-    counts = reads.where(F.length("qual") > 0).groupBy(q.alias("q")).agg(F.count("*").alias("n"))
+    counts = with_numbers(reads, []).where("len > 0").groupBy(F.floor(F.col("q") / F.col("len")).cast("int").alias("q")).agg(F.count("*").alias("n"))
     every = counts.agg(F.explode(F.sequence(F.min("q"), F.max("q"))).alias("q"))
     return every.join(counts, "q", "left").select("q", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def read_gc(reads: DataFrame) -> DataFrame:
+def read_gc(reads: DataFrame, digits: int | None = 6) -> DataFrame:
     """101 bins of GC percent: a read counts for all bins that its count of G and C covers, by how many counts share a bin."""
     n = R.gc_kept_length(F.length("seq"))
     counts = reads.where(F.length("seq") > 0).select(n.alias("n"), R.letters(F.upper(F.substring(F.col("seq"), F.lit(1), n)), "GC").alias("k"))
@@ -133,7 +146,7 @@ def read_gc(reads: DataFrame) -> DataFrame:
     covered = counts.join(bins, ["n", "k"]).groupBy("n", "bin").agg(F.sum("reads").alias("reads"))
     found = covered.join(weight, ["n", "bin"]).groupBy("bin").agg(F.sum(F.col("reads") * F.col("w")).alias("reads"))
     every = reads.sparkSession.range(101).select(F.col("id").cast("int").alias("bin"))
-    return every.join(found, "bin", "left").select("bin", F.round(F.coalesce("reads", F.lit(0.0)), 6).alias("reads"))
+    return every.join(found, "bin", "left").select("bin", rounded(F.coalesce("reads", F.lit(0.0)), digits).alias("reads"))
 
 
 def terminal_runs(reads: DataFrame) -> DataFrame:
@@ -155,29 +168,65 @@ def basic_statistics(reads: DataFrame) -> DataFrame:
     )
 
 
-def adapter_content(reads: DataFrame) -> DataFrame:
-    """Cumulative percent of all reads in which each adapter has begun, as the mean over each group of positions."""
-    spark, starts = reads.sparkSession, []
-    stats = reads.agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("longest")).first()
-    positions = (stats["longest"] or 0) - 11
-    schema = "adapter string, first int, last int, percent double"
-    if positions < 2:
-        return spark.createDataFrame([], schema)
-    for name, bases in R.CONTENT_ADAPTERS.items():
-        starts.append(F.struct(F.lit(name).alias("adapter"), F.instr(F.upper("seq"), bases).alias("pos")))
-    found = reads.select(F.explode(F.array(*starts)).alias("x")).select("x.*").where("pos > 0").groupBy("adapter", "pos").agg(F.count("*").alias("n"))
-    groups = cycle_groups(spark, positions)
-    names = spark.createDataFrame([(n,) for n in R.CONTENT_ADAPTERS], "adapter string")
-    grid = names.crossJoin(groups).withColumnRenamed("cycle", "pos").join(found, ["adapter", "pos"], "left")
+def adapter_content(reads: DataFrame, digits: int | None = 9) -> DataFrame:
+    """Cumulative percent of all reads in which each adapter has begun, as the mean over each group of positions.
+
+    No rows where the longest read has no two positions for an adapter.
+    """
+    names = F.array(*map(F.lit, R.CONTENT_ADAPTERS))
+    starts = F.array(*(F.struct(F.lit(name).alias("adapter"), F.instr(F.upper("seq"), bases).alias("pos")) for name, bases in R.CONTENT_ADAPTERS.items()))
+    found = reads.select(F.explode(starts).alias("x")).select("x.*").where("pos > 0").groupBy("adapter", "pos").agg(F.count("*").alias("n"))
+    size = reads.agg(F.count("*").alias("total"), (F.max(F.length("seq")) - 11).alias("positions")).where("positions >= 2")
+    grid = size.select("total", "positions", F.explode(names).alias("adapter")).select("*", F.explode(F.sequence(F.lit(1), F.col("positions"))).alias("pos"))
     upto = Window.partitionBy("adapter").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.withColumn("seen", F.sum(F.coalesce("n", F.lit(0))).over(upto))
-    return grid.groupBy("adapter", "first", "last").agg(F.round(F.avg(F.col("seen") * 100 / stats["n"]), 9).alias("percent"))
+    seen = grid.join(found, ["adapter", "pos"], "left").withColumn("seen", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    bounds = group_bounds(F.col("pos"), F.col("positions"))
+    return seen.select("adapter", "seen", "total", *bounds).groupBy("adapter", "first", "last").agg(rounded(F.avg(F.col("seen") * 100 / F.col("total")), digits).alias("percent"))
+
+
+#: Width of the ranges of record numbers by which keys are counted to find the last one that is stored.
+KEY_RANGE = 1 << 16
+
+
+def first_keys(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
+    """key and first_idx of the first ``cap`` distinct keys by appearance.
+
+    Each task passes on its own first ``cap`` keys, among which all are that it can add. What they share is combined, and
+    keys are counted by ranges of their first record. Whole ranges before the cap stay; of the range in which the cap
+    falls, keys are ranked. No task sorts all keys.
+    """
+
+    def own_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.table({"key": batch.column(0), "first_idx": batch.column(1)}).group_by("key").aggregate([("first_idx", "min")]).rename_columns(["key", "first_idx"])
+            held = new if held is None else pa.concat_tables([held, new]).group_by("key").aggregate([("first_idx", "min")]).rename_columns(["key", "first_idx"])
+            if len(held) > cap:
+                held = held.take(pc.select_k_unstable(held, cap, [("first_idx", "ascending")]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches(max_chunksize=10_000)
+
+    keyed = reads.select(key_of(F.col("seq")).alias("key"), F.col("idx").cast("long").alias("idx"))
+    firsts = keyed.mapInArrow(own_first, "key string, first_idx long").groupBy("key").agg(F.min("first_idx").alias("first_idx"))
+    firsts = firsts.withColumn("range", F.floor(F.col("first_idx") / KEY_RANGE))
+    counts = firsts.groupBy("range").agg(F.count("*").alias("here"))
+    before = F.coalesce(F.sum("here").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = counts.withColumn("before", before).where(F.col("before") < cap).drop("here")  # a row for each range that has keys
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("first_idx"))
+    return firsts.join(F.broadcast(open_), "range").withColumn("rank", rank).where(F.col("before") + F.col("rank") <= cap).select("key", "first_idx")
+
+
+def key_of(seq: Column) -> Column:
+    return F.upper(F.substring(seq, 1, KEY_BASES))
 
 
 def sequence_keys(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
-    """key, n, first_idx of the first ``cap`` distinct keys by appearance."""
-    keys = reads.groupBy(F.upper(F.substring("seq", 1, KEY_BASES)).alias("key")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
-    return keys.orderBy("first_idx").limit(cap)
+    """key, n, first_idx of the first ``cap`` distinct keys by appearance.
+
+    The stored keys are at most ``cap`` short strings, so they are broadcast; reads of other keys are never shuffled.
+    """
+    stored = F.broadcast(first_keys(reads, cap))
+    return reads.select(key_of(F.col("seq")).alias("key")).join(stored, "key").groupBy("key", "first_idx").agg(F.count("*").alias("n")).select("key", "n", "first_idx")
 
 
 def level_of(n: Column) -> Column:
@@ -188,38 +237,72 @@ def level_of(n: Column) -> Column:
     return out
 
 
+#: Terms of a product that are added one by one; longer products are integrated.
+TERMS = 20_000
+
+
+def log_unseen(limit: int, total: int, level: int) -> float:
+    """Logarithm of the chance that none of ``level`` reads of a key is among ``limit`` of ``total`` reads.
+
+    That is C(total - level, limit) / C(total, limit), a product with as many terms as the smaller of the two numbers. Long
+    sums of logarithms are integrals by the midpoint rule with its first correction; the last terms, where it is
+    least exact, are added one by one.
+    """
+    few, many = sorted((limit, level))
+    if few + many > total:
+        return -math.inf
+    ends = min(many, TERMS)
+    tail = np.log1p(-few / (total - np.arange(many - ends, many, dtype=np.float64))).sum()
+    if few <= ends:
+        return float(np.log1p(-many / (total - np.arange(few, dtype=np.float64))).sum())
+    high, low = total + 0.5, total - (many - ends) + 0.5  # the integral is over what is drawn from
+    if high == low:
+        return float(tail)
+    area = (high - few) * math.log1p(-few / high) - (low - few) * math.log1p(-few / low) - few * math.log(high / low)
+    slope = lambda u: few / (u * (u - few))  # noqa: E731  of log(1 - few / u)
+    return float(tail + area - (slope(high) - slope(low)) / 24)
+
+
 def corrected(limit: int, total: int, level: int, observed: int) -> float:
-    """Estimate of how many keys of a level there are, if only ``limit`` of ``total`` reads could bring new keys."""
+    """Estimate of how many keys of a level there are, if only ``limit`` of ``total`` reads could bring new keys.
+
+    A chance to miss a key that is too small to matter leaves the number as observed.
+    """
     if limit == total or total - observed < limit:
         return float(observed)
-    least, unseen = 1 - observed / (observed + 0.01), 1.0
-    for i in range(limit):
-        unseen *= (total - level - i) / (total - i)
-        if unseen < least:
-            return float(observed)
+    unseen = math.exp(log_unseen(limit, total, level))
+    if unseen < 1 - observed / (observed + 0.01):
+        return float(observed)
     return observed / (1 - unseen)
 
 
-def duplication_levels(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
-    """For each level the percent of all (estimated) reads; and the percent that would stay after deduplication."""
-    keys = sequence_keys(reads, cap)
-    rows = keys.groupBy("n").agg(F.count("*").alias("keys"), F.max("first_idx").alias("last")).collect()  # a row per level of duplication
-    total = reads.count()
-    stored = sum(r["keys"] for r in rows)
-    limit = max((r["last"] for r in rows), default=-1) + 1 if stored >= cap else total
-    by = {r["n"]: corrected(limit, total, r["n"], r["keys"]) for r in rows}
-    raw = sum(k * v for k, v in by.items())
-    out = {label: 0.0 for label in LEVELS}
-    for n, v in by.items():
-        out[max((s, label) for s, label in zip(LEVEL_FROM, LEVELS) if s <= n)[1]] += n * v
-    left = sum(by.values()) * 100 / raw if raw else 100.0
-    return reads.sparkSession.createDataFrame([(k, round(v * 100 / raw, 9) if raw else 0.0, round(left, 9)) for k, v in out.items()], "level string, percent double, left_percent double")
+def duplication_levels(reads: DataFrame, cap: int = KEY_CAP, digits: int | None = 9) -> DataFrame:
+    """For each level the percent of all (estimated) reads; and the percent that would stay after deduplication.
+
+    Keys are first counted by how often they occur: a row for each number of copies, however many keys there are.
+    """
+
+    @F.pandas_udf("double")
+    def estimate(limit: pd.Series, total: pd.Series, level: pd.Series, observed: pd.Series) -> pd.Series:
+        return pd.Series([corrected(*map(int, x)) for x in zip(limit, total, level, observed)], dtype=float)
+
+    by_copies = sequence_keys(reads, cap).groupBy("n").agg(F.count("*").alias("keys"), F.max("first_idx").alias("last"))
+    every = Window.partitionBy()
+    limit = F.when(F.sum("keys").over(every) >= cap, F.max("last").over(every) + 1).otherwise(F.col("total"))
+    rows = by_copies.crossJoin(F.broadcast(reads.agg(F.count("*").alias("total")))).withColumn("limit", limit)
+    rows = rows.withColumn("v", estimate("limit", "total", "n", "keys"))
+    by_level = rows.groupBy(level_of(F.col("n")).alias("level")).agg(F.sum(F.col("n") * F.col("v")).alias("reads"), F.sum("v").alias("keys"))
+    names = reads.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
+    d = names.join(F.broadcast(by_level), "level", "left").select("level", F.coalesce("reads", F.lit(0.0)).alias("reads"), F.coalesce("keys", F.lit(0.0)).alias("keys"))
+    raw, kept = F.sum("reads").over(every), F.sum("keys").over(every)
+    share = lambda part, none: rounded(F.when(raw > 0, part * 100 / raw).otherwise(none), digits)
+    return d.select("level", share(F.col("reads"), 0.0).alias("percent"), share(kept, 100.0).alias("left_percent"))
 
 
-def overrepresented(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
+def overrepresented(reads: DataFrame, cap: int = KEY_CAP, digits: int | None = 9) -> DataFrame:
     """Keys that are over a tenth of a percent of all reads; order them by count descending, then first appearance."""
     total = F.broadcast(reads.agg(F.count("*").alias("total")))
-    return sequence_keys(reads, cap).crossJoin(total).withColumn("percent", F.round(F.col("n") * 100 / F.col("total"), 9)).where(F.col("n") * 100 / F.col("total") > OVERREPRESENTED_PERCENT).drop("total")
+    return sequence_keys(reads, cap).crossJoin(total).withColumn("percent", rounded(F.col("n") * 100 / F.col("total"), digits)).where(F.col("n") * 100 / F.col("total") > OVERREPRESENTED_PERCENT).drop("total")
 
 
 def tile_field(header: Column) -> Column:
@@ -231,7 +314,7 @@ def tile_field(header: Column) -> Column:
     return F.when(parts >= 7, 4).when(parts >= 5, 2)
 
 
-def tile_quality(reads: DataFrame) -> DataFrame:
+def tile_quality(reads: DataFrame, digits: int | None = 6) -> DataFrame:
     """Mean score of each tile and group of cycles, less the mean over tiles.
 
     Of reads with a quality the first 10,000 count, then every tenth. Their order comes from the record index: ranks are
@@ -246,15 +329,15 @@ def tile_quality(reads: DataFrame) -> DataFrame:
     used = ranked.where((F.col("rank") <= 10_000) | ((F.col("rank") - 10_000) % 10 == 0))
     first = F.broadcast(full.agg(tile_field(F.min_by("header", "idx")).alias("field")))  # one row
     number = F.expr("if(get(split(header, ':'), field) rlike '^[+-]?[0-9]+$', try_cast(get(split(header, ':'), field) as int), null)")
-    cells = used.crossJoin(first).select(number.alias("tile"), F.posexplode(R.scores(F.col("qual"))).alias("pos", "q")).groupBy("tile", (F.col("pos") + 1).alias("cycle")).agg(F.sum("q").alias("q"), F.count("*").alias("n"))
-    groups = F.broadcast(cycle_groups(reads.sparkSession, longest(cells)))
-    each = cells.join(groups, "cycle").groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
+    cells = tile_sums(used.crossJoin(first).select(number.alias("tile"), "qual")).groupBy("tile", "cycle").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
+    cycles = F.broadcast(cells.agg(F.max("cycle").alias("cycles")))  # one row
+    each = cells.crossJoin(cycles).select("*", *group_bounds(F.col("cycle"), F.col("cycles"))).groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
     tiles = each.select("tile").distinct()
-    grid = tiles.crossJoin(groups.select("first", "last").distinct())  # tiles of one flow cell by at most 75 groups
+    grid = tiles.crossJoin(each.select("first", "last").distinct())  # tiles of one flow cell by at most 75 groups
     grid = grid.join(each, ["tile", "first", "last"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
     bad = F.broadcast(tiles.agg(F.count(F.when(F.col("tile").isNull(), 1)).alias("bad")))
-    rows = grid.crossJoin(bad).where("bad = 0").withColumn("deviation", F.round(F.col("mean") - F.avg("mean").over(Window.partitionBy("first")), 6))
-    return rows.select("tile", "first", "last", F.round("mean", 6).alias("mean"), "deviation")
+    rows = grid.crossJoin(bad).where("bad = 0").withColumn("deviation", rounded(F.col("mean") - F.avg("mean").over(Window.partitionBy("first")), digits))
+    return rows.select("tile", "first", "last", rounded(F.col("mean"), digits).alias("mean"), "deviation")
 
 
 #: Lengths of keys that may lie whole in a contaminant, and of the shortest run that counts otherwise.
@@ -289,7 +372,7 @@ def contaminant_hits(keys: DataFrame, contaminants: DataFrame) -> DataFrame:
     return keys.join(top, "key").select(*keys.columns, F.col("b.name").alias("name"), "b.identity", F.col("b.size").alias("bases_matched"))
 
 
-def gc_deviation(bins: DataFrame) -> DataFrame:
+def gc_deviation(bins: DataFrame, digits: int | None = 6) -> DataFrame:
     """One row: percent of all reads by which the 101 bins of read_gc differ from a normal curve.
 
     The curve's centre is the middle of the bins around the first highest one that hold over nine tenths of it, or the
@@ -304,7 +387,7 @@ def gc_deviation(bins: DataFrame) -> DataFrame:
     spread = centre.groupBy("total", "centre").agg(F.when(F.col("total") > 1, F.sum(off * off * F.col("reads")) / F.greatest(F.col("total") - 1, F.lit(1e-9))).alias("variance"))
     curve = bins.crossJoin(F.broadcast(spread)).where("variance > 0")
     density = F.exp(-off * off / (2 * F.col("variance"))) / F.sqrt(2 * F.pi() * F.col("variance"))
-    return curve.agg(F.round(F.sum(F.abs(density * F.col("total") - F.col("reads"))) * 100 / F.max("total"), 6).alias("deviation"))
+    return curve.agg(rounded(F.sum(F.abs(density * F.col("total") - F.col("reads"))) * 100 / F.max("total"), digits).alias("deviation"))
 
 
 #: What modules are graded by, the limits past which they warn and fail, and whether lower is worse.
@@ -372,12 +455,12 @@ def module_grades(modules: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def summary_totals(pairs: DataFrame) -> DataFrame:
+def summary_totals(pairs: DataFrame, digits: int | None = 9) -> DataFrame:
     """Both mates together: reads, bases, score counts, GC share of all bases, whole mean lengths of each mate."""
     mates = pairs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("mate"), F.col(f"s{k}").alias("seq"), F.col(f"q{k}").alias("qual")) for k in (1, 2)))).alias("m")).select("m.*")
     n = F.length("seq").cast("long")
     mean = lambda k: F.floor(F.sum(F.when(F.col("mate") == k, n)) / F.sum((F.col("mate") == k).cast("long"))).cast("long")
     return mates.agg(
         F.count("*").alias("total_reads"), F.sum(n).alias("total_bases"), F.sum(R.at_least(F.col("qual"), 20)).cast("long").alias("q20_bases"), F.sum(R.at_least(F.col("qual"), 30)).cast("long").alias("q30_bases"),
-        F.round(F.sum(R.letters(F.upper("seq"), "GC")) / F.sum(n), 9).alias("gc_content"), mean(1).alias("read1_mean_length"), mean(2).alias("read2_mean_length"),
+        rounded(F.sum(R.letters(F.upper("seq"), "GC")) / F.sum(n), digits).alias("gc_content"), mean(1).alias("read1_mean_length"), mean(2).alias("read2_mean_length"),
     )

@@ -1,16 +1,18 @@
 """Reproducible sampling in the order of records, by the 64-bit Mersenne Twister.
 
-Draws depend on each other, but a generator's state is small: the driver only steps the state from one chunk of draws
-to the next, and tasks replay the draws of their chunk. An exact sample is the state of a reservoir of K slots after all
-draws, which is one aggregation: the last record that was put into each slot.
+Draws depend on each other, but the generator is linear over bits: stepping it n words ahead is the polynomial x^n modulo
+the generator's minimal polynomial, applied to the state. Each task finds the state of its own span of draws from a few
+such polynomials (one for each power of two of spans), so no one steps through the draws of others. An exact sample is the
+state of a reservoir of K slots after all draws, which is one aggregation: the last record that was put into each slot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ UPPER, LOWER = np.uint64(0xFFFFFFFF80000000), np.uint64(0x7FFFFFFF)
 INIT = 6364136223846793005
 TEMPER = [(29, 0x5555555555555555), (-17, 0x71D67FFFEDA60000), (-37, 0xFFF7EEE000000000), (43, 0xFFFFFFFFFFFFFFFF)]
 
+#: Fixed value: the degree of its minimal polynomial, 312 words less the 31 bits that no later word depends on.
+DEGREE = 64 * WORDS - 31
+
 DEFAULT_SEED = 11
-#: Blocks of 312 draws in a chunk.
-CHUNK_BLOCKS = 3200
+#: Blocks of 312 draws in the span of one task, about 16 million draws; and in one batch of them.
+SPAN_BLOCKS, BATCH_BLOCKS = 53_248, 128
 
 
 def seeded(seed: int) -> np.ndarray:
@@ -57,29 +62,92 @@ def tempered(words: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(1)
+def minimal_polynomial() -> int:
+    """The polynomial over bits, as a number (bit i belongs to x^i), that every bit of the words in turn satisfies.
+
+    Berlekamp and Massey's algorithm finds it from twice as many bits as its degree.
+    """
+    state, bits = seeded(DEFAULT_SEED), []
+    while len(bits) < 2 * DEGREE:
+        state = twist(state)
+        bits += (state & np.uint64(1)).tolist()
+    # The newest bit seen is the lowest, so that a discrepancy is the parity of one product.
+    now, before, length, gap, seen = 1, 1, 0, 1, 0
+    for n, bit in enumerate(bits[: 2 * DEGREE]):
+        seen = seen << 1 | bit
+        if not (now & seen).bit_count() & 1:
+            gap += 1
+        elif 2 * length <= n:
+            now, before, length, gap = now ^ before << gap, now, n + 1 - length, 1
+        else:
+            now, gap = now ^ before << gap, gap + 1
+    return int(bin(now)[2:].zfill(length + 1)[::-1], 2)  # a recurrence is its polynomial in the mirror
+
+
+def reduced(polynomial: int) -> int:
+    """The remainder modulo the minimal polynomial."""
+    modulus = minimal_polynomial()
+    degree = modulus.bit_length() - 1
+    while (over := polynomial.bit_length() - 1 - degree) >= 0:
+        polynomial ^= modulus << over
+    return polynomial
+
+
+def squared(polynomial: int) -> int:
+    """Squares modulo the minimal polynomial: over bits, squaring puts a zero after every bit."""
+    return reduced(int(bin(polynomial)[2:].replace("0", "00").replace("1", "01"), 2))
+
+
+def jump_polynomials(words: int, doublings: int) -> list[int]:
+    """x^words modulo the minimal polynomial, and its successive squares: jumps by 1, 2, 4, ... times that many words."""
+    power = 1
+    for digit in bin(words)[2:]:
+        power = squared(power)
+        if digit == "1":
+            power = reduced(power << 1)
+    out = [power]
+    while len(out) < doublings:
+        out.append(squared(out[-1]))
+    return out
+
+
+def jumped(state: np.ndarray, polynomial: int) -> np.ndarray:
+    """The state after as many words as the polynomial stands for: the sum of the states that its bits name."""
+    words, need = [state], polynomial.bit_length() + WORDS
+    while sum(map(len, words)) < need:
+        words.append(twist(words[-1]))
+    line = np.concatenate(words)
+    terms = np.flatnonzero(np.frombuffer(bin(polynomial)[:1:-1].encode(), np.uint8) == ord("1"))
+    out = np.zeros(WORDS, np.uint64)
+    for at in range(0, len(terms), 1024):
+        out ^= np.bitwise_xor.reduce(np.lib.stride_tricks.sliding_window_view(line, WORDS)[terms[at : at + 1024]], axis=0)
+    return out
+
+
 def draws(like: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """idx 0 to n-1 and the draw ``u`` in [0, 1) that belongs to it: the top 53 bits of each word."""
-    state, rows = seeded(seed), []
-    for chunk in range(-(-n // (WORDS * CHUNK_BLOCKS))):
-        rows.append((chunk, state.tobytes()))
-        if (chunk + 1) * WORDS * CHUNK_BLOCKS < n:
-            for _ in range(CHUNK_BLOCKS):
-                state = twist(state)
-    states = like.sparkSession.createDataFrame(rows, "chunk long, state binary").repartition(max(1, len(rows)))
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = WORDS * SPAN_BLOCKS
+    spans = -(-n // size)
+    jumps = jump_polynomials(size, (spans - 1).bit_length()) if spans > 1 else []
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, raw in zip(batch["chunk"], batch["state"]):
-                state, first = np.frombuffer(raw, np.uint64), int(chunk) * WORDS * CHUNK_BLOCKS
-                for block in range(CHUNK_BLOCKS):
-                    at = first + block * WORDS
-                    if at >= n:
-                        break
-                    state = twist(state)
-                    u = (tempered(state) >> np.uint64(11)).astype(float) * 2.0**-53
-                    yield pd.DataFrame({"idx": np.arange(at, at + WORDS), "u": u})[: n - at]
-
-    return states.mapInPandas(replay, "idx long, u double")
+            for span in batch.column(0).to_pylist():
+                state = seeded(seed)
+                for k, jump in enumerate(jumps):
+                    if span >> k & 1:
+                        state = jumped(state, jump)
+                stop = min((span + 1) * size, n)
+                for at in range(span * size, stop, WORDS * BATCH_BLOCKS):
+                    words = []
+                    for _ in range(min(BATCH_BLOCKS, -(-(stop - at) // WORDS))):
+                        state = twist(state)
+                        words.append(state)
+                    u = (tempered(np.concatenate(words)) >> np.uint64(11)).astype(float)[: stop - at] * 2.0**-53
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(u))), pa.array(u)], ["idx", "u"])
+
+    return like.sparkSession.range(0, spans, 1, max(1, spans)).mapInArrow(replay, "idx long, u double")
 
 
 def fraction_indexes(like: DataFrame, n: int, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:

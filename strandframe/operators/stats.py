@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import reads as R
+from ..functions.arrays import with_numbers
 
 
 def count_reads(reads: DataFrame) -> DataFrame:
     return reads.groupBy("src").agg(F.count("*").alias("n_reads"))
 
 
-def read_stats(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
+def read_stats(reads: DataFrame, by: list[str] | None = None, digits: int = 9) -> DataFrame:
     """Reads, bases, lengths, bases by letter (case-folded), score sums and the shares of high scores.
 
-    Ratios are null where their denominator is zero.
+    Ratios are null where their denominator is zero; ``digits`` rounds them.
     """
-    seq, qual = F.upper("seq"), F.col("qual")
-    n = F.length("seq")
-    per = reads.select(
-        *(by or []), n.alias("len"), *(R.letters(seq, b).alias(b.lower()) for b in "ACGTN"), R.score_sum(qual).alias("q"), R.at_least(qual, 20).alias("q20"), R.at_least(qual, 30).alias("q30")
-    )
+    per = with_numbers(reads, by or [])
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     agg = per.groupBy(*(by or [])).agg(
         F.count("*").alias("reads"), total("len").alias("bases"), F.min("len").cast("long").alias("min_length"), F.max("len").cast("long").alias("max_length"),
         *(total(b).alias(f"{b}_bases") for b in "acgtn"), total("q").alias("quality_sum"), total("q20").alias("q20_bases"), total("q30").alias("q30_bases"),
     )
     known = sum(F.col(f"{b}_bases") for b in "acgt")
-    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 9))
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, digits))
     return agg.withColumns(
         {
             "other_bases": F.col("bases") - known - F.col("n_bases"),

@@ -92,13 +92,6 @@ def test_generator(spark):
     assert got(sample.exact_indexes(like, 16, 2, (1 << 64) - 1)) == [8, 15]
 
 
-def test_many_chunks_of_draws(spark, monkeypatch):
-    like = spark.range(1)
-    whole = sorted(map(tuple, sample.draws(like, 2000).collect()))
-    monkeypatch.setattr(sample, "CHUNK_BLOCKS", 2)
-    assert sorted(map(tuple, sample.draws(like, 2000).collect())) == whole
-
-
 def test_cycle_groups(spark):
     assert [qc.cycle_groups(spark, n).select("first").distinct().count() for n in (75, 76, 151, 335, 1310)] == [75, 43, 38, 42, 36]
 
