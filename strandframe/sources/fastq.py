@@ -1,21 +1,25 @@
 """FASTQ text as a DataFrame of records with exact positions, and back.
 
-Lines are read by Spark's text source in splits. Record numbers and byte offsets need the order of lines in a file:
-each split counts its lines and bytes, the counts are summed over the splits before it (one row per split), and lines
-are numbered within their split. No task sees a whole file, unless it is compressed as one.
+Record numbers and byte offsets need the order of lines in a file: each byte range counts its lines, the counts are summed
+over the ranges before it, and each range is then read with the number of its first line. No task sees a whole file,
+unless it is compressed as one, and no line is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.validate import field_fault
+from .fastq_files import FIELDS, PRESETS, FastqSource, count_lines, reachable
 
-FIELDS = ["header", "seq", "plus", "qual"]
+#: Bytes of a plain file that one task reads.
+SPLIT_BYTES = 64 << 20
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -43,32 +47,82 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("src", number.alias("line_no"), (F.col("bytes_before") + F.col("skip")).alias("offset"), value.alias("content"), (F.col("bytes_before") + F.col("skip") + width - F.when(ended, 0).otherwise(1)).alias("end"))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def file_ranges(spark: SparkSession, path: str | list[str], split_bytes: int) -> list[tuple[str, int, int]]:
+    """(src, start, stop) of the byte ranges of all files that Spark finds under the path; an empty file has none."""
+    meta = [F.col(f"_metadata.file_{c}") for c in ("path", "size")]
+    files = spark.read.format("binaryFile").load(path).select(*meta).collect()  # a row for each file, without its content
+    return [(src, at, min(at + split_bytes, size)) for src, size in sorted(map(tuple, files)) for at in range(0, size, split_bytes)]
+
+
+def counted(spark: SparkSession, ranges: list[tuple[str, int, int]]) -> list[tuple[str, int, int | None, int]]:
+    """(src, start, stop, lines before) of the ranges, by a job that counts lines; a gzip file becomes one range without end.
+
+    A row of three numbers for each range reaches the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [count_lines(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64())], ["no", "lines"])
+
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "no long, src string, start long, stop long").repartition(max(1, min(len(ranges), 100_000)), "no")
+    lines = dict(map(tuple, rows.mapInArrow(count, "no long, lines long").collect()))
+    out, before = [], 0
+    for i, (src, start, stop) in enumerate(ranges):
+        if lines[i] < 0:
+            if start == 0:
+                out.append((src, 0, None, 0))
+            continue
+        before = 0 if start == 0 else before
+        out.append((src, start, stop, before))
+        before += lines[i]
+    return out
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """src, idx, header, seq, plus, qual, off_header, off_seq, off_plus, off_qual, end_offset.
 
-    An incomplete last record has nulls for its missing lines. A last blank piece behind a final LF is no line.
+    An incomplete last record has nulls for its missing lines. A last blank piece behind a final LF is no line. Plain
+    files are read by byte ranges, which count their lines first; a gzip file (told by its content) is read by one task.
+    On file systems that only Spark can open, lines are numbered by a shuffle, and gzip files are told by their names.
     """
-    lines = read_lines(spark, path)
+    ranges = file_ranges(spark, path, split_bytes)
+    if not all(reachable(src) for src in {r[0] for r in ranges}):
+        return records_of_lines(read_lines(spark, path))
+    spark.dataSource.register(FastqSource)
+    return spark.read.format("fastq").option("ranges", json.dumps(counted(spark, ranges) if ranges else [])).load()
+
+
+def records_of_lines(lines: DataFrame) -> DataFrame:
+    """Records out of numbered lines."""
     at = F.col("line_no") % 4
     parts = [F.max(F.when(at == i, F.col("content"))).alias(c) for i, c in enumerate(FIELDS)]
     offsets = [F.max(F.when(at == i, F.col("offset"))).alias(f"off_{c}") for i, c in enumerate(FIELDS)]
     return lines.groupBy("src", F.floor(F.col("line_no") / 4).alias("idx")).agg(*parts, *offsets, F.max("end").alias("end_offset"))
 
 
-def fastq_text(records: DataFrame) -> DataFrame:
-    """One string column ``value`` for each record in canonical form; a record that wouldn't read back fails the job."""
-    plus = F.col("plus") if "plus" in records.columns else F.lit("+")
-    header = F.when(F.col("header").startswith("@"), F.col("header")).otherwise(F.concat(F.lit("@"), F.col("header")))
-    fault = field_fault(F.col("header"), F.col("seq"), F.col("qual"), plus)
-    value = F.concat_ws("\n", header, "seq", F.coalesce(plus, F.lit("+")), "qual")
-    return records.select(F.when(fault.isNull(), value).otherwise(F.raise_error(F.concat(F.lit("unwritable record "), F.col("idx").cast("string"), F.lit(": "), fault)).cast("string")).alias("value"))
+def record_text(header: Column, seq: Column, plus: Column, qual: Column, idx: Column) -> Column:
+    """A record in canonical form; one that wouldn't read back fails the job."""
+    fault = field_fault(header, seq, qual, plus)
+    named = F.when(header.startswith("@"), header).otherwise(F.concat(F.lit("@"), header))
+    value = F.concat(F.concat_ws("\n", named, seq, F.coalesce(plus, F.lit("+")), qual), F.lit("\n"))
+    return F.when(fault.isNull(), value).otherwise(F.raise_error(F.concat(F.lit("unwritable record "), idx.cast("string"), F.lit(": "), fault)).cast("string"))
+
+
+def write_texts(texts: DataFrame, paths: list[str], gzip: bool = False, preset: str = "even") -> None:
+    """Writes each string column to a new folder of ordered part files, all in one pass; on failure nothing stays."""
+    if preset not in PRESETS:
+        raise ValueError("preset must be " + ", ".join(PRESETS))
+    texts.sparkSession.dataSource.register(FastqSource)
+    options = {"paths": json.dumps(paths), "gzip": str(gzip).lower(), "preset": preset}
+    texts.write.format("fastq").mode("append").options(**options).save()
 
 
 def write_fastq(records: DataFrame, path: str, order: list[str], compression: str | None = None) -> None:
-    """Writes records in order into a new folder of part files; an existing path is an error."""
-    ordered = records.orderBy(*order)
-    writer = fastq_text(ordered).write.mode("errorifexists").option("lineSep", "\n")
-    (writer.option("compression", compression) if compression else writer).text(path)
+    """Writes records in order into a new folder of part files; an existing path is an error. ``compression``: null or gzip."""
+    plus = F.col("plus") if "plus" in records.columns else F.lit("+")
+    text = record_text(F.col("header"), F.col("seq"), plus, F.col("qual"), F.col("idx"))
+    write_texts(records.orderBy(*order).select(text.alias("value")), [path], compression == "gzip")
 
 
 def input_state(spark: SparkSession, path: str | list[str]) -> set[tuple]:
