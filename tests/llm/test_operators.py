@@ -237,6 +237,73 @@ def test_randomness_battery(spark):
     assert max(p[x] for x in plain) < 1e-3 and sorted(p[x] for x in secret)[2] > 1e-3
 
 
+def structured_names(rng):
+    words = "alpha river stone garden market window kitchen engine bridge winter summer valley teacher student picture number letter station village harvest lantern feather blanket".split()
+    camel = ["".join(w.capitalize() for w in rng.choices(words, k=5)) + str(rng.randrange(1, 2000)) for _ in range(400)]
+    slugs = ["-".join(w.capitalize() for w in rng.choices(words, k=5)) + f"-{rng.randrange(1, 2000)}" for _ in range(400)]
+    paths = ["/".join(rng.choice([w, w.capitalize()]) for w in rng.choices(words, k=5)) + f"/V{rng.randrange(1, 99)}" for _ in range(400)]
+    flat = ["".join(rng.choices(words, k=5)) + str(rng.randrange(1, 2000)) for _ in range(400)]
+    return camel, slugs, paths, flat
+
+
+@pytest.mark.parametrize("form", range(4))
+def test_names_are_no_secrets(spark, form):
+    """At most 5 % of structured names of each form are reported, beside at least 95 of 100 secrets."""
+    rng = random.Random(form)
+    names = structured_names(rng)[form]
+    alphabets = [secret_scan.ALPHABETS["base64"], secret_scan.ALPHABETS["base36"], secret_scan.ALPHABETS["base64"][:62]]
+    secrets = []
+    while len(secrets) < 100:
+        s = "".join(rng.choice(alphabets[len(secrets) % 3]) for _ in range(rng.choice([24, 32, 40, 64])))
+        secrets += [s] if re.search("[0-9]", s) and re.search("[a-z]", s) and not re.search("[0-9a-f]{24}|AKIA", s) else []
+    rows = [(i, f"see {x} there") for i, x in enumerate(names + secrets)]
+    found = {r["doc_id"] for r in secret_scan.secret_report(documents(spark, rows)).collect() if "random" in r["spans"]}
+    assert sum(i < 400 for i in found) <= 20 and sum(i >= 400 for i in found) >= 95
+    assert secret_scan.secret_report(documents(spark, rows[:400])).where("spans <> ''").count() <= 20
+
+
+def test_false_discovery_control():
+    """Benjamini and Hochberg's rule on the shares of structured strings, by a plain loop over sorted scores."""
+    rng = random.Random(2)
+    for _ in range(50):
+        tested = {b: collections.Counter(rng.randrange(300) for _ in range(rng.randrange(1, 60))) for b in (1, 2)}
+        null = {1: collections.Counter(rng.randrange(80, 400) for _ in range(rng.randrange(1, 500)))}
+        for band, counts in tested.items():
+            scores, of = sorted(counts.elements()), sorted(null.get(band, collections.Counter()).elements())
+            good = [k for k, s in enumerate(scores, 1) if (1 + sum(x <= s for x in of)) / (1 + len(of)) <= 0.05 * sum(x <= s for x in scores) / len(scores)]
+            limit = secret_scan.reported_upto(tested, null, 0.05).get(band)
+            assert limit == (scores[good[-1] - 1] if good else None)
+
+
+def test_scores_of_the_battery(spark):
+    """The tests of one encoding, recomputed symbol by symbol."""
+    import math
+
+    alphabet = secret_scan.ALPHABETS["base64"]
+    kind = lambda c: "d" if c.isdigit() else "s" if c in "+/" else "u" if c.isupper() else "l"
+    part = lambda c: kind(c) + ("" if kind(c) in "ds" else str([c.lower() in g for g in secret_scan.LETTER_GROUPS].index(True)))
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    rng = random.Random(6)
+    strings = ["GetUserAccountBalance42", "aB3" * 10, *("".join(rng.choice(alphabet) for _ in range(n)) + "aZ9" for n in (20, 33, 90))]
+    got = {r["found"]: r["score"] for r in secret_scan.with_battery(spark.createDataFrame([(s,) for s in strings], "found string")).collect()}
+    for s in strings:
+        n, ps = len(s), []
+        expect = {b: n * sum(part(c) == b for c in alphabet) / 64 for b in {part(c) for c in alphabet}}
+        chi, df = sum((sum(part(c) == b for c in s) - e) ** 2 / e for b, e in expect.items()), len(expect) - 1
+        ps.append(tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))))
+        p = [sum(kind(c) == k for c in alphabet) / 64 for k in "ulds"]
+        same = sum(x * x for x in p)
+        joint = sum(x * (1 - x) ** 2 for x in p) - (1 - same) ** 2
+        changes = sum(kind(a) != kind(b) for a, b in zip(s, s[1:]))
+        ps.append(2 * tail(abs((changes - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same) + 2 * (n - 2) * joint))))
+        echo, later = sum(kind(a) == kind(b) for k in (2, 3) for a, b in zip(s, s[k:])), 2 * n - 5
+        ps.append(2 * tail(abs((echo - later * same) / math.sqrt(later * same * (1 - same)))))
+        v = [c.lower() in "aeiou" for c in s]
+        y = [x - sum(v) / n for x in v]
+        ps.append(2 * tail(abs((sum(a * b for a, b in zip(y, y[1:])) / sum(a * a for a in y) + 1 / n) * math.sqrt(n))))
+        assert got[s] == pytest.approx(-sum(math.log(max(x, 1e-12)) for x in ps), rel=1e-4, abs=1e-3)
+
+
 def test_packing(spark, texts):
     path = tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
