@@ -402,6 +402,44 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def plain_labels(text):
+    """Labels by comparing every block of every notice."""
+    words = [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()) if w]
+    out = {label for p, label in license_scan.PHRASES.items() if any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))}
+    for notice, label in license_scan.NOTICES.items():
+        parts = notice.split(" ")
+        plain, telling = {w.strip("[]") for w in parts}, {w.strip("[]") for w in parts if "[" in w}
+        span = len(parts) * 5 // 4
+        for k in range(len(words)):
+            held = plain & set(words[k : k + span])
+            if words[k] in plain and len(held) >= 0.8 * len(plain) - 1e-9 and telling <= held:
+                out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_what_is_no_license(spark):
+    named = {
+        "Released under the Apache License 2.0.": "apache", "Licensed under CC BY 4.0": "cc-by", "licensed under the BSD license; the text was released by us": "", "This file is released under the license of its owner": "",
+        "Released under the license, " + "wort " * 3 + "mit dem Text": "", "This program is free software under the terms of its license": "", "released under the mit license": "mit", "Dieser Text steht unter der Lizenz, mit Dank; it is released under the ISC license.": "",
+        "Licensed under the Apache License, Version 2.0 (the License)": "apache,apache-2.0", "licensed under CC BY NC 4.0": "cc-by,cc-by-nc-4.0",
+    }
+    rng = random.Random(8)
+    notices = [n.replace("[", "").replace("]", "").split(" ") for n in license_scan.NOTICES]
+    texts = list(named)
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            part = [w for w in rng.choice(notices) if rng.random() > rng.choice([0, 0.1, 0.2])]
+            for _ in range(rng.choice([0, 1, 5, 40])):
+                part.insert(rng.randrange(len(part) + 1), rng.choice(["filler", "the", "license", "mit", "nc", "gnu"]))
+            words += part + ["other"] * rng.choice([0, 3, 60])
+        texts.append(rng.choice([" ", "\n"]).join(words))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    assert {t: got[i] for i, t in enumerate(texts) if t in named} == named
+    assert [got[i] for i in range(len(texts))] == [plain_labels(t) for t in texts]
+    assert 20 < sum("," in got[i] for i in range(len(texts))) and sum(not got[i] for i in range(len(texts))) > 5
+
+
 def test_wrapped_license_notices(spark):
     want, rows = [], []
     for i, (notice, label) in enumerate(license_scan.NOTICES.items()):
