@@ -2,8 +2,10 @@
 
 1. One pass over the texts counts tokens and cuts every document into pieces: full ones of the sequence length and one
    tail. Full pieces need no plan.
-2. Tails are counted by length class (a multiple of ``grain``, rounded up): a histogram of fixed size, however many
-   documents there are. On it the driver solves the cutting-stock linear program; columns (patterns of classes that
+2. Tails are counted by length class: a histogram of fixed size, however many documents there are. Tails of up to EXACT
+   tokens are classes of their own length; of each such class as many as fit BUNDLE tokens are planned as one item, so
+   that rounding costs a bundle and not each short document. All items are multiples of ``grain``, rounded up. On these
+   the driver solves the cutting-stock linear program; columns (patterns of classes that
    fit one sequence) are priced by a knapsack dynamic program. Patterns are used a whole number of times (rounded
    down); the bounded rest is packed first-fit by decreasing class.
 3. Each tail gets its rank within its class from counts by (class, bucket) and a row number in the bucket, so a class
@@ -30,6 +32,8 @@ from .merges import MergeTable, spread
 SEQUENCE = 4096
 #: Length classes are multiples of this; smaller leaves less padding and gives the linear program more rows.
 GRAIN = 16
+#: Shorter pieces are counted by exact length, and planned as bundles of at most so many tokens.
+EXACT, BUNDLE = 256, 1024
 END_ID = 2
 #: Fixed value of the vocabulary's format: its pre-tokenising pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -244,6 +248,36 @@ class Slots:
         return sequence, place
 
 
+class Bundles:
+    """Items of short pieces: of each exact length, full bundles and one with what is left, each taking the next rank of its class."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, grain: int):
+        self.demand = {size: n for size, n in histogram.items() if size > 0}
+        self.of: dict[int, tuple[int, int, int, int, int, int]] = {}
+        for length, n in sorted((-size, n) for size, n in histogram.items() if size < 0):
+            each = max(1, min(BUNDLE, capacity * grain) // length)
+            full, rest = divmod(n, each)
+            place = []
+            for count, bundles in ((each, full), (rest, int(rest > 0))):
+                size = -(-count * length // grain)
+                place += [size, self.demand.get(size, 0)]
+                if bundles:
+                    self.demand[size] = self.demand.get(size, 0) + bundles
+            self.of[-length] = (each, full, *place)
+
+    def items(self, classes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece its item's class and rank, and its place within the item."""
+        size, rank, place = classes.astype(np.int64), ranks.astype(np.int64), np.zeros(len(classes), np.int64)
+        for c in np.unique(classes[classes < 0]).tolist():
+            each, full, size_full, at_full, size_rest, at_rest = self.of[c]
+            mine = np.flatnonzero(classes == c)
+            bundle, place[mine] = np.divmod(ranks[mine], each)
+            whole = bundle < full
+            size[mine] = np.where(whole, size_full, size_rest)
+            rank[mine] = np.where(whole, at_full + bundle, at_rest)
+        return size, rank, place
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -264,14 +298,15 @@ def pack(
     rank_order = ["doc_id", "start", "ids_crc32"]
     pieces = materialise(
         cut_pieces(docs, path, id_col, text_col, sequence, end_id)
-        .withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
+        .withColumn("size", F.when(F.col("length") <= min(EXACT, capacity * grain), -F.col("length")).otherwise(F.ceil(F.col("length") / grain)).cast("int"))
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(buckets)).cast("int"))
     )
     counts = pieces.groupBy("size", "bucket").agg(F.count("*").alias("n"))  # at most classes x buckets rows
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    slots = Slots(plan_patterns(histogram, capacity) if histogram else [], capacity)
+    bundles = Bundles(histogram, capacity, grain)
+    slots = Slots(plan_patterns(bundles.demand, capacity) if histogram else [], capacity)
 
     ranked = pieces.join(counts.select("size", "bucket", "ahead"), ["size", "bucket"]).withColumn(
         "rank", F.col("ahead") + F.row_number().over(Window.partitionBy("size", "bucket").orderBy(*rank_order)) - 1
@@ -279,7 +314,9 @@ def pack(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seq, place = slots.take(batch.column("size").to_numpy(), batch.column("rank").to_numpy())
+            size, rank, inner = bundles.items(batch.column("size").to_numpy(), batch.column("rank").to_numpy())
+            seq, place = slots.take(size, rank)
+            place = place * (1 << 12) + inner
             kept = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(seq), pa.array(place)],

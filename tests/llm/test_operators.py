@@ -304,6 +304,41 @@ def test_scores_of_the_battery(spark):
         assert got[s] == pytest.approx(-sum(math.log(max(x, 1e-12)) for x in ps), rel=1e-4, abs=1e-3)
 
 
+def test_short_documents_fill_sequences(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["a", "of", "the", "to", "in"], k=rng.randrange(2, 11)))) for i in range(4000)]
+    got = packing.pack(documents(spark, rows)).select("doc_id", "length", "doc_tokens", "sequence_id", "offset").collect()
+    assert len(got) == 4000
+    by = collections.defaultdict(list)
+    for r in got:
+        assert r["length"] == r["doc_tokens"]
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    tokens = sum(r["length"] for r in got)
+    assert len(by) <= -(-tokens // 4096) + 1 and sorted(sum(n for _, n in p) for p in by.values())[1] >= 0.95 * 4096
+
+
+def test_bundles():
+    rng = random.Random(4)
+    for _ in range(30):
+        histogram = {-rng.randrange(1, 257): rng.randrange(1, 3000) for _ in range(6)} | {rng.randrange(17, 257): rng.randrange(1, 50) for _ in range(3)}
+        bundles = packing.Bundles(histogram, 256, 16)
+        used = collections.defaultdict(list)
+        for c, n in histogram.items():
+            size, rank, place = bundles.items(np.full(n, c), np.arange(n))
+            for item in zip(size.tolist(), rank.tolist(), place.tolist()):
+                used[item[:2]].append((item[2], -c if c < 0 else c * 16))
+        assert collections.Counter(size for size, _ in used) == bundles.demand
+        for (size, rank), pieces in used.items():
+            assert 0 <= rank < bundles.demand[size] and sorted(p for p, _ in pieces) == list(range(len(pieces)))
+            assert sum(n for _, n in pieces) <= size * 16 <= 4096 and size * 16 - sum(n for _, n in pieces) < 16
+
+
 def test_packing(spark, texts):
     path = tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
