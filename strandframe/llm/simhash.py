@@ -13,11 +13,12 @@ only a sign. Documents with close fingerprints are verified first. Then all othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -36,6 +37,8 @@ CHUNK_HASHES = 1 << 18
 #: The pipeline's stage: least similarity of shingle sets, and buckets of the table that orders shingles by rarity.
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 16
+#: Rows of one shingle that one task may count and deal.
+GROUP_ROWS = 1 << 18
 #: Bits of the parity bitmap by which candidates are sifted before their shingles are compared.
 BITMAP = 1024
 #: Ids up to which a set of documents is broadcast.
@@ -176,10 +179,14 @@ def dealt_cells(keyed: DataFrame, keys: list[str], value: str) -> DataFrame:
     Large buckets are cut into groups by the hash of the value; each pair of groups is one cell.
     """
     groups = keyed.groupBy(*keys).count().where(F.col("count") > 1).select(*keys, F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("g"))
-    mine = F.pmod(F.xxhash64(value), F.col("g")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, F.col("s")).alias("i"), F.greatest(j, F.col("s")).alias("j")))
-    dealt = keyed.join(groups, keys).withColumn("s", mine).select(*keyed.columns, F.explode(cells).alias("c"))
-    return dealt.select(*keyed.columns, "c.i", "c.j").repartition(*keys, "i", "j")
+    return in_cells(keyed.join(groups, keys), F.col("g"), value).select(*keyed.columns, "i", "j").repartition(*keys, "i", "j")
+
+
+def in_cells(rows: DataFrame, groups: Column, value: str) -> DataFrame:
+    """Each row once for every cell (i, j) of its group, by the hash of its value; every two rows of a bucket meet in a cell."""
+    mine = rows.withColumn("g_", groups).withColumn("s_", F.pmod(F.xxhash64(value), F.col("g_")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("g_") - 1), lambda j: F.struct(F.least(j, F.col("s_")).alias("i"), F.greatest(j, F.col("s_")).alias("j")))
+    return mine.select(*rows.columns, F.explode(cells).alias("c_")).select(*rows.columns, "c_.i", "c_.j")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -302,8 +309,12 @@ def with_sets(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> Data
     return docs.select(id_col, "__row", F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def with_prefix(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarray) -> DataFrame:
-    """One row per prefix shingle of (sk, comp, _text): tok, p (its place in the order), sk, comp, n."""
+def with_prefix(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarray, busy: bool) -> DataFrame:
+    """One row per prefix shingle of (sk, comp, _text): tok, p (its place in the order), sk, comp, n.
+
+    Either those of buckets of the rarity table with more than GROUP_ROWS documents, or all others.
+    """
+    most = GROUP_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,8 +329,9 @@ def with_prefix(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarra
             held = np.array([len(t) for t in toks])
             p = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
             own = [np.repeat(batch.column(c).to_numpy(), held) for c in ("sk", "comp")]
-            tok = np.concatenate(toks).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok, p, *own, np.repeat(np.array(sizes, np.int64), held))], ["tok", "p", "sk", "comp", "n"])
+            tok = np.concatenate(toks)
+            used = (rarity[(tok % np.uint64(RARITY_BUCKETS)).astype(np.int64)] > most) == busy
+            yield pa.RecordBatch.from_arrays([pa.array(x[used]) for x in (tok.view(np.int64), p, *own, np.repeat(np.array(sizes, np.int64), held))], ["tok", "p", "sk", "comp", "n"])
 
     return sets.mapInArrow(run, "tok long, p long, sk long, comp long, n long")
 
@@ -340,10 +352,19 @@ def met_pairs(run: np.ndarray, n: np.ndarray, p: np.ndarray, comp: np.ndarray, p
         yield i[ok], j[ok]
 
 
-def prefix_pairs(prefixes: DataFrame, per_mille: int) -> DataFrame:
-    """Pairs (x, y) of sets that share a prefix shingle and are in different components so far: all that can be similar."""
+def prefix_pairs(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarray) -> DataFrame:
+    """Pairs (x, y) of sets that share a prefix shingle and are in different components so far: all that can be similar.
+
+    Shingles that the rarity table shows to be in at most GROUP_ROWS documents are counted where one shuffle brings them
+    together. Any others, which one task couldn't hold, are counted first, by an aggregation, and dealt by these counts;
+    they are written once, after a second pass over the texts.
+    """
     names = ["tok", "i", "j", "n", "sk", "p", "comp"]
-    dealt = dealt_cells(prefixes, ["tok"], "sk").select(*names).sortWithinPartitions(*names)
+    few = with_prefix(sets, shingle, per_mille, rarity, busy=False).withColumn("comp", F.when(F.col("comp") != F.col("sk"), F.col("comp")))
+    few = few.withColumn("count", F.count("*").over(Window.partitionBy("tok"))).where("count > 1").withColumn("comp", F.coalesce("comp", "sk"))
+    dealt = [in_cells(few, F.ceil(F.col("count") / BUCKET_ROWS).cast("int"), "sk").repartition("tok", "i", "j")]
+    if rarity.max() > GROUP_ROWS:
+        dealt.append(dealt_cells(stored(with_prefix(sets, shingle, per_mille, rarity, busy=True)), ["tok"], "sk"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -376,7 +397,8 @@ def prefix_pairs(prefixes: DataFrame, per_mille: int) -> DataFrame:
         if held:
             yield from flush(np.concatenate(held))
 
-    return dealt.mapInArrow(meet, "x long, y long").distinct()
+    pairs = [d.select(*names).sortWithinPartitions(*names).mapInArrow(meet, "x long, y long") for d in dealt]
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -435,8 +457,7 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The others meet by their rarest shingles; what is linked already need not meet again.
     comps = connected_components(settled).select(F.col("v").alias("sk"), "root")
     open_ = materialise(least.join(comps, "sk", "left").select(F.col("least.row").alias("__row"), "sk", F.coalesce("root", "sk").alias("comp")))
-    prefixes = stored(with_prefix(texts_of(texts, open_), shingle, per_mille, rarity))
-    links = settled.union(similar(prefix_pairs(prefixes, per_mille), least, texts, shingle, per_mille))
+    links = settled.union(similar(prefix_pairs(texts_of(texts, open_), shingle, per_mille, rarity), least, texts, shingle, per_mille))
 
     groups = least.join(connected_components(links).withColumnRenamed("v", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     kept = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))

@@ -144,6 +144,15 @@ def test_similar_documents_are_all_found(spark):
     assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("rows_of_a_task", [2, 12])
+def test_shingles_of_many_documents_are_counted_first(spark, monkeypatch, rows_of_a_task):
+    """Some or all shingles go through the counts that are made before they are dealt."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_of_a_task)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 5)
+    rows = edited_texts(12)
+    assert sorted(r["doc_id"] for r in simhash.dedup_similar(documents(spark, rows)).collect()) == sorted(brute_near(rows)[0])
+
+
 def test_similar_documents_deal_out_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 3)
     rows = edited_texts(12, originals=2, copies=14)
