@@ -272,6 +272,13 @@ def unpacked(kept: DataFrame, names: list[str]) -> DataFrame:
     return kept.dropDuplicates(["__row"]).select(*(F.col("doc").getField(c).alias(c) for c in names))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: shingles take many times the memory of their text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def parity(h: np.ndarray) -> np.ndarray:
     """Bitmap of a set of hashes: sets whose bitmaps differ in d bits differ in d elements at least."""
     at = ((h >> np.uint64(32)) % np.uint64(BITMAP)).astype(np.int64)
@@ -288,7 +295,7 @@ def with_sets(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RARITY_BUCKETS, np.int64)
         kind = None
-        for batch in batches:
+        for batch in in_slices(batches):
             kind = batch.schema.field(id_col).type
             texts = batch.column("_text").to_pylist()
             fp = np.fromiter(fingerprint_many(iter(texts), shingle), np.uint64, len(texts))
@@ -317,7 +324,7 @@ def with_prefix(sets: DataFrame, shingle: int, per_mille: int, rarity: np.ndarra
     most = GROUP_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             toks, sizes = [], []
             for text in batch.column("_text").to_pylist():
                 h = np.unique(shingle_hashes(text, shingle))
@@ -414,7 +421,7 @@ def similar(pairs: DataFrame, least: DataFrame, keyed: DataFrame, shingle: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("sk"), pa.array(found, pa.list_(pa.int64()))], ["sk", "h"])
 
