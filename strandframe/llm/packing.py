@@ -37,8 +37,8 @@ EXACT, BUNDLE = 256, 1024
 END_ID = 2
 #: Fixed value of the vocabulary's format: its pre-tokenising pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS = 150_000
-CHUNK_CHARS = 1_000_000
+CACHE_WORDS = 300_000
+CHUNK_CHARS = 1_500_000
 CACHED_WORD_CHARS = 256
 
 
