@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.reads import tag_header
+from ..functions.reads import tag_header, tag_plus
 
 #: Fixed values of the overlap and adapter rules.
 OVERLAP_LEAST, OVERLAP_COMPARED, OVERLAP_MISMATCHES, OVERLAP_SHARE = 31, 50, 5, 5
@@ -39,7 +39,10 @@ class Trim:
 
 
 def move_umi(pairs: DataFrame, length: int, skip: int = 0, mates: str = "both") -> DataFrame:
-    """Moves the first bases of the chosen mates into both names; adds tag, umi_short and umi_ambiguous."""
+    """Moves the first bases of the chosen mates into both names; adds tag, umi_short and umi_ambiguous.
+
+    Plus lines (p1, p2), if there are any, that repeat a name get the tag as well.
+    """
     chosen = {"1": [1], "2": [2], "both": [1, 2]}[mates]
     umi = {k: F.substring(f"s{k}", 1, length) for k in chosen}
     tag = F.concat(F.lit(":"), F.concat_ws("_", *umi.values()))
@@ -47,6 +50,7 @@ def move_umi(pairs: DataFrame, length: int, skip: int = 0, mates: str = "both")
     odd = sum(u.rlike("[^acgtACGT]").cast("int") for u in umi.values()) > 0
     cut = {f"{c}{k}": F.substring(F.col(f"{c}{k}"), F.lit(length + skip + 1), F.length(f"{c}{k}")) for k in chosen for c in "sq"}
     new = {"tag": tag, "umi_short": short, "umi_ambiguous": odd} | {f"h{k}": tag_header(F.col(f"h{k}"), tag) for k in (1, 2)}
+    new |= {f"p{k}": tag_plus(F.col(f"p{k}"), F.col(f"h{k}"), tag) for k in (1, 2) if f"p{k}" in pairs.columns}
     return pairs.withColumns(new).withColumns(cut)
 
 

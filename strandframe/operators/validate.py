@@ -58,10 +58,11 @@ def pair_violations(left: DataFrame, right: DataFrame, policy: str = "illumina")
     return both.select("idx", code.alias("code"), side.alias("side"), last(1), last(2)).where(F.col("code").isNotNull())
 
 
-def zip_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Record i of one source with record i of the other."""
-    a = left.select("idx", *(F.col(c).alias(c[0] + "1") for c in ("header", "seq", "qual")))
-    b = right.select("idx", *(F.col(c).alias(c[0] + "2") for c in ("header", "seq", "qual")))
+def zip_pairs(left: DataFrame, right: DataFrame, plus: bool = False) -> DataFrame:
+    """Record i of one source with record i of the other; with their plus lines (p1, p2) if asked."""
+    fields = ("header", "seq", "qual", "plus") if plus else ("header", "seq", "qual")
+    a = left.select("idx", *(F.col(c).alias(c[0] + "1") for c in fields))
+    b = right.select("idx", *(F.col(c).alias(c[0] + "2") for c in fields))
     return a.join(b, "idx")
 
 
@@ -82,7 +83,6 @@ def deinterleave(records: DataFrame, mate: int) -> DataFrame:
     return records.where(F.col("idx") % 2 == mate - 1).select(F.floor(F.col("idx") / 2).alias("idx"), "header", "seq", "qual")
 
 
-
 def field_fault(header: Column, seq: Column, qual: Column, plus: Column) -> Column:
     """Why a record can't be written so that it reads back the same, or null."""
     fields = (header, seq, plus, qual)

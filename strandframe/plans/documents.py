@@ -37,18 +37,23 @@ def check_document(inputs: list[str], records: DataFrame, alphabet: str = "iupac
     return document("check-v1", [{"input": escaped(i), "status": "error", "error": bad[i]} if i in bad else {"input": escaped(i), "status": "ok"} for i in inputs])
 
 
+def named_stats(row: dict | None) -> dict:
+    """Statistics by the names of the documents; those of no reads if there is no row."""
+    if row is None:
+        return dict.fromkeys(STATS) | dict.fromkeys([s for s in STATS if s in ("reads", "bases", *"acgtn") or s.endswith(("_bases", "_sum"))], 0)
+    return {s: row[f"{s}_bases" if len(s) == 1 else s] for s in STATS}
+
+
 def stats_document(inputs: list[str], records: DataFrame) -> str:
     """One result for each input: its statistics, or its first failure of structure or score range."""
     bad = failures(records, None)
     found = {r["src"]: r.asDict() for r in stats.read_stats(records, ["src"]).collect()}
-    empty = dict.fromkeys(STATS) | dict.fromkeys([s for s in STATS if s in ("reads", "bases", *"acgtn") or s.endswith(("_bases", "_sum"))], 0)
     results = []
     for i in inputs:
         if i in bad:
             results.append({"input": escaped(i), "status": "error", "error": bad[i]})
             continue
-        r = found.get(i)
-        results.append({"input": escaped(i), "status": "ok"} | (empty if r is None else {s: r[f"{s}_bases" if len(s) == 1 else s] for s in STATS}))
+        results.append({"input": escaped(i), "status": "ok"} | named_stats(found.get(i)))
     return document("stats-v1", results)
 
 
@@ -57,18 +62,27 @@ def pair_check_document(inputs: list[str], left: DataFrame, right: DataFrame | N
     row = (check_interleaved(left, policy, alphabet) if right is None else check_pairs(left, right, policy, alphabet)).first()
     result: dict = {"input": escaped(inputs[0])} if right is None else {"inputs": [escaped(i) for i in inputs]}
     result["status"] = "ok" if row is None else "error"
-    if row is not None and row["code"] in PAIR_MESSAGES:
+    return document("check-v1", [result if row is None else result | pair_failure(row, inputs)])
+
+
+#: Longest part of a name that an error shows, in bytes.
+SHOWN = 128
+
+
+def shown(name: str) -> str:
+    return escaped(name.encode("utf-8", "surrogateescape")[:SHOWN].decode("utf-8", "surrogateescape"))
+
+
+def pair_failure(row: dict, inputs: list[str]) -> dict:
+    """``error`` of a row of pair_failures, and ``failed_input`` where it is one of two inputs."""
+    if row["code"] in PAIR_MESSAGES:
         error = {"code": row["code"], "message": PAIR_MESSAGES[row["code"]], "pair_index": row["idx"]}
         if row["code"] == "P002":
-            error |= {"remaining_side": f"R{row['mate']}", "record_indexes": [row["last1"], row["last2"]]}
-        else:
-            error |= {"first_tokens": [escaped(row["name1"]), escaped(row["name2"])], "mate_markers": [[k for k in (1, 2) if m & k] for m in (row["marks1"], row["marks2"])]}
-        result["error"] = error
-    elif row is not None:
-        if right is not None:
-            result["failed_input"] = escaped(inputs[row["mate"] - 1])
-        result["error"] = {"code": row["code"], "record_index": row["idx"] if right is not None else 2 * row["idx"] + row["mate"] - 1, "byte_offset": row["offset"], "line_in_record": row["line"]}
-    return document("check-v1", [result])
+            return {"error": error | {"remaining_side": f"R{row['mate']}", "record_indexes": [row["last1"], row["last2"]]}}
+        return {"error": error | {"first_tokens": [shown(row["name1"]), shown(row["name2"])], "mate_markers": [[k for k in (1, 2) if m & k] for m in (row["marks1"], row["marks2"])]}}
+    apart = len(inputs) > 1
+    error = {"code": row["code"], "record_index": row["idx"] if apart else 2 * row["idx"] + row["mate"] - 1, "byte_offset": row["offset"], "line_in_record": row["line"]}
+    return ({"failed_input": escaped(inputs[row["mate"] - 1])} if apart else {}) | {"error": error}
 
 
 def totals(pairs: DataFrame) -> dict:

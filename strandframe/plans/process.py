@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
-from ..operators import filters, inserts, qc, transform, validate
-from ..sources.fastq import write_fastq
+from ..operators import filters, inserts, transform, validate
+from ..sources.fastq import record_text, write_texts
+from ..sources.fastq_files import PRESETS
+
+#: Names of the steps of a report, in their order, and of their columns.
+STEPS = {"quality_tail": "tail", "poly_g": "polyg", "overlap": "overlap", "adapter": "adapter"}
 
 
 @dataclass(frozen=True)
@@ -23,10 +26,24 @@ class Options:
     filter: filters.Filter = field(default_factory=filters.Filter)
     max_pairs: int | None = None
     pair_duplication: bool = False
+    gzip: bool = False
+    gzip_preset: str | None = None
+
+    @property
+    def changes_reads(self) -> bool:
+        """Whether any step or filter is asked for; without one, retained pairs are the raw ones."""
+        t, f = self.trim, self.filter
+        return any(x is not None for x in (self.umi_length, t.tail_window, t.poly_g, t.adapter1, f.min_length, f.max_n, f.low_quality))
 
     def check(self) -> None:
         """Ranges and combinations; a ValueError names the option."""
         t, f = self.trim, self.filter
+        if self.umi_skip and not self.umi_length:
+            raise ValueError("umi_skip needs umi_length")
+        if self.gzip_preset is not None and not self.gzip:
+            raise ValueError("gzip_preset needs gzip")
+        if self.gzip_preset not in (None, *PRESETS):
+            raise ValueError("gzip_preset must be " + ", ".join(PRESETS))
         ranges = [
             ("umi_length", self.umi_length, 1, 100), ("umi_skip", self.umi_skip, 0, 100), ("tail_window", t.tail_window, 1, 1000), ("tail_quality", t.tail_quality, 1, 30),
             ("max_n", f.max_n, 0, 50), ("low_quality", f.low_quality, 0, 93), ("max_low_percent", f.max_low_percent, 0, 100), ("min_length", f.min_length, 0, 2**32 - 1), ("poly_g", t.poly_g, 1, 2**31 - 1),
@@ -80,29 +97,32 @@ class Run:
         sized = self.decided.select(*((F.col(f"kept{k}") + sum(F.col(f"{c}{k}") for c in steps)).alias(f"length{k}") for k in (1, 2)), *((F.col(f"kept{k}") + sum(F.col(f"{c}{k}") for c in (*steps, "polyg", "tail"))).alias(f"n{k}") for k in (1, 2)), "tail1", "tail2", "ov_offset", "ov_length")
         return inserts.insert_sizes(sized.where(compared), F.col("length1"), F.col("length2"))
 
-    def report(self) -> dict:
-        """Options, totals before and after, steps, reasons, inserts and duplication; only small frames reach the driver."""
-        rows = lambda df: [r.asDict() for r in df.collect()]
-        out = {"options": asdict(self.options), "before": rows(qc.summary_totals(self.pairs))[0], "after": rows(qc.summary_totals(self.retained))[0]}
-        out["steps"] = sorted(rows(filters.step_counts(self.decided)), key=lambda r: (r["mate"], r["step"]))
-        out["adapter_cuts"] = sorted(rows(filters.adapter_counts(self.decided)), key=lambda r: r["mate"])
-        out["filter"] = sorted(rows(filters.filter_counts(self.decided)), key=lambda r: r["reason"])
-        out["insert"] = rows(inserts.insert_summary(self.insert_sizes()))[0]
+    def counters(self) -> dict[str, Column]:
+        """Everything that is one number of a whole run, as aggregates over ``decided``."""
+        count = lambda c: F.count(F.when(c, 1))
+        total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+        dropped = F.col("reason_pair").isNotNull()
+        out = {"read": F.count(F.lit(1)), "written": count(~dropped), "dropped": count(dropped)}
+        for k in (1, 2):
+            for step, c in STEPS.items():
+                out |= {f"{step}{k}_reads": count(F.col(f"{c}{k}") > 0), f"{step}{k}_bases": total(f"{c}{k}")}
+            out |= {f"cut{k}_reads": count(F.col(f"cut{k}")), f"cut{k}_bases": total(f"cutbases{k}")}
+        for reason in filters.REASONS:
+            out |= {f"{reason}_pairs": count(F.col("reason_pair") == reason)} | {f"{reason}_reads{k}": count(dropped & (F.col(f"reason{k}") == reason)) for k in (1, 2)}
         if self.options.umi_length:
-            out["umi"] = rows(self.moved.agg(F.sum(F.col("umi_ambiguous").cast("long")).alias("ambiguous_pairs"), F.sum(F.col("umi_short").cast("long")).alias("short_pairs")))[0]
-        if self.options.pair_duplication:
-            n = inserts.pair_duplicates(self.pairs).agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.col("duplicate").cast("long")), F.lit(0)).alias("duplicates"))
-            out["pair_duplication"] = rows(n.withColumn("rate", F.when(F.col("pairs") > 0, F.col("duplicates") / F.col("pairs")).otherwise(0.0)))[0]
+            out |= {"umi_ambiguous": count(F.col("umi_ambiguous")), "umi_short": count(F.col("umi_short"))}
         return out
 
-    def write(self, out1: str, out2: str, compression: str | None = None, report: str | None = None) -> None:
-        """Both mates' retained records in order, and the report; every path must be new."""
-        for k, path in ((1, out1), (2, out2)):
-            records = self.retained.select("idx", *(F.col(f"{c[0]}{k}").alias(c) for c in ("header", "seq", "qual")))
-            write_fastq(records, path, ["idx"], compression)
-        if report:
-            spark = self.pairs.sparkSession
-            spark.createDataFrame([(json.dumps(self.report(), indent=1),)], "value string").coalesce(1).write.mode("errorifexists").text(report)
+    def write(self, out1: str, out2: str) -> dict[str, int]:
+        """Both mates' retained records in order, in one pass, and the run's counters, from the decisions that are kept.
+
+        Each pair is trimmed once. Both folders must be new and get part files of the same pairs; if anything fails, neither
+        stays. Tagged names are repeated in plus lines that repeat the header.
+        """
+        plus = lambda k: F.col(f"p{k}") if f"p{k}" in self.decided.columns else F.lit("+")
+        texts = [record_text(F.col(f"h{k}"), F.col(f"s{k}"), plus(k), F.col(f"q{k}"), F.col("idx")).alias(f"out{k}") for k in (1, 2)]
+        write_texts(self.retained.orderBy("idx").select(*texts), [out1, out2], self.options.gzip, self.options.gzip_preset or "even")
+        return self.decided.agg(*(c.alias(n) for n, c in self.counters().items())).first().asDict()
 
 
 def pair_failures(left: DataFrame, right: DataFrame, policy: str = "illumina", alphabet: str = "iupac") -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ MODULES = {
 }
 #: Endings that a file's name loses, in this order, for the folder of its text.
 NAME_ENDINGS = [".gz", ".bz2", ".txt", ".fastq", ".fq", ".csfastq", ".sam", ".bam", ".ubam"]
+#: First line of a quality-control text of a run.
+TITLE = "##Quality control"
 UNITS = ((10**9, "Gbp"), (10**6, "Mbp"), (10**3, "kbp"))
 
 
@@ -57,18 +61,21 @@ def length_text(bases: int) -> str:
 
 def stats_text(stats: DataFrame) -> str:
     """``name: value`` lines of a one-row statistics frame."""
-    r = stats.first().asDict()
+    return stats_lines(stats.first().asDict())
+
+
+def stats_lines(r: dict) -> str:
     known = sum(r[f"{b}_bases"] for b in "acgt")
     ratios = {"mean_length": (r["bases"], r["reads"]), "gc_fraction": (r["g_bases"] + r["c_bases"], known), "mean_quality": (r["quality_sum"], r["bases"]), "q20_fraction": (r["q20_bases"], r["bases"]), "q30_fraction": (r["q30_bases"], r["bases"])}
     return "\n".join(f"{k}: {ratio_text(*ratios[k]) if k in ratios else '-' if v is None else v}" for k, v in r.items())
 
 
-def qc_modules(reads: DataFrame) -> dict[str, DataFrame]:
-    """Every module over one set of reads, by name; lengths by bins."""
+def qc_modules(reads: DataFrame, digits: int | None = None) -> dict[str, DataFrame]:
+    """Every module over one set of reads, by name; lengths by bins. Values are rounded only where digits are given."""
     cycles = qc.per_cycle(reads)
     return {
-        "base_quality": qc.base_quality(cycles), "tile_quality": qc.tile_quality(reads), "read_quality": qc.read_quality(reads), "base_content": qc.base_content(cycles), "gc_content": qc.read_gc(reads),
-        "n_content": qc.base_n(cycles), "lengths": qc.length_distribution(reads), "duplication": qc.duplication_levels(reads), "overrepresented": qc.overrepresented(reads), "adapter_content": qc.adapter_content(reads),
+        "base_quality": qc.base_quality(cycles, digits), "tile_quality": qc.tile_quality(reads, digits), "read_quality": qc.read_quality(reads), "base_content": qc.base_content(cycles, digits), "gc_content": qc.read_gc(reads, digits),
+        "n_content": qc.base_n(cycles, digits), "lengths": qc.length_distribution(reads), "duplication": qc.duplication_levels(reads, digits=digits), "overrepresented": qc.overrepresented(reads, digits=digits), "adapter_content": qc.adapter_content(reads, digits),
     }
 
 
@@ -81,8 +88,7 @@ def label(first: int, last: int) -> str:
     return str(first) if first == last else f"{first}-{last}"
 
 
-def basic_lines(reads: DataFrame, filename: str) -> list[str]:
-    r = qc.basic_statistics(reads).first().asDict()
+def basic_lines(r: dict, filename: str) -> list[str]:
     low, high = r["min_length"] or 0, r["max_length"] or 0
     values = {
         "Filename": filename, "File type": "Conventional base calls" if r["reads"] else "null", "Encoding": "Sanger / Illumina 1.9", "Total Sequences": r["reads"], "Total Bases": length_text(r["bases"]),
@@ -116,22 +122,50 @@ def module_lines(name: str, rows: list[dict], grade: str, sources: dict[str, str
     return [*lines, *map("\t".join, cells), ">>END_MODULE"]
 
 
-def qc_text(reads: DataFrame, filename: str, title: str, contaminants: DataFrame | None = None) -> str:
-    """All modules of one set of reads in their fixed order, graded; values have at most nine decimals.
+def hit_texts(overrepresented: DataFrame, contaminants: DataFrame | None) -> dict[str, str]:
+    """What explains each overrepresented key, where a contaminant does."""
+    if contaminants is None:
+        return {}
+    hits = qc.contaminant_hits(overrepresented.select("key"), contaminants)
+    return {r["key"]: f"{r['name']} ({r['identity']}% over {r['bases_matched']}bp)" for r in hits.collect()}
+
+
+@dataclass(frozen=True)
+class Results:
+    """Rows and grades of all modules of one set of reads, what explains its overrepresented keys, and its basic statistics."""
+
+    rows: dict[str, list[dict]]
+    grades: dict[str, str]
+    sources: dict[str, str]
+    basic: dict
+
+
+def results_of(reads: DataFrame, contaminants: DataFrame | None = None) -> Results:
+    """Works out every module once, from reads that are kept meanwhile; a bounded number of rows of each reaches the driver."""
+    spark, kept = reads.sparkSession, reads.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        frames, rows = {}, {}
+        for name, module in qc_modules(kept).items():
+            found = module.collect()
+            rows[name] = [r.asDict() for r in found]
+            frames[name] = spark.createDataFrame(found, module.schema)
+        grade = dict(map(tuple, grades(kept, frames).collect()))
+        return Results(rows, grade, hit_texts(frames["overrepresented"], contaminants), qc.basic_statistics(kept).first().asDict())
+    finally:
+        kept.unpersist()
+
+
+def qc_text(reads: DataFrame | Results, filename: str, title: str, contaminants: DataFrame | None = None) -> str:
+    """All modules of one set of reads in their fixed order, graded; values are written in full precision.
 
-    Quality and tile modules are left out where there is nothing to show. ``title`` is the first line.
+    Quality and tile modules are left out where there is nothing to show. ``title`` is the first line. Results that were
+    worked out before may be given in place of the reads.
     """
-    modules = qc_modules(reads)
-    grade = dict(map(tuple, grades(reads, modules).collect()))
-    sources = {}
-    if contaminants is not None:
-        hits = qc.contaminant_hits(modules["overrepresented"].select("key"), contaminants)
-        sources = {r["key"]: f"{r['name']} ({r['identity']}% over {r['bases_matched']}bp)" for r in hits.collect()}
-    lines = [title, *basic_lines(reads, filename)]
-    for name, module in modules.items():
-        rows = [r.asDict() for r in module.collect()]
+    found = reads if isinstance(reads, Results) else results_of(reads, contaminants)
+    lines = [title, *basic_lines(found.basic, filename)]
+    for name, rows in found.rows.items():
         if rows or name not in ("base_quality", "tile_quality", "read_quality"):
-            lines += module_lines(name, rows, grade[name], sources)
+            lines += module_lines(name, rows, found.grades[name], found.sources)
     return "\n".join(lines) + "\n"
 
 

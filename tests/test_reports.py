@@ -150,7 +150,7 @@ def test_quality_control_text(spark):
         ">>Basic Statistics\tpass", ">>Per base sequence quality\tpass", ">>Per tile sequence quality\tpass", ">>Per sequence quality scores\tpass", ">>Per base sequence content\tfail", ">>Per sequence GC content\tfail",
         ">>Per base N content\tpass", ">>Sequence Length Distribution\tpass", ">>Sequence Duplication Levels\tfail", ">>Overrepresented sequences\tfail", ">>Adapter Content\twarn",
     ]
-    for line in ("Total Bases\t1.2 kbp", "Sequence length\t10", "10\t40.0\t40.0\t40.0\t40.0\t40.0\t40.0", "40\t120.0", "ACGTACGTAC\t120\t100.0\tknown (100% over 10bp)", "1\t10\t0.0", "#Total Deduplicated Percentage\t0.833333333"):
+    for line in ("Total Bases\t1.2 kbp", "Sequence length\t10", "10\t40.0\t40.0\t40.0\t40.0\t40.0\t40.0", "40\t120.0", "ACGTACGTAC\t120\t100.0\tknown (100% over 10bp)", "1\t10\t0.0", "#Total Deduplicated Percentage\t0.8333333333333334"):
         assert line in text.splitlines()
 
 
