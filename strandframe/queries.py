@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import reads as R
+from .functions import sql
 from .operators import filters, inserts, qc, sample, stats, transform, validate
 from .plans import process, tables
 from .sources import contaminants, derive
@@ -23,13 +24,13 @@ ORACLE_SQL: dict[str, str] = {}
 READS, PAIRS = derive.reads_sql(), derive.pairs_sql()
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name, with its SQL if it has one."""
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
         return f
 
     return register
@@ -715,3 +716,15 @@ def qc_summary_totals(spark, d):
     cast(floor(avg(length(seq)) filter (where mate = 1)) as bigint) read1_mean_length, cast(floor(avg(length(seq)) filter (where mate = 2)) as bigint) read2_mean_length from m""")
 def qc_summary_retained(spark, d):
     return qc.summary_totals(decided(spark, d).where("reason_pair is null"))
+
+
+# --- SQL functions ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""select idx, regexp_replace(split_part(h1, ' ', 1), '/[12]$', '') name, reverse(translate(regexp_replace(upper(s2), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) second_reversed,
+    split_part(h1, ' ', 1) = split_part(h2, ' ', 1) and left(split_part(h1, ' ', 2), 2) = '1:' and left(split_part(h2, ' ', 2), 2) = '2:' as matching,
+    round({count_of("GC", "upper(s1)")} / nullif({count_of("ACGT", "upper(s1)")}, 0), 9) gc from {PAIRS}""")
+def sql_functions(spark, d):
+    """The registered functions in a query that is SQL text only."""
+    sql.register(spark)
+    return spark.sql("select idx, norm_id(h1) name, revcomp(s2) second_reversed, names_match(h1, h2) matching, round(gc_fraction(s1), 9) gc from {pairs}", pairs=derive.pairs(spark, d))
