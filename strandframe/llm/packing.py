@@ -68,26 +68,31 @@ class WordEncoder(MergeTable):
             at = stop
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold neither blanks nor line breaks."""
-        plain, out = [], [b""] * len(words)
-        for i, word in enumerate(words):
-            try:
-                word.encode("latin-1")
-                plain.append(i)
-            except UnicodeEncodeError:
-                out[i] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.pieces("\n".join([words[i] for i in plain]).lower())
-        distinct = list(set(found).difference("\n"))
+        """Ids of words that hold neither blanks nor line breaks. A word of letters only is one piece."""
+        plain, out = range(len(words)), [b""] * len(words)
+        try:
+            "".join(words).encode("latin-1")
+        except UnicodeEncodeError:
+            plain = [i for i, word in enumerate(words) if word.isascii() or max(word) <= "\xff"]
+            for i in set(range(len(words))).difference(plain):
+                out[i] = np.array(self.library.encode(words[i], add_special_tokens=False).ids, "<u4").tobytes()
+        whole = [i for i in plain if words[i].isalpha()]
+        cut = [i for i in plain if not words[i].isalpha()]
+        lowered = [words[i].lower() for i in whole]
+        found = self.pieces("\n".join([words[i] for i in cut]).lower())
+        distinct = list(set(lowered).union(found).difference("\n"))
         ids = dict(zip(distinct, self.exact_many([x.encode() for x in distinct])))
+        for i, word in zip(whole, lowered):
+            out[i] = ids[word]
         at, part = 0, []
         for piece in found:
             if piece == "\n":
-                out[plain[at]] = b"".join(part)
+                out[cut[at]] = b"".join(part)
                 at, part = at + 1, []
             else:
                 part.append(ids[piece])
-        if plain:
-            out[plain[at]] = b"".join(part)
+        if cut:
+            out[cut[at]] = b"".join(part)
         return out
 
     def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:

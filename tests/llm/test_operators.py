@@ -313,6 +313,16 @@ def test_scores_of_the_battery(spark):
         assert got[s] == pytest.approx(-sum(math.log(max(x, 1e-12)) for x in ps), rel=1e-4, abs=1e-3)
 
 
+def test_word_ids_are_the_librarys():
+    import pyarrow as pa
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(1)
+    texts = ["".join(rng.choice("abczABCZ éÉßÄöµªº×÷ÿÞ'sst.,-0189\t\n日本ǅΣσ _[]") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    got = packing.WordEncoder(path).encode_batch(pa.array(texts))
+    assert all(ids.tolist() == library.encode(t, add_special_tokens=False).ids for t, ids in zip(texts, got))
+
+
 def test_short_documents_fill_sequences(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["a", "of", "the", "to", "in"], k=rng.randrange(2, 11)))) for i in range(4000)]
