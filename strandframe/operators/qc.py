@@ -36,9 +36,14 @@ def group_width(cycles: Column) -> Column:
     return width.cast("int")
 
 
-def group_bounds(cycle: Column, cycles: Column) -> tuple[Column, Column]:
+def with_groups(rows: DataFrame, cycle: str, cycles: Column) -> DataFrame:
+    """The rows with first and last cycle of their cycle's group."""
+    sized = rows.withColumn("width_", group_width(cycles))
+    return sized.select(*rows.columns, *group_bounds(F.col(cycle), cycles, F.col("width_")))
+
+
+def group_bounds(cycle: Column, cycles: Column, width: Column) -> tuple[Column, Column]:
     """First and last cycle of a cycle's group: nine single ones, then groups that end before multiples of the width."""
-    width = group_width(cycles)
     start = F.floor(cycle / width) * width
     alone = (width == 1) | (cycle <= 9)
     first = F.when(alone, cycle).otherwise(F.greatest(start, F.lit(10)))
@@ -47,14 +52,13 @@ def group_bounds(cycle: Column, cycles: Column) -> tuple[Column, Column]:
 
 def cycle_groups(spark, cycles: int) -> DataFrame:
     """cycle (from 1), first and last cycle of its group."""
-    cycle = F.col("id").cast("int")
-    return spark.range(1, cycles + 1).select(cycle.alias("cycle"), *group_bounds(cycle, F.lit(cycles)))
+    return with_groups(spark.range(1, cycles + 1).select(F.col("id").cast("int").alias("cycle"), F.lit(cycles).alias("cycles")), "cycle", F.col("cycles")).drop("cycles")
 
 
 def grouped(each: DataFrame) -> DataFrame:
     """Rows by cycle (one each, so no more than the longest read has bases), with their group's first and last cycle."""
     cycles = F.max("cycle").over(Window.partitionBy())
-    return each.withColumn("cycles", cycles).select("*", *group_bounds(F.col("cycle"), F.col("cycles")))
+    return with_groups(each.withColumn("cycles", cycles), "cycle", F.col("cycles"))
 
 
 def per_cycle(reads: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def length_distribution(reads: DataFrame) -> DataFrame:
     """Reads by length bin; empty bins at the edges are left out, inner ones kept."""
     counts = reads.groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n"))
     low, high, span = F.col("low"), F.col("high"), F.col("high") + 1 - F.greatest(F.col("low") - 1, F.lit(0))
-    ends = counts.agg(F.min("len").alias("low"), F.max("len").alias("high")).where("low is not null").withColumn("size", length_bin(span))
+    ends = counts.agg(F.min("len").alias("low"), F.max("len").alias("high")).where("low is not null").withColumn("span", span).withColumn("size", length_bin(F.col("span")))
     bin_of = lambda x: (F.floor(x / F.col("size")) * F.col("size")).cast("int")
     binned = counts.crossJoin(F.broadcast(ends)).groupBy(bin_of(F.col("len")).alias("first")).agg(F.sum("n").alias("n"))
     every = ends.select("size", F.explode(F.sequence(bin_of(low), high, F.col("size"))).alias("first"))
@@ -180,8 +184,7 @@ def adapter_content(reads: DataFrame, digits: int | None = 9) -> DataFrame:
     grid = size.select("total", "positions", F.explode(names).alias("adapter")).select("*", F.explode(F.sequence(F.lit(1), F.col("positions"))).alias("pos"))
     upto = Window.partitionBy("adapter").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = grid.join(found, ["adapter", "pos"], "left").withColumn("seen", F.sum(F.coalesce("n", F.lit(0))).over(upto))
-    bounds = group_bounds(F.col("pos"), F.col("positions"))
-    return seen.select("adapter", "seen", "total", *bounds).groupBy("adapter", "first", "last").agg(rounded(F.avg(F.col("seen") * 100 / F.col("total")), digits).alias("percent"))
+    return with_groups(seen, "pos", F.col("positions")).groupBy("adapter", "first", "last").agg(rounded(F.avg(F.col("seen") * 100 / F.col("total")), digits).alias("percent"))
 
 
 #: Width of the ranges of record numbers by which keys are counted to find the last one that is stored.
@@ -331,7 +334,7 @@ def tile_quality(reads: DataFrame, digits: int | None = 6) -> DataFrame:
     number = F.expr("if(get(split(header, ':'), field) rlike '^[+-]?[0-9]+$', try_cast(get(split(header, ':'), field) as int), null)")
     cells = tile_sums(used.crossJoin(first).select(number.alias("tile"), "qual")).groupBy("tile", "cycle").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
     cycles = F.broadcast(cells.agg(F.max("cycle").alias("cycles")))  # one row
-    each = cells.crossJoin(cycles).select("*", *group_bounds(F.col("cycle"), F.col("cycles"))).groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
+    each = with_groups(cells.crossJoin(cycles), "cycle", F.col("cycles")).groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
     tiles = each.select("tile").distinct()
     grid = tiles.crossJoin(each.select("first", "last").distinct())  # tiles of one flow cell by at most 75 groups
     grid = grid.join(each, ["tile", "first", "last"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))

@@ -58,10 +58,7 @@ def test_a_tag_is_repeated_in_plus_lines(spark, tmp_path):
 def test_report_of_a_run(spark, tmp_path):
     ins, n = files(tmp_path, *mates(150)), 150
     options = process.Options(trim=transform.Trim(4, 20, 10, *ADAPTERS), filter=filters.Filter(min_length=40), pair_duplication=True, gzip=True, gzip_preset="fast")
-    (tmp_path / "known").write_text(f"adapter one\t{ADAPTERS[0]}\n")
-    more = {k: str(tmp_path / k) for k in ("report", "qc_tables", "qc_summary")}
-    out = report.process_files(spark, ins, outs(tmp_path), options, contaminants=str(tmp_path / "known"), **more)
-    assert json_of(tmp_path / "report") == json.loads(json.dumps(out))
+    out = report.process_files(spark, ins, outs(tmp_path), options, qc_summary=str(tmp_path / "qc_summary"))
     assert [i["size"] for i in out["inputs"]] == [(tmp_path / f).stat().st_size for f in ("a.fastq", "b.fastq")] and all(i["mtime_ns"] for i in out["inputs"])
     assert out["options"]["gzip_preset"] == "fast" and out["options"]["trim_tail_window"] == 4 and out["options"]["umi_length"] is None
     with process.Run(fastq_pairs(spark, ins), options) as run:
@@ -78,12 +75,21 @@ def test_report_of_a_run(spark, tmp_path):
         assert raw["reads"] == n and retained["bases"] == sum(len(r[f"s{k}"]) for r in kept)
     assert sum(out["inserts"]["histogram"]) + out["inserts"]["unknown"] == out["inserts"]["pairs"] <= n and out["inserts"]["overlapping"] > 50
     assert out["pair_duplication"] == {"pairs": n, "duplicates": 0, "rate": 0.0}
-    assert set(out["qc"]) == {"raw", "retained"} and out["qc"]["raw"][0]["base_quality"]["grade"] in ("pass", "warn", "fail") and len(out["qc"]["raw"][1]["base_quality"]["rows"]) == 60
-    assert len(out["qc_table_files"]) == 4 and all(f["path"].startswith(str(tmp_path / "qc_tables")) for f in out["qc_table_files"])
-    assert text_of(tmp_path / "qc_tables" / "raw" / "a_fastqc").startswith("##Quality control\n>>Basic Statistics\tpass")
     assert "summary" in json.loads("\n".join(p.read_text() for p in (tmp_path / "qc_summary").glob("part-*")))
     with pytest.raises(Exception, match="exists"):
-        report.process_files(spark, ins, outs(tmp_path), options)
+        report.process_files(spark, ins, outs(tmp_path))
+
+
+def test_quality_control_of_a_run(spark, tmp_path):
+    (tmp_path / "known").write_text(f"adapter one\t{ADAPTERS[0]}\n")
+    more = {k: str(tmp_path / k) for k in ("report", "qc_tables", "contaminants")} | {"contaminants": str(tmp_path / "known")}
+    out = report.process_files(spark, files(tmp_path, *mates(20)), outs(tmp_path), **more)
+    assert json_of(tmp_path / "report") == json.loads(json.dumps(out))
+    assert set(out["qc"]) == {"raw"} and out["qc"]["raw"][0]["base_quality"]["grade"] in ("pass", "warn", "fail") and len(out["qc"]["raw"][1]["base_quality"]["rows"]) == 60
+    assert len(out["qc"]["raw"][0]["overrepresented"]["rows"]) == 20 and all("source" in r for r in out["qc"]["raw"][0]["overrepresented"]["rows"])
+    assert [f["path"] for f in out["qc_table_files"]] == [f"{tmp_path}/qc_tables/raw/{n}_fastqc" for n in "ab"]
+    text = text_of(tmp_path / "qc_tables" / "raw" / "a_fastqc")
+    assert text.startswith("##Quality control\n>>Basic Statistics\tpass") and text.count(">>END_MODULE") == 11
 
 
 def fastq_pairs(spark, ins):
