@@ -18,6 +18,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -45,9 +46,13 @@ BITMAP = 1024
 BROADCAST_ROWS = 1 << 17
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
+def shingle_hashes(text: str | bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Hash of each word shingle with repeats; a text of fewer words is one shingle, a text without words has none."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
+    words = (text if isinstance(text, bytes) else as_bytes(text)).lower().split()
     if len(words) > shingle:
         joined = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
         n = len(words) - shingle + 1
@@ -234,7 +239,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The component id is the smallest id reachable through fingerprints within the radius. Null and empty texts have
     fingerprint zero and are linked like any other. Repeated rows are returned as often as they occur. A null id takes
-    part but is never the smallest unless its component has no other. Further columns are not read.
+    part but is never the smallest unless its component has no other. An empty table gives no rows. Further columns are
+    not read.
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialise(with_fingerprint(ids, "text", ["doc_id"], shingle))
@@ -246,21 +252,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One document of each group of close fingerprints, the one with the smallest id, with all its columns unchanged.
-
-    Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
-    """
-    keyed = carried(docs, id_col, text_col)
-    marked = materialise(with_fingerprint(keyed, "text_", ["id_", "__row"], shingle))
-    first = F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("__row").alias("row")))
-    least = materialise(marked.groupBy("fp").agg(first.alias("least")))
-    roots = connected_components(near_links(least.select("fp"), radius))
-    rooted = least.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return unpacked(keyed.join(kept, "__row", "left_semi"), docs.columns)
-
-
 def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row as one struct ``doc`` beside id_, text_ and __row (a hash of both), so that columns may have any names."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -414,27 +405,58 @@ def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(rows) if few else rows, "__row").select("sk", "comp", "_text")
 
 
-def similar(pairs: DataFrame, least: DataFrame, keyed: DataFrame, shingle: int, per_mille: int) -> DataFrame:
-    """Of the pairs (x, y) of set identities those whose shingle sets truly reach the similarity, as links (a, b).
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(sk, z): each text compressed, one for each set. Compressed texts are a fraction of their shingles' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in in_slices(batches):
+            found = [packer.compress(as_bytes(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sk"), pa.array(found, pa.binary())], ["sk", "z"])
+
+    # Compressed before the shuffle that leaves one row for each set; the joins on sk use the same partitions.
+    return texts.select("sk", "_text").mapInArrow(run, "sk long, z binary").dropDuplicates(["sk"])
 
-    Bitmaps rule out most pairs, and never one that is similar, before any text is read.
-    """
+
+def reaching(both: DataFrame, shingle: int, per_mille: int) -> DataFrame:
+    """The pairs (x, y) of compressed texts (zx, zy) whose shingle sets reach the similarity, as links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        last: dict[str, tuple[int, np.ndarray]] = {}
+
+        def hashes(side: str, sk: int, z: pa.Scalar) -> np.ndarray:
+            if side not in last or last[side][0] != sk:  # neighbouring pairs often share a text
+                last[side] = sk, np.unique(shingle_hashes(unpacker.decompress(z.as_py()), shingle))
+            return last[side][1]
+
         for batch in in_slices(batches):
-            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sk"), pa.array(found, pa.list_(pa.int64()))], ["sk", "h"])
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            hit = np.zeros(len(x), bool)
+            for i, (a, b) in enumerate(zip(x, y)):
+                hx, hy = hashes("x", a, batch.column("zx")[i]), hashes("y", b, batch.column("zy")[i])
+                shared = len(np.intersect1d(hx, hy, assume_unique=True))
+                hit[i] = shared * (1000 + per_mille) >= (len(hx) + len(hy)) * per_mille
+            kept = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], ["a", "b"])
 
+    return both.select("x", "y", "zx", "zy").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, least: DataFrame, keyed: DataFrame, shingle: int, per_mille: int) -> DataFrame:
+    """Of the pairs (x, y) of set identities those whose shingle sets truly reach the similarity, as links (a, b).
+
+    Bitmaps rule out most pairs, and never one that is similar, before any text is read.
+    """
     x, y = (least.select(F.col("sk").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
     apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, v: a + v)
     total = F.col("nx") + F.col("ny")
     pairs = materialise(pairs.join(x, "x").join(y, "y").where((total - apart) * (1000 + per_mille) >= total * 2 * per_mille).select("x", "y"))
     ends = pairs.select(F.col("x").alias("sk")).union(pairs.select("y")).distinct()
     rows = materialise(least.join(ends, "sk", "left_semi").select(F.col("least.row").alias("__row"), "sk", F.col("sk").alias("comp")))
-    hashed = texts_of(keyed, rows).select("sk", "_text").dropDuplicates(["sk"]).mapInArrow(run, "sk long, h array<long>")
-    both = pairs.join(hashed.select(F.col("sk").alias("x"), F.col("h").alias("hx")), "x").join(hashed.select(F.col("sk").alias("y"), F.col("h").alias("hy")), "y")
-    shared = F.size(F.array_intersect("hx", "hy")).cast("long")
-    return both.where(shared * (1000 + per_mille) >= (F.size("hx") + F.size("hy")).cast("long") * per_mille).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    packed = packed_texts(texts_of(keyed, rows))
+    both = pairs.join(packed.select(F.col("sk").alias("x"), F.col("z").alias("zx")), "x").join(packed.select(F.col("sk").alias("y"), F.col("z").alias("zy")), "y")
+    return reaching(both, shingle, per_mille)
 
 
 def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
@@ -442,7 +464,8 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least the threshold (in thousandths);
     a group is all that links join in steps. No such pair is missed. Texts without words are alike.
-    Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last.
+    Among rows of equal id and text, and among null ids, the smallest hash of the row stays; a null id comes last. An
+    empty table gives no rows.
     """
     per_mille = round(threshold * 1000)
     keyed = carried(docs, id_col, text_col)
