@@ -108,10 +108,10 @@ def place_of(ord_: Column, tie: Column) -> Column:
 
 
 def placed(lines: DataFrame) -> DataFrame:
-    """ord, tie and no out of ``at``."""
-    ord_ = F.floor(F.col("at") / F.lit(_BELOW)).cast("long")
-    d = lines.withColumn("ord", ord_).withColumn("rest_", (F.col("at") - F.col("ord").cast("decimal(19,0)") * F.lit(_BELOW)).cast("long"))
-    return d.withColumn("tie", (F.shiftrightunsigned("rest_", 31) - (1 << 31)).cast("int")).withColumn("no", F.col("rest_").bitwiseAND(_LINES - 1).cast("int")).drop("rest_", "at")
+    """ord, tie and no out of ``at``. The remainder comes off first: decimal division rounds, and only whole quotients are exact."""
+    d = lines.withColumn("low_", F.pmod("at", F.lit(_BELOW))).withColumn("rest_", F.col("low_").cast("long"))
+    d = d.withColumn("ord", ((F.col("at") - F.col("low_")) / F.lit(_BELOW)).cast("long"))
+    return d.withColumn("tie", (F.shiftrightunsigned("rest_", 31) - (1 << 31)).cast("int")).withColumn("no", F.col("rest_").bitwiseAND(_LINES - 1).cast("int")).drop("low_", "rest_", "at")
 
 
 def coded(lines: DataFrame, rarity: str, threshold: float) -> DataFrame:

@@ -610,3 +610,16 @@ def test_features_of_a_text_inside_a_struct(spark, monkeypatch):
     inner = toxicity.with_features(docs.selectExpr("struct(doc_id, text) doc"), ["doc"], ["calm"], "doc.text").orderBy("doc.doc_id").collect()
     assert [tuple(r)[1:] for r in plain] == [tuple(r)[1:] for r in inner] == [toxicity.features(t or "", toxicity.mark_pattern(["calm"])) for t in texts]
     assert [r["doc"]["text"] for r in inner] == texts
+
+
+def test_line_dedup_of_a_text_whose_hash_is_near_the_greatest_int(spark):
+    """The place of a line is split into id and hash without rounding, up to the last hash."""
+    top = 2**31 - 1
+    places = [(o, t, n) for o in (-(2**63), -1, 0, 7, 2**63 - 1) for t in (-top - 1, -1, 0, top - 2000, top - 1, top) for n in (0, 1, top)]
+    d = spark.createDataFrame(places, "o long, t int, n int")
+    at = (line_dedup.place_of(F.col("o"), F.col("t")) + F.col("n")).cast("decimal(38,0)")
+    assert sorted(map(tuple, line_dedup.placed(d.select(at.alias("at"))).select("ord", "tie", "no").collect())) == sorted(places)
+    text = "text number 2521837"  # its hash is 59 below the greatest
+    d = documents(spark, [(1, text), (2, "another\n" + text)])
+    assert d.where(F.hash("text") == top - 59).count() == 1
+    assert {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup_report(d).collect()} == {1: "0", 2: "0"}
