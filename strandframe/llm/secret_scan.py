@@ -6,8 +6,8 @@ secret shows: equal use of the alphabet (chi-squared over bins of symbols that w
 of one class of symbols as chance gives, and no serial correlation (of vowels with their neighbours, and of classes two and
 three places apart). Fisher's method combines the p-values to one score, low for what looks random.
 
-What is to be kept out is structured text: names, paths and slugs. Its scores are measured: every text gives stretches of
-its words, written like names, and a fixed list of usual words gives some more, so that there are enough in any table.
+What is to be kept out is structured text: names, paths and slugs. Its scores are measured: all words of every text,
+written like names, and a fixed list of usual words gives some more, so that there are enough in any table.
 Within each band of lengths a candidate's p-value is the share of structured strings with a score as low as its own, and
 Benjamini and Hochberg's rule on these reports candidates so that at most the given share of reports is structured text.
 """
@@ -15,6 +15,8 @@ Benjamini and Hochberg's rule on these reports candidates so that at most the gi
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ VOWELS = "aeiou"
 #: Usual parts of names, from which structured strings are made beside those of the texts.
 NAME_WORDS = "get set user account balance history update delete create find load save parse render handle request response server client buffer stream index table column value string number config option manager service provider context session event listener message queue worker thread process system file path image button label window panel test case result report invoice customer order product price total amount date status error level".split()
 NAMES_PER_BAND = 300
-#: Of the stretches of words of a text every so manieth is written like a name; a stretch has at most so many words.
-EVERY_STRETCH, STRETCH_WORDS = 7, 30
+#: The words of a text are taken in stretches of so many, each of which gets one form and one length of its names.
+STRETCH_WORDS = 30
 FALSE_DISCOVERY = 0.05
 #: Lengths at which the bands of the false-discovery control begin.
 BANDS = [20, 32, 48, 64, 128]
@@ -106,6 +108,11 @@ def count_in(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def count_of(text: Column, part: str) -> Column:
+    """How often a part stands in a text, for parts that can't overlap themselves: without a pattern, which costs several times as much."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def deviations(kind: str) -> dict[str, Column]:
     """By how many standard deviations the tests of one encoding differ from chance, from the counts that ``with_battery`` makes."""
     alphabet, n = ALPHABETS[kind], F.col("n_").cast("double")
@@ -135,9 +142,11 @@ def with_battery(cands: DataFrame) -> DataFrame:
     d = d.withColumn("s_", F.when(F.col("encoding") == "base64", s).otherwise(F.lower("s_"))).withColumn("n_", F.length("s_"))
     every = ALPHABETS["base64"]
     d = d.withColumns({"b_": marked(s, bins_of(every)), "c_": marked(s, {c: class_of(c) for c in every}), "v_": marked(s, {c: str(int(c.lower() in VOWELS)) for c in every})})
-    counts = {f"bin_{b}": count_in(F.col("b_"), b) for b in sorted(set(bins_of(every).values()))}
-    counts |= {"changes_": F.length(F.regexp_replace("c_", r"(.)\1*", "x")) - 1, "echo_": count_in(F.col("c_"), r"(.)(?=.\1)") + count_in(F.col("c_"), r"(.)(?=..\1)")}
-    counts |= {"ones_": count_in(F.col("v_"), "1").cast("double"), "near_": count_in(F.col("v_"), "1(?=1)"), "ends_": F.substring("v_", 1, 1).cast("int") + F.substring("v_", -1, 1).cast("int")}
+    counts = {f"bin_{b}": count_of(F.col("b_"), b) for b in sorted(set(bins_of(every).values()))}
+    classes = sorted({class_of(c) for c in every})
+    counts |= {"changes_": sum(count_of(F.col("c_"), x + y) for x in classes for y in classes if x != y), "echo_": count_in(F.col("c_"), r"(.)(?=.\1)") + count_in(F.col("c_"), r"(.)(?=..\1)")}
+    first, ones = F.substring("v_", 1, 1).cast("int"), count_of(F.col("v_"), "1")
+    counts |= {"ones_": ones.cast("double"), "near_": ones - first - count_of(F.col("v_"), "01"), "ends_": first + F.substring("v_", -1, 1).cast("int")}
     d = d.withColumns(counts).withColumn("mean_", F.col("ones_") / F.col("n_"))
     # The vowels' correlation with their neighbours is the same for every encoding.
     n, ones, mean = F.col("n_"), F.col("ones_"), F.col("mean_")
@@ -168,14 +177,19 @@ def name_strings(spark: SparkSession) -> DataFrame:
 
 
 def text_strings(texts: DataFrame) -> DataFrame:
-    """Structured strings out of every text of ``text_``: stretches of its words, written as one name with a number."""
-    stretch = f"(?:[A-Za-z]{{2,}}[^A-Za-z]+){{1,{STRETCH_WORDS}}}"
-    taken = F.filter(F.regexp_extract_all("text_", F.lit(stretch), F.lit(0)), lambda x, i: i % EVERY_STRETCH == 0)
-    d = texts.select(F.explode(taken).alias("x")).withColumn("h", F.xxhash64("x"))
+    """Structured strings out of all words of every text of ``text_``: each stretch of words is written as one name, which is
+    cut into parts of even length with a number. Every letter is in one string; strings of fewer symbols than a candidate
+    has are not scored."""
+    stretch = f"(?:[A-Za-z]+[^A-Za-z]*){{1,{STRETCH_WORDS}}}"
+    d = texts.select(F.explode(F.regexp_extract_all("text_", F.lit(stretch), F.lit(0))).alias("x")).withColumn("h", F.xxhash64("x"))
     form, size = F.pmod("h", F.lit(3)), F.element_at(F.array(*(F.lit(b * 5 // 4) for b in BANDS)), (F.pmod(F.floor(F.col("h") / 3), F.lit(len(BANDS))) + 1).cast("int"))
     cased = F.initcap("x")
     joined = F.when(form == 0, F.regexp_replace(cased, "[^A-Za-z]+", "")).when(form == 1, F.regexp_replace(F.lower("x"), "[^a-z]+", "")).otherwise(F.regexp_replace(cased, "[^A-Za-z]+", "/"))
-    return d.select(F.concat(F.substring(joined, F.lit(1), size), F.pmod(F.floor(F.col("h") / 64), F.lit(2000))).alias("found"))
+    d = d.select("h", joined.alias("joined"), size.alias("size")).withColumn("n", F.length("joined").cast("long"))
+    d = d.withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("size")).cast("int")))
+    border = lambda i: F.floor(i * F.col("n") / F.col("parts")).cast("int")
+    part = lambda i: F.concat(F.substring("joined", border(i) + 1, border(i + 1) - border(i)), F.pmod(F.shiftrightunsigned("h", 6) + i * 7, F.lit(2000)))
+    return d.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), part)).alias("found"))
 
 
 def step_of(score: Column) -> Column:
@@ -188,11 +202,25 @@ def band_of(found: Column) -> Column:
     return sum((n >= b).cast("int") for b in BANDS)
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """The battery as one method is too large for the JVM to compile; step by step it takes half the time."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def histogram(scored: DataFrame) -> dict[int, dict[int, int]]:
     """Counts by band and step: a fixed number of rows at most reaches the driver, however many strings there are."""
     out: dict[int, dict[int, int]] = {}
-    for r in scored.where("score is not null").groupBy(band_of(F.col("found")).alias("band"), step_of(F.col("score")).alias("step")).count().collect():
-        out.setdefault(r["band"], {})[r["step"]] = r["count"]
+    # Strings without a score are one more group: a filter on the score would be worked out before it, from copies of its steps.
+    for r in scored.groupBy(F.when(F.col("score").isNotNull(), band_of(F.col("found"))).alias("band"), step_of(F.col("score")).alias("step")).count().collect():
+        if r["band"] is not None:
+            out.setdefault(r["band"], {})[r["step"]] = r["count"]
     return out
 
 
@@ -235,7 +263,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     limits = {}
     if candidates := histogram(tested):
         names = name_strings(docs.sparkSession).unionByName(text_strings(docs.select(whole_text(text_col).alias("text_"))))
-        limits = reported_upto(candidates, histogram(materialise(with_battery(materialise(names)))), rate)
+        with small_methods(docs.sparkSession):
+            limits = reported_upto(candidates, histogram(with_battery(names)), rate)
     limit = F.lit(-1)
     for b, step in limits.items():
         limit = F.when(band_of(F.col("found")) == b, F.lit(step)).otherwise(limit)

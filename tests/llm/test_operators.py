@@ -623,3 +623,16 @@ def test_line_dedup_of_a_text_whose_hash_is_near_the_greatest_int(spark):
     d = documents(spark, [(1, text), (2, "another\n" + text)])
     assert d.where(F.hash("text") == top - 59).count() == 1
     assert {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup_report(d).collect()} == {1: "0", 2: "0"}
+
+
+def test_all_words_of_every_text_are_structured_strings(spark):
+    """No stretch, word or letter is left out: the strings of a text are its letters, and each is long enough to be tested."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12)))
+    texts = ["; ".join(word() for _ in range(n)) + end for n, end in ((30, ""), (900, "."), (3000, "\n"), (29, " 7"))] + ["ab" * 4000, "", "12 !"]
+    for text in texts:
+        d = spark.createDataFrame([(text,)], "text_ string")
+        found = [r["found"] for r in secret_scan.text_strings(d).collect()]
+        letters = re.sub("[^a-j]", "", text)
+        assert collections.Counter("".join(found).lower()) - collections.Counter("0123456789/" * 100000) == collections.Counter(letters)
+        assert all(len(x) >= 20 for x in found) and bool(found) == bool(letters)
