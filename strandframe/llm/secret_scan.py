@@ -7,8 +7,11 @@ of one class of symbols as chance gives, and no serial correlation (of vowels wi
 three places apart). Fisher's method combines the p-values to one score, low for what looks random.
 
 What is to be kept out is structured text: names, paths and slugs. Its scores are measured: all words of every text,
-written like names, and a fixed list of usual words gives some more, so that there are enough in any table.
-Within each band of lengths a candidate's p-value is the share of structured strings with a score as low as its own, and
+written like names in every form and at the lengths of every band that has candidates, and a fixed list of usual words
+gives some more, so that there are enough in any table. A string's further tests are left out once the first ones show
+that its score is above what can be reported, which changes no share that the rule uses.
+Within each band of lengths a candidate's p-value is the share of structured strings with a score as low as its own, in
+the form of names where that share is greatest, and
 Benjamini and Hochberg's rule on these reports candidates so that at most the given share of reports is structured text.
 """
 
@@ -42,13 +45,15 @@ VOWELS = "aeiou"
 #: Usual parts of names, from which structured strings are made beside those of the texts.
 NAME_WORDS = "get set user account balance history update delete create find load save parse render handle request response server client buffer stream index table column value string number config option manager service provider context session event listener message queue worker thread process system file path image button label window panel test case result report invoice customer order product price total amount date status error level".split()
 NAMES_PER_BAND = 300
-#: The words of a text are taken in stretches of so many, each of which gets one form and one length of its names.
-STRETCH_WORDS = 30
+#: The words of a text are taken in stretches of so many, each of which is written as a name in each form and cut to each length.
+STRETCH_WORDS, FORMS = 30, 3
 FALSE_DISCOVERY = 0.05
 #: Lengths at which the bands of the false-discovery control begin.
 BANDS = [20, 32, 48, 64, 128]
 #: Steps of the histogram of scores, and how many make one.
 STEPS, PER_POINT = 1200, 10
+#: Up to which step the shares of structured strings are first measured; beyond it only where that doesn't decide.
+FIRST_STEPS = 160
 PLACEHOLDER = "[SECRET]"
 
 
@@ -129,9 +134,13 @@ def deviations(kind: str) -> dict[str, Column]:
     return {"uniform": uniform, "runs": runs, "echoes": echoes}
 
 
-def with_battery(cands: DataFrame) -> DataFrame:
+def with_battery(cands: DataFrame, upto: Column | None = None) -> DataFrame:
     """Adds ``encoding``, ``score`` (Fisher's sum of the tests) and ``p`` (the chance that a random string scores as high) to
-    rows with ``found``; null where no encoding is inferred."""
+    rows with ``found``; null where no encoding is inferred.
+
+    With ``upto``, a step, scores of later steps need not be exact: the tests end when those done show that the score's step
+    is later, and their sum, which is no greater than the score, stands for it.
+    """
     d = cands.withColumn("s_", F.regexp_replace(F.translate("found", "-_", "+/"), "=+$", ""))
     s = F.col("s_")
     kinds = F.when(s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & s.rlike("[a-fA-F]") & s.rlike("[0-9]"), F.lit("hex"))
@@ -141,24 +150,34 @@ def with_battery(cands: DataFrame) -> DataFrame:
     d = d.withColumn("encoding", F.when(F.length("s_") >= BANDS[0], kinds))
     d = d.withColumn("s_", F.when(F.col("encoding") == "base64", s).otherwise(F.lower("s_"))).withColumn("n_", F.length("s_"))
     every = ALPHABETS["base64"]
-    d = d.withColumns({"b_": marked(s, bins_of(every)), "c_": marked(s, {c: class_of(c) for c in every}), "v_": marked(s, {c: str(int(c.lower() in VOWELS)) for c in every})})
-    counts = {f"bin_{b}": count_of(F.col("b_"), b) for b in sorted(set(bins_of(every).values()))}
+
+    def by_kind(test: str) -> Column:
+        value = F.lit(None).cast("double")
+        for kind in ALPHABETS:
+            value = F.when(F.col("encoding") == kind, deviations(kind)[test]).otherwise(value)
+        return value
+
+    log = lambda test: F.when(F.col(test).isNotNull(), F.log(F.greatest(F.col(test), F.lit(1e-12))))
+    fisher = lambda *tails: -sum(map(log, tails))
+    still = lambda part, value: value if upto is None else F.when(step_of(F.col(part)) <= upto, value)
+    d = d.withColumn("b_", marked(s, bins_of(every))).withColumns({f"bin_{b}": count_of(F.col("b_"), b) for b in sorted(set(bins_of(every).values()))})
+    d = d.withColumn("uniform", by_kind("uniform")).withColumn("uniform", upper_tail(F.col("uniform"))).withColumn("one_", fisher("uniform"))
+    d = d.withColumns({"c_": still("one_", marked(s, {c: class_of(c) for c in every})), "v_": still("one_", marked(s, {c: str(int(c.lower() in VOWELS)) for c in every}))})
     classes = sorted({class_of(c) for c in every})
-    counts |= {"changes_": sum(count_of(F.col("c_"), x + y) for x in classes for y in classes if x != y), "echo_": count_in(F.col("c_"), r"(.)(?=.\1)") + count_in(F.col("c_"), r"(.)(?=..\1)")}
+    counts = {"changes_": sum(count_of(F.col("c_"), x + y) for x in classes for y in classes if x != y)}
     first, ones = F.substring("v_", 1, 1).cast("int"), count_of(F.col("v_"), "1")
     counts |= {"ones_": ones.cast("double"), "near_": ones - first - count_of(F.col("v_"), "01"), "ends_": first + F.substring("v_", -1, 1).cast("int")}
     d = d.withColumns(counts).withColumn("mean_", F.col("ones_") / F.col("n_"))
     # The vowels' correlation with their neighbours is the same for every encoding.
     n, ones, mean = F.col("n_"), F.col("ones_"), F.col("mean_")
     d = d.withColumn("energy_", ones - n * mean * mean).withColumn("lagged_", F.col("near_") - mean * (2 * ones - F.col("ends_")) + (n - 1) * mean * mean)
-    z: dict[str, Column] = {}
-    for kind in ALPHABETS:
-        for test, value in deviations(kind).items():
-            z[test] = F.when(F.col("encoding") == kind, value).otherwise(z[test] if test in z else F.lit(None).cast("double"))
-    d = d.withColumns(z).withColumn("serial", F.when(F.col("energy_") > 0, (F.col("lagged_") / F.col("energy_") + 1 / n) * F.sqrt(n)).otherwise(0.0))
-    tails = {"uniform": upper_tail(F.col("uniform"))} | {test: 2 * upper_tail(F.abs(test)) for test in ("runs", "echoes", "serial")}
-    d = d.withColumns(tails)
-    d = d.select(*cands.columns, "encoding", F.when(F.col("encoding").isNotNull(), -sum(F.log(F.greatest(F.col(test), F.lit(1e-12))) for test in tails)).alias("score"))
+    d = d.withColumn("serial", F.when(F.col("energy_") > 0, (F.col("lagged_") / F.col("energy_") + 1 / n) * F.sqrt(n)).when(F.col("energy_").isNotNull(), 0.0)).withColumn("runs", by_kind("runs"))
+    two_sided = lambda test: 2 * upper_tail(F.abs(test))
+    d = d.withColumns({"runs": two_sided("runs"), "serial": two_sided("serial")}).withColumn("three_", fisher("uniform", "runs", "serial"))
+    c = still("three_", F.col("c_"))
+    d = d.withColumn("echo_", count_in(c, r"(.)(?=.\1)") + count_in(c, r"(.)(?=..\1)")).withColumn("echoes", by_kind("echoes")).withColumn("echoes", two_sided("echoes"))
+    score = fisher("uniform", "runs", "echoes", "serial")
+    d = d.select(*cands.columns, "encoding", F.when(F.col("encoding").isNotNull(), score if upto is None else F.coalesce(score, "three_", "one_")).alias("score"))
     half = F.col("score")  # of Fisher's statistic, with eight degrees of freedom
     return d.withColumn("p", F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6))
 
@@ -172,24 +191,29 @@ def name_strings(spark: SparkSession) -> DataFrame:
             while sum(map(len, words)) < size:
                 words.append(rng.choice(NAME_WORDS))
             cased = "".join(w.capitalize() for w in words), "".join(words), "/".join(w.capitalize() if rng.random() < 0.5 else w for w in words)
-            rows.append((cased[i % 3][:size] + str(rng.randrange(1, 2000)),))
-    return spark.createDataFrame(rows, "found string")
+            rows.append((cased[i % 3][:size] + str(rng.randrange(1, 2000)), i % 3))
+    return spark.createDataFrame(rows, "found string, form int")
 
 
-def text_strings(texts: DataFrame) -> DataFrame:
+def text_strings(texts: DataFrame, every: bool = False) -> DataFrame:
     """Structured strings out of all words of every text of ``text_``: each stretch of words is written as one name, which is
-    cut into parts of even length with a number. Every letter is in one string; strings of fewer symbols than a candidate
-    has are not scored."""
+    cut into parts of even length with a number. With ``every`` it is written in all forms, each cut to the lengths of all
+    bands (once, if lengths give the same parts); else in one form and length, and every letter is in one string. Strings
+    of fewer symbols than a candidate has are not scored."""
     stretch = f"(?:[A-Za-z]+[^A-Za-z]*){{1,{STRETCH_WORDS}}}"
     d = texts.select(F.explode(F.regexp_extract_all("text_", F.lit(stretch), F.lit(0))).alias("x")).withColumn("h", F.xxhash64("x"))
-    form, size = F.pmod("h", F.lit(3)), F.element_at(F.array(*(F.lit(b * 5 // 4) for b in BANDS)), (F.pmod(F.floor(F.col("h") / 3), F.lit(len(BANDS))) + 1).cast("int"))
+    sizes, by_hash = F.array(*(F.lit(b * 5 // 4) for b in BANDS)), lambda h, n: F.pmod(h, F.lit(n)).cast("int")
     cased = F.initcap("x")
-    joined = F.when(form == 0, F.regexp_replace(cased, "[^A-Za-z]+", "")).when(form == 1, F.regexp_replace(F.lower("x"), "[^a-z]+", "")).otherwise(F.regexp_replace(cased, "[^A-Za-z]+", "/"))
-    d = d.select("h", joined.alias("joined"), size.alias("size")).withColumn("n", F.length("joined").cast("long"))
-    d = d.withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("size")).cast("int")))
+    forms = F.array(F.regexp_replace(cased, "[^A-Za-z]+", ""), F.regexp_replace(F.lower("x"), "[^a-z]+", ""), F.regexp_replace(cased, "[^A-Za-z]+", "/"))
+    form = by_hash(F.col("h"), FORMS)
+    d = d.select("h", F.posexplode(forms).alias("form", "joined")) if every else d.select("h", form.alias("form"), F.get(forms, form).alias("joined"))
+    d = d.withColumn("n", F.length("joined").cast("long"))
+    parts = lambda size: F.greatest(F.lit(1), F.floor(F.col("n") / size).cast("int"))
+    counts = F.array_distinct(F.transform(sizes, parts)) if every else F.array(parts(F.get(sizes, by_hash(F.floor(F.col("h") / FORMS), len(BANDS)))))
+    d = d.select("h", "form", "joined", "n", F.explode(counts).alias("parts"))
     border = lambda i: F.floor(i * F.col("n") / F.col("parts")).cast("int")
     part = lambda i: F.concat(F.substring("joined", border(i) + 1, border(i + 1) - border(i)), F.pmod(F.shiftrightunsigned("h", 6) + i * 7, F.lit(2000)))
-    return d.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), part)).alias("found"))
+    return d.select("form", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), part)).alias("found"))
 
 
 def step_of(score: Column) -> Column:
@@ -214,17 +238,18 @@ def small_methods(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def histogram(scored: DataFrame) -> dict[int, dict[int, int]]:
-    """Counts by band and step: a fixed number of rows at most reaches the driver, however many strings there are."""
+def histogram(scored: DataFrame, group: Column | None = None) -> dict[int, dict[int, int]]:
+    """Counts by band (or another group) and step: a fixed number of rows at most reaches the driver, however many strings there are."""
     out: dict[int, dict[int, int]] = {}
+    group = band_of(F.col("found")) if group is None else group
     # Strings without a score are one more group: a filter on the score would be worked out before it, from copies of its steps.
-    for r in scored.groupBy(F.when(F.col("score").isNotNull(), band_of(F.col("found"))).alias("band"), step_of(F.col("score")).alias("step")).count().collect():
+    for r in scored.groupBy(F.when(F.col("score").isNotNull(), group).alias("band"), step_of(F.col("score")).alias("step")).count().collect():
         if r["band"] is not None:
             out.setdefault(r["band"], {})[r["step"]] = r["count"]
     return out
 
 
-def reported_upto(tested: dict[int, dict[int, int]], structured: dict[int, dict[int, int]], rate: float) -> dict[int, int]:
+def reported_upto(tested: dict[int, dict[int, int]], structured: dict[int, dict[int, float]], rate: float) -> dict[int, int]:
     """For each band the greatest step whose candidates are reported, by Benjamini and Hochberg's rule on the shares of
     structured strings with scores as low."""
     out = {}
@@ -238,6 +263,50 @@ def reported_upto(tested: dict[int, dict[int, int]], structured: dict[int, dict[
     return out
 
 
+def by_band(values: dict[int, int], other: int = -1) -> Column:
+    out = F.lit(other)
+    for b, value in values.items():
+        out = F.when(band_of(F.col("found")) == b, F.lit(value)).otherwise(out)
+    return out
+
+
+def of_any_form(by_form: list[dict[int, int]]) -> dict[int, float]:
+    """One histogram of a band out of those of its forms: up to each step the greatest share that a form has there, times the
+    number of all strings. So the rule holds whichever form the structured text among the candidates has."""
+    sizes = [sum(counts.values()) for counts in by_form]
+    below, share, out = [0] * len(by_form), 0.0, {}
+    for step in sorted({step for counts in by_form for step in counts}):
+        below = [n + counts.get(step, 0) for n, counts in zip(below, by_form)]
+        before, share = share, max(n / size for n, size in zip(below, sizes) if size)
+        out[step] = (share - before) * sum(sizes)
+    return out
+
+
+def structured_counts(texts: DataFrame, tested: dict[int, dict[int, int]], rate: float) -> dict[int, dict[int, float]]:
+    """The histogram of all structured strings of the bands that have candidates: exact up to every step that can be reported.
+
+    Steps are told apart up to a bound first. Where too many strings lie below the bound for any later candidate to be
+    reported, it is enough; the other bands are measured again up to their last candidate.
+    """
+    out: dict[int, dict[int, float]] = {}
+    bounds = {b: min(max(counts), FIRST_STEPS) for b, counts in tested.items()}
+    while bounds:
+        strings = name_strings(texts.sparkSession).unionByName(text_strings(texts, every=True))
+        scored = with_battery(strings.where(band_of(F.col("found")).isin(list(bounds))), by_band(bounds))
+        with small_methods(texts.sparkSession):
+            found = histogram(scored, band_of(F.col("found")) * FORMS + F.col("form"))
+        out |= {b: of_any_form([found.get(b * FORMS + form, {}) for form in range(FORMS)]) for b in bounds}
+        bounds = {b: max(tested[b]) for b, bound in bounds.items() if bound < max(tested[b]) and undecided(tested[b], out[b], bound, rate)}
+    return out
+
+
+def undecided(counts: dict[int, int], null: dict[int, float], bound: int, rate: float) -> bool:
+    """Whether a candidate beyond the bound may be reported, by what is known of the structured strings up to it."""
+    m, of = sum(counts.values()), sum(null.values()) + 1
+    low = 1 + sum(n for step, n in null.items() if step <= bound)
+    return any(step > bound and low / of <= rate * sum(n for s, n in counts.items() if s <= step) / m for step in counts)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rate: float = FALSE_DISCOVERY) -> DataFrame:
     """The kept columns and ``spans``: array of (start, kind, end), kind 1 to 4 as in KINDS, sorted by start and kind.
 
@@ -262,13 +331,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     tested = materialise(with_battery(d.select("row_", F.explode("cand").alias("m")).select("row_", "m.*")))
     limits = {}
     if candidates := histogram(tested):
-        names = name_strings(docs.sparkSession).unionByName(text_strings(docs.select(whole_text(text_col).alias("text_"))))
-        with small_methods(docs.sparkSession):
-            limits = reported_upto(candidates, histogram(with_battery(names)), rate)
-    limit = F.lit(-1)
-    for b, step in limits.items():
-        limit = F.when(band_of(F.col("found")) == b, F.lit(step)).otherwise(limit)
-    chance = tested.where(step_of(F.col("score")) <= limit).select("row_", F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("m"))
+        null = structured_counts(docs.select(whole_text(text_col).alias("text_")), candidates, rate)
+        limits = reported_upto(candidates, null, rate)
+    chance = tested.where(step_of(F.col("score")) <= by_band(limits)).select("row_", F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("m"))
     more = chance.groupBy("row_").agg(F.collect_list("m").alias("more"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return d.join(more, "row_", "left").select(*keep, F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))

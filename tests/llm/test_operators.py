@@ -636,3 +636,46 @@ def test_all_words_of_every_text_are_structured_strings(spark):
         letters = re.sub("[^a-j]", "", text)
         assert collections.Counter("".join(found).lower()) - collections.Counter("0123456789/" * 100000) == collections.Counter(letters)
         assert all(len(x) >= 20 for x in found) and bool(found) == bool(letters)
+
+
+def test_every_band_and_form_takes_all_words(spark):
+    """By a plain loop: each stretch of each text is written in every form and cut to the lengths of every band."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12)))
+    texts = [". ".join(word() for _ in range(n)) for n in (1, 5, 30, 31, 400)] + ["", "12 !"]
+    expected = collections.Counter()
+    for text in texts:
+        words = re.findall("[a-j]+", text)
+        for at in range(0, len(words), 30):
+            part = words[at : at + 30]
+            last = at + 30 >= len(words)
+            slashed = "/".join(w.capitalize() for w in part) + ("" if last else "/")
+            for name in ("".join(w.capitalize() for w in part), "".join(part), slashed):
+                for parts in {max(1, len(name) // size) for size in (25, 40, 60, 80, 160)}:
+                    borders = [i * len(name) // parts for i in range(parts + 1)]
+                    expected.update(name[a:b] for a, b in zip(borders, borders[1:]) if b - a > 16)
+    d = spark.createDataFrame([(t,) for t in texts], "text_ string")
+    found = [re.sub(r"\d+$", "", r["found"]) for r in secret_scan.text_strings(d, every=True).collect()]
+    assert collections.Counter(x for x in found if len(x) > 16) == expected
+
+
+def test_shares_of_structured_strings_do_not_depend_on_where_tests_end(spark):
+    """Every band with candidates is measured on all strings, and limits are those of scores worked out in full."""
+    rng = random.Random(11)
+    d = documents(spark, [(i, " ".join(rng.choices(secret_scan.NAME_WORDS, k=45))) for i in range(20)]).select(F.col("text").alias("text_"))
+    scored = secret_scan.with_battery(secret_scan.name_strings(spark).unionByName(secret_scan.text_strings(d, every=True)))
+    counts = collections.Counter((secret_scan.BANDS.index(max(b for b in secret_scan.BANDS if b <= len(r["found"]))) + 1, r["form"], min(1199, int(r["score"] * 10))) for r in scored.collect() if r["score"] is not None)
+    whole = {}
+    for band in range(1, 6):
+        of = [sum(n for (b, f, _), n in counts.items() if (b, f) == (band, form)) for form in range(3)]
+        share = lambda upto: max(sum(n for (b, f, s), n in counts.items() if (b, f) == (band, form) and s <= upto) / of[form] for form in range(3))
+        whole[band] = {s: (share(s) - share(s - 1)) * sum(of) for s in range(1200)}
+    steps = {b: sorted(s for s, n in shares.items() if n > 1e-9) for b, shares in whole.items()}
+    for kind in range(3):
+        tested = {b: {rng.choice([30, 80]): 5, at[len(at) * kind // 40]: 3, rng.choice(at): 1} | {at[-1]: kind for _ in range(kind)} for b, at in steps.items() if b != 1 + kind}
+        got = secret_scan.structured_counts(d, tested, 0.05)
+        assert got.keys() == tested.keys()
+        for b in tested:
+            early = lambda counts: {s: n for s, n in counts.items() if n > 1e-9 and s <= min(max(tested[b]), secret_scan.FIRST_STEPS)}
+            assert early(got[b]) == pytest.approx(early(whole[b])) and sum(got[b].values()) == pytest.approx(sum(whole[b].values()))
+        assert secret_scan.reported_upto(tested, got, 0.05) == secret_scan.reported_upto(tested, whole, 0.05)
