@@ -41,12 +41,18 @@ ALIKE = 3
 TURNS = (0, 32, 56, 88)
 #: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
 LONG_LINE = 64
-OTHER_SPACE = r"[\t\x0b\f\r]"
+OTHER_SPACE = "\t\x0b\f\r"
 
 
 def split_tokens(text: Column) -> Column:
     """The white-space separated parts of a text, empty ones among them. White space other than blanks is rare in lines."""
-    return F.split(F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, r"\s", " ")).otherwise(text), " ")
+    return F.split(blanked(text, text), " ")
+
+
+def blanked(text: Column, usual: Column) -> Column:
+    """A text with blanks for all white space; ``usual`` if it has none but blanks and line ends."""
+    other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in OTHER_SPACE))  # searches bytes; a pattern decodes the text
+    return F.when(other, F.regexp_replace(text, r"\s", " ")).otherwise(usual)
 
 
 def tokens_of(line: str | Column) -> Column:
@@ -61,11 +67,11 @@ def bucket_of(token_hash: Column) -> Column:
 def rarity_table(docs: DataFrame, text_col: str) -> str:
     """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count; comma-joined.
 
-    Counted over all texts; parts at line ends and tabs are told apart, other white space is not, which only blurs the
-    order. The driver receives the classes as text, three characters per bucket, 4096 buckets a row.
+    Counted over all texts, split as the lines are: a token that lines share must not look unique. The driver receives the
+    classes as text, three characters per bucket, 4096 buckets a row.
     """
-    blanks = F.replace(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    token = docs.select(F.explode(F.split(blanks, " ")).alias("t"))
+    text = F.col(text_col)
+    token = docs.select(F.explode(F.split(blanked(text, F.replace(text, F.lit("\n"), F.lit(" "))), " ")).alias("t"))
     counts = token.select(bucket_of(F.xxhash64("t")).alias("b")).groupBy("b").count()
     step = F.least(F.lit(90), 1 + F.floor(2 * F.log2("count")).cast("int"))
     mark = lambda v: F.char(v + 32)
@@ -115,23 +121,27 @@ def placed(lines: DataFrame) -> DataFrame:
 
 
 def coded(lines: DataFrame, rarity: str, threshold: float) -> DataFrame:
-    """Adds n (distinct tokens), w0 and w1 (the parity bitmap), and prefix (codes of the rarest tokens, rare ones first)."""
+    """Adds n (distinct tokens), w0 and w1 (the parity bitmap), and prefix (codes of the rarest tokens, rare ones first).
+
+    A token becomes its code at once; no later step takes an array with possible nulls, so that codes are sorted as plain
+    numbers. The bits of a token are the lowest of its code.
+    """
+    ranks = F.split(F.lit(rarity), ",").cast("array<int>")  # folded into one constant
 
-    def code(h: Column) -> Column:  # sorts by rarity class, then by the hash
-        rank = F.get(F.split(F.lit(rarity), ",").cast("array<int>"), bucket_of(h))  # the array is folded into one constant
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def code(token: Column) -> Column:  # sorts by rarity class, then by the hash
+        h = F.xxhash64(token)
+        return F.shiftleft(F.coalesce(F.get(ranks, bucket_of(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def flip(acc: Column, h: Column) -> Column:
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))
+    def flip(bit: Column, place: Column) -> Column:
+        return F.call_function("shiftleft", bit, place.bitwiseAND(63).cast("int"))
 
-    zero = F.lit(0).cast("long")
-    hashes = F.array_distinct(F.array_remove(F.transform(split_tokens(F.col("line")), lambda t: F.xxhash64(t)), F.xxhash64(F.lit(""))))
-    d = lines.withColumn("h_", hashes).withColumn("n", F.size("h_"))
-    d = d.withColumn("all_", F.aggregate("h_", zero, flip))
-    second = F.when(F.col("n") > LONG_LINE, F.aggregate(F.filter("h_", lambda h: h.bitwiseAND(64) != 0), zero, flip)).otherwise(zero)
-    d = d.withColumn("w1", second).withColumn("w0", F.col("all_").bitwiseXOR(F.col("w1")))
-    d = d.withColumn("codes_", F.sort_array(F.transform("h_", code)))
-    return d.withColumn("prefix", F.slice("codes_", F.lit(1), prefix_length(F.col("n"), threshold))).drop("h_", "all_", "codes_")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    codes = F.array_distinct(F.array_remove(F.transform(split_tokens(F.col("line")), code), code(F.lit(""))))
+    d = lines.withColumn("codes_", F.sort_array(codes)).withColumn("n", F.size("codes_"))
+    d = d.withColumn("all_", F.aggregate("codes_", zero, lambda acc, c: acc.bitwiseXOR(flip(one, c))))
+    second = F.aggregate("codes_", zero, lambda acc, c: acc.bitwiseXOR(flip(F.shiftrightunsigned(c, 6).bitwiseAND(one), c)))
+    d = d.withColumn("w1", F.when(F.col("n") > LONG_LINE, second).otherwise(zero)).withColumn("w0", F.col("all_").bitwiseXOR(F.col("w1")))
+    return d.withColumn("prefix", F.slice("codes_", F.lit(1), prefix_length(F.col("n"), threshold))).drop("all_", "codes_")
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -196,14 +206,14 @@ def in_reach(x: str, y: str, threshold: float) -> Column:
 def later_of(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Of each pair (x, y) of line ids that truly is similar, the later line: column ``lid``, distinct.
 
-    Only the texts of lines in pairs are shuffled.
+    Only the texts of lines in pairs are shuffled, and each is split once, before it meets the others.
     """
     ids = materialise(pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct())
-    text = among(lines.select("lid", F.struct("ord", "tie", "no").alias("at"), "line"), ids, "lid")
+    text = among(lines.select("lid", F.struct("ord", "tie", "no").alias("at"), "line"), ids, "lid").select("lid", "at", tokens_of("line").alias("t"))
     x, y = (text.select(*(F.col(c).alias(f"{c}_{side}") for c in text.columns)) for side in "xy")
     both = pairs.join(x, F.col("x") == F.col("lid_x")).join(y, F.col("y") == F.col("lid_y"))
-    both = both.select("x", "y", (F.col("at_x") < F.col("at_y")).alias("first"), tokens_of("line_x").alias("tx"), tokens_of("line_y").alias("ty"))
-    true = both.where(F.size(F.array_intersect("tx", "ty")) >= least_overlap(F.size("tx") + F.size("ty"), threshold))
+    both = both.select("x", "y", (F.col("at_x") < F.col("at_y")).alias("first"), "t_x", "t_y")
+    true = both.where(F.size(F.array_intersect("t_x", "t_y")) >= least_overlap(F.size("t_x") + F.size("t_y"), threshold))
     return true.select(F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("lid")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -625,6 +626,31 @@ def test_line_dedup_of_a_text_whose_hash_is_near_the_greatest_int(spark):
     assert {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup_report(d).collect()} == {1: "0", 2: "0"}
 
 
+def test_line_dedup_counts_tokens_at_any_white_space(spark):
+    """A token that lines share beside a carriage return, vertical tab or form feed isn't taken for one that nothing shares."""
+    rows = [(i, f"w{i}a w{i}b{space}{end}") for i, (space, end) in enumerate([(" ", ""), ("\t", ""), ("\x0b", ""), ("\f", ""), (" ", "\r"), (" ", "\x0b")])]
+    rows += [(10 + i, f"w{i}b w{i}a") for i, _ in rows] + [(20, "single"), (21, "single\r"), (22, "single\f"), (23, "\x0bsingle")]
+    got = {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup_report(documents(spark, rows)).collect()}
+    assert got == {i: "0" if i < 10 or i == 20 else "" for i, _ in rows}
+
+
+def test_codes_of_a_line_are_its_tokens_from_rare_to_common(spark):
+    """Rarity class, then hash; the bitmaps are the parities of the codes' lowest bits, split in two for long lines."""
+    texts = ["the of the a\tb  c", "x", " ".join(f"t{i % 90} the" for i in range(200))]
+    docs = documents(spark, list(enumerate(texts)))
+    rarity = line_dedup.rarity_table(docs, "text")
+    steps = list(map(int, rarity.split(",")))
+    for r in line_dedup.coded(docs.select(F.col("text").alias("line")), rarity, 0.8).collect():
+        tokens = sorted(set(r["line"].split()))
+        hashes = [h[0] for h in spark.createDataFrame([(x,) for x in tokens], "t string").select(F.xxhash64("t")).collect()]
+        codes = sorted(steps[h & (line_dedup.RARITY_BUCKETS - 1)] << 56 | (h % 2**64) >> 8 for h in hashes)
+        long, bits = len(tokens) > line_dedup.LONG_LINE, [0, 0]
+        for c in codes:
+            bits[long and c >> 6 & 1] ^= 1 << (c & 63)
+        assert r["n"] == len(tokens) and r["prefix"] == codes[: len(tokens) - math.ceil(round(len(tokens) * 0.8, 6)) + 1]
+        assert [w % 2**64 for w in (r["w0"], r["w1"])] == bits
+
+
 def test_all_words_of_every_text_are_structured_strings(spark):
     """No stretch, word or letter is left out: the strings of a text are its letters, and each is long enough to be tested."""
     rng = random.Random(9)
