@@ -30,7 +30,7 @@ from .base import among, materialise, order_of, stored
 
 THRESHOLD = 0.8
 #: Buckets of the rarity table, whatever the size of the corpus; a power of two.
-RARITY_BUCKETS = 1 << 16
+RARITY_BUCKETS = 1 << 18
 #: By how many of its tokens each line first meets others, and how many lines it meets by each.
 FIRST_TOKENS, FIRST_LINES = 2, 4
 #: How many others must be alike to a line, so that open lines meet it by all its prefix tokens.
@@ -38,7 +38,7 @@ CENTRE = 8
 #: With how many of the lines that it meets so, the most alike ones by their bitmaps, a line is compared.
 ALIKE = 3
 #: Sizes of token sets at which the turns begin in which open lines meet: each turn's shuffle files go before the next.
-TURNS = (0, 32, 56, 88)
+TURNS = (0, 48, 84)
 #: Token sets larger than this have a bitmap of 128 bits, the others one of 64.
 LONG_LINE = 64
 OTHER_SPACE = "\t\x0b\f\r"
@@ -46,13 +46,8 @@ OTHER_SPACE = "\t\x0b\f\r"
 
 def split_tokens(text: Column) -> Column:
     """The white-space separated parts of a text, empty ones among them. White space other than blanks is rare in lines."""
-    return F.split(blanked(text, text), " ")
-
-
-def blanked(text: Column, usual: Column) -> Column:
-    """A text with blanks for all white space; ``usual`` if it has none but blanks and line ends."""
     other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in OTHER_SPACE))  # searches bytes; a pattern decodes the text
-    return F.when(other, F.regexp_replace(text, r"\s", " ")).otherwise(usual)
+    return F.split(F.when(other, F.regexp_replace(text, r"\s", " ")).otherwise(text), " ")
 
 
 def tokens_of(line: str | Column) -> Column:
@@ -67,11 +62,11 @@ def bucket_of(token_hash: Column) -> Column:
 def rarity_table(docs: DataFrame, text_col: str) -> str:
     """For each bucket of token hashes a class from 0 (unused) to 90: two steps for each doubling of the count; comma-joined.
 
-    Counted over all texts, split as the lines are: a token that lines share must not look unique. The driver receives the
-    classes as text, three characters per bucket, 4096 buckets a row.
+    Counted over all texts, split at blanks and line ends. The counts give an order and nothing else: no token is left out
+    for being rare, so that they needn't know other white space. The driver receives the classes as text, three characters
+    per bucket, 4096 buckets a row.
     """
-    text = F.col(text_col)
-    token = docs.select(F.explode(F.split(blanked(text, F.replace(text, F.lit("\n"), F.lit(" "))), " ")).alias("t"))
+    token = docs.select(F.explode(F.split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
     counts = token.select(bucket_of(F.xxhash64("t")).alias("b")).groupBy("b").count()
     step = F.least(F.lit(90), 1 + F.floor(2 * F.log2("count")).cast("int"))
     mark = lambda v: F.char(v + 32)
@@ -128,15 +123,15 @@ def coded(lines: DataFrame, rarity: str, threshold: float) -> DataFrame:
     """
     ranks = F.split(F.lit(rarity), ",").cast("array<int>")  # folded into one constant
 
-    def code(token: Column) -> Column:  # sorts by rarity class, then by the hash
-        h = F.xxhash64(token)
+    def code(h: Column) -> Column:  # sorts by rarity class, then by the hash
         return F.shiftleft(F.coalesce(F.get(ranks, bucket_of(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     def flip(bit: Column, place: Column) -> Column:
         return F.call_function("shiftleft", bit, place.bitwiseAND(63).cast("int"))
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    codes = F.array_distinct(F.array_remove(F.transform(split_tokens(F.col("line")), code), code(F.lit(""))))
+    hashes = F.array_distinct(F.transform(split_tokens(F.col("line")), lambda token: F.xxhash64(token)))
+    codes = F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), code)
     d = lines.withColumn("codes_", F.sort_array(codes)).withColumn("n", F.size("codes_"))
     d = d.withColumn("all_", F.aggregate("codes_", zero, lambda acc, c: acc.bitwiseXOR(flip(one, c))))
     second = F.aggregate("codes_", zero, lambda acc, c: acc.bitwiseXOR(flip(F.shiftrightunsigned(c, 6).bitwiseAND(one), c)))
@@ -160,12 +155,11 @@ ABOUT = ["lid", "ord", "np", "w0", "w1"]
 
 
 def prefix_rows(lines: DataFrame, threshold: float, most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per prefix token (the rarest ``most`` only): tok, ABOUT and what is to be kept. Tokens of a bucket that one
-    token in the corpus uses meet nothing and are left out."""
+    """One row per prefix token (the rarest ``most`` only): tok, ABOUT and what is to be kept."""
     own = ["lid", "ord", "n", "w0", "w1", *keep]
     rows = lines.select(*own, index_length(F.col("n"), threshold).alias("i_"), F.posexplode("prefix" if most is None else F.slice("prefix", 1, most)).alias("p", "tok"))
     packed = F.col("n").cast("long") * (1 << 32) + F.col("p").cast("long") * 2 + (F.col("p") < F.col("i_")).cast("long")
-    return rows.where(F.shiftright("tok", 56) > 1).select("tok", "lid", "ord", packed.alias("np"), "w0", "w1", *keep)
+    return rows.select("tok", "lid", "ord", packed.alias("np"), "w0", "w1", *keep)
 
 
 def size_of(np: str) -> Column:

@@ -634,6 +634,14 @@ def test_line_dedup_counts_tokens_at_any_white_space(spark):
     assert got == {i: "0" if i < 10 or i == 20 else "" for i, _ in rows}
 
 
+def test_line_dedup_does_not_depend_on_the_counts_of_tokens(spark, monkeypatch):
+    """The table of rarity gives an order only: whatever it says of a token, similar lines meet."""
+    rows = [(1, "a b c d e f g h i j\nother words stand here"), (2, "a b c d e f g h i k\nx"), (3, "x\tx\na b\tc d e f g h i k l")]
+    monkeypatch.setattr(line_dedup, "rarity_table", lambda docs, text_col: ",".join(["1"] * line_dedup.RARITY_BUCKETS))
+    got = {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup_report(documents(spark, rows)).collect()}
+    assert got == {1: "0,1", 2: "1", 3: ""}
+
+
 def test_codes_of_a_line_are_its_tokens_from_rare_to_common(spark):
     """Rarity class, then hash; the bitmaps are the parities of the codes' lowest bits, split in two for long lines."""
     texts = ["the of the a\tb  c", "x", " ".join(f"t{i % 90} the" for i in range(200))]
