@@ -223,11 +223,13 @@ def key_of(seq: Column) -> Column:
     return F.upper(F.substring(seq, 1, KEY_BASES))
 
 
-def sequence_keys(reads: DataFrame, cap: int = KEY_CAP) -> DataFrame:
-    """key, n, first_idx of the first ``cap`` distinct keys by appearance.
+def sequence_keys(reads: DataFrame, cap: int | None = KEY_CAP) -> DataFrame:
+    """key, n, first_idx of the first ``cap`` distinct keys by appearance, or of all keys without a cap.
 
     The stored keys are at most ``cap`` short strings, so they are broadcast; reads of other keys are never shuffled.
     """
+    if cap is None:
+        return reads.groupBy(key_of(F.col("seq")).alias("key")).agg(F.count("*").alias("n"), F.min(F.col("idx").cast("long")).alias("first_idx"))
     stored = F.broadcast(first_keys(reads, cap))
     return reads.select(key_of(F.col("seq")).alias("key")).join(stored, "key").groupBy("key", "first_idx").agg(F.count("*").alias("n")).select("key", "n", "first_idx")
 
@@ -345,34 +347,40 @@ def tile_quality(reads: DataFrame, digits: int | None = 6) -> DataFrame:
 
 #: Lengths of keys that may lie whole in a contaminant, and of the shortest run that counts otherwise.
 WHOLE_KEY, LEAST_RUN = (8, 19), 21
+#: Length of the stretches of which one must agree, and the step between those of a key. A run of 21 bases with one
+#: disagreement has 10 agreeing bases in a row, in which one such stretch of the key lies whole.
+SEED, SEED_STEP = 8, 3
 
 
 def contaminant_hits(keys: DataFrame, contaminants: DataFrame) -> DataFrame:
     """For each key that a contaminant explains: name, whole percent of identity, and bases matched of the best one.
 
-    ``contaminants`` as sources.contaminants gives them: place, name, bases. A key of 8 to 19 bases matches if it lies in
-    the contaminant or its reverse complement. Otherwise both are laid over each other at every offset that leaves 20
-    bases; the agreeing places, written as ones, are cut into runs with one disagreement each, and a run of 21 or more
-    bases is a match. Of one contaminant the longest match counts (forward first, then the smallest offset), of all the
-    longest, then the most identical, then the earliest in the list. The list is a parameter of at most 1 MiB.
+    ``keys`` has a row for each key; ``contaminants`` as sources.contaminants gives them: place, name, bases. A key of 8 to 19
+    bases matches if it lies in the contaminant or its reverse complement. Otherwise the agreeing places, written as ones,
+    are cut into runs with one disagreement each, and a run of 21 or more bases is a match. Both are laid over each other
+    at every offset where a match can be, which are those at which a short stretch agrees. Of one contaminant the longest
+    match counts (forward first, then the smallest offset), of all the longest, then the most identical, then the earliest
+    in the list. The list is a parameter of at most 1 MiB.
     """
-    rows = F.broadcast(contaminants.select("place", "name", F.upper("bases").alias("bases")))
-    strands = F.array(F.struct(F.lit(0).alias("strand"), F.col("bases").alias("s")), F.struct(F.lit(1).alias("strand"), R.reverse_complement(F.col("bases")).alias("s")))
-    both = keys.select("key").distinct().crossJoin(rows)
-    inside = F.length("key").between(*WHOLE_KEY) & (F.expr("instr(bases, key) > 0") | (F.instr(R.reverse_complement(F.col("bases")), F.col("key")) > 0))
-    exact = both.where(inside).select("key", "place", "name", F.length("key").alias("size"), F.lit(100).alias("identity"))
-    apart = both.where(~inside).select("key", "place", "name", F.inline(strands)).where(F.length("s") + F.length("key") > 40)
-    laid = apart.select("*", F.explode(F.expr("sequence(20 - length(s), length(key) - 21)")).alias("shift"))
-    agree = "concat_ws('', transform(sequence(greatest(1, 1 + shift), least(length(key), length(s) + shift)), i -> if(substr(key, i, 1) = substr(s, i - shift, 1), '1', '0')))"
-    runs = laid.select("key", "place", "name", "strand", "shift", F.explode(F.expr(f"regexp_extract_all({agree}, '(1*0?1*)(0|$)', 1)")).alias("run"))
-    size = F.length(F.rtrim(F.col("run"), F.lit("0")))
-    identity = F.floor((size - F.col("run").contains("0").cast("int")) * 100 / size).cast("int")
-    found = runs.select("key", "place", "name", "strand", "shift", size.alias("size"), F.when(size > 0, identity).alias("identity")).where(F.col("size") >= LEAST_RUN)
-    best = found.groupBy("key", "place", "name").agg(F.max(F.struct("size", (-F.col("strand")).alias("forward"), (-F.col("shift")).alias("early"), "identity")).alias("b"))
+    strands = F.array(F.struct(F.lit(0).alias("strand"), F.upper("bases").alias("s")), F.struct(F.lit(1).alias("strand"), R.reverse_complement(F.col("bases")).alias("s")))
+    both = contaminants.select("place", "name", F.inline(strands))
+    # Outer, as an inner one makes a filter that works out the keys twice.
+    stretches = lambda c, step: F.posexplode_outer(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{SEED}}})).{{{step}}}"), F.lit(1)))
+    places = both.select("place", "strand", F.length("s").alias("bases"), stretches("s", 1).alias("there", "seed"))
+    shared = keys.select("*", stretches("key", SEED_STEP).alias("at", "seed")).join(F.broadcast(places), "seed").withColumn("shift", F.col("at") * SEED_STEP - F.col("there"))
+    whole = F.length("key").between(*WHOLE_KEY)
+    least = F.when(whole, F.length("key")).otherwise(LEAST_RUN)
+    overlap = F.least(F.length("key"), F.col("bases") + F.col("shift")) - F.greatest(F.lit(0), F.col("shift"))
+    laid = shared.withColumn("overlap", overlap).where(F.col("overlap") >= least).select(*keys.columns, "place", "strand", "shift", "overlap").distinct().join(F.broadcast(both), ["place", "strand"])
+    laid = laid.withColumn("s", F.expr("substr(s, greatest(1, 1 - shift), overlap)")).withColumn("part", F.expr("substr(key, greatest(1, 1 + shift), overlap)"))
+    agree = "concat_ws('', transform(sequence(1, overlap), i -> if(substr(part, i, 1) = substr(s, i, 1), '1', '0')))"
+    runs = laid.select("*", F.explode(F.expr(f"regexp_extract_all({agree}, '(1*0?1*)(0|$)', 1)")).alias("run"))
+    size, odd = F.length(F.rtrim(F.col("run"), F.lit("0"))), F.col("run").contains("0")
+    found = runs.where((size >= least) & ~(whole & odd)).withColumn("size", size).withColumn("identity", F.floor((F.col("size") - odd.cast("int")) * 100 / F.col("size")).cast("int"))
+    best = found.groupBy(*keys.columns, "place", "name").agg(F.max(F.struct("size", (-F.col("strand")).alias("forward"), (-F.col("shift")).alias("early"), "identity")).alias("b"))
     # Of the runs at one offset and strand the longest, then the most identical one counts: the struct's last part.
-    every = exact.unionByName(best.select("key", "place", "name", "b.size", "b.identity"))
-    top = every.groupBy("key").agg(F.max(F.struct("size", "identity", (-F.col("place")).alias("early"), "name")).alias("b"))
-    return keys.join(top, "key").select(*keys.columns, F.col("b.name").alias("name"), "b.identity", F.col("b.size").alias("bases_matched"))
+    top = best.groupBy(*keys.columns).agg(F.max(F.struct("b.size", "b.identity", (-F.col("place")).alias("early"), "name")).alias("b"))
+    return top.select(*keys.columns, F.col("b.name").alias("name"), "b.identity", F.col("b.size").alias("bases_matched"))
 
 
 def gc_deviation(bins: DataFrame, digits: int | None = 6) -> DataFrame:

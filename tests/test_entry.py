@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from strandframe import queries
+from strandframe.operators import qc
 
 #: Their SQL lists what is drawn for the table sizes of another scale.
 SIZED = {"sample_fraction", "sample_exact", "sample_pairs_fraction", "sample_pairs_exact", "length_distribution"}
@@ -39,6 +40,12 @@ def test_query(spark, sf, duck, name):
     assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
+def test_contaminants_of_all_keys(spark, sf, duck, monkeypatch):
+    """The SQL has no cap, so keys beyond any cap count too."""
+    monkeypatch.setattr(qc.sequence_keys, "__defaults__", (50,))
+    assert rows(queries.QUERIES["contaminant_hits"](spark, sf).toPandas()) == rows(duck.execute(queries.ORACLE_SQL["contaminant_hits"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,47 @@ def test_contaminant_list_and_hits(spark, tmp_path):
         contaminants.read_contaminants(spark, str(tmp_path / "wrong")).collect()
 
 
+def plain_hit(key, listed):
+    """The best hit by trying every offset."""
+    found = []
+    for place, (name, bases) in enumerate(listed, 1):
+        back = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        if 8 <= len(key) <= 19:
+            found += [((len(key), 100, -place), (name, 100, len(key)))] * (key in bases or key in back)
+            continue
+        best = None
+        for strand, s in enumerate((bases, back)):
+            for shift in range(21 - len(s), len(key) - 20):
+                agree = "".join("01"[key[i] == s[i - shift]] for i in range(max(0, shift), min(len(key), len(s) + shift)))
+                for run in re.findall("(1*0?1*)(?:0|$)", agree):
+                    size = len(run.rstrip("0"))
+                    if size >= 21:
+                        now = (size, -strand, -shift, (size - ("0" in run)) * 100 // size)
+                        best = max(best or now, now)
+        if best:
+            found.append(((best[0], best[3], -place), (name, best[3], best[0])))
+    return max(found)[1] if found else None
+
+
+def test_contaminant_hits_by_every_offset(spark):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    long = some(70)
+    listed = [("long", long), ("part", long[20:55]), ("short", long[:7]), ("ten", some(10)), ("poly", "A" * 40)]
+    turned = long[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    keys = {"", long[:7], "A" * 30, "A" * 9 + "C" + "A" * 25, listed[3][1][1:], "T" * 12}
+    for _ in range(400):
+        n = rng.randint(8, 45)
+        at = rng.randint(0, 70 - n)
+        key = list(rng.choice([long, turned])[at : at + n])
+        for _ in range(rng.randint(0, 2)):
+            key[rng.randrange(n)] = rng.choice("ACGTN")
+        keys.add((some(rng.choice([0, 3, 8])) + "".join(key) + some(rng.choice([0, 5])))[:50])
+    want = {(k, *hit) for k in keys if (hit := plain_hit(k, listed))}
+    got = qc.contaminant_hits(spark.createDataFrame([(k, 7) for k in keys], "key string, n int"), contaminants.contaminants(spark, listed)).collect()
+    assert len(want) > 100 and sorted(want) == sorted((r["key"], r["name"], r["identity"], r["bases_matched"]) for r in got) and {r["n"] for r in got} == {7}
+
+
 def plain_deviation(bins):
     top = max(range(101), key=lambda b: (bins[b], -b))
     low = high = top
