@@ -319,30 +319,35 @@ def tile_field(header: Column) -> Column:
     return F.when(parts >= 7, 4).when(parts >= 5, 2)
 
 
-def tile_quality(reads: DataFrame, digits: int | None = 6) -> DataFrame:
+def tile_quality(reads: DataFrame, digits: int | None = 6, every_read: bool = False) -> DataFrame:
     """Mean score of each tile and group of cycles, less the mean over tiles.
 
-    Of reads with a quality the first 10,000 count, then every tenth. Their order comes from the record index: ranks are
-    taken within ranges of it and added to the counts of the ranges before, so no task ranks all reads. The first read's
-    header tells which of its parts is the tile. A tile without scores in a group has the mean 0 there. If any counted
-    read has no whole number as its tile, there are no rows.
+    Of reads with a quality the first 10,000 count, then every tenth, or all of them with ``every_read``. Their order comes
+    from the record index: ranks are taken within ranges of it and added to the counts of the ranges before, so no task
+    ranks all reads. The first read's header tells which of its parts is the tile. A tile without scores in a group has
+    the mean 0 there. If any counted read has no whole number as its tile, there are no rows.
     """
-    full = reads.where(F.length("qual") > 0).withColumn("range", F.floor(F.col("idx") / 100_000))
-    counts = full.groupBy("range").agg(F.count("*").alias("n"))
-    ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = full.join(F.broadcast(ahead), "range").withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("idx")))
-    used = ranked.where((F.col("rank") <= 10_000) | ((F.col("rank") - 10_000) % 10 == 0))
-    first = F.broadcast(full.agg(tile_field(F.min_by("header", "idx")).alias("field")))  # one row
+    full = reads.where(F.length("qual") > 0)
+    used = full
+    if not every_read:
+        full = full.withColumn("range", F.floor(F.col("idx") / 100_000))
+        counts = full.groupBy("range").agg(F.count("*").alias("n"))
+        ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        ranked = full.join(F.broadcast(ahead), "range").withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("idx")))
+        used = ranked.where((F.col("rank") <= 10_000) | ((F.col("rank") - 10_000) % 10 == 0))
+    field, longest = tile_field(F.min_by("header", "idx")).alias("field"), F.max(F.octet_length("qual")).alias("cycles")
+    about = full.agg(field, longest) if every_read else full.agg(field).crossJoin(used.agg(longest))
     number = F.expr("if(get(split(header, ':'), field) rlike '^[+-]?[0-9]+$', try_cast(get(split(header, ':'), field) as int), null)")
-    cells = tile_sums(used.crossJoin(first).select(number.alias("tile"), "qual")).groupBy("tile", "cycle").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
-    cycles = F.broadcast(cells.agg(F.max("cycle").alias("cycles")))  # one row
-    each = with_groups(cells.crossJoin(cycles), "cycle", F.col("cycles")).groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
-    tiles = each.select("tile").distinct()
-    grid = tiles.crossJoin(each.select("first", "last").distinct())  # tiles of one flow cell by at most 75 groups
-    grid = grid.join(each, ["tile", "first", "last"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
-    bad = F.broadcast(tiles.agg(F.count(F.when(F.col("tile").isNull(), 1)).alias("bad")))
-    rows = grid.crossJoin(bad).where("bad = 0").withColumn("deviation", rounded(F.col("mean") - F.avg("mean").over(Window.partitionBy("first")), digits))
-    return rows.select("tile", "first", "last", rounded(F.col("mean"), digits).alias("mean"), "deviation")
+    about = F.broadcast(about)  # one row
+    cells = tile_sums(used.crossJoin(about).select(number.alias("tile"), "qual")).groupBy("tile", "cycle").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
+    each = with_groups(cells.crossJoin(about), "cycle", F.col("cycles")).groupBy("tile", "first", "last").agg(F.avg(F.col("q") / F.col("n")).alias("mean"))
+    # From here on there are at most 75 rows, each with the tiles of one flow cell.
+    groups = each.groupBy("first", "last").agg(F.collect_list(F.struct("tile", "mean")).alias("seen"))
+    groups = groups.withColumn("tiles", F.array_distinct(F.flatten(F.collect_list("seen.tile").over(Window.partitionBy())))).where(~F.exists("tiles", F.isnull))
+    unseen = F.transform(F.array_except("tiles", "seen.tile"), lambda t: F.struct(t.alias("tile"), F.lit(0.0).alias("mean")))
+    rows = groups.select("first", "last", F.inline(F.concat("seen", unseen)))
+    deviation = F.col("mean") - F.avg("mean").over(Window.partitionBy("first"))
+    return rows.select("tile", "first", "last", rounded(F.col("mean"), digits).alias("mean"), rounded(deviation, digits).alias("deviation"))
 
 
 #: Lengths of keys that may lie whole in a contaminant, and of the shortest run that counts otherwise.

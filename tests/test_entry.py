@@ -46,6 +46,14 @@ def test_contaminants_of_all_keys(spark, sf, duck, monkeypatch):
     assert rows(queries.QUERIES["contaminant_hits"](spark, sf).toPandas()) == rows(duck.execute(queries.ORACLE_SQL["contaminant_hits"]).df())
 
 
+def test_tiles_of_every_read(spark, tmp_path):
+    """The SQL takes no sample, so reads beyond the first 10,000 count too."""
+    con = duckdb.connect()
+    con.execute(f"copy (select range doc_id, 'a' source from range(12000)) to '{tmp_path}/documents.parquet' (format parquet)")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert rows(queries.QUERIES["tile_quality"](spark, str(tmp_path)).toPandas()) == rows(con.execute(queries.ORACLE_SQL["tile_quality"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
